@@ -3,7 +3,9 @@
 Every document gives two histograms: its characters by class and its words by common
 word. Both are held against the reference of its language, which is the sum of the
 histograms of all documents of that language, by the Jensen-Shannon distance (base 2,
-0 to 1). A distance counts only for documents long enough for it to mean something; long documents are also held to a bound on the sum of both. Before that, two base rules drop short and repetitive documents.
+0 to 1). A distance counts only for documents long enough for it to mean something, and
+so does a bound on the sum of both. Before that, two base rules drop short and repetitive
+documents.
 
 Words are runs of anything but the six ASCII white-space characters. Defined results: a
 null or empty text has no words and fails; a null language is a language of its own;
@@ -25,7 +27,7 @@ from rootward.llm.common import batches, small_batches, texts, written
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Below these lengths a distance is not looked at.
 MIN_CHARS_FOR_CLASSES, MIN_WORDS_FOR_COMMON = 200, 80
-MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE, MAX_BOTH = 0.26, 0.42, 0.5
+MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE, MAX_BOTH = 0.26, 0.42, 0.56
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "blank", "mark", "symbol", "accented", "other")
 #: Frequent function words of English, German, French and Spanish.
