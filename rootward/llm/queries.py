@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootward.llm import bpe, decontamination, pii, quality_classifier, quality_rules, sharding, simhash, token_counts, warc
+from rootward.llm import bpe, decontamination, pii, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, warc
 from rootward.llm.common import table
 
 
@@ -45,12 +45,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_pii, op3_sharding, op4_simhash, op5_token_counts, op6_quality_rules, op7_quality_classifier, op8_bpe, op10_decontamination)}
+    return {f.__name__: f for f in (op1_warc, op2_pii, op3_sharding, op4_simhash, op5_token_counts, op6_quality_rules, op7_quality_classifier, op8_bpe, op9_suffix_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
