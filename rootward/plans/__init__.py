@@ -7,9 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rootward.plans import preparation, tracing
+from rootward.plans import analytics, evaluation, preparation, tracing
 
-AREAS = (preparation, tracing)
+AREAS = (preparation, tracing, evaluation, analytics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

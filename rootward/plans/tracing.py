@@ -16,8 +16,8 @@ QUERIES, ORACLES, query = registry(Graph)
 THRESHOLD, HOPS, FEW, PATH_HOPS, STRONG = 0.1, 20, 5, 4, 0.4
 #: What the oracle of a greedy trace needs; {score} ranks, {tier} comes before it.
 BEST = "SELECT node, parent, score FROM (SELECT dst AS node, src AS parent, {score} AS score, row_number() OVER (PARTITION BY dst ORDER BY {tier}, {score} DESC, src) AS rn FROM effects {join}) WHERE rn = 1 AND score >= 0.1"
-WALK = """SELECT target, target AS at, [target] AS chain FROM targets UNION ALL
-    SELECT w.target, b.parent, list_append(w.chain, b.parent) FROM walk w JOIN best b ON b.node = w.at WHERE NOT list_contains(w.chain, b.parent) AND len(w.chain) <= 20"""
+WALK = """SELECT target, target AS cur, [target] AS chain FROM targets UNION ALL
+    SELECT w.target, b.parent, list_append(w.chain, b.parent) FROM walk w JOIN best b ON b.node = w.cur WHERE NOT list_contains(w.chain, b.parent) AND len(w.chain) <= 20"""
 LAST = "SELECT target, chain, len(chain) - 1 AS depth, chain[len(chain)] AS root FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY len(chain) DESC) AS rn FROM walk) WHERE rn = 1"
 GREEDY = {"best": BEST.format(score="abs(ce)", tier="0", join=""), "walk": WALK, "chains": LAST}
 SHOWN = "SELECT target, array_to_string(chain, '|') AS chain, CAST(depth AS INTEGER) AS depth, root FROM chains"
@@ -79,12 +79,12 @@ def _(g: Graph) -> DataFrame:
     return shown(T.trace_scored(g.targets, around.select("target", "child").join(phi, "child"), FEW, THRESHOLD))
 
 
-_STRONG = f"SELECT dst AS at, src AS parent, abs(ce) AS w FROM effects WHERE abs(ce) >= {STRONG}"
-_PATHS = f"""SELECT target, target AS at, [target] AS chain, CAST(0 AS DOUBLE) AS total FROM targets UNION ALL
-    SELECT p.target, e.parent, list_append(p.chain, e.parent), p.total - ln(e.w) FROM paths p JOIN strong e ON e.at = p.at WHERE NOT list_contains(p.chain, e.parent) AND len(p.chain) <= {PATH_HOPS}"""
-_LEAVES = "SELECT DISTINCT parent AS id FROM strong WHERE parent NOT IN (SELECT s.at FROM strong s)"
-_ENDS = "SELECT *, row_number() OVER (PARTITION BY target ORDER BY CASE WHEN at IN (SELECT id FROM leaves) AND at LIKE 'w%' THEN 1 WHEN at IN (SELECT id FROM leaves) THEN 2 ELSE 3 END, round(total, 9), at, chain) AS rn FROM paths WHERE at <> target"
-_BESTPATH = {"strong": _STRONG, "paths": _PATHS, "leaves": _LEAVES, "ends": _ENDS, "chains": "SELECT t.target, coalesce(chain, [t.target]) AS chain, coalesce(len(chain), 1) - 1 AS depth, coalesce(at, t.target) AS root FROM targets t LEFT JOIN (SELECT * FROM ends WHERE rn = 1) e ON e.target = t.target"}
+_STRONG = f"SELECT dst AS cur, src AS parent, abs(ce) AS w FROM effects WHERE abs(ce) >= {STRONG}"
+_PATHS = f"""SELECT target, target AS cur, [target] AS chain, CAST(0 AS DOUBLE) AS total FROM targets UNION ALL
+    SELECT p.target, e.parent, list_append(p.chain, e.parent), p.total - ln(e.w) FROM paths p JOIN strong e ON e.cur = p.cur WHERE NOT list_contains(p.chain, e.parent) AND len(p.chain) <= {PATH_HOPS}"""
+_LEAVES = "SELECT DISTINCT parent AS id FROM strong WHERE parent NOT IN (SELECT s.cur FROM strong s)"
+_ENDS = "SELECT *, row_number() OVER (PARTITION BY target ORDER BY CASE WHEN cur IN (SELECT id FROM leaves) AND cur LIKE 'w%' THEN 1 WHEN cur IN (SELECT id FROM leaves) THEN 2 ELSE 3 END, round(total, 9), cur, chain) AS rn FROM paths WHERE cur <> target"
+_BESTPATH = {"strong": _STRONG, "paths": _PATHS, "leaves": _LEAVES, "ends": _ENDS, "chains": "SELECT t.target, coalesce(chain, [t.target]) AS chain, coalesce(len(chain), 1) - 1 AS depth, coalesce(cur, t.target) AS root FROM targets t LEFT JOIN (SELECT * FROM ends WHERE rn = 1) e ON e.target = t.target"}
 
 
 @query("f8_best_path", sql(SHOWN, **_BESTPATH))
@@ -104,11 +104,11 @@ def _(g: Graph) -> DataFrame:
 
 _BEAM = {
     "strong": _STRONG,
-    "beams": """SELECT target, target AS at, [target] AS chain, CAST(0 AS DOUBLE) AS score, CAST(1 AS BIGINT) AS rn, 0 AS hop FROM targets UNION ALL
+    "beams": """SELECT target, target AS cur, [target] AS chain, CAST(0 AS DOUBLE) AS score, CAST(1 AS BIGINT) AS rn, 0 AS hop FROM targets UNION ALL
         SELECT target, parent, chain, score, rn, hop FROM (SELECT b.target, e.parent, list_append(b.chain, e.parent) AS chain, round(b.score + e.w, 9) AS score, b.hop + 1 AS hop,
             row_number() OVER (PARTITION BY b.target ORDER BY round(b.score + e.w, 9) DESC, list_append(b.chain, e.parent)) AS rn
-            FROM beams b JOIN strong e ON e.at = b.at WHERE NOT list_contains(b.chain, e.parent) AND b.hop < 4) WHERE rn <= {k}""",
-    "complete": "SELECT * FROM beams b WHERE hop = 4 OR NOT EXISTS (SELECT 1 FROM strong e WHERE e.at = b.at AND NOT list_contains(b.chain, e.parent))",
+            FROM beams b JOIN strong e ON e.cur = b.cur WHERE NOT list_contains(b.chain, e.parent) AND b.hop < 4) WHERE rn <= {k}""",
+    "complete": "SELECT * FROM beams b WHERE hop = 4 OR NOT EXISTS (SELECT 1 FROM strong e WHERE e.cur = b.cur AND NOT list_contains(b.chain, e.parent))",
     "ranked": "SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, chain) AS rank FROM complete",
 }
 
@@ -126,10 +126,10 @@ def _(g: Graph) -> DataFrame:
 
 _BFS = {
     "strong": _STRONG, "leaves": _LEAVES,
-    "paths": f"""SELECT target, target AS at, [target] AS chain, 0 AS hop FROM targets UNION ALL
-        SELECT p.target, e.parent, list_append(p.chain, e.parent), p.hop + 1 FROM paths p JOIN strong e ON e.at = p.at WHERE NOT list_contains(p.chain, e.parent) AND p.hop < {PATH_HOPS} AND (p.hop = 0 OR p.at NOT IN (SELECT id FROM leaves))""",
-    "reached": "SELECT target, at, min(hop) AS hop FROM paths GROUP BY target, at",
-    "ends": "SELECT target, min(hop) AS hop FROM reached WHERE hop > 0 AND at IN (SELECT id FROM leaves) GROUP BY target",
+    "paths": f"""SELECT target, target AS cur, [target] AS chain, 0 AS hop FROM targets UNION ALL
+        SELECT p.target, e.parent, list_append(p.chain, e.parent), p.hop + 1 FROM paths p JOIN strong e ON e.cur = p.cur WHERE NOT list_contains(p.chain, e.parent) AND p.hop < {PATH_HOPS} AND (p.hop = 0 OR p.cur NOT IN (SELECT id FROM leaves))""",
+    "reached": "SELECT target, cur, min(hop) AS hop FROM paths GROUP BY target, cur",
+    "ends": "SELECT target, min(hop) AS hop FROM reached WHERE hop > 0 AND cur IN (SELECT id FROM leaves) GROUP BY target",
 }
 
 
@@ -138,9 +138,9 @@ def _(g: Graph) -> DataFrame:
     return T.trace_bfs(g.targets, g.effects, PATH_HOPS, STRONG).select("target", "depth")
 
 
-_DFS = """SELECT target, target AS at, [target] AS chain, CAST(1 AS BIGINT) AS k FROM targets UNION ALL
+_DFS = """SELECT target, target AS cur, [target] AS chain, CAST(1 AS BIGINT) AS k FROM targets UNION ALL
     SELECT target, parent, chain, k FROM (SELECT w.target, e.parent, list_append(w.chain, e.parent) AS chain, row_number() OVER (PARTITION BY w.target ORDER BY e.w DESC, e.parent) AS k
-        FROM walk w JOIN strong e ON e.at = w.at WHERE NOT list_contains(w.chain, e.parent) AND len(w.chain) <= 6) WHERE k = 1"""
+        FROM walk w JOIN strong e ON e.cur = w.cur WHERE NOT list_contains(w.chain, e.parent) AND len(w.chain) <= 6) WHERE k = 1"""
 
 
 @query("f11_dfs", sql(SHOWN, strong=_STRONG, walk=_DFS, chains=LAST))
