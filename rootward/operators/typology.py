@@ -4,29 +4,31 @@ Flow order is root first, so descending pos. Works on chain nodes (see chains.py
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-FLOW = Window.partitionBy("target").orderBy(F.desc("pos"))
+def flow() -> WindowSpec:
+    """The nodes of a chain, root first."""
+    return Window.partitionBy("target").orderBy(F.desc("pos"))
 
 
 def alternation(cn: DataFrame) -> DataFrame:
     """target, alternates: adjacent types differ; true for a single node."""
-    rows = cn.select("target", (F.col("node_type") != F.lag("node_type").over(FLOW)).alias("d"))
+    rows = cn.select("target", (F.col("node_type") != F.lag("node_type").over(flow())).alias("d"))
     return rows.groupBy("target").agg(F.coalesce(F.bool_and("d"), F.lit(True)).alias("alternates"))
 
 
 def time_monotone(cn: DataFrame) -> DataFrame:
     """target, monotone (null under two known times), n_known, n_unknown."""
     counts = cn.groupBy("target").agg(F.count(F.when(F.col("time") >= 0, 1)).alias("n_known"), F.count(F.when(F.coalesce(F.col("time") < 0, F.lit(True)), 1)).alias("n_unknown"))
-    known = cn.where("time >= 0").select("target", (F.col("time") >= F.lag("time").over(FLOW)).alias("up"))
+    known = cn.where("time >= 0").select("target", (F.col("time") >= F.lag("time").over(flow())).alias("up"))
     return counts.join(known.groupBy("target").agg(F.bool_and("up").alias("monotone")), "target", "left")
 
 
 def amounts(cn: DataFrame, txs: DataFrame, column: str = "amount") -> DataFrame:
     """target, seq, amount of the transactions of each chain in flow order, and how many have none."""
     rows = cn.where("node_type = 'transaction'").join(txs.select("id", F.col(column).alias("amount")), "id", "left")
-    return rows.select("target", "pos", "id", "amount", F.row_number().over(FLOW).alias("seq"))
+    return rows.select("target", "pos", "id", "amount", F.row_number().over(flow()).alias("seq"))
 
 
 def amount_trend(found: DataFrame) -> DataFrame:
@@ -35,8 +37,8 @@ def amount_trend(found: DataFrame) -> DataFrame:
     known = found.where("amount IS NOT NULL")
     by, ties = Window.partitionBy("target").orderBy("amount"), Window.partitionBy("target", "amount")
     rows = known.select(
-        "target", F.row_number().over(FLOW).cast("double").alias("x"), (F.rank().over(by) + (F.count("*").over(ties) - 1) / 2.0).alias("y"),
-        (F.col("amount") < F.lag("amount").over(FLOW)).cast("double").alias("d"),
+        "target", F.row_number().over(flow()).cast("double").alias("x"), (F.rank().over(by) + (F.count("*").over(ties) - 1) / 2.0).alias("y"),
+        (F.col("amount") < F.lag("amount").over(flow())).cast("double").alias("d"),
     )
     fit = (F.count("*") >= 3) & (F.stddev_pop("y") > 0)
     trend = rows.groupBy("target").agg(F.when(fit, F.corr("x", "y")).alias("rho"), F.avg("d").alias("decreasing"), F.count("*").alias("n_amounts"))
@@ -169,7 +171,7 @@ def cosine(a: str, b: str) -> Column:
 def dossier(found: DataFrame) -> DataFrame:
     """Adjacent falls of amount: target, seq, amount, fall, ratio; cv of the positive falls of the chain."""
     rows = found.where("amount IS NOT NULL")
-    before = F.lag("amount").over(FLOW)
+    before = F.lag("amount").over(flow())
     rows = rows.select("target", "seq", "amount", (before - F.col("amount")).alias("fall"), (F.col("amount") / before).alias("ratio"))
     whole = Window.partitionBy("target")
     fit = (F.count("fall").over(whole) >= 2) & (F.avg("fall").over(whole) > 0)
