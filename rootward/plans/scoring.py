@@ -118,7 +118,7 @@ def _(g: Graph) -> DataFrame:
     return X.fit_edge_models(rows, FEATURES)
 
 
-@query("e8_effect_coverage", sql("SELECT count(*) AS n, count(*) FILTER (src NOT IN (SELECT id FROM some) OR dst NOT IN (SELECT id FROM some)) AS no_features, count(*) FILTER (edge_type = 'wallet__to__wallet') AS no_model FROM edges", some="SELECT id FROM nodes WHERE time >= 0"))
+@query("e8_effect_coverage", sql("SELECT count(*) AS n, count(*) FILTER (src NOT IN (SELECT id FROM with_time) OR dst NOT IN (SELECT id FROM with_time)) AS no_features, count(*) FILTER (edge_type = 'wallet__to__wallet') AS no_model FROM edges", with_time="SELECT id FROM nodes WHERE time >= 0"))
 def _(g: Graph) -> DataFrame:
     return X.effect_coverage(g.edges, g.nodes.where("time >= 0"), fixed_models(g).where("edge_type <> 'wallet__to__wallet'"))
 
@@ -163,9 +163,9 @@ def _(g: Graph) -> DataFrame:
     return A.parent_topk(g.effects, 2).select("src", "dst", "ce")
 
 
-@query("g6_edge_scores", sql("SELECT target, src, dst, round(abs(phi) * ce, 9) AS score FROM phi JOIN effects ON src = parent AND dst = target UNION ALL SELECT a.target, e.src, e.dst, round(abs(a.phi) * abs(b.phi) * e.ce, 9) FROM phi a JOIN effects e ON e.src = a.parent JOIN phi b ON b.target = a.target AND b.parent = e.dst WHERE e.dst <> a.target", phi=PHI))
+@query("g6_edge_scores", sql("SELECT target, src, dst, round(abs(phi) * ce, 9) + 0.0 AS score FROM phi JOIN effects ON src = parent AND dst = target UNION ALL SELECT a.target, e.src, e.dst, round(abs(a.phi) * abs(b.phi) * e.ce, 9) + 0.0 FROM phi a JOIN effects e ON e.src = a.parent JOIN phi b ON b.target = a.target AND b.parent = e.dst WHERE e.dst <> a.target", phi=PHI))
 def _(g: Graph) -> DataFrame:
-    return A.edge_scores(g.effects, A.phi_additive(g.causal, g.effects)).select("target", "src", "dst", F.round("score", 9).alias("score"))
+    return A.edge_scores(g.effects, A.phi_additive(g.causal, g.effects)).select("target", "src", "dst", (F.round("score", 9) + 0.0).alias("score"))
 
 
 _ATTACHED = BASE | {
@@ -190,10 +190,10 @@ def _(g: Graph) -> DataFrame:
     return A.chain_pivot(attached(g).withColumn("phi_asym", F.round("phi_asym", 12))).select("target", "pivot", "pos")
 
 
-@query("h1_neighbour_features", sql("SELECT e.dst AS id, e.edge_type, round(avg(f.f_amount), 6) AS near_amount, round(avg(f.f_count), 6) AS near_count, count(*) AS n_near FROM causal e JOIN feats f ON f.id = e.src GROUP BY e.dst, e.edge_type", feats=FEATS))
+@query("h1_neighbour_features", sql("SELECT e.dst AS id, e.edge_type, round(avg(f.f_amount), 9) AS near_amount, round(avg(f.f_count), 9) AS near_count, count(*) AS n_near FROM causal e JOIN feats f ON f.id = e.src GROUP BY e.dst, e.edge_type", feats=FEATS))
 def _(g: Graph) -> DataFrame:
     found = X.neighbour_features(features(g), g.causal, FEATURES)
-    return found.select("id", "edge_type", F.round("near_f_amount", 6).alias("near_amount"), F.round("near_f_count", 6).alias("near_count"), "n_near")
+    return found.select("id", "edge_type", F.round("near_f_amount", 9).alias("near_amount"), F.round("near_f_count", 9).alias("near_count"), "n_near")
 
 
 @query("h2_node_classifier")
