@@ -108,3 +108,25 @@ def chain_pivot(chain_nodes: DataFrame) -> DataFrame:
     rows = chain_nodes.where(F.abs("phi_asym") > 0)
     best = F.max_by(F.struct("id", "pos", "node_type"), F.struct(F.abs("phi_asym"), -F.col("pos")))
     return rows.groupBy("target").agg(best.alias("b")).select("target", F.col("b.id").alias("pivot"), F.col("b.pos").alias("pos"), F.col("b.node_type").alias("node_type"))
+
+
+def phi_drift(edges: DataFrame, plain: DataFrame, noisy: DataFrame) -> DataFrame:
+    """By sigma: mean and spread of |change of phi| over parents and draws. plain: id, p (the model's
+    value of a cause); noisy: id, sigma, draw, p. The baseline cancels out of the change."""
+    n = F.count("*").over(Window.partitionBy("dst"))
+    own = edges.select("src", "dst").distinct().withColumn("n", n)
+    change = noisy.join(plain.select("id", F.col("p").alias("_p")), "id").select(F.col("id").alias("src"), "sigma", "draw", (F.col("p") - F.col("_p")).alias("d"))
+    drift = own.join(change, "src").select("sigma", (F.abs("d") / F.col("n")).alias("drift"))
+    return drift.groupBy("sigma").agg(F.avg("drift").alias("mean"), F.stddev_pop("drift").alias("std"), F.count("*").alias("n"))
+
+
+def explained_sets(rankings: dict[str, DataFrame], targets: DataFrame, trace, max_hops: int) -> DataFrame:
+    """mode, target, node: the chain of each target by each ranking (src, dst, ce), as a set; no threshold."""
+    parts = []
+    for mode, ranking in rankings.items():
+        chains = trace(targets, ranking, max_hops, 0.0)
+        parts.append(chains.select(F.lit(mode).alias("mode"), "target", F.explode("chain").alias("node")).distinct())
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found

@@ -139,3 +139,11 @@ def six_digits(x: Column) -> Column:
     places = F.least(F.greatest(5 - F.floor(F.log10(F.greatest(F.abs(x), F.lit(1e-4)))), F.lit(0)), F.lit(9)).cast("int")
     text = F.when(x == 0, "0").otherwise(F.format_string("%.9f", F.round(x * F.pow(F.lit(10.0), places)) / F.pow(F.lit(10.0), places)))
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def neighbour_view(cn: DataFrame, targets: list[str], overlay: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, node_type, in_chain: nodes of the chosen chains and the neighbours that the overlay lists for them."""
+    own = chain_sets(cn, targets)
+    near = overlay.join(own, "id", "left_semi").select(F.explode("near").alias("id")).distinct().join(own, "id", "left_anti")
+    both = own.withColumn("in_chain", F.lit(True)).unionByName(near.withColumn("in_chain", F.lit(False)))
+    return both.join(nodes.select("id", "node_type"), "id", "left").select("id", "node_type", "in_chain")

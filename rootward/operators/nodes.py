@@ -161,3 +161,12 @@ def proportional_sample(nodes: DataFrame, limit: int) -> DataFrame:
         take[t], left = take[t] + more, left - more
     parts = [nodes.where(F.col("node_type") == t).orderBy("num", "id").limit(k) for t, k in sorted(take.items())]
     return reduce(DataFrame.unionByName, parts) if parts else nodes.limit(0)
+
+
+VARIANTS = {"transaction": ("transaction",), "wallet": ("wallet",), "joint": ("transaction", "wallet")}
+
+
+def labelled_targets(nodes: DataFrame, variant: str, seed: int = 42) -> DataFrame:
+    """Supervised rows of a variant: the labelled nodes of its types, each type split by itself."""
+    parts = [stratified_split(nodes.where(F.col("node_type") == t), seed) for t in VARIANTS[variant]]
+    return reduce(DataFrame.unionByName, parts)

@@ -98,6 +98,8 @@ def _(t: Traced) -> DataFrame:
     return K.search_chains(t.records, "W12", fraud_only=True).select("target", "root", "root_type")
 
 
+_NEAR = "SELECT src AS id, dst AS near, r FROM every UNION ALL SELECT dst, src, r FROM every"
+_EVERY = "SELECT src, dst, 0 AS r FROM addr_tx UNION ALL SELECT src, dst, 1 FROM tx_addr UNION ALL SELECT src, dst, 2 FROM tx_tx UNION ALL SELECT src, dst, 3 FROM addr_addr WHERE src <> dst"
 _FIRST = "SELECT target FROM chains WHERE depth > 3 ORDER BY target LIMIT 5"
 
 
@@ -110,6 +112,12 @@ def _(t: Traced) -> DataFrame:
     return K.visible_nodes(t.cn, first(t), t.g.causal, 20)
 
 
+@query("k10_neighbour_view", sql("SELECT n.id, node_type, TRUE AS in_chain FROM own JOIN nodes n ON n.id = own.id UNION ALL SELECT n.id, node_type, FALSE FROM nodes n WHERE n.id NOT IN (SELECT id FROM own) AND n.id IN (SELECT near FROM (SELECT id, near, row_number() OVER (PARTITION BY id ORDER BY r, near) AS rn FROM (SELECT id, near, min(r) AS r FROM nears WHERE id IN (SELECT id FROM own) GROUP BY id, near)) WHERE rn <= 30)", **BASE, picked=_FIRST, own="SELECT DISTINCT id FROM cn WHERE target IN (SELECT target FROM picked)", every=_EVERY, nears=_NEAR))
+def _(t: Traced) -> DataFrame:
+    picked = first(t)
+    return K.neighbour_view(t.cn, picked, K.neighbour_overlay(K.chain_sets(t.cn, picked), t.g.tables), t.g.nodes)
+
+
 @query("k11_responsibility_rows", sql("SELECT c.target, depth - c.pos AS step, id, c.pos = depth AS is_root, c.pos = 0 AS is_target, coalesce(p.pivot = c.id, FALSE) AS is_pivot, ce FROM cn c LEFT JOIN pivots p ON p.target = c.target AND p.pivot = c.id", **BASE, pivots=PIVOTS))
 def _(t: Traced) -> DataFrame:
     return K.responsibility(t.cn, t.pivots)
@@ -125,10 +133,6 @@ def _(t: Traced) -> DataFrame:
     return K.depth_buckets(t.chains, F.substring("root", 1, 1))
 
 
-_NEAR = "SELECT src AS id, dst AS near, r FROM every UNION ALL SELECT dst, src, r FROM every"
-_EVERY = "SELECT src, dst, 0 AS r FROM addr_tx UNION ALL SELECT src, dst, 1 FROM tx_addr UNION ALL SELECT src, dst, 2 FROM tx_tx UNION ALL SELECT src, dst, 3 FROM addr_addr WHERE src <> dst"
-
-
 @query("d7_chain_neighbour_overlay", sql("SELECT o.id, degree, near FROM (SELECT id, count(*) AS degree FROM nears WHERE id IN (SELECT id FROM cn) GROUP BY id) o JOIN (SELECT id, string_agg(near, '|' ORDER BY rn) AS near FROM (SELECT id, near, row_number() OVER (PARTITION BY id ORDER BY r, near) AS rn FROM (SELECT id, near, min(r) AS r FROM nears GROUP BY id, near)) WHERE rn <= 30 GROUP BY id) l ON l.id = o.id", **BASE, every=_EVERY, nears=_NEAR))
 def _(t: Traced) -> DataFrame:
     return K.neighbour_overlay(t.cn.select("id"), t.g.tables).select("id", "degree", F.concat_ws("|", "near").alias("near"))

@@ -12,10 +12,12 @@ from rootward.operators import chains as K
 from rootward.operators import effects as X
 from rootward.operators import expand as D
 from rootward.operators import metrics as M
+from rootward.operators import nodes as N
+from rootward.operators import trace as T
 from rootward.plans.analytics import BASE
 from rootward.plans.fixture import Graph, sql
 from rootward.plans.preparation import split
-from rootward.plans.tracing import greedy
+from rootward.plans.tracing import LAST, WALK, greedy
 
 QUERIES, ORACLES, query = registry(Graph)
 
@@ -212,3 +214,55 @@ def _(g: Graph) -> DataFrame:
         report = M.detection_report(M.predict(scored, 0.5)).withColumn("iterations", F.lit(iterations))
         found = report if found is None else found.unionByName(report)
     return found
+
+
+_DRAW = "sqrt(-2 * ln((((num * 48271 + draw * 7919 + {k} * 104729) % 9973) + 1) / CAST(9974 AS DOUBLE))) * cos(2 * pi() * (((num * 16807 + draw * 1299709 + {k} * 15485863) % 9967) / CAST(9967 AS DOUBLE)))"
+_NOISY = "1 / (1 + exp(-(-0.3 + 0.8 * (f_amount + sigma * " + _DRAW.format(k=1) + ") - 0.5 * (f_count + sigma * " + _DRAW.format(k=2) + "))))"
+_DRIFT = {
+    "feats": FEATS, "grid": "SELECT sigma, draw FROM (VALUES (0.01), (0.05), (0.1), (0.2), (0.5)) s(sigma), (VALUES (0), (1), (2), (3), (4)) d(draw)",
+    "noisy": f"SELECT f.id, CAST(sigma AS DOUBLE) AS sigma, draw, {_P.format('')} AS p, n.num, f_amount, f_count FROM feats f JOIN nodes n ON n.id = f.id, grid",
+    "drift": f"SELECT sigma, abs({_NOISY} - p) / k AS d FROM (SELECT src, count(*) OVER (PARTITION BY dst) AS k FROM causal) c JOIN noisy b ON b.id = c.src",
+}
+
+
+def drift(g: Graph, sigmas: tuple[float, ...], draws: int) -> DataFrame:
+    """Normal noise from an arithmetic key (Box-Muller), so that any engine draws the same."""
+    plain = features(g).join(g.nodes.select("id", "num"), "id")
+    grid = F.explode(F.array(*[F.lit(s) for s in sigmas])).alias("sigma")
+    noisy = plain.select("*", grid).select("*", F.explode(F.array(*[F.lit(d) for d in range(draws)])).alias("draw"))
+    return A.phi_drift(g.causal, plain.select("id", F.expr(_P.format("")).alias("p")), noisy.select("id", "sigma", "draw", F.expr(_NOISY).alias("p")))
+
+
+@query("g12_phi_stability", sql("SELECT round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std FROM drift WHERE sigma = 0.01", **_DRIFT))
+def _(g: Graph) -> DataFrame:
+    return drift(g, (0.01,), 5).select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("g13_stability_sweep", sql("SELECT sigma, round(avg(d), 6) AS mean, count(*) AS n FROM drift GROUP BY sigma", **_DRIFT))
+def _(g: Graph) -> DataFrame:
+    return drift(g, (0.01, 0.05, 0.1, 0.2, 0.5), 5).select("sigma", F.round("mean", 6).alias("mean"), "n")
+
+
+_RANKED = "SELECT dst AS node, src AS parent, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY s DESC, src) AS rn FROM (SELECT src, dst, abs(ce) AS s FROM effects)) WHERE rn = 1"
+_BY_PHI = "SELECT node, parent, score FROM (SELECT target AS node, parent, round(abs(phi), 12) AS score, row_number() OVER (PARTITION BY target ORDER BY round(abs(phi), 12) DESC, parent) AS rn FROM asym) WHERE rn = 1"
+_FEW = WALK.replace("<= 20", "<= 6")
+
+
+@query(
+    "g10_explain_sets",
+    sql(
+        "SELECT DISTINCT 'ce_only' AS mode, target, UNNEST(chain) AS node FROM chains UNION ALL SELECT DISTINCT 'phi_asym', target, UNNEST(chain) FROM chains2",
+        best=_RANKED, walk=_FEW, chains=LAST, asym=ASYM, best2=_BY_PHI, walk2=_FEW.replace("walk", "walk2").replace("JOIN best b", "JOIN best2 b"), chains2=LAST.replace("FROM walk", "FROM walk2"),
+    ),
+)
+def _(g: Graph) -> DataFrame:
+    by_phi = asymmetric(g).select(F.col("parent").alias("src"), F.col("target").alias("dst"), F.round("phi", 12).alias("ce"))
+    return A.explained_sets({"ce_only": g.effects, "phi_asym": by_phi}, g.targets, T.trace_greedy, 6)
+
+
+@query(
+    "h3_labelled_targets",
+    sql("SELECT node_type, id, y, CASE WHEN rn <= floor(n * 0.7) THEN 'train' WHEN rn <= floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY node_type, y ORDER BY (num * 2654435761 + 42 * 40503) % 2147483648, id) AS rn, count(*) OVER (PARTITION BY node_type, y) AS n FROM nodes WHERE labelled)"),
+)
+def _(g: Graph) -> DataFrame:
+    return N.labelled_targets(g.nodes, "joint").select("node_type", "id", "y", "split")
