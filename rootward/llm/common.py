@@ -62,6 +62,12 @@ def batches(schema: pa.Schema, parts: Iterable[list]) -> Iterator[pa.RecordBatch
         )
 
 
+def small_or_shuffled(rows: DataFrame, limit: int) -> DataFrame:
+    """rows, to be sent to all tasks only if they are counted to be `limit` at most; else the
+    join that they are for shuffles both sides."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

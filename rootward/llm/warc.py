@@ -30,10 +30,12 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rootward.llm.common import batches, scratch, written
+from rootward.llm.common import batches, scratch, small_or_shuffled, written
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS_PER_FILE, LEVEL, PIECE = 2000, 1, 1 << 18
+#: Up to so many revisits are told to all tasks, which spares a shuffle of the pages.
+REVISITS_TO_ALL = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "file string, offset long, length long, page_id long, record_type string"
 
@@ -62,6 +64,7 @@ def records(pages: DataFrame, least: int = 0, date: str = "1970-01-01T00:00:00Z"
     slim = written(slim.where(F.col("size") >= least), "digests")
     first = slim.groupBy("sha1").agg(F.min("page_id").alias("first"))
     again = slim.where("page_id is not null").join(first, "sha1").where("page_id > first").select("page_id", "sha1", "first").distinct()
+    again = small_or_shuffled(written(again, "revisits"), REVISITS_TO_ALL)
     named = rows.where("page_id is not null").withColumn("sha1", F.sha1("html")).join(again, ["page_id", "sha1"], "left")
     unnamed = rows.where("page_id is null").withColumn("sha1", F.sha1("html")).join(first, "sha1", "left")
     columns = ["page_id", "url", "html", "sha1", "first"]
