@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rootward.llm.common import batches, small_batches, texts, written
+from rootward.llm.common import batches, small_batches, small_or_shuffled, texts, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Below these lengths a distance is not looked at.
 MIN_CHARS_FOR_CLASSES, MIN_WORDS_FOR_COMMON = 200, 80
 MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE, MAX_BOTH = 0.26, 0.42, 0.56
+MAX_LANGUAGES_TO_ALL = 10_000
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "blank", "mark", "symbol", "accented", "other")
 #: Frequent function words of English, German, French and Spanish.
@@ -147,7 +148,8 @@ def judged(
     rows = written(measured(docs), "measures")
     reference = references(rows).withColumn("_lang", F.coalesce("lang", F.lit(""))).withColumn("_none", F.col("lang").isNull()).drop("lang")
     rows = rows.withColumn("_lang", F.coalesce("lang", F.lit(""))).withColumn("_none", F.col("lang").isNull())
-    both = rows.join(reference, ["_lang", "_none"])
+    # A row per language: few of them go to all tasks, so that a frequent language is no partition of its own.
+    both = rows.join(small_or_shuffled(reference, MAX_LANGUAGES_TO_ALL), ["_lang", "_none"])
     both = both.withColumn("class_distance", js_distance("classes", "all_classes")).withColumn("common_distance", js_distance("common", "all_common"))
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, b: a + b)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
