@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootward.functions.tables import written
+from rootward.operators.nodes import global_ids
 
 RELATIONS = {"addr_tx": ("wallet", "sends", "transaction"), "tx_addr": ("transaction", "pays", "wallet"), "tx_tx": ("transaction", "flows_to", "transaction"), "addr_addr": ("wallet", "connects", "wallet")}
 BLOCKED = ("wallet__to__wallet", "address__to__address")
@@ -89,10 +90,10 @@ def edge_direction(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 def negative_edges(edges: DataFrame, src_nodes: DataFrame, dst_nodes: DataFrame, seed: int = 42) -> DataFrame:
     """Edges labelled 1 and as many random pairs of their ends' types labelled 0."""
-    numbered = lambda df, c: df.select("id", "num").distinct().withColumn("_i", F.row_number().over(Window.orderBy("num")) - 1).select(F.col("id").alias(c), "_i")
+    numbered = lambda df, c: global_ids(df.select(F.lit("").alias("node_type"), "id", "num").distinct()).select(F.col("id").alias(c), F.col("global_id").alias("_i"))
     a, b = numbered(src_nodes, "src"), numbered(dst_nodes, "dst")
     n_a, n_b = src_nodes.select("id").distinct().count(), dst_nodes.select("id").distinct().count()
-    keyed = edges.select(F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(max(1, n_a))).cast("int").alias("_a"), F.pmod(F.xxhash64("dst", "src", F.lit(seed + 1)), F.lit(max(1, n_b))).cast("int").alias("_b"))
+    keyed = edges.select(F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(max(1, n_a))).cast("long").alias("_a"), F.pmod(F.xxhash64("dst", "src", F.lit(seed + 1)), F.lit(max(1, n_b))).cast("long").alias("_b"))
     wrong = keyed.join(a, F.col("_a") == a._i).drop("_i").join(b, F.col("_b") == b._i).select("src", "dst", F.lit(0).alias("label"))
     return edges.select("src", "dst", F.lit(1).alias("label")).unionByName(wrong)
 
