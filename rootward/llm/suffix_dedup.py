@@ -12,10 +12,11 @@ A byte goes if a string of `LENGTH` bytes that covers it starts anywhere else as
    context repeats, all of it is covered. What is left are contexts that differ from all
    others of their group, and one copy of each context that repeats beside them.
 3. Suffix arrays. The bytes of those contexts are fetched. A group is put in one string, its
-   common gram a single symbol, and a suffix array tells which strings of LENGTH bytes
-   repeat: neighbours in it that agree that far. Groups of more than `CAP` contexts would
-   be large tasks; they are divided by place and hash of each string instead, which is
-   exact as well and aggregates before the shuffle.
+   common gram a single symbol, and so is every stretch of bytes inside which no context
+   parts from another; bytes that no other context shares are left out. A suffix array
+   tells which strings of LENGTH bytes repeat: neighbours in it that agree that far. Groups
+   of more than `CAP` contexts would be large tasks; they are divided by place and hash of
+   each string instead, which is exact as well and aggregates before the shuffle.
 4. Spans of all steps are joined to the texts and cut out.
 
 The suffix array is built by grouping (Baier 2016): suffixes are grouped by their first
@@ -43,8 +44,8 @@ from rootward.llm.common import batches, small_batches, texts, written
 
 LENGTH, GRAM = 200, 120
 SPAN = LENGTH - GRAM + 1
-#: Contexts of one group that are sorted in one task, and symbols sorted at once.
-CAP, TOGETHER = 2000, 60_000
+#: Contexts of one group that are sorted in one task, and bytes of contexts sorted at once.
+CAP, TOGETHER = 2000, 200_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -155,34 +156,86 @@ def suffix_array(text: np.ndarray) -> list[int]:
     return out
 
 
-def repeated_in(contexts: list[tuple[int, bytes, bytes]]) -> list[list[int]]:
-    """For contexts (group, left, right): the left lengths of the strings that another context of the group has, too."""
-    symbols, first = [], []
-    top = 257
-    seen: dict[int, int] = {}
-    for group, left, right in contexts:
-        first.append(len(symbols))
-        symbols += [b + 2 for b in left]
-        symbols.append(top + 1 + seen.setdefault(group, len(seen)))
-        symbols += [b + 2 for b in right]
+def shared_lengths(groups: list[int], parts: list[bytes]) -> list[list[int]]:
+    """For each part, ascending: every length of a prefix that it shares with another part
+    of its group and that is the longest for some part."""
+    order = sorted(range(len(parts)), key=lambda i: (groups[i], parts[i]))
+    size = np.array([len(parts[i]) for i in order])
+    table = np.zeros((len(parts), SPAN - 1), np.uint8)
+    table[np.arange(SPAN - 1) < size[:, None]] = np.frombuffer(b"".join(parts[i] for i in order), np.uint8)
+    differ = table[1:] != table[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), SPAN - 1)
+    own = np.array([groups[i] for i in order])
+    common = np.where(own[1:] == own[:-1], np.minimum(common, np.minimum(size[1:], size[:-1])), 0).tolist()
+    out: list[list[int]] = [[] for _ in parts]
+    for places, near in ((order, common), (order[::-1], common[::-1])):
+        lowest: list[int] = []  # the least common lengths on the way to the parts gone through
+        for i, c in zip(places, [0, *near]):
+            while lowest and lowest[-1] > c:
+                lowest.pop()
+            if c and (not lowest or lowest[-1] != c):
+                lowest.append(c)
+            out[i] += lowest
+    return [sorted(set(x)) for x in out]
+
+
+def repeated_in(contexts: list[tuple[int, bytes, bytes]]) -> list[list[tuple[int, int]]]:
+    """For contexts (group, left, right): ranges (from, to) of left lengths such that another
+    context of the group has the string that begins there.
+
+    Bytes between two lengths at which a context parts from others make one symbol, since
+    whoever has the first of them has all. What no other context shares is left out."""
+    if not contexts:
+        return []
+    numbers: dict[int, int] = {}
+    groups = [numbers.setdefault(c[0], len(numbers)) for c in contexts]
+    lefts = shared_lengths(groups, [c[1][::-1] for c in contexts])
+    rights = shared_lengths(groups, [c[2] for c in contexts])
+    names: dict[tuple, int] = {}
+    symbols, owner, low, high = [], [], [], []  # low > high: no string begins here
+    first_right = [0] * len(contexts)
+    for i, (group, (_, left, right)) in enumerate(zip(groups, contexts, strict=True)):
+        before, after = lefts[i], rights[i]
+        if sum(before[-1:]) + sum(after[-1:]) < SPAN - 1:
+            continue
+        began = len(symbols)
+        for c, shorter in zip(reversed(before), [*before[-2::-1], 0]):
+            symbols.append(names.setdefault((group, left[len(left) - c :], None), len(names) + 2))
+            low.append(shorter + 1)
+            high.append(c)
+        symbols.append(names.setdefault((group, None, None), len(names) + 2))
+        low.append(0)
+        high.append(0)
+        first_right[i] = len(symbols)
+        for c in after:
+            symbols.append(names.setdefault((group, None, right[:c]), len(names) + 2))
+            low.append(SPAN)
+            high.append(c)
         symbols.append(1)
+        low.append(SPAN)
+        high.append(0)
+        owner += [i] * (len(symbols) - began)
     symbols.append(0)
-    text = np.array(symbols, np.int64)
-    sa = np.array(suffix_array(text), np.int64)
-    starts = np.array(first)
-    owner = np.searchsorted(starts, sa, "right") - 1
-    lefts = np.array([len(c[1]) for c in contexts])
-    rights = np.array([len(c[2]) for c in contexts])
-    before = starts[owner] + lefts[owner] - sa  # bytes before the gram
-    fits = (before >= 0) & (before < SPAN) & (SPAN - 1 - before <= rights[owner]) & (sa < len(text) - 1)
-    width = np.arange(SPAN)
-    padded = np.concatenate((text, np.zeros(SPAN, np.int64)))
-    out: list[list[int]] = [[] for _ in contexts]
-    both = np.flatnonzero(fits[:-1] & fits[1:])
-    for part in np.array_split(both, max(1, len(both) // 20_000)):
-        equal = part[(padded[sa[part][:, None] + width] == padded[sa[part + 1][:, None] + width]).all(axis=1)]
-        for i in np.unique(np.concatenate((equal, equal + 1))):
-            out[owner[i]].append(int(before[i]))
+    out: list[list[tuple[int, int]]] = [[] for _ in contexts]
+    if not owner:
+        return out
+    text, sa = np.array(symbols, np.int64), np.array(suffix_array(np.array(symbols, np.int64))[1:], np.int64)
+    owners, lows, highs, right_of = np.array(owner), np.array(low), np.array(high), np.array(first_right)
+    pair = np.flatnonzero((text[sa[1:]] == text[sa[:-1]]) & (lows[sa[1:]] < SPAN))
+    a, b = right_of[owners[sa[pair]]], right_of[owners[sa[pair + 1]]]
+    common, open_ = np.zeros(len(pair), np.int64), np.arange(len(pair))
+    while len(open_):  # at most SPAN times
+        x = text[a[open_]]
+        open_ = open_[(x == text[b[open_]]) & (x > 1)]
+        common[open_] = highs[a[open_]]
+        a[open_] += 1
+        b[open_] += 1
+    most = np.full(len(sa), -1)
+    np.maximum.at(most, pair, common)
+    np.maximum.at(most, pair + 1, common)
+    start = np.maximum(lows[sa], SPAN - 1 - most)
+    for i, lo, hi in zip(*(x[(most >= 0) & (start <= highs[sa])].tolist() for x in (owners[sa], start, highs[sa])), strict=True):
+        out[i].append((lo, hi))
     return out
 
 
@@ -233,8 +286,8 @@ def classified(found: DataFrame) -> DataFrame:
         group = np.cumsum(~same_key[:-1])
         kinds = np.bincount(group, first)
         shown = first & again & ((kinds[group] > 1) | ~whole)
-        if edge[0] or edge[1]:  # a group that goes on elsewhere: take its contexts as different
-            shown |= first & again
+        on = (group == 0) & edge[0] | (group == group[-1]) & edge[1]  # a group that goes on elsewhere: take its contexts as different
+        shown |= first & again & on
         return [row[again], place[again], key[again], whole[again], shown[again]]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +341,7 @@ def spans_by_suffix_array(found: DataFrame) -> DataFrame:
 
     def solve(pending: list[tuple]) -> list:
         hits = repeated_in([(k, left, right) for k, _, _, left, right in pending])
-        rows = [(row, place - h, place - h + LENGTH) for (_, row, place, _, _), own in zip(pending, hits, strict=True) for h in own]
+        rows = [(row, place - hi, place - lo + LENGTH) for (_, row, place, _, _), own in zip(pending, hits, strict=True) for lo, hi in own]
         return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
