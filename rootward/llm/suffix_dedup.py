@@ -8,7 +8,9 @@ A byte goes if a string of `LENGTH` bytes that covers it starts anywhere else as
    around them. The context of an anchor is SPAN - 1 bytes to either side of its gram: every
    string that has this anchor lies in it.
 2. Groups. Anchors with equal grams meet (a hash of the gram as the key, sorted within
-   partitions, read as a stream, so a group's size needs no memory). Where a whole
+   partitions, read as a stream, so a group's size needs no memory). Grams and contexts
+   that a part of the documents shows to be frequent are known to repeat, and their anchors
+   are dealt out over the partitions by context or row. Where a whole
    context repeats, all of it is covered. What is left are contexts that differ from all
    others of their group, and one copy of each context that repeats beside them.
 3. Suffix arrays. The bytes of those contexts are fetched. A group is put in one string, its
@@ -46,6 +48,8 @@ LENGTH, GRAM = 200, 120
 SPAN = LENGTH - GRAM + 1
 #: Contexts of one group that are sorted in one task, and bytes of contexts sorted at once.
 CAP, TOGETHER = 2000, 200_000
+#: Frequent: one of SHARES or more of the anchors of one document in ONE_IN, at least LEAST anchors.
+SHARES, ONE_IN, LEAST = 2000, 16, 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -270,13 +274,38 @@ def all_anchors(docs: DataFrame) -> DataFrame:
     return docs.where(F.octet_length("text") >= LENGTH).select(_row_hash(), "text").mapInArrow(run, "row long, place int, key long, context long")
 
 
+def frequent(docs: DataFrame, one_in: int = ONE_IN, least: int = LEAST) -> DataFrame:
+    """key, context, n, of_key, row, place: grams and contexts that hold a large share of the
+    anchors of one document in `one_in` (picked by hash), each with one of its anchors.
+
+    Only how rows are dealt out depends on it. No more than 2 * SHARES rows."""
+    picked = all_anchors(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0))
+    pairs = written(picked.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("first")), "sample")
+    enough = max(least, (pairs.agg(F.sum("n")).first()[0] or 0) // SHARES)
+    keys = pairs.groupBy("key").agg(F.sum("n").alias("of_key")).where(F.col("of_key") >= enough)
+    hot = pairs.where(F.col("n") >= enough).select("key", "context", "n", "first.*")
+    return written(keys.join(hot, "key", "left").select("key", "context", "n", "of_key", "row", "place"), "frequent")
+
+
+def dealt(found: DataFrame, hot: DataFrame) -> DataFrame:
+    """found with `kind` (0; 1 for a frequent gram; 2 for a frequent context) and `deal`: anchors
+    of a frequent gram are dealt out by context, and those of a frequent context by row."""
+    keys = hot.select("key").distinct().withColumn("of_key", F.lit(1))
+    pairs = hot.where("context IS NOT NULL").select("key", "context").withColumn("of_pair", F.lit(1))
+    kind = F.coalesce("of_key", F.lit(0)) + F.coalesce("of_pair", F.lit(0))
+    found = found.join(F.broadcast(keys), "key", "left").join(F.broadcast(pairs), ["key", "context"], "left").withColumn("kind", kind)
+    deal = F.when(F.col("kind") == 2, F.xxhash64("row", "place")).when(F.col("kind") == 1, F.col("context")).otherwise(0)
+    return found.select("row", "place", "key", "context", "kind", deal.alias("deal"))
+
+
 def classified(found: DataFrame) -> DataFrame:
-    """row, place, key, whole: anchors whose gram repeats. whole: the context repeats;
-    `shown`: its bytes are wanted, since contexts of its group differ."""
+    """row, place, key, whole: anchors, as dealt() gives them, whose gram repeats. whole: the
+    context repeats; `shown`: its bytes are wanted, since contexts of its group differ
+    (one of each frequent context is to be added)."""
     out = "row long, place int, key long, whole boolean, shown boolean"
     schema = pa.schema([("row", pa.int64()), ("place", pa.int32()), ("key", pa.int64()), ("whole", pa.bool_()), ("shown", pa.bool_())])
 
-    def settled(key: np.ndarray, context: np.ndarray, row: np.ndarray, place: np.ndarray, edge: tuple) -> list:
+    def settled(key: np.ndarray, context: np.ndarray, row: np.ndarray, place: np.ndarray, kind: np.ndarray, edge: tuple) -> list:
         """Rows of a stretch of sorted anchors; edge: whether key and context go on before and behind it,
         and whether the key's contexts differ from those outside."""
         same_key = np.concatenate(([edge[0]], key[1:] == key[:-1], [edge[1]]))
@@ -288,6 +317,9 @@ def classified(found: DataFrame) -> DataFrame:
         shown = first & again & ((kinds[group] > 1) | ~whole)
         on = (group == 0) & edge[0] | (group == group[-1]) & edge[1]  # a group that goes on elsewhere: take its contexts as different
         shown |= first & again & on
+        # Frequent grams and contexts repeat in any case; others of theirs are elsewhere.
+        again, whole = again | (kind > 0), whole | (kind == 2)
+        shown = np.where(kind > 0, first & (kind == 1), shown)
         return [row[again], place[again], key[again], whole[again], shown[again]]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +328,7 @@ def classified(found: DataFrame) -> DataFrame:
         for b in parts:
             if not b.num_rows:
                 continue
-            now = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "context", "row", "place")]
+            now = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "context", "row", "place", "kind")]
             if held is not None:
                 key, context = held[0], held[1]
                 edge = (
@@ -311,7 +343,8 @@ def classified(found: DataFrame) -> DataFrame:
             edge = (before is not None and before[0] == key[0], False, before is not None and before == (key[0], context[0]), False)
             yield from batches(schema, [settled(*held, edge)])
 
-    return found.repartition("key").sortWithinPartitions("key", "context").mapInArrow(run, out)
+    rows = found.repartition("key", "deal").sortWithinPartitions("key", "context")
+    return rows.select("key", "context", "row", "place", "kind").mapInArrow(run, out)
 
 
 def contexts(docs: DataFrame, shown: DataFrame) -> DataFrame:
@@ -371,12 +404,14 @@ def spans_by_hash(found: DataFrame) -> DataFrame:
     return hits.selectExpr("row", "place - before AS start", f"place - before + {LENGTH} AS end")
 
 
-def repeated_spans(docs: DataFrame, cap: int = CAP) -> DataFrame:
+def repeated_spans(docs: DataFrame, cap: int = CAP, one_in: int = ONE_IN, least: int = LEAST) -> DataFrame:
     """row (hash of doc_id and text), start, end: spans of bytes, overlapping ones included."""
     small_batches(docs.sparkSession)
-    found = written(classified(all_anchors(docs)), "anchors")
+    hot = frequent(docs, one_in, least)
+    found = written(classified(dealt(all_anchors(docs), hot)), "anchors")
     whole = found.where("whole").selectExpr("row", f"place - {SPAN - 1} AS start", f"place + {LENGTH} AS end")
-    bytes_of = written(contexts(docs, found.where("shown").select("row", "place", "key")), "contexts")
+    shown = found.where("shown").select("row", "place", "key").unionByName(hot.where("context IS NOT NULL").select("row", "place", "key"))
+    bytes_of = written(contexts(docs, shown), "contexts")
     counts = bytes_of.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     large = written(counts.where(F.col("n") > cap).select("key"), "large-groups")
     small = bytes_of.join(F.broadcast(large) if large.limit(10_001).count() <= 10_000 else large, "key", "left_anti")

@@ -160,8 +160,26 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(np.array(x)) == sorted(range(len(x)), key=lambda i: x[i:])
 
 
-@pytest.mark.parametrize("cap", [2000, 2])
-def test_repeated_bytes(docs, cap):
+def test_repeated_strings_of_contexts():
+    r, span = random.Random(3), suffix_dedup.SPAN - 1
+    for _ in range(60):
+        base = [bytes(r.choices(b"ab", k=span)) for _ in range(3)]
+
+        def near():
+            x = bytearray(r.choice(base))
+            for _ in range(r.choice((0, 0, 1, 2))):
+                x[r.randrange(span)] = r.choice(b"abc")
+            return bytes(x)
+
+        rows = [(r.randrange(3), near()[r.choice((0, 0, 0, r.randint(0, span))) :], near()[: r.choice((span, span, span, r.randint(0, span)))]) for _ in range(r.randint(0, 14))]
+        strings = [{(g, b, left[len(left) - b :] + right[: span - b]) for b in range(max(0, span - len(right)), len(left) + 1)} for g, left, right in rows]
+        counts = collections.Counter(x for own in strings for x in own)
+        found = [[b for low, high in own for b in range(low, high + 1)] for own in suffix_dedup.repeated_in(rows)]
+        assert [sorted(x) for x in found] == [sorted(b for g, b, s in own if counts[g, b, s] > 1) for own in strings]
+
+
+@pytest.mark.parametrize("cap, one_in, least", [(2000, 16, 64), (2, 1, 2), (2000, 1, 2)])
+def test_repeated_bytes(docs, cap, one_in, least):
     data = [(t or "").encode() for _, t in ROWS]
     counts = collections.Counter(d[i : i + 200] for d in data for i in range(len(d) - 199))
     want = collections.Counter()
@@ -172,7 +190,7 @@ def test_repeated_bytes(docs, cap):
                 gone[i : i + 200] = True
         spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
         want[(doc, len(d), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(d, np.uint8)[~gone])).hexdigest())] += 1
-    found = suffix_dedup.removed(docs, suffix_dedup.repeated_spans(docs, cap))
+    found = suffix_dedup.removed(docs, suffix_dedup.repeated_spans(docs, cap, one_in, least))
     assert by_row(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
