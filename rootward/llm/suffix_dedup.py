@@ -47,7 +47,7 @@ from rootward.llm.common import batches, small_batches, texts, written
 LENGTH, GRAM = 200, 120
 SPAN = LENGTH - GRAM + 1
 #: Contexts of one group that are sorted in one task, and bytes of contexts sorted at once.
-CAP, TOGETHER = 2000, 200_000
+CAP, TOGETHER = 10_000, 200_000
 #: Frequent: one of SHARES or more of the anchors of one document in ONE_IN, at least LEAST anchors.
 SHARES, ONE_IN, LEAST = 2000, 16, 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
