@@ -130,3 +130,85 @@ def explained_sets(rankings: dict[str, DataFrame], targets: DataFrame, trace, ma
     for part in parts[1:]:
         found = found.unionByName(part)
     return found
+
+
+def _weighted(weights: dict[str, float], power: int = 1):
+    return sum((F.pow(F.lit(w) * F.col(c), F.lit(power)) if power > 1 else F.lit(w) * F.col(c)) for c, w in weights.items())
+
+
+def _sigmoid(x):
+    return 1 / (1 + F.exp(-x))
+
+
+def coalition_values(coalitions: DataFrame, features: DataFrame, own: dict[str, float], near: dict[str, float], intercept: float) -> DataFrame:
+    """target, coalition, p: the readout where only the parents of the coalition feed the target.
+
+    coalitions: target, coalition, parent, one row per kept edge (parent null: the empty set).
+    The readout is logistic in the target's features and the mean of the kept parents'
+    features; it is linear inside, so every parent gives one number. A parent without
+    features is left out, a target without features has no row, repeated rows count once."""
+    gives = features.select(F.col("id").alias("parent"), _weighted(near).alias("_near"))
+    kept = coalitions.select("target", "coalition", "parent").distinct().join(gives, "parent", "left")
+    kept = kept.groupBy("target", "coalition").agg(F.coalesce(F.avg("_near"), F.lit(0.0)).alias("_near"))
+    base = features.select(F.col("id").alias("target"), (F.lit(intercept) + _weighted(own)).alias("_own"))
+    return kept.join(base, "target").select("target", "coalition", _sigmoid(F.col("_own") + F.col("_near")).alias("p"))
+
+
+def readout(targets: DataFrame, edges: DataFrame, features: DataFrame, own: dict[str, float], near: dict[str, float], intercept: float) -> DataFrame:
+    """target, n (parents with features), p: the readout with all parents."""
+    gives = features.select(F.col("id").alias("src"), _weighted(near).alias("_near"))
+    fed = edges.select("src", F.col("dst").alias("target")).distinct().join(targets.select("target").distinct(), "target", "left_semi").join(gives, "src")
+    fed = fed.groupBy("target").agg(F.count("*").alias("n"), F.avg("_near").alias("_near"))
+    base = features.select(F.col("id").alias("target"), (F.lit(intercept) + _weighted(own)).alias("_own"))
+    rows = targets.select("target").distinct().join(base, "target").join(fed, "target", "left")
+    return rows.select("target", F.coalesce("n", F.lit(0)).alias("n"), _sigmoid(F.col("_own") + F.coalesce("_near", F.lit(0.0))).alias("p"))
+
+
+def feature_effects(
+    pairs: DataFrame, edges: DataFrame, features: DataFrame, own: dict[str, float], near: dict[str, float], intercept: float, shortlist: int = 20, top: int = 12
+) -> DataFrame:
+    """target, pivot, feature, value, saliency, method: what setting one feature of the pivot to 0
+    takes from the readout of the target. The `shortlist` features of the largest saliency are
+    tried, the `top` of the largest |value| kept; where every |value| is below 1e-5, saliency
+    is the value (`saliency_fallback`). No rows if the pivot neither is nor feeds the target."""
+    pairs = pairs.select("target", "pivot").distinct()
+    scored = readout(pairs, edges, features, own, near, intercept)
+    fed = edges.select(F.col("dst").alias("target"), F.col("src").alias("pivot")).distinct().where("target <> pivot")
+    reached = pairs.where("target = pivot").withColumn("_self", F.lit(True)).unionByName(pairs.join(fed, ["target", "pivot"]).withColumn("_self", F.lit(False)))
+    rows = reached.join(scored, "target").join(features.withColumnRenamed("id", "pivot"), "pivot")
+    parts = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) * F.when(F.col("_self"), own[c]).otherwise(F.lit(near[c]) / F.col("n"))).alias("part")) for c in own])
+    rows = rows.select("target", "pivot", "p", F.explode(parts).alias("f")).select("target", "pivot", "p", "f.*")
+    rows = rows.select("*", (F.col("p") * (1 - F.col("p")) * F.col("part")).alias("saliency"), (F.col("p") - _sigmoid(F.ln(F.col("p") / (1 - F.col("p"))) - F.col("part"))).alias("value"))
+    pair = Window.partitionBy("target", "pivot")
+    rows = rows.withColumn("_rn", F.row_number().over(pair.orderBy(F.desc(F.abs("saliency")), "feature"))).where(F.col("_rn") <= shortlist)
+    weak = F.max(F.abs("value")).over(pair) < 1e-5
+    rows = rows.withColumn("method", F.when(weak, "saliency_fallback").otherwise("effect")).withColumn("value", F.when(weak, F.col("saliency")).otherwise(F.col("value")))
+    rows = rows.withColumn("_rn", F.row_number().over(pair.orderBy(F.desc(F.abs("value")), "feature"))).where(F.col("_rn") <= top)
+    return rows.select("target", "pivot", "feature", "value", "saliency", "method")
+
+
+def saliency(targets: DataFrame, edges: DataFrame, features: DataFrame, own: dict[str, float], near: dict[str, float], intercept: float) -> DataFrame:
+    """target, id, saliency: length of features times gradient, for the target and its parents; in
+    closed form, as the readout is logistic. Other nodes would have 0 and get no row."""
+    scored = readout(targets, edges, features, own, near, intercept)
+    slope = F.col("p") * (1 - F.col("p"))
+    itself = scored.join(features.withColumnRenamed("id", "target"), "target")
+    itself = itself.select("target", F.col("target").alias("id"), (slope * F.sqrt(_weighted(own, 2))).alias("saliency"))
+    fed = edges.select("src", F.col("dst").alias("target")).distinct().where("src <> target").join(scored, "target").join(features.withColumnRenamed("id", "src"), "src")
+    return itself.unionByName(fed.select("target", F.col("src").alias("id"), (slope * F.sqrt(_weighted(near, 2)) / F.col("n")).alias("saliency")))
+
+
+def explain_targets(targets: DataFrame, scored: DataFrame, phi: DataFrame, chains: DataFrame, strongest: int = 1000) -> DataFrame:
+    """For each target and ranked chain: p and n of the readout, `phi_sum` (of |phi| over all
+    parents), `parents` (parent, phi: the `strongest` by |phi|), and the chain. A target
+    without parents has the sum 0 and an empty list."""
+    own = phi.join(targets.select("target").distinct(), "target", "left_semi")
+    total = own.groupBy("target").agg(F.sum(F.abs("phi")).alias("phi_sum"))
+    by = Window.partitionBy("target").orderBy(F.desc(F.abs("phi")), "parent")
+    own = own.withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") <= strongest)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_rn", "parent", "phi"))), lambda x: F.struct(x["parent"].alias("parent"), x["phi"].alias("phi")))
+    own = own.groupBy("target").agg(listed.alias("parents"))
+    none = F.array().cast("array<struct<parent:string,phi:double>>")
+    told = scored.join(total, "target", "left").join(own, "target", "left")
+    told = told.withColumn("parents", F.coalesce("parents", none)).withColumn("phi_sum", F.coalesce("phi_sum", F.lit(0.0)))
+    return told.join(chains.select("target", "rank", "chain", "score"), "target")

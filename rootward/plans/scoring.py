@@ -17,7 +17,7 @@ from rootward.operators import trace as T
 from rootward.plans.analytics import BASE
 from rootward.plans.fixture import Graph, sql
 from rootward.plans.preparation import split
-from rootward.plans.tracing import LAST, WALK, greedy
+from rootward.plans.tracing import _BEAM, LAST, PATH_HOPS, STRONG, WALK, greedy
 
 QUERIES, ORACLES, query = registry(Graph)
 
@@ -266,3 +266,56 @@ def _(g: Graph) -> DataFrame:
 )
 def _(g: Graph) -> DataFrame:
     return N.labelled_targets(g.nodes, "joint").select("node_type", "id", "y", "split")
+
+
+#: Weights of the readout over a transaction's own features and the mean of its parents'.
+OWN, NEAR, BIAS = {"f_amount": 0.8, "f_count": -0.5}, {"f_amount": 0.6, "f_count": -0.4}, -0.3
+_READ = {
+    "feats": FEATS,
+    "fed": "SELECT c.dst AS target, c.src, 0.6 * f_amount - 0.4 * f_count AS near, f_amount, f_count FROM causal c JOIN feats f ON f.id = c.src WHERE c.dst IN (SELECT target FROM targets)",
+    "base": "SELECT target, f_amount, f_count, -0.3 + 0.8 * f_amount - 0.5 * f_count AS own FROM targets JOIN feats ON id = target",
+    "scored": "SELECT b.target, coalesce(n, 0) AS n, 1 / (1 + exp(-(own + coalesce(near, 0)))) AS p FROM base b LEFT JOIN (SELECT target, count(*) AS n, avg(near) AS near FROM fed GROUP BY target) m ON m.target = b.target",
+}
+
+
+@query("g5_coalition_values", sql("SELECT b.target, coalition, round(1 / (1 + exp(-(own + near))), 9) AS p FROM base b JOIN (SELECT target, 0.0 AS near, 'none' AS coalition FROM targets UNION ALL SELECT target, near, src FROM fed UNION ALL SELECT target, avg(near), 'all' FROM fed GROUP BY target) k ON k.target = b.target", **_READ))
+def _(g: Graph) -> DataFrame:
+    """The empty set, every parent alone and all parents, of each flagged transaction."""
+    fed = g.causal.select(F.col("dst").alias("target"), F.col("src").alias("parent")).join(g.targets, "target", "left_semi")
+    none = g.targets.select("target", F.lit("none").alias("coalition"), F.lit(None).cast("string").alias("parent"))
+    sets = none.unionByName(fed.select("target", F.explode(F.array("parent", F.lit("all"))).alias("coalition"), "parent"))
+    return A.coalition_values(sets, features(g), OWN, NEAR, BIAS).withColumn("p", F.round("p", 9))
+
+
+@query(
+    "g8_feature_effects",
+    sql(
+        "SELECT target, node AS pivot, feature, round(CASE WHEN weak THEN saliency ELSE value END, 8) + 0.0 AS value, round(saliency, 8) + 0.0 AS saliency, CASE WHEN weak THEN 'saliency_fallback' ELSE 'effect' END AS method FROM (SELECT *, max(abs(value)) OVER (PARTITION BY target, node) < 1e-5 AS weak FROM moved)",
+        **_READ, pivots=f"SELECT dst AS target, src AS node FROM ({_TOP}) WHERE place = 1 AND dst IN (SELECT target FROM targets)",
+        parts="SELECT v.target, v.node, s.p, u.feature, CASE u.feature WHEN 'f_amount' THEN 0.6 * f_amount ELSE -0.4 * f_count END / s.n AS part FROM pivots v JOIN scored s ON s.target = v.target JOIN feats f ON f.id = v.node, (VALUES ('f_amount'), ('f_count')) u(feature)",
+        moved="SELECT *, p * (1 - p) * part AS saliency, p - 1 / (1 + exp(-(ln(p / (1 - p)) - part))) AS value FROM parts",
+    ),
+)
+def _(g: Graph) -> DataFrame:
+    pairs = A.parent_topk(g.effects, 1).select(F.col("dst").alias("target"), F.col("src").alias("pivot")).join(g.targets, "target", "left_semi")
+    found = A.feature_effects(pairs, g.causal, features(g), OWN, NEAR, BIAS)
+    return found.select("target", "pivot", "feature", (F.round("value", 8) + 0.0).alias("value"), (F.round("saliency", 8) + 0.0).alias("saliency"), "method")
+
+
+@query("g9_saliency", sql("SELECT s.target, s.target AS id, round(p * (1 - p) * sqrt(pow(0.8 * f_amount, 2) + pow(0.5 * f_count, 2)), 9) AS saliency FROM scored s JOIN base b ON b.target = s.target UNION ALL SELECT s.target, src, round(p * (1 - p) * sqrt(pow(0.6 * f_amount, 2) + pow(0.4 * f_count, 2)) / n, 9) FROM scored s JOIN fed f ON f.target = s.target", **_READ))
+def _(g: Graph) -> DataFrame:
+    return A.saliency(g.targets, g.causal, features(g), OWN, NEAR, BIAS).withColumn("saliency", F.round("saliency", 9))
+
+
+@query(
+    "f16_explain_targets",
+    sql(
+        "SELECT r.target, rank, chain, r.score, p, n, phi_sum FROM (SELECT target, CAST(rank AS INTEGER) AS rank, array_to_string(chain, '|') AS chain, score FROM ranked WHERE rank <= 3) r JOIN told s ON s.target = r.target",
+        **(_BEAM | {"beams": _BEAM["beams"].format(k=3)}), **_READ, phi=PHI,
+        told="SELECT s.target, round(p, 9) AS p, s.n, round(coalesce(x.total, 0), 9) + 0.0 AS phi_sum FROM scored s LEFT JOIN (SELECT target, sum(abs(phi)) AS total FROM phi GROUP BY target) x ON x.target = s.target",
+    ),
+)
+def _(g: Graph) -> DataFrame:
+    scored = A.readout(g.targets, g.causal, features(g), OWN, NEAR, BIAS)
+    found = A.explain_targets(g.targets, scored, A.phi_additive(g.causal, g.effects), T.trace_topk(g.targets, g.effects, 3, PATH_HOPS, STRONG))
+    return found.select("target", "rank", F.concat_ws("|", "chain").alias("chain"), "score", F.round("p", 9).alias("p"), "n", (F.round("phi_sum", 9) + 0.0).alias("phi_sum"))

@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from rootward.operators import attribution as A
@@ -85,3 +86,33 @@ def test_missing_column_is_named(spark, tmp_path):
         raise AssertionError("no error")
     except ValueError as e:
         assert "Time step" in str(e)
+
+
+def test_interventions(spark):
+    edges = spark.createDataFrame([("w2", "t0"), ("w3", "t0"), ("w3", "t0"), ("w4", "t1")], "src string, dst string")
+    features = spark.createDataFrame([("t0", 1.0), ("t1", 0.0), ("w2", 2.0), ("w3", -1.0), ("w4", 0.0)], "id string, x double")
+    own, near = {"x": 1.0}, {"x": 2.0}
+
+    def p(x):
+        return 1 / (1 + math.exp(-x))
+
+    sets = spark.createDataFrame([("t0", "none", None), ("t0", "w2", "w2"), ("t0", "w2", "w2"), ("t0", "all", "w2"), ("t0", "all", "w3")], "target string, coalition string, parent string")
+    got = {r.coalition: r.p for r in A.coalition_values(sets, features, own, near, 0.5).collect()}
+    assert got == pytest.approx({"none": p(1.5), "w2": p(5.5), "all": p(2.5)})
+    pairs = spark.createDataFrame([("t0", "w2"), ("t0", "t0"), ("t0", "w4"), ("t1", "w4"), ("t9", "w4")], "target string, pivot string")
+    got = {(r.target, r.pivot): (r.value, r.method) for r in A.feature_effects(pairs, edges, features, own, near, 0.5).collect()}
+    assert set(got) == {("t0", "w2"), ("t0", "t0"), ("t1", "w4")}  # w4 does not feed t0, t9 is unknown
+    assert got["t0", "w2"][0] == pytest.approx(p(2.5) - p(0.5)) and got["t0", "t0"][0] == pytest.approx(p(2.5) - p(1.5))
+    assert got["t1", "w4"] == (0.0, "saliency_fallback")
+    targets = spark.createDataFrame([("t0",)], "target string")
+    slope = p(2.5) * (1 - p(2.5))
+    got = {r.id: r.saliency for r in A.saliency(targets, edges, features, own, near, 0.5).collect()}
+    assert got == pytest.approx({"t0": slope, "w2": 2 * slope, "w3": slope})
+    scored = A.readout(targets, edges, features, own, near, 0.5)
+    phi = spark.createDataFrame([("t0", "w2", 0.25), ("t0", "w3", -0.5)], "target string, parent string, phi double")
+    chains = spark.createDataFrame([("t0", 1, ["t0", "w3"], 0.5)], "target string, rank int, chain array<string>, score double")
+    row = A.explain_targets(targets, scored, phi, chains, 1).first()
+    assert row.phi_sum == 0.75 and [x.parent for x in row.parents] == ["w3"] and row.chain == ["t0", "w3"] and row.n == 2
+    empty = A.explain_targets(targets, scored, phi.limit(0), chains).first()
+    assert empty.phi_sum == 0 and empty.parents == []
+    assert A.feature_effects(pairs.limit(0), edges, features, own, near, 0.5).count() == 0
