@@ -17,8 +17,12 @@ A byte goes if a string of `LENGTH` bytes that covers it starts anywhere else as
    common gram a single symbol, and so is every stretch of bytes inside which no context
    parts from another; bytes that no other context shares are left out. A suffix array
    tells which strings of LENGTH bytes repeat: neighbours in it that agree that far. Groups
-   of more than `CAP` contexts would be large tasks; they are divided by place and hash of
-   each string instead, which is exact as well and aggregates before the shuffle.
+   of more than `CAP` contexts would be large tasks; they are divided first. Strings with at
+   most half of their other bytes before the gram share the gram and half of the bytes behind
+   it, and the rest share half of those before it: two groups by gram and shared bytes, of
+   shorter contexts. Contexts that became equal are counted before the shuffle, and one of
+   them goes on. A group is halved again while it is too large, at most 7 times, after which
+   its contexts are equal.
 4. Spans of all steps are joined to the texts and cut out.
 
 The suffix array is built by grouping (Baier 2016): suffixes are grouped by their first
@@ -47,7 +51,7 @@ from rootward.llm.common import batches, small_batches, texts, written
 LENGTH, GRAM = 200, 120
 SPAN = LENGTH - GRAM + 1
 #: Contexts of one group that are sorted in one task, and bytes of contexts sorted at once.
-CAP, TOGETHER = 10_000, 200_000
+CAP, TOGETHER = 2000, 200_000
 #: Frequent: one of SHARES or more of the anchors of one document in ONE_IN, at least LEAST anchors.
 SHARES, ONE_IN, LEAST = 2000, 16, 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -393,15 +397,36 @@ def spans_by_suffix_array(found: DataFrame) -> DataFrame:
     return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, "row long, start int, end int")
 
 
-def spans_by_hash(found: DataFrame) -> DataFrame:
-    """The same for groups that are too large to sort in one task: each string by itself."""
-    each = found.select("key", "row", "place", "left", "right", F.explode(F.sequence(F.lit(0), F.lit(SPAN - 1))).alias("before"))
-    each = each.where(f"before <= octet_length(left) AND {SPAN - 1} - before <= octet_length(right)")
-    part = F.expr(f"xxhash64(substring(left, octet_length(left) - before + 1, before), substring(right, 1, {SPAN - 1} - before))")
-    each = each.select("key", "before", part.alias("part"), "row", "place")
-    often = each.groupBy("key", "before", "part").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = each.join(often, ["key", "before", "part"])
-    return hits.selectExpr("row", "place - before AS start", f"place - before + {LENGTH} AS end")
+def halves(groups: DataFrame) -> DataFrame:
+    """key, low, high, row, place, left, right: contexts of groups of strings with `low` to `high`
+    bytes before the gram, in two groups each. key: gram, range and the bytes that all share."""
+    middle = F.expr("CAST((low + high) div 2 AS int)")
+    two = F.array(F.struct(F.col("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high")))
+    each = groups.select("key", "row", "place", "left", "right", F.explode(two).alias("half")).select("key", "row", "place", "left", "right", "half.*")
+    each = each.where(f"octet_length(left) >= low AND octet_length(right) >= {SPAN - 1} - high")
+    key = F.expr(f"xxhash64(key, low, high, substring(left, -low, low), substring(right, 1, {SPAN - 1} - high))")
+    left, right = F.expr("substring(left, -high, high)"), F.expr(f"substring(right, 1, {SPAN - 1} - low)")
+    return each.select(key.alias("key"), "low", "high", "row", "place", left.alias("left"), right.alias("right"))
+
+
+def divided(groups: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
+    """For contexts (key, row, place, left, right) of groups that are too large to sort in one task:
+    contexts of groups of `cap` at most, and row, start, end of what is known to repeat."""
+    equal = ["key", "low", "high", "left", "right"]
+    small = groups.where("false")
+    spans = groups.where("false").selectExpr("row", "place AS start", "place AS end")
+    groups = written(groups.selectExpr("key", "0 AS low", f"{SPAN - 1} AS high", "row", "place", "left", "right"), "group")
+    while not groups.isEmpty():
+        each = halves(groups)
+        kinds = written(each.groupBy(equal).agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("first")), "kinds")
+        hits = each.join(kinds.where("n > 1").select(equal), equal)
+        least, most = f"greatest(low, {SPAN - 1} - octet_length(right))", "least(high, octet_length(left))"
+        spans = spans.unionByName(hits.selectExpr("row", f"place - {most} AS start", f"place - {least} + {LENGTH} AS end"))
+        sizes = kinds.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        rest = written(kinds.join(sizes, "key").select("key", "low", "high", "first.*", "left", "right", "size"), "group")
+        small = small.unionByName(rest.where(F.col("size") <= cap).select(small.columns))
+        groups = rest.where(F.col("size") > cap).drop("size")
+    return small, spans
 
 
 def repeated_spans(docs: DataFrame, cap: int = CAP, one_in: int = ONE_IN, least: int = LEAST) -> DataFrame:
@@ -415,9 +440,8 @@ def repeated_spans(docs: DataFrame, cap: int = CAP, one_in: int = ONE_IN, least:
     counts = bytes_of.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     large = written(counts.where(F.col("n") > cap).select("key"), "large-groups")
     small = bytes_of.join(F.broadcast(large) if large.limit(10_001).count() <= 10_000 else large, "key", "left_anti")
-    sure = spans_by_suffix_array(small)
-    hot = spans_by_hash(bytes_of.join(large, "key", "left_semi"))
-    return whole.unionByName(sure).unionByName(hot)
+    parts, equal = divided(bytes_of.join(large, "key", "left_semi"), cap)
+    return whole.unionByName(spans_by_suffix_array(small.unionByName(parts))).unionByName(equal)
 
 
 def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:

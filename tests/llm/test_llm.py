@@ -178,6 +178,32 @@ def test_repeated_strings_of_contexts():
         assert [sorted(x) for x in found] == [sorted(b for g, b, s in own if counts[g, b, s] > 1) for own in strings]
 
 
+@pytest.mark.parametrize("cap", [1, 3])
+def test_divided_groups_lose_no_string(spark, cap):
+    r, span = random.Random(cap), suffix_dedup.SPAN - 1
+    base = [bytes(r.choices(b"ab", k=span)) for _ in range(3)]
+
+    def near():
+        x = bytearray(r.choice(base))
+        for _ in range(r.choice((0, 0, 1, 2))):
+            x[r.randrange(span)] = r.choice(b"abc")
+        return bytes(x)
+
+    rows = []
+    for i in range(60):
+        left, right = near(), near()
+        cut = r.choice((0, 0, 0, r.randint(0, span)))
+        rows.append((r.randrange(2), i, 500, left[cut:], right if cut else right[: r.choice((span, r.randint(0, span)))]))
+    groups = spark.createDataFrame(rows, "key long, row long, place int, left binary, right binary")
+    small, spans = suffix_dedup.divided(groups, cap)
+    assert small.groupBy("key").count().where(f"count > {cap}").isEmpty()
+    strings = {i: {(g, b, left[len(left) - b :] + right[: span - b]) for b in range(max(0, span - len(right)), len(left) + 1)} for g, i, _, left, right in rows}
+    counts = collections.Counter(x for own in strings.values() for x in own)
+    found = suffix_dedup.spans_by_suffix_array(small).unionByName(spans).collect()
+    covered = {(x.row, s) for x in found for s in range(x.start, x.end - suffix_dedup.LENGTH + 1)}
+    assert covered == {(i, 500 - b) for i, own in strings.items() for g, b, s in own if counts[g, b, s] > 1}
+
+
 @pytest.mark.parametrize("cap, one_in, least", [(2000, 16, 64), (2, 1, 2), (2000, 1, 2)])
 def test_repeated_bytes(docs, cap, one_in, least):
     data = [(t or "").encode() for _, t in ROWS]
