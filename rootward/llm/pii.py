@@ -8,7 +8,9 @@ the four base kinds always stay; those of the added kinds (iban, ssn) need a sco
 
 Spans are (start, end) in code points, the end exclusive, leftmost and without overlap
 within a kind. Patterns use possessive groups, so that texts of any length need no
-recursion; what they match is the same. Defined results: a null or empty text has no
+recursion; what they match is the same. The pattern of IBANs gives only where one may
+begin; its end is where the country's fixed length is reached, so what follows (capitals,
+digits, another IBAN) is not taken in. Defined results: a null or empty text has no
 spans; repeated rows each give a row; other columns are ignored or, in `redacted`, kept.
 """
 
@@ -43,10 +45,24 @@ KINDS = (
     # A maximal run of digits with single blanks or hyphens between them, 14 to 19 digits long.
     Kind("card", "text rlike '[0-9](?:[ -]?[0-9]){13}'", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])", 0.8, r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|payment)\b"),
     Kind("phone", "contains(text, '+')", r"\+[0-9][ ().0-9-]+[0-9]", 0.7, r"(?i)\b(?:phone|tel|telephone|call|mobile|fax|whatsapp)\b"),
-    Kind("iban", "text rlike '[A-Z]{2}[0-9]{2}[ ]?[A-Z0-9]{4}'", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.8, r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b", False),
+    Kind("iban", "text rlike '[A-Z]{2}[0-9]{2}[ ]?[A-Z0-9]{4}'", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:[ ]?[A-Z0-9]){11})", 0.8, r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b", False),
     Kind("ssn", "text rlike '[0-9]{3}-[0-9]{2}-[0-9]{4}'", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.4, r"(?i)\b(?:ssn|social security|taxpayer|tax id)\b", False),
 )
 
+#: Characters of an IBAN by country: the registry, and the countries that use the form without being in it.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+        28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+#: The longest run that may be one IBAN, for letters without a fixed length.
+IBAN_RUN = r"^[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+
 
 def _characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
@@ -88,6 +104,16 @@ def _valid(kind: Kind, hit: Column) -> Column:
     return F.lit(True)
 
 
+def _iban(text: Column, start: Column, kind: Kind) -> Column:
+    """The IBAN that begins at start, null if none: of its country's length, else the whole run."""
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    # 34 characters, 33 blanks, and what follows.
+    piece = F.substr(text, start + 1, F.lit(68))
+    of_length = F.concat(F.lit("^(?:[ ]?[A-Z0-9]){"), F.try_element_at(lengths, F.substring(piece, 1, 2)).cast("string"), F.lit("}(?![A-Za-z0-9])"))
+    ends = F.array(F.regexp_substr(piece, of_length), F.regexp_substr(piece, F.lit(IBAN_RUN)))
+    return F.get(F.filter(ends, lambda hit: hit.isNotNull() & _valid(kind, hit)), F.lit(0))
+
+
 def _of_kind(text: Column, kind: Kind, rank: int) -> Column:
     """Valid spans of a kind, with scores. Pieces between matches and matches give the places."""
     pattern = F.lit(kind.pattern)
@@ -97,7 +123,12 @@ def _of_kind(text: Column, kind: Kind, rank: int) -> Column:
     def step(s: Column, p: Column) -> Column:
         start = s["at"] + F.length(p["gap"])
         end = start + F.coalesce(F.length(p["hit"]), F.lit(0))
-        new = F.when(p["hit"].isNotNull() & _valid(kind, p["hit"]), F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("hit"))))
+        if kind.name == "iban":
+            free = p["hit"].isNotNull() & (start >= F.coalesce(F.get(s["found"], F.size(s["found"]) - 1)["end"], F.lit(0)))
+            whole = F.filter(F.array(F.when(free, _iban(text, start, kind))), lambda hit: hit.isNotNull())
+            new = F.transform(whole, lambda hit: F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("hit")))
+        else:
+            new = F.when(p["hit"].isNotNull() & _valid(kind, p["hit"]), F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("hit"))))
         return F.struct(end.alias("at"), F.concat(s["found"], F.coalesce(new, F.array().cast("array<struct<start:int,end:int,hit:string>>"))).alias("found"))
 
     def scored(x: Column) -> Column:

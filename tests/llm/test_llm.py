@@ -106,6 +106,26 @@ def test_pii(docs, none):
     assert pii.report(none).count() == 0
 
 
+def test_pii_ibans_before_capitals_digits_and_another(spark):
+    texts = {
+        "IBAN DE89370400440532013000 Please pay": "IBAN <iban> Please pay",
+        "DE89 3704 0044 0532 0130 00 BIC COBADEFF.": "<iban> BIC COBADEFF.",
+        "to DE89370400440532013000 GB82WEST12345698765432": "to <iban> <iban>",
+        "NL91 ABNA 0417 1643 00 FR14 2004 1010 0505 0001 3M02 606 NO9386011117947": "<iban> <iban> <iban>",
+        "DE89370400440532013000 42 EUR": "<iban> 42 EUR",
+        "AB12 DE89370400440532013000.": "AB12 <iban>.",
+        "é😀 MT84MALT011000012345MTLCAST001S 7": "é😀 <iban> 7",
+        "DE89370400440532013000": "<iban>",
+        "DE89370400440532013001 Please pay": "DE89370400440532013001 Please pay",
+        "DE89370400440532013000X Please": "DE89370400440532013000X Please",
+        "XDE89370400440532013000 Please": "XDE89370400440532013000 Please",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in pii.redacted(docs).orderBy("doc_id").collect()] == list(texts.values())
+    found = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    assert found[0] == "iban:5:27" and found[2] == "iban:3:25,iban:26:48"
+
+
 def test_quality_rules(docs, none):
     rows = {r.doc_id: r for r in quality_rules.judged(docs).collect() if r.doc_id is not None}
     assert rows[13].n_words == 0 and rows[13].base_failed and not rows[13].kept
