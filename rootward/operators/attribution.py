@@ -1,14 +1,14 @@
 """Responsibility of parents and of chain nodes: additive, asymmetric and symmetric shares.
 
 A coalition value is a table: for G2 `marginals` with the value of each prefix of a
-target's parents, for G3 the value of every subset. Missing effects count 0."""
+target's parents, for G3 the value of every subset (or of the prefixes of sampled orders). Missing effects count 0."""
 
 from __future__ import annotations
 
 import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,19 +53,31 @@ def parent_topk(effects: DataFrame, k: int = 8) -> DataFrame:
     return effects.withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def phi_symmetric(effects: DataFrame, k: int = 4) -> DataFrame:
-    """Exact Shapley values of the k strongest parents under the logistic readout, by subset weights.
+def phi_symmetric(effects: DataFrame, n_perm: int = 64, seed: int = 0, numbers: tuple[Column, Column] | None = None) -> DataFrame:
+    """Shapley values of all parents under the logistic readout: exact while n! <= n_perm, else the
+    mean over n_perm orders by an arithmetic key.
 
-    The subsets of k places are the same for all targets (2**k of them, k small), so each
+    numbers: whole numbers of src and dst for the key; hashes of the ids if not given. To cap
+    the parents first, use `parent_topk` on the effects."""
+    most = max(n for n in range(1, 21) if n == 1 or math.factorial(n) <= n_perm)
+    n = effects.groupBy("dst").agg(F.count("*").alias("n"))
+    known = effects.withColumn("ce", F.coalesce("ce", F.lit(0.0))).join(n, "dst")
+    src, dst = numbers or (F.xxhash64("src"), F.xxhash64("dst"))
+    return _exact(known.where(F.col("n") <= most), most).unionByName(_sampled(known.where(F.col("n") > most), n_perm, seed, src, dst))
+
+
+def _exact(rows: DataFrame, most: int) -> DataFrame:
+    """target, parent, phi by subset weights, for targets of at most `most` parents (column n).
+
+    The subsets of the places are the same for all targets (2**most of them, most small), so each
     parent row meets only those without its own place; sums of effects come from one array."""
-    by = Window.partitionBy("dst").orderBy(F.desc(F.abs("ce")), "src")
-    top = effects.withColumn("place", F.row_number().over(by) - 1).where(F.col("place") < k)
     group = Window.partitionBy("dst")
-    rows = top.withColumn("n", F.count("*").over(group)).withColumn("ces", F.transform(F.array_sort(F.collect_list(F.struct("place", "ce")).over(group)), lambda x: x["ce"]))
-    subsets = [s for size in range(k) for s in combinations(range(k), size)]
+    rows = rows.withColumn("place", F.row_number().over(group.orderBy(F.desc(F.abs("ce")), "src")) - 1)
+    rows = rows.withColumn("ces", F.transform(F.array_sort(F.collect_list(F.struct("place", "ce")).over(group)), lambda x: x["ce"]))
+    subsets = [s for size in range(most) for s in combinations(range(most), size)]
     listed = F.array(*[F.array(*[F.lit(i) for i in s]).cast("array<int>") for s in subsets])
     usable = F.filter(listed, lambda s: F.forall(s, lambda i: (i < F.col("n")) & (i != F.col("place"))))
-    factorial = F.array(*[F.lit(float(math.factorial(i))) for i in range(k + 1)])
+    factorial = F.array(*[F.lit(float(math.factorial(i))) for i in range(most + 1)])
 
     def term(s):
         total = F.aggregate(s, F.lit(0.0), lambda a, i: a + F.get("ces", i))
@@ -75,6 +87,19 @@ def phi_symmetric(effects: DataFrame, k: int = 4) -> DataFrame:
     return rows.select(F.col("dst").alias("target"), F.col("src").alias("parent"), F.aggregate(F.transform(usable, term), F.lit(0.0), lambda a, b: a + b).alias("phi"))
 
 
+def _sampled(rows: DataFrame, n_perm: int, seed: int, src: Column, dst: Column) -> DataFrame:
+    """target, parent, phi: mean marginal over n_perm orders. The multiplier of the key differs by
+    order and the key is squared once, since shifts alone would only rotate one order."""
+    prime = F.lit(2147483647).cast("long")
+    rows = rows.select("src", "dst", "ce", F.pmod(src, prime).alias("_a"), F.pmod(dst, prime).alias("_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_perm - 1).cast("long"))).alias("perm"))
+    factor = F.pmod((F.col("perm") + 1 + F.lit(n_perm * seed).cast("long")) * F.lit(1103515245).cast("long") + 12345, prime)
+    rows = rows.withColumn("_h", F.pmod(F.col("_a") * factor + F.col("_b"), prime))
+    rows = rows.withColumn("_h", F.pmod(F.pmod(F.col("_h") * F.col("_h"), prime) * 48271 + F.col("_h"), prime))
+    total = F.sum("ce").over(Window.partitionBy("dst", "perm").orderBy("_h", "src").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select("src", "dst", (1 / (1 + F.exp(-total)) - 1 / (1 + F.exp(-(total - F.col("ce"))))).alias("m"))
+    return rows.groupBy(F.col("dst").alias("target"), F.col("src").alias("parent")).agg(F.avg("m").alias("phi"))
+
+
 def edge_scores(effects: DataFrame, phi: DataFrame) -> DataFrame:
     """Per target of phi (target, parent, phi): |phi_src| ce into the target, |phi_src| |phi_dst| ce elsewhere."""
     own = phi.select("target", "parent", "phi")

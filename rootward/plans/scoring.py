@@ -15,7 +15,7 @@ from rootward.operators import metrics as M
 from rootward.operators import nodes as N
 from rootward.operators import trace as T
 from rootward.plans.analytics import BASE
-from rootward.plans.fixture import Graph, sql
+from rootward.plans.fixture import NUM, Graph, sql
 from rootward.plans.preparation import split
 from rootward.plans.tracing import _BEAM, LAST, PATH_HOPS, STRONG, WALK, greedy
 
@@ -157,7 +157,25 @@ _PERMS = {
 
 @query("g3_phi_symmetric", sql("SELECT dst AS target, src AS parent, round(sum(m * w) / sum(w), 9) AS phi FROM weight GROUP BY dst, src", **_PERMS))
 def _(g: Graph) -> DataFrame:
-    return A.phi_symmetric(g.effects, 3).select("target", "parent", F.round("phi", 9).alias("phi"))
+    """G4 before G3: the three strongest parents only."""
+    return A.phi_symmetric(A.parent_topk(g.effects, 3)).select("target", "parent", F.round("phi", 9).alias("phi"))
+
+
+_ALL_PERMS = {
+    "n": "SELECT dst, count(*) AS n FROM effects GROUP BY dst", "known": "SELECT src, e.dst, ce, n FROM effects e JOIN n ON n.dst = e.dst",
+    "perm": "SELECT dst, [src] AS o, ce AS s, 1 AS k, n, src, 1 / (1 + exp(-ce)) - 0.5 AS m FROM known WHERE n <= 4 UNION ALL SELECT p.dst, list_append(p.o, t.src), p.s + t.ce, p.k + 1, p.n, t.src, 1 / (1 + exp(-(p.s + t.ce))) - 1 / (1 + exp(-p.s)) FROM perm p JOIN known t ON t.dst = p.dst WHERE NOT list_contains(p.o, t.src)",
+    "exact": "SELECT dst, src, sum(m * CASE n - k WHEN 3 THEN 6 WHEN 2 THEN 2 ELSE 1 END) / sum(CASE n - k WHEN 3 THEN 6 WHEN 2 THEN 2 ELSE 1 END) AS phi FROM perm GROUP BY dst, src",
+    "first_key": f"SELECT src, dst, ce, p, ({NUM.format('src')} % 2147483647 * (((p + 1) * 1103515245 + 12345) % 2147483647) + {NUM.format('dst')} % 2147483647) % 2147483647 AS h FROM known, range(64) r(p) WHERE n > 4",
+    "running": "SELECT src, dst, ce, sum(ce) OVER (PARTITION BY dst, p ORDER BY (h * h % 2147483647 * 48271 + h) % 2147483647, src ROWS UNBOUNDED PRECEDING) AS s FROM first_key",
+    "sampled": "SELECT dst, src, avg(1 / (1 + exp(-s)) - 1 / (1 + exp(-(s - ce)))) AS phi FROM running GROUP BY dst, src",
+}
+
+
+@query("g3_phi_symmetric_all", sql("SELECT dst AS target, src AS parent, round(phi, 9) + 0.0 AS phi FROM (SELECT * FROM exact UNION ALL SELECT * FROM sampled)", **_ALL_PERMS))
+def _(g: Graph) -> DataFrame:
+    """All parents: exact up to four of them, else 64 orders."""
+    found = A.phi_symmetric(g.effects, numbers=(F.expr(NUM.format("src")), F.expr(NUM.format("dst"))))
+    return found.select("target", "parent", (F.round("phi", 9) + 0.0).alias("phi"))
 
 
 @query("g4_parent_topk", sql(f"SELECT src, dst, ce FROM ({_TOP}) WHERE place <= 2"))

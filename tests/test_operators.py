@@ -1,4 +1,5 @@
 import math
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,24 @@ def test_shapley_values(spark):
     assert asym == {"0": 0.05, "1": 0.45}
 
 
+def test_shapley_values_of_all_parents(spark):
+    ces = {"a": [0.9, -0.4, 0.3, 0.2], "b": [(i * 37 % 41 - 18) / 20 for i in range(30)] + [0.25, 0.25, 0.0]}
+    effects = spark.createDataFrame([(f"{d}{i}", d, c) for d, row in ces.items() for i, c in enumerate(row)], "src string, dst string, ce double")
+    phi = {(r.target, r.parent): r.phi for r in A.phi_symmetric(effects).collect()}
+    assert set(phi) == {(d, f"{d}{i}") for d, row in ces.items() for i in range(len(row))}
+    v = lambda x: 1 / (1 + math.exp(-x))
+    orders = list(permutations(range(4)))
+    for i in range(4):
+        marginals = [v(sum(ces["a"][j] for j in o[: o.index(i) + 1])) - v(sum(ces["a"][j] for j in o[: o.index(i)])) for o in orders]
+        assert abs(phi["a", f"a{i}"] - sum(marginals) / len(orders)) < 1e-12
+    # Sampled: the shares add up, have the sign of the effect, a null parent has none, and more orders bring equal parents together.
+    assert abs(sum(x for (d, _), x in phi.items() if d == "b") - (v(sum(ces["b"])) - 0.5)) < 1e-9
+    assert all(phi["b", f"b{i}"] * c > 0 for i, c in enumerate(ces["b"]) if c) and phi["b", "b32"] == 0
+    more = {r.parent: r.phi for r in A.phi_symmetric(effects.where("dst = 'b'"), 2000, 1).collect()}
+    assert abs(more["b30"] / more["b31"] - 1) < 0.05
+    assert all(r.phi == phi[r.target, r.parent] for r in A.phi_symmetric(effects).collect())
+
+
 def test_metrics(spark):
     rows = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (0, 1)], "y int, pred int")
     assert abs(M.detection_report(rows).first().fraud_f1 - 2 / 3) < 1e-6
