@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where the session names none (tests, a single machine) is a temporary
-    folder taken and set."""
+    Only where the session names none and its master is local (tests, a single machine)
+    is a temporary folder taken and set; a cluster without one is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -50,7 +52,7 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+def texts(batch: pa.RecordBatch, column: str | int = "text") -> list[str]:
     """The strings of a column, null as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
 
@@ -62,6 +64,19 @@ def batches(schema: pa.Schema, parts: Iterable[list]) -> Iterator[pa.RecordBatch
         )
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores behind it as it takes to clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def small_or_shuffled(rows: DataFrame, limit: int) -> DataFrame:
     """rows, to be sent to all tasks only if they are counted to be `limit` at most; else the
     join that they are for shuffles both sides."""
@@ -72,11 +87,6 @@ def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first()
-    return tuple(row)
-
-
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node with a link; root is the smallest node reachable.
 
@@ -86,8 +96,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     are left out; an empty input gives an empty result."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     edges = written(edges, "links")
-    before = _state(edges)
-    while before[0]:
+    while not edges.isEmpty():
+        before = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -95,10 +105,9 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(moved.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small-star")
-        after = _state(edges)
-        if after == before:
+        # Edges are distinct, so equal counts and no new edge mean that none changed.
+        if edges.count() == before.count() and edges.join(before, ["u", "v"], "left_anti").isEmpty():
             break
-        before = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

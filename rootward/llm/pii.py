@@ -2,16 +2,17 @@
 
 Regular expressions propose spans, checksum and range validators confirm them (Luhn for
 cards, mod-97 for IBANs, parts up to 255 for IP addresses, digit counts for phones) and
-context words shortly before a span raise its score, misleading ones lower it. Spans of
-the four base kinds always stay; those of the added kinds (iban, ssn) need a score of
-`THRESHOLD` or more.
+context words close to a span raise its score, misleading ones lower it. Spans of the
+four base kinds always stay, with their scores; those of the added kinds (iban, ssn) need
+a score of `THRESHOLD` or more.
 
 Spans are (start, end) in code points, the end exclusive, leftmost and without overlap
 within a kind. Patterns use possessive groups, so that texts of any length need no
 recursion; what they match is the same. The pattern of IBANs gives only where one may
 begin; its end is where the country's fixed length is reached, so what follows (capitals,
 digits, another IBAN) is not taken in. Defined results: a null or empty text has no
-spans; repeated rows each give a row; other columns are ignored or, in `redacted`, kept.
+spans; spans are listed by start, then kind in the order of `KINDS`; repeated rows each
+give a row; other columns are ignored or, in `redacted`, kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Code points before a span in which context words count, and the least score of added kinds.
+from rootward.llm.common import named, unused
+
+#: Code points before and behind a span in which context words count, and the least score of added kinds.
 WINDOW, THRESHOLD = 48, 0.6
-SPAN = "array<struct<start:int,end:int,rank:int,kind:string,score:double>>"
+SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 MISLEADING = r"(?i)\b(?:example|sample|dummy|invalid|isbn|version|order|invoice|serial)\b"
 
 
@@ -133,8 +136,9 @@ def _of_kind(text: Column, kind: Kind, rank: int) -> Column:
 
     def scored(x: Column) -> Column:
         before = F.substr(text, F.greatest(x["start"] - WINDOW, F.lit(0)) + 1, F.least(x["start"], F.lit(WINDOW)))
-        score = F.lit(kind.score) + F.when(before.rlike(kind.context), 0.3).otherwise(0.0) - F.when(before.rlike(MISLEADING), 0.3).otherwise(0.0)
-        return F.struct(x["start"], x["end"], F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
+        near = F.concat(before, F.lit(" "), F.substr(text, x["end"] + 1, F.lit(WINDOW)))
+        score = F.lit(kind.score) + F.when(near.rlike(kind.context), 0.3).otherwise(0.0) - F.when(near.rlike(MISLEADING), 0.3).otherwise(0.0)
+        return F.struct(x["start"], F.lit(rank).alias("rank"), x["end"], F.lit(kind.name).alias("kind"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
 
     found = F.transform(F.aggregate(pairs, empty, step, lambda s: s["found"]), scored)
     if not kind.base:
@@ -142,12 +146,9 @@ def _of_kind(text: Column, kind: Kind, rank: int) -> Column:
     return F.when(F.expr(kind.hint), found).otherwise(F.array().cast(SPAN))
 
 
-def spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `spans`: array of (start, end, rank, kind, score), by start, then kind."""
-    columns = [F.col(c) for c in docs.columns if c not in (text, "spans")]
-    full = docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    every = F.concat(*[_of_kind(F.col("text"), kind, rank) for rank, kind in enumerate(KINDS)])
-    return full.withColumn("spans", F.array_sort(every))
+def spans_of(text: Column) -> Column:
+    """Array of (start, rank, end, kind, score) of a text that is not null, by start, then kind."""
+    return F.array_sort(F.concat(*[_of_kind(text, kind, rank) for rank, kind in enumerate(KINDS)]))
 
 
 def listed(found: Column) -> Column:
@@ -157,7 +158,8 @@ def listed(found: Column) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, the digest of the base spans, all spans, all with scores."""
     bases = [k.name for k in KINDS if k.base]
-    found = spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "spans")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = slim.select("doc_id", spans_of(F.col("text")).alias("spans"))
     count = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS LONG)").alias(f"n_{k}") for k in bases]
     base = F.filter("spans", lambda s: s["rank"] < len(bases))
     scores = F.concat_ws(",", F.transform("spans", lambda s: s["score"].cast("string")))
@@ -169,8 +171,10 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     Where spans overlap, the text from the first start to the last end goes, under the
     kind of the first. A text without spans is left as it is, a null text null."""
-    found = spans(docs.select("*", F.col("text").alias("_raw")))
-    text = F.col("text")
+    full, found = unused(docs, "full_text"), unused(docs, "found_spans")
+    rows = docs.withColumn(full, F.coalesce("text", F.lit("")))
+    rows = rows.withColumn(found, spans_of(F.col(full)))
+    text = F.col(full)
 
     def step(s: Column, x: Column) -> Column:
         gap = F.substr(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
@@ -178,8 +182,8 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], gap, mark).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
-    replaced = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("_raw")))
+    clean = F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
+    rows = rows.withColumn("text", F.when(F.size(found) > 0, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        replaced = replaced.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return replaced.select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*named(docs))
