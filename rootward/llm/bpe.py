@@ -1,188 +1,283 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead, and its decoder.
 
-A text is fed in pieces. Three things end a token for certain, and tokens are emitted
-as soon as one of them does:
-
-- the text of a special token, which stands for itself;
-- the first white-space character behind a printing one: no word of the pattern goes
-  across it, so what lies before is encoded and let go;
-- inside a run longer than `WINDOW` bytes without such a place, the merge list itself.
-  There the last token of the encoding of every prefix is kept (it is unique: the one
-  whose neighbour it stands beside in the encoding of the two together), and tokens are
-  emitted once the paths back from all places from which a later token may start have
-  met. A token that starts later lies within the longest token of the vocabulary, so
-  only that many places are live.
-
-So the memory does not depend on the length of the text. The decoder is a byte-to-text
-state machine that keeps at most the three bytes of an unfinished character.
+A text is fed in pieces, and tokens come out as soon as nothing that may follow can change
+them. That is known at two levels:
+
+- Words. The word pattern is followed as a machine: all words but the last one seen are
+  settled once three characters stand behind them (a contraction needs so many), and a word
+  longer than `RUN` is handed on character by character as its class goes on. Of white space
+  the last character is held back, since it may belong to the next word.
+- Merges. The merge list has a sufficient lookahead (`lookahead_of`): tokens that end so many
+  bytes before the end of what was seen of a word are tokens of the whole word. So a word is
+  encoded in blocks, of which the last `lookahead` bytes are held back and encoded again with
+  the next block. What is held is the same for words of any length.
+
+Why there is such a number. Compare the merging of a string w with that of w and what
+follows, merge by merge in the order of the list. Both have the same tokens up to some
+place, which is the end of w at first. The merge (u, v) can move that place only if u ends
+there and v begins there in one of the two only, and then back by the length of u, once. The
+next merge (u', v') to move it must have as v' what begins at the new place in one of them:
+u itself or a token grown from u, that is one with u on its left spine, the spine's merge
+above u not coming before (u, v). So the place moves back along chains of merges of rising
+rank, by the sum of the lengths of their left sides, and the longest chain is the lookahead.
+
+The decoder is a byte-to-text state machine that keeps at most the three bytes of an
+unfinished character.
 
 Defined results: a null or empty text has no tokens; ids are those of the tokenizers
-library with the same vocabulary, special tokens in texts recognised, nothing added.
+library with the same vocabulary, special tokens in texts recognised, nothing added; tokens
+of a text of any length come out piece by piece; repeated rows each give a row; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import base64
 import codecs
 import functools
 import hashlib
+import heapq
+import json
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain, pairwise, repeat
 
 import public_tokenizers
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootward.llm.common import batches, small_batches, texts
 
-VOCABULARY, SPECIAL = "byte_bpe_50k.tiktoken", {"<|endoftext|>": 50256}
-#: Characters fed at once, and bytes of a run from which on tokens are emitted within it.
-PIECE, WINDOW = 1 << 16, 512
+VOCABULARY = "byte_bpe_50k.json"
+#: Characters fed at once; characters of a word from which on it is handed on as it comes;
+#: bytes that are encoded at once of such a word, besides those held back.
+PIECE, RUN, BLOCK = 1 << 16, 256, 1024
+#: Words whose ids are remembered, and their longest length.
+REMEMBERED, SHORT = 1 << 18, 32
+#: Largest id; no merge; no token.
+ID, NO_MERGE, GONE = (1 << 24) - 1, 1 << 62, -1
+
+
+def letters_of_bytes() -> dict[str, int]:
+    """The letters that stand for bytes in vocabulary files: printable Latin-1 for itself, the rest from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def lookahead_of(merges: list[tuple[int, int]], made: list[int], size_of: dict[int, int]) -> int:
+    """The sufficient lookahead of a merge list: the largest sum of lengths of left sides over
+    chains of merges. merges: pairs of ids in order, made: the id that each makes."""
+    parts = {t: (rank, pair) for rank, (t, pair) in enumerate(zip(made, merges, strict=True))}
+    #: By left side: ranks of its merges, ascending, and the longest chain up to each of them.
+    ranks: dict[int, list[int]] = {}
+    longest: dict[int, list[int]] = {}
+    most = 0
+    for rank, (u, v) in enumerate(merges):
+        best, token, bound = 0, v, rank - 1
+        while True:  # down the left spine of v
+            own = ranks.get(token)
+            if own and (k := bisect_right(own, bound)):
+                best = max(best, longest[token][k - 1])
+            if token not in parts:
+                break
+            bound, (token, _) = parts[token][0], parts[token][1]
+        chain_length = best + size_of[u]
+        ranks.setdefault(u, []).append(rank)
+        own = longest.setdefault(u, [])
+        own.append(max(chain_length, own[-1]) if own else chain_length)
+        most = max(most, chain_length)
+    return most
+
+
+class Remembered(dict):
+    """Ids of words, worked out when asked for the first time; forgotten all at once when there are too many."""
+
+    def __init__(self, v: Vocabulary):
+        super().__init__()
+        self.v = v
+
+    def __missing__(self, word: str) -> list[int]:
+        data = word.encode("utf-8", "surrogatepass")
+        if len(word) > RUN:
+            run = LongWord(self.v)
+            return run.feed(data) + run.finish()
+        ids = self.v.merged(data)
+        if len(word) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 class Vocabulary:
-    """Ranks of a byte-level BPE, its word pattern and special tokens."""
-
-    def __init__(self, path: str, pattern: str, special: dict[str, int]):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.special = special
-        self.bytes_of = dict(map(reversed, self.ranks.items())) | {i: s.encode() for s, i in special.items()}
-        self.longest = max(map(len, self.ranks))
+    """Merge list of a byte-level BPE, its word pattern and special tokens."""
+
+    def __init__(self, path: str, pattern: str):
+        with open(path, encoding="utf-8") as file:
+            stored = json.load(file)
+        byte_of = letters_of_bytes()
+        ids = stored["model"]["vocab"]
+        self.bytes_of = {i: bytes(byte_of[c] for c in s) for s, i in ids.items() if all(c in byte_of for c in s)}
+        self.special = {t["content"]: t["id"] for t in stored["added_tokens"]}
+        self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in stored["model"]["merges"]]
+        merges, made = [(ids[a], ids[b]) for a, b in pairs], [ids[a + b] for a, b in pairs]
+        #: By pair: the rank of its merge above the id that it makes, in one number.
+        self.merge_of = {pair: rank + 1 << ID.bit_length() | t for rank, (pair, t) in enumerate(zip(merges, made, strict=True))}
+        self.of_byte = [ids[c] for c, _ in sorted(byte_of.items(), key=lambda x: x[1])]
+        self.size_of = {i: len(b) for i, b in self.bytes_of.items()}
+        self.longest = max(self.size_of[t] for t in made)
+        self.lookahead = lookahead_of(merges, made, self.size_of)
         self.words = regex.compile(pattern)
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
-        self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.stable_pair = functools.lru_cache(1 << 18)(self._stable_pair)
-
-    def _stable_pair(self, a: int, b: int) -> bool:
-        """Whether the bytes of a and b together encode as a, b."""
-        return self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-
-    def merged(self, word: bytes) -> list[int]:
-        """BPE of a short byte string: the lowest rank merges first, leftmost among equals."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
-            if rank == 1 << 30:
+        self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.ids_of = Remembered(self)
+
+    def merged(self, data: bytes) -> list[int]:
+        """BPE of a byte string: the lowest rank merges first, the leftmost among equals."""
+        ids = list(map(self.of_byte.__getitem__, data))
+        if len(ids) > 48:
+            return self._merged_by_heap(ids)
+        merge_of, none = self.merge_of.get, repeat(NO_MERGE)
+        while len(ids) > 1:
+            found = list(map(merge_of, pairwise(ids), none))
+            best = min(found)
+            if best == NO_MERGE:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+            at = found.index(best)
+            ids[at : at + 2] = [best & ID]
+        return ids
+
+    def _merged_by_heap(self, ids: list[int]) -> list[int]:
+        n, merge_of = len(ids), self.merge_of.get
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        queue = [(found, i, i + 1) for i, pair in enumerate(pairwise(ids)) if (found := merge_of(pair))]
+        heapq.heapify(queue)
+        while queue:
+            merge, i, j = heapq.heappop(queue)
+            if after[i] != j or merge_of((ids[i], ids[j])) != merge:
+                continue  # one of both was merged with another one since
+            ids[i], ids[j] = merge & ID, GONE
+            k = after[i] = after[j]
+            after[j] = GONE
+            if k < n:
+                before[k] = i
+                if found := merge_of((ids[i], ids[k])):
+                    heapq.heappush(queue, (found, i, k))
+            if (h := before[i]) >= 0 and (found := merge_of((ids[h], ids[i]))):
+                heapq.heappush(queue, (found, h, i))
+        return [t for t in ids if t != GONE]
 
 
 @functools.cache
 def vocabulary(name: str = VOCABULARY) -> Vocabulary:
-    return Vocabulary(public_tokenizers.path(name), public_tokenizers.PATTERN, SPECIAL)
+    return Vocabulary(public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
-class LongRun:
-    """Tokens of one word of any length, fed byte by byte."""
+class LongWord:
+    """Tokens of one word of any length, fed in parts; holds block + 2 * lookahead bytes at most."""
 
-    def __init__(self, v: Vocabulary):
-        self.v, self.seen, self.last = v, bytearray(), [-1]
-        self.base = 0  # bytes whose tokens are out
+    def __init__(self, v: Vocabulary, block: int = BLOCK):
+        self.v, self.held, self.block = v, b"", max(block, v.longest)
 
     def feed(self, data: bytes) -> list[int]:
         out: list[int] = []
-        for byte in data:
-            self.seen.append(byte)
-            n, found = len(self.seen), -1
-            for size in range(min(n, self.v.longest), 0, -1):
-                token = self.v.ranks.get(bytes(self.seen[n - size :]))
-                if token is not None and (n == size and self.base == 0 or self._follows(n - size, token)):
-                    found = token
-                    break
-            self.last.append(found)
-            if n >= 4 * self.v.longest:
-                out += self._emit(self._settled())
+        for at in range(0, len(data), self.block):
+            self.held += data[at : at + self.block]
+            if len(self.held) >= self.block + self.v.lookahead:
+                out += self._settled()
         return out
 
-    def _follows(self, at: int, token: int) -> bool:
-        return self.last[at] >= 0 and self.v.stable_pair(self.last[at], token)
-
-    def _path(self, at: int) -> list[int]:
-        """Ends of the tokens of the prefix that ends at `at`, the last first."""
-        ends = []
-        while at > 0:
-            ends.append(at)
-            at -= len(self.v.bytes_of[self.last[at]])
-        return ends
-
     def _settled(self) -> list[int]:
-        n = len(self.seen)
-        common: set[int] | None = None
-        for at in range(n, n - self.v.longest, -1):
-            ends = set(self._path(at))
-            common = ends if common is None else common & ends
-        return sorted(common or ())
-
-    def _emit(self, ends: list[int]) -> list[int]:
-        """Let go of all tokens but the last settled one, which the next must stand beside."""
-        if len(ends) < 2:
-            return []
-        out, cut = [self.last[e] for e in ends[:-1]], ends[-2]
-        del self.seen[:cut], self.last[:cut]
-        self.base += cut
-        return out
+        ids, end, n = self.v.merged(self.held), 0, 0
+        for i in ids:
+            if end + self.v.size_of[i] > len(self.held) - self.v.lookahead:
+                break
+            end, n = end + self.v.size_of[i], n + 1
+        self.held = self.held[end:]
+        return ids[:n]
 
     def finish(self) -> list[int]:
-        return [self.last[e] for e in reversed(self._path(len(self.seen)))]
+        data, self.held = self.held, b""
+        return self.v.merged(data)
+
+
+#: What a word of each class goes on with.
+CLASSES = tuple(regex.compile(p) for p in (r"\p{L}*", r"\p{N}*", r"\s*", r"[^\s\p{L}\p{N}]*"))
+SPACE = CLASSES[2]
 
 
 class Encoder:
     """feed() and finish() return ids that no later text can change."""
 
-    def __init__(self, v: Vocabulary, window: int = WINDOW):
-        self.v, self.window, self.rest = v, window, ""
-        self.gap = regex.compile(r"(?<=\S)\s")
-        self.long = regex.compile(rf"\S{{{window},}}|\s{{{window},}}")
+    def __init__(self, v: Vocabulary):
+        self.v, self.tail, self.rest = v, "", ""
+        self.run: LongWord | None = None
+        self.goes_on = SPACE
 
     def feed(self, piece: str) -> list[int]:
-        self.rest += piece
-        cut = 0
-        for m in self.gap.finditer(self.rest, max(0, len(self.rest) - self.window)):
-            cut = m.start()
-        if not cut and len(self.rest) > 16 * PIECE:  # no gap close to the end for long
-            for m in self.gap.finditer(self.rest):
-                cut = m.start()
-        done, self.rest = self.rest[:cut], self.rest[cut:]
-        return self._closed(done)
+        text, self.tail, out = self.tail + piece, "", []
+        if self.v.split:
+            at = 0
+            for m in self.v.split.finditer(text):
+                out += self._words(text[at : m.start()], True)
+                out.append(self.v.special[m[0]])
+                at = m.end()
+            text = text[at:]
+            for n in range(min(len(text), max(map(len, self.v.special)) - 1), 0, -1):
+                if any(s.startswith(text[-n:]) for s in self.v.special):
+                    text, self.tail = text[:-n], text[-n:]
+                    break
+        return out + self._words(text, False)
 
     def finish(self) -> list[int]:
-        done, self.rest = self.rest, ""
-        return self._closed(done)
+        text, self.tail = self.tail, ""
+        return self._words(text, True)
 
-    def _closed(self, text: str) -> list[int]:
-        if self.v.split is None or not any(s in text for s in self.v.special):
-            return self._plain(text)
+    def _words(self, text: str, last: bool) -> list[int]:
+        self.rest += text
         out: list[int] = []
-        for part in self.v.split.split(text):
-            out += [self.v.special[part]] if part in self.v.special else self._plain(part)
+        if self.run:
+            out += self._go_on(last)
+            if self.run:
+                return out
+        words, text = self.v.words.findall(self.rest), self.rest
+        end, kept = len(text), len(words)
+        if not last:
+            while kept and (kept == len(words) or end > len(text) - 3):
+                kept -= 1
+                end -= len(words[kept])
+        self.rest = text[end:]
+        out += chain.from_iterable(map(self.v.ids_of.__getitem__, words[:kept] if kept < len(words) else words))
+        if not last and words and kept == len(words) - 1 and len(words[-1]) > RUN:
+            self.run, c = LongWord(self.v), text[-1]
+            self.goes_on = next(p for p in CLASSES if p.fullmatch(c))
+            lead = "" if self.goes_on is SPACE or not text[end].isspace() else self.rest[0]
+            out += self.run.feed(lead.encode())
+            self.rest = self.rest[len(lead) :]
+            out += self._go_on(False)
         return out
 
-    def _plain(self, text: str) -> list[int]:
-        if not self.long.search(text):
-            return self.v.encode(text)
-        out: list[int] = []
-        for word in self.v.words.finditer(text):
-            data = word[0].encode("utf-8", "surrogatepass")
-            if len(data) <= self.window:
-                out += self.v.encode(word[0])
-                continue
-            run = LongRun(self.v)
-            out += run.feed(data) + run.finish()
+    def _go_on(self, last: bool) -> list[int]:
+        """More of the long word, and its end if it is there."""
+        end = self.goes_on.match(self.rest).end()
+        over = last or end < len(self.rest)
+        if self.goes_on is SPACE and not (last and end == len(self.rest)):
+            end -= 1  # may go with the next word
+        data, self.rest = self.rest[:end].encode("utf-8", "surrogatepass"), self.rest[end:]
+        out = self.run.feed(data)
+        if over:
+            out += self.run.finish()
+            self.run = None
         return out
 
 
 def encoded(text: str, v: Vocabulary, piece: int = PIECE) -> Iterator[list[int]]:
     """The ids of a text, in lists that are final."""
     encoder = Encoder(v)
-    if len(text) <= piece:
-        encoder.rest = text
-    else:
-        for at in range(0, len(text), piece):
-            yield encoder.feed(text[at : at + piece])
+    for at in range(0, len(text), piece):
+        yield encoder.feed(text[at : at + piece])
     yield encoder.finish()
 
 
@@ -207,7 +302,7 @@ def encode(docs: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary()
-        yield from batches(schema, ([b.column("doc_id"), [[i for ids in encoded(x, v) for i in ids] for x in texts(b)]] for b in parts))
+        yield from batches(schema, ([b.column("doc_id"), [list(chain.from_iterable(encoded(x, v))) for x in texts(b)]] for b in parts))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
