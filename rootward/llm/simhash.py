@@ -12,41 +12,62 @@ the 64 bits takes no part in the choice of anchors, only in the comparison.
 A bucket holds distinct fingerprints within distance 2 of its anchor, at most
 2 * (1 + 63 + 63 * 31) = 4034, however many documents there are.
 
+`one_of_each` puts an exact second pass behind the links: texts whose sets of five-word
+shingles have a similarity (shared over all shingles) of 0.8 or more belong together as
+well, however far apart their fingerprints are. Texts that may be so similar meet under
+keys made of the smallest seeded hashes of their shingles (`KEYS` keys of `PER_KEY` hashes;
+two texts of similarity 0.8 have no key in common with a chance of 7 in 100,000). Under a
+key nobody is compared with all others: texts are compared with a pivot, whoever is not
+similar to it with two further pivots, then with four, until all are linked or were pivots
+(every pivot is compared with all texts of its key). Two texts that each found another pivot
+are not compared under that key; they have 23 more.
+
 Defined results: a null or empty text, or one of white space only, has the fingerprint
 zero and is linked like any other; repeated rows stay; a null doc_id is kept and never
-a component id unless nothing else is reachable (then null); other columns are ignored.
+a component id unless nothing else is reachable (then null); other columns are ignored by
+`near_duplicates` and kept by `one_of_each`, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rootward.llm.common import batches, connected_components, small_batches, texts, written
+from rootward.llm.common import batches, connected_components, named, small_batches, texts, unused, written
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
+#: The second pass: words of a shingle, the least similarity, keys of a text and hashes of a key.
+WIDE_SHINGLE, SIMILARITY, KEYS, PER_KEY = 5, 0.8, 24, 5
+#: Pivots of a key in one round; more come in later rounds.
+MAX_PIVOTS = 32
 #: The bits of each byte value, most significant first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 ONE = np.uint64(1)
 
 
-def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of the word shingles of a text, each occurrence counted."""
+def shingle_hashes(text: str, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of the word shingles of a text in order, repeats included; fewer words: of all of them."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     joined, hash_of = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= size:
-        return hash_of(joined, seed)
+        return np.array([hash_of(joined, seed)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-size] + 1))
-    n = len(starts)
-    hashes = np.fromiter((hash_of(joined[a:z], seed) for a, z in zip(starts.tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((hash_of(joined[a:z], seed) for a, z in zip(starts.tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of the word shingles of a text, each occurrence counted."""
+    hashes = shingle_hashes(text, size, seed)
+    n = len(hashes)
+    if n < 2:
+        return int(hashes[0]) if n else 0
     as_bytes = hashes.astype(">u8").view(np.uint8).reshape(n, 8)
     if n < 200:
         ones = BITS[as_bytes].sum(axis=0).ravel()
@@ -144,30 +165,142 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _rooted(prints: DataFrame, threshold: int) -> DataFrame:
+    """fp, first (smallest doc_id with it), root (a fingerprint that stands for its component) of all distinct fingerprints."""
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    found = connected_components(links(distinct, threshold), "a", "b")
+    return written(distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links of at most threshold bits reach."""
     prints = written(fingerprints(docs), "fingerprints")
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    distinct = written(first, "distinct-fingerprints")
-    found = connected_components(links(distinct, threshold), "a", "b")
-    rooted = written(distinct.join(found, distinct.fp == found.node).select("fp", "first", "root"), "rooted")
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("smallest"))
-    linked = rooted.join(smallest, "root").select("fp", "smallest")
-    by_print = distinct.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
-    by_print = written(by_print, "components")
+    rooted = _rooted(prints, threshold)
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_print = written(rooted.join(smallest, "root").select("fp", "component_id"), "components")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """docs with one row of each group: that whose doc_id is the component's smallest.
+@functools.cache
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(SEED)
+    return r.integers(0, 1 << 64, KEYS * PER_KEY, dtype=np.uint64) | ONE, r.integers(0, 1 << 64, KEYS * PER_KEY, dtype=np.uint64)
+
+
+def smallest_hashes(hashes: np.ndarray) -> np.ndarray:
+    """For each of KEYS * PER_KEY seeded orders the smallest hash of a set that is not empty."""
+    factor, mask = _multipliers()
+    least = np.full(len(factor), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, ((hashes[at : at + 1024, None] ^ mask) * factor).min(axis=0), out=least)
+    return least
+
 
-    Rows that repeat a doc_id count as one document, and one of them stays. Rows without
-    a doc_id can't be named as copies; all of them stay."""
-    found = written(near_duplicates(docs.select("doc_id", "text"), threshold), "groups")
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    repeated = not kept.where("_rows > 1").isEmpty()
-    ids = kept.select(F.col("doc_id").alias("_kept"))
-    named = docs.join(ids, F.col("doc_id") == F.col("_kept"), "left_semi")
-    if repeated:
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+def keys_of(text: str) -> list[int]:
+    """The keys of a text for the second pass, its own number in front; none for texts of one shingle or less."""
+    hashes = np.unique(shingle_hashes(text, WIDE_SHINGLE))
+    if len(hashes) < 2:
+        return []
+    least = smallest_hashes(hashes).reshape(KEYS, PER_KEY)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least)]
+    return np.array([xxhash.xxh64_intdigest(hashes.tobytes(), SEED), *keys], np.uint64).view(np.int64).tolist()
+
+
+def _version() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def _texts_with_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, version (hash of doc_id and text), fp, keys of every row."""
+    small_batches(docs.sparkSession)
+    ints = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("fp", pa.int64()), ("keys", ints)])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            own = texts(b)
+            prints = np.array([fingerprint(x) for x in own], np.uint64).view(np.int64)
+            yield from batches(schema, [[b.column("doc_id"), b.column("version"), prints, [keys_of(x) for x in own]]])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _version().alias("version"), "text")
+    return slim.mapInArrow(run, "doc_id long, version long, fp long, keys array<long>")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """text, hashes: the distinct shingle hashes of texts; wanted: text and the version of a row that has it."""
+    schema = pa.schema([("text", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            found = [np.unique(shingle_hashes(x, WIDE_SHINGLE)).view(np.int64) for x in texts(b, "body")]
+            yield from batches(schema, [[b.column("text"), found]])
+
+    bodies = docs.select(_version().alias("version"), F.col("text").alias("body"))
+    rows = bodies.join(wanted, "version").select("text", "body")
+    return rows.mapInArrow(run, "text long, hashes array<long>").dropDuplicates(["text"])
+
+
+def similar_roots(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): roots of fingerprint components to be joined, since texts of both are similar.
+
+    found: version, root and keys of every row. Texts of one component need no comparison."""
+    known = found.where("size(keys) > 0").groupBy(F.col("keys")[0].alias("text")).agg(F.min(F.struct("version", "root", "keys")).alias("x"))
+    known = written(known.select("text", "x.version", "x.root", F.slice("x.keys", 2, KEYS).alias("keys")), "texts")
+    held = known.select(F.explode("keys").alias("key"), "root", "text").withColumn("open", F.lit(True))
+    # Texts of the same shingles in another order may have other fingerprints.
+    same = found.where("size(keys) > 0").select(F.col("keys")[0].alias("text"), F.col("root").alias("b")).distinct()
+    joined = same.join(same.groupBy("text").agg(F.min("b").alias("a")), "text").where("a <> b").select("a", "b")
+    pivots = 1
+    while True:
+        # A key matters while texts of several components are under it and some are not compared yet.
+        alive = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("open").alias("any")).where("low < high AND any").select("key")
+        held = written(held.join(alive, "key", "left_semi"), "keys")
+        if held.isEmpty():
+            return joined
+        # Pivots by aggregates, which combine before the shuffle: no group is collected or sorted.
+        picks = [F.min(F.struct(F.xxhash64("text", F.lit(k)), "root", "text")) for k in range(pivots)]
+        first = held.where("open").groupBy("key").agg(F.array_distinct(F.transform(F.array(*picks), lambda x: F.struct(x["root"].alias("root"), x["text"].alias("text")))).alias("pivots"))
+        met = held.join(first, "key").select("key", "root", "text", F.explode("pivots").alias("p"))
+        met = written(met.select("key", "root", "text", F.col("p.root").alias("pivot_root"), F.col("p.text").alias("pivot")), "met")
+        pairs = met.where("root <> pivot_root").select("text", "pivot").distinct()
+        used = pairs.select("text").union(pairs.select("pivot")).distinct()
+        sets = written(_sets(docs, known.join(used, "text").select("text", "version")), "sets")
+        both = pairs.join(sets, "text").join(sets.toDF("pivot", "of_pivot"), "pivot")
+        shared = F.size(F.array_intersect("hashes", "of_pivot"))
+        near = both.where(shared >= similarity * (F.size("hashes") + F.size("of_pivot") - shared) - 1e-9).select("text", "pivot")
+        near = written(near, "similar")
+        links_now = met.join(near, ["text", "pivot"], "left_semi").select(F.col("root").alias("a"), F.col("pivot_root").alias("b")).distinct()
+        joined = written(joined.unionByName(links_now), "similar-roots")
+        # Whoever was a pivot, or is similar to one, or in its component, has been dealt with under the key.
+        done = met.where("root = pivot_root").select("key", "text").union(met.join(near, ["text", "pivot"], "left_semi").select("key", "text")).distinct().withColumn("done", F.lit(True))
+        held = held.join(done, ["key", "text"], "left").select("key", "root", "text", (F.col("open") & F.col("done").isNull()).alias("open"))
+        pivots = min(2 * pivots, MAX_PIVOTS)
+
+
+def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group of near-duplicates: links of fingerprints and of the second pass.
+
+    The row with the smallest doc_id of the group stays (a row without one only if no other has
+    one); rows that share it, with other texts, by a hash of the text. Rows of one doc_id whose
+    texts are in different groups are different documents: each may stay for its own group. Of
+    rows equal in doc_id and text the one whose columns, as JSON, come first stays."""
+    rows = written(_texts_with_keys(docs), "fingerprints")
+    by_print = rows.join(_rooted(rows, threshold).select("fp", "root"), "fp")
+    by_print = written(by_print.select("doc_id", "version", "root", "keys"), "groups")
+    joined = connected_components(similar_roots(docs.select("doc_id", "text"), by_print, similarity), "a", "b").toDF("root", "wide")
+    grouped = by_print.join(joined, "root", "left").select("doc_id", "version", F.coalesce("wide", "root").alias("root"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("x")
+    kept = grouped.groupBy("root").agg(best).select(F.col("x.doc_id").alias("kept_id"), F.col("x.version").alias("kept_version")).distinct()
+    repeats = grouped.groupBy(F.col("doc_id").alias("kept_id"), F.col("version").alias("kept_version")).agg(F.count("*").alias("kept_rows"))
+    same = kept.kept_id.eqNullSafe(repeats.kept_id) & (kept.kept_version == repeats.kept_version)
+    kept = written(kept.join(repeats, same).select(kept.kept_id, kept.kept_version, "kept_rows"), "kept")
+    version, doc_id = unused(docs, "version"), F.col("doc_id").cast("long")
+    hashed = docs.withColumn(version, F.xxhash64(doc_id, "text"))
+
+    def those(which: str) -> DataFrame:
+        ids = kept.where(which).select(F.col("kept_id").alias(unused(hashed, "kept_id")), F.col("kept_version").alias(unused(hashed, "kept_version")))
+        return hashed.join(ids, doc_id.eqNullSafe(ids[ids.columns[0]]) & (F.col(version) == ids[ids.columns[1]]), "left_semi")
+
+    whole = F.struct(*named(docs))
+    one = those("kept_rows > 1").groupBy("doc_id", version).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return those("kept_rows = 1").select(*named(docs)).unionByName(one.select("row.*"))
