@@ -14,8 +14,10 @@ doc_id (a documented bound: features of so many rows fit the driver), by mini-ba
 AdaGrad with a fixed seed. Every document is scored.
 
 Defined results: a null or empty text is scored from the constants alone; documents with
-contradicting labels take the mean label, 0.5 counting as 1; unlabelled tables or labels
-of one kind give a constant score; repeated rows each give a row.
+contradicting labels take the mean label, 0.5 counting as 1; labels of one kind give a
+constant score on their side, and so does a table without labels, which is taken as all of
+label 1 (nothing is rejected); repeated rows each give a row; other columns are kept as they
+are, `score` and `predicted` included where `accepted` is asked.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from rootward.llm.common import batches, small_batches, texts
+from rootward.llm.common import batches, named, small_batches, texts, unused
 
 BUCKETS, FACTORS, MAX_ROWS, EPOCHS, BATCH, SEED = 1 << 15, 8, 8000, 8, 64, 7
 RATE, DECAY = 0.05, 1e-5
@@ -147,22 +150,25 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     return fit(pairs, got.column("label").to_numpy()[order].astype(np.float64))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (double) and predicted (int)."""
+def scored(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs with the columns score (double) and predicted (int); docs must have none of these names."""
+    if {score.lower(), predicted.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the documents have a column {score} or {predicted} already")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f.name for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    slim = docs.select(*names)
+    text, stated = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in parts:
-            stated = b.column("n_chars").to_pylist() if "n_chars" in b.schema.names else [None] * b.num_rows
-            score = [own.score(*features(x, n)) for x, n in zip(texts(b), stated, strict=True)]
-            yield b.append_column("score", pa.array(score, pa.float64())).append_column("predicted", pa.array([int(x >= 0.5) for x in score], pa.int32()))
+            counts = b.column(stated).to_pylist() if stated is not None else [None] * b.num_rows
+            found = [own.score(*features(x, n)) for x, n in zip(texts(b, text), counts, strict=True)]
+            yield b.append_column("s", pa.array(found, pa.float64())).append_column("p", pa.array([int(x >= 0.5) for x in found], pa.int32()))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
-    return slim.mapInArrow(run, f"{fields}, score double, predicted int")
+    # By place: names may hold dots, which the Python call cannot take.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    out = StructType(plain.schema.fields + [StructField("s", DoubleType()), StructField("p", IntegerType())])
+    return plain.mapInArrow(run, out).toDF(*docs.columns, score, predicted)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -171,6 +177,7 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """docs without those that the classifier rejects; columns stay."""
-    return scored(docs, train(docs, labels)).where("predicted = 1").select(*docs.columns)
+    score, predicted = unused(docs, "score"), unused(docs, "predicted")
+    return scored(docs, model, score, predicted).where(F.col(predicted) == 1).select(*named(docs))

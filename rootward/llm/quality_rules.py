@@ -2,14 +2,17 @@
 
 Every document gives two histograms: its characters by class and its words by common
 word. Both are held against the reference of its language, which is the sum of the
-histograms of all documents of that language, by the Jensen-Shannon distance (base 2,
-0 to 1). A distance counts only for documents long enough for it to mean something, and
-so does a bound on the sum of both. Before that, two base rules drop short and repetitive
-documents.
+histograms of all different documents of that language that pass the base rules (short and
+repetitive documents are no yardstick), by the Jensen-Shannon distance (base 2, 0 to 1). A
+distance counts only for documents long enough for it to mean something, and so does a
+bound on the sum of both.
 
 Words are runs of anything but the six ASCII white-space characters. Defined results: a
 null or empty text has no words and fails; a null language is a language of its own;
-repeated rows each give a row; a language without any word gives distance 0.
+repeated rows each give a row; a language without any word, or without a document that
+passes the base rules, gives distance 0; a language without words in `COMMON` has all of
+them in the last place of its reference, so that only character classes tell its documents
+apart; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ CLASSES = ("lower", "upper", "digit", "blank", "mark", "symbol", "accented", "ot
 COMMON = tuple(
     "the of and to in is that it was for on are with as be at by this from or "
     "der die und das den von zu mit sich des auf ist im dem nicht ein eine als auch es "
-    "le la les et des en un du une que est pour qui dans par plus pas sur au avec "
+    "le la les et en un du une que est pour qui dans par plus pas sur au avec "
     "el los del las se por con no su para al lo como más pero sus ha me si sin".split()
 )
 
@@ -118,22 +121,28 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def references(rows: DataFrame) -> DataFrame:
-    """Per language, the sums of both histograms over all its documents; copies count once,
-    so that a text that fills a third of the corpus is not what the others are held against."""
+    """Per language, the sums of both histograms over all its documents that pass the base
+    rules; copies count once, so that a text that fills a third of the corpus is not what the
+    others are held against."""
     def sums(name: str, size: int) -> Column:
         return F.array(*[F.sum(F.col(name)[i]) for i in range(size)]).alias(f"all_{name}")
 
-    different = rows.select("lang", "n_words", "word_chars", "classes", "common").distinct()
+    different = rows.where(~base_failed()).select("lang", "n_words", "word_chars", "classes", "common").distinct()
     return different.groupBy("lang").agg(sums("classes", len(CLASSES)), sums("common", len(COMMON) + 1))
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
 def js_distance(p: str, q: str) -> Column:
-    """Jensen-Shannon distance of two histograms of counts; 0 where one of them is empty."""
-    part = lambda x, m: f"IF({x} > 0, {x} * log2({x} / ({m})), 0D)"
+    """Jensen-Shannon distance of two histograms of counts; 0 where one of them is empty or null."""
     total = lambda x: f"aggregate({x}, 0L, (a, b) -> a + b)"
-    shares = lambda x: f"transform({x}, c -> c / {total(x)})"
-    each = f"zip_with({shares(p)}, {shares(q)}, (a, b) -> 0.5D * {part('a', '(a + b) / 2')} + 0.5D * {part('b', '(a + b) / 2')})"
-    return F.expr(f"IF({total(p)} > 0 AND {total(q)} > 0, sqrt(greatest(aggregate({each}, 0D, (a, b) -> a + b), 0D)), 0D)")
+    part = lambda x: f"IF({x} > 0, {x} * log2(2 * {x} / (a / t.p + b / t.q)), 0D)"
+    each = f"zip_with({p}, {q}, (a, b) -> 0.5D * ({part('a / t.p')} + {part('b / t.q')}))"
+    # The array of one struct binds both totals, so that they are added up once and not for each place.
+    bound = f"transform(array(struct({total(p)} AS p, {total(q)} AS q)), t -> IF(t.p > 0 AND t.q > 0, sqrt(greatest(aggregate({each}, 0D, (a, b) -> a + b), 0D)), 0D))"
+    return F.expr(f"coalesce(({bound})[0], 0D)")
 
 
 def judged(
@@ -149,10 +158,10 @@ def judged(
     reference = references(rows).withColumn("_lang", F.coalesce("lang", F.lit(""))).withColumn("_none", F.col("lang").isNull()).drop("lang")
     rows = rows.withColumn("_lang", F.coalesce("lang", F.lit(""))).withColumn("_none", F.col("lang").isNull())
     # A row per language: few of them go to all tasks, so that a frequent language is no partition of its own.
-    both = rows.join(small_or_shuffled(reference, MAX_LANGUAGES_TO_ALL), ["_lang", "_none"])
+    both = rows.join(small_or_shuffled(reference, MAX_LANGUAGES_TO_ALL), ["_lang", "_none"], "left")
     both = both.withColumn("class_distance", js_distance("classes", "all_classes")).withColumn("common_distance", js_distance("common", "all_common"))
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, b: a + b)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    failed = base_failed()
     worded = (chars >= min_chars) & (F.col("n_words") >= min_words)
     odd = ((chars >= min_chars) & (F.col("class_distance") > max_class)) | ((F.col("n_words") >= min_words) & (F.col("common_distance") > max_common))
     odd = odd | (worded & (F.col("class_distance") + F.col("common_distance") > max_both))
