@@ -11,7 +11,9 @@ are revisits of it, which hold no payload but its digest and length. Defined res
 null html is an empty payload; a null page_id is kept, is a revisit if its payload has a
 page_id and a response else; rows that repeat page_id and payload are all responses or
 all revisits alike; a null url is written as `about:blank`; control characters and blanks
-in urls are percent-encoded; an empty table gives empty archives and no rows.
+in urls are percent-encoded; an html of any length that a table cell can hold is one record,
+which is rewritten and read back as a stream, never held whole; other columns are ignored; an
+empty table gives empty archives and no rows.
 
 Files are written under temporary names and then renamed, so tasks can be repeated.
 """
@@ -24,6 +26,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import batched, chain
 
 import pyarrow as pa
 from pyarrow import fs
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from rootward.llm.common import batches, scratch, small_or_shuffled, written
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-RECORDS_PER_FILE, LEVEL, PIECE = 2000, 1, 1 << 18
+RECORDS_PER_FILE, LEVEL, PIECE, END = 2000, 1, 1 << 18, b"\r\n\r\n"
 #: Up to so many revisits are told to all tasks, which spares a shuffle of the pages.
 REVISITS_TO_ALL = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -92,49 +95,68 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_
     sink.option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse(record: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (lower-case names) and the payload behind the HTTP header."""
-    head, _, block = record.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8").split("\r\n")[1:])
-    fields = {k.lower(): v for k, v in fields.items()}
-    http, _, payload = block[: int(fields["content-length"])].partition(b"\r\n\r\n")
-    fields |= {f"http-{k.lower()}": v for k, v in (line.split(": ", 1) for line in http.decode("utf-8").split("\r\n")[1:])}
-    return fields, payload
-
-
-def split_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """Whole records of an inflated stream, by their Content-Length."""
-    buffer = bytearray()
-    need = 0
-    for piece in pieces:
-        buffer += piece
-        while True:
-            if not need:
-                end = buffer.find(b"\r\n\r\n")
-                if end < 0:
-                    break
-                head = bytes(buffer[: end + 2]).lower()
-                at = head.index(b"\r\ncontent-length: ") + 18
-                need = end + 8 + int(head[at : head.index(b"\r\n", at)])
-            if len(buffer) < need:
-                break
-            yield bytes(buffer[:need])
-            del buffer[:need]
-            need = 0
-    if buffer:
-        raise ValueError(f"{len(buffer)} bytes behind the last record")
-
-
-def inflated(content: bytes) -> Iterator[bytes]:
-    """The stream of a gzip file of one or more members, a piece at a time."""
-    while content:
-        stream, at = zlib.decompressobj(31), 0
-        while not stream.eof:
-            if at >= len(content):
-                raise ValueError("the gzip stream ends early")
-            yield stream.decompress(content[at : at + PIECE])
-            at += PIECE
-        content = stream.unused_data + content[at:]
+def fields_of(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; the first line is the version or status."""
+    return {k.lower(): v for k, v in (line.split(": ", 1) for line in head.decode("utf-8").split("\r\n")[1:])}
+
+
+class Stream:
+    """Bytes of an iterator of pieces, taken a header or a number of bytes at a time."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held = pieces, bytearray()
+
+    def head(self) -> bytes | None:
+        """All up to an empty line, without it; None at the end."""
+        while (end := self.held.find(b"\r\n\r\n")) < 0:
+            piece = next(self.pieces, None)
+            if piece is None:
+                if self.held:
+                    raise ValueError(f"{len(self.held)} bytes behind the last record")
+                return None
+            self.held += piece
+        found = bytes(self.held[:end])
+        del self.held[: end + 4]
+        return found
+
+    def take(self, n: int) -> Iterator[bytes]:
+        """The next n bytes, in pieces."""
+        while n:
+            while not self.held:
+                piece = next(self.pieces, None)
+                if piece is None:
+                    raise ValueError("the stream ends within a record")
+                self.held += piece
+            part = bytes(self.held[:n])
+            del self.held[:n]
+            n -= len(part)
+            yield part
+
+
+def inflated(file) -> Iterator[bytes]:
+    """What an open gzip file of one or more members holds, a piece at a time."""
+    stream, data = None, b""
+    while data := data or file.read(PIECE):
+        stream = stream or zlib.decompressobj(31)
+        out = stream.decompress(data, PIECE)
+        data, stream = (stream.unused_data, None) if stream.eof else (stream.unconsumed_tail, stream)
+        if out:
+            yield out
+    if stream:
+        raise ValueError("the gzip stream ends early")
+
+
+class Section:
+    """A part of an open file, to be read like a file."""
+
+    def __init__(self, file, offset: int, length: int):
+        file.seek(offset)
+        self.file, self.left = file, length
+
+    def read(self, n: int) -> bytes:
+        found = self.file.read(min(n, self.left))
+        self.left -= len(found)
+        return found
 
 
 def _page(urn: str | None) -> int | None:
@@ -142,45 +164,46 @@ def _page(urn: str | None) -> int | None:
     return int(digits) if digits else None
 
 
-def _put(where: str, name: str, parts: list[bytes]) -> None:
-    """Write below a temporary name, then rename."""
-    store, path = fs.FileSystem.from_uri(where)
-    store.create_dir(path, recursive=True)
-    temporary = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(temporary) as out:
-        for part in parts:
-            out.write(part)
-    store.move(temporary, f"{path}/{name}")
+def members(file, out, level: int = LEVEL) -> Iterator[tuple[int, int, dict[str, str]]]:
+    """Write each record of an archive as a gzip member of its own; offset, length and fields of each.
+
+    Neither the archive nor a record is ever held whole."""
+    source, at = Stream(inflated(file)), 0
+    while (head := source.head()) is not None:
+        fields, member, length = fields_of(head), zlib.compressobj(level, zlib.DEFLATED, 31), 0
+        for part in chain([head, END], source.take(int(fields["content-length"]) + len(END))):
+            done = member.compress(part)
+            out.write(done)
+            length += len(done)
+        done = member.flush()
+        out.write(done)
+        yield at, length + len(done), fields
+        at += length + len(done)
 
 
 def normalise(source: str, target: str, spark, level: int = LEVEL) -> DataFrame:
-    """Rewrite the archives of `source` into `target`; returns the index of all records."""
+    """Rewrite the archives of `source` into `target`; returns the index of all records.
+
+    Spark lists the files and deals them out; tasks open them as streams."""
     schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                name = path.rsplit("/", 1)[1].removesuffix(".txt.gz") + ".warc.gz"
-                members, rows, at = [], [], 0
-                for record in split_records(inflated(content.as_py())):
-                    fields, _ = parse(record)
-                    deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    members.append(deflate.compress(record) + deflate.flush())
-                    rows.append((name, at, len(members[-1]), _page(fields["warc-record-id"]), fields["warc-type"]))
-                    at += len(members[-1])
-                _put(target, name, members)
-                lines = (json.dumps(dict(zip(schema.names, r, strict=True))) + "\n" for r in rows)
-                _put(target, name + ".index", ["".join(lines).encode()])
-                yield from batches(schema, [[list(c) for c in zip(*rows, strict=True)]] if rows else [])
-
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "1")  # a row is a file
-    try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source)
-        return written(files.select("path", "content").mapInArrow(run, INDEX), "warc-index")
-    finally:
-        spark.conf.set(key, before)
+        (store, from_dir), (_, to_dir) = fs.FileSystem.from_uri(source), fs.FileSystem.from_uri(target)
+        store.create_dir(to_dir, recursive=True)
+        for path in chain.from_iterable(b.column("path").to_pylist() for b in parts):
+            file = path.rsplit("/", 1)[1]
+            name, temporary = file.removesuffix(".txt.gz") + ".warc.gz", f"{to_dir}/.{uuid.uuid4().hex}"
+            # Not by its name: the stream is inflated here.
+            with store.open_input_stream(f"{from_dir}/{file}", compression=None) as stored, store.open_output_stream(temporary, compression=None) as out, store.open_output_stream(temporary + ".index", compression=None) as index:
+                found = ((name, at, length, _page(fields["warc-record-id"]), fields["warc-type"]) for at, length, fields in members(stored, out, level))
+                for rows in batched(found, 1000):
+                    index.write("".join(json.dumps(dict(zip(schema.names, r, strict=True))) + "\n" for r in rows).encode())
+                    yield from batches(schema, [[list(c) for c in zip(*rows, strict=True)]])
+            store.move(temporary, f"{to_dir}/{name}")
+            store.move(temporary + ".index", f"{to_dir}/{name}.index")
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source)
+    return written(files.select("path").mapInArrow(run, INDEX), "warc-index")
 
 
 def read_records(index: DataFrame, target: str) -> DataFrame:
@@ -197,12 +220,15 @@ def read_records(index: DataFrame, target: str) -> DataFrame:
             for x in batch.to_pylist():
                 if x["file"] != name:
                     name, opened = x["file"], store.open_input_file(f"{path}/{x['file']}")
-                opened.seek(x["offset"])
-                fields, payload = parse(zlib.decompress(opened.read(x["length"]), 31))
-                digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                if fields["warc-type"] == "response" and digest != base64.b32encode(hashlib.sha1(payload).digest()).decode():
+                record = Stream(inflated(Section(opened, x["offset"], x["length"])))
+                fields, http = fields_of(record.head()), record.head()
+                digest, seen = fields["warc-payload-digest"].removeprefix("sha1:"), hashlib.sha1()
+                for part in record.take(int(fields["content-length"]) - len(http) - len(END)):
+                    seen.update(part)
+                if fields["warc-type"] == "response" and digest != base64.b32encode(seen.digest()).decode():
                     raise ValueError(f"{name} at {x['offset']}: the payload does not have the stated digest")
-                rows.append((_page(fields["warc-record-id"]), int(fields["http-content-length"]), digest, fields["warc-type"], _page(fields.get("warc-refers-to")), fields["warc-target-uri"]))
+                size = int(fields_of(http)["content-length"])
+                rows.append((_page(fields["warc-record-id"]), size, digest, fields["warc-type"], _page(fields.get("warc-refers-to")), fields["warc-target-uri"]))
             yield from batches(schema, [[list(c) for c in zip(*rows, strict=True)]] if rows else [])
 
     return index.sortWithinPartitions("file", "offset").mapInArrow(run, out)
@@ -211,7 +237,6 @@ def read_records(index: DataFrame, target: str) -> DataFrame:
 def round_trip(pages: DataFrame, least: int = 0, records_per_file: int = RECORDS_PER_FILE) -> DataFrame:
     """Write, normalise and read back; one row per page."""
     spark = pages.sparkSession
-    source, target = scratch(spark, "warc-raw"), scratch(spark, "warc")
+    source, target = (x if "://" in x else f"file://{x}" for x in (scratch(spark, "warc-raw"), scratch(spark, "warc")))
     write_archives(pages, source, records_per_file, least)
-    target = target if "://" in target else f"file://{target}"
     return read_records(normalise(source, target, spark), target)
