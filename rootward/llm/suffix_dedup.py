@@ -31,9 +31,11 @@ previous suffix of a smaller group, which takes the group's string on to its own
 so moves to a new group behind its old one. In the end each group shares one Lyndon
 prefix, and the suffixes are emitted in order along the same pointers.
 
-Keys and context hashes are 64 bits each, both must agree. Defined results: a null or empty
+Keys and context hashes are 64 bits each, both must agree; spans find their text by doc_id and
+a hash of it. Defined results: a null or empty
 text has no bytes; repeated rows repeat each other's strings, and all of them go; texts
-under LENGTH bytes stay; a null doc_id is kept.
+under LENGTH bytes stay; texts of any length are taken whole; a null doc_id is kept; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -259,36 +261,41 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _row_hash():
-    return F.xxhash64("doc_id", "text").alias("row")
+#: A text: its doc_id (-1 for none) and a hash of doc_id and text, which tells apart what repeats a doc_id.
+ROW = ["doc_key", "row"]
+
+
+def _row_key() -> list:
+    doc_id = F.col("doc_id").cast("long")
+    return [F.coalesce(doc_id, F.lit(-1)).alias("doc_key"), F.xxhash64(doc_id, "text").alias("row")]
 
 
 def all_anchors(docs: DataFrame) -> DataFrame:
-    """row, place, key, context: every anchor of every text."""
-    schema = pa.schema([("row", pa.int64()), ("place", pa.int32()), ("key", pa.int64()), ("context", pa.int64())])
+    """doc_key, row, place, key, context: every anchor of every text."""
+    schema = pa.schema([("doc_key", pa.int64()), ("row", pa.int64()), ("place", pa.int32()), ("key", pa.int64()), ("context", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            rows = b.column("row").to_numpy(zero_copy_only=False)
-            for row, text in zip(rows, texts(b), strict=True):
+            ids, rows = (b.column(c).to_numpy(zero_copy_only=False) for c in ROW)
+            for doc, row, text in zip(ids, rows, texts(b), strict=True):
                 place, key, context = anchors(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
                 if len(place):
-                    yield from batches(schema, [[np.full(len(place), row), place.astype(np.int32), _signed(key), _signed(context)]])
+                    yield from batches(schema, [[np.full(len(place), doc), np.full(len(place), row), place.astype(np.int32), _signed(key), _signed(context)]])
 
-    return docs.where(F.octet_length("text") >= LENGTH).select(_row_hash(), "text").mapInArrow(run, "row long, place int, key long, context long")
+    return docs.where(F.octet_length("text") >= LENGTH).select(*_row_key(), "text").mapInArrow(run, "doc_key long, row long, place int, key long, context long")
 
 
 def frequent(docs: DataFrame, one_in: int = ONE_IN, least: int = LEAST) -> DataFrame:
-    """key, context, n, of_key, row, place: grams and contexts that hold a large share of the
+    """key, context, n, of_key, doc_key, row, place: grams and contexts that hold a large share of the
     anchors of one document in `one_in` (picked by hash), each with one of its anchors.
 
     Only how rows are dealt out depends on it. No more than 2 * SHARES rows."""
     picked = all_anchors(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0))
-    pairs = written(picked.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("first")), "sample")
+    pairs = written(picked.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "place")).alias("first")), "sample")
     enough = max(least, (pairs.agg(F.sum("n")).first()[0] or 0) // SHARES)
     keys = pairs.groupBy("key").agg(F.sum("n").alias("of_key")).where(F.col("of_key") >= enough)
     hot = pairs.where(F.col("n") >= enough).select("key", "context", "n", "first.*")
-    return written(keys.join(hot, "key", "left").select("key", "context", "n", "of_key", "row", "place"), "frequent")
+    return written(keys.join(hot, "key", "left").select("key", "context", "n", "of_key", *ROW, "place"), "frequent")
 
 
 def dealt(found: DataFrame, hot: DataFrame) -> DataFrame:
@@ -299,17 +306,17 @@ def dealt(found: DataFrame, hot: DataFrame) -> DataFrame:
     kind = F.coalesce("of_key", F.lit(0)) + F.coalesce("of_pair", F.lit(0))
     found = found.join(F.broadcast(keys), "key", "left").join(F.broadcast(pairs), ["key", "context"], "left").withColumn("kind", kind)
     deal = F.when(F.col("kind") == 2, F.xxhash64("row", "place")).when(F.col("kind") == 1, F.col("context")).otherwise(0)
-    return found.select("row", "place", "key", "context", "kind", deal.alias("deal"))
+    return found.select(*ROW, "place", "key", "context", "kind", deal.alias("deal"))
 
 
 def classified(found: DataFrame) -> DataFrame:
-    """row, place, key, whole: anchors, as dealt() gives them, whose gram repeats. whole: the
+    """doc_key, row, place, key, whole: anchors, as dealt() gives them, whose gram repeats. whole: the
     context repeats; `shown`: its bytes are wanted, since contexts of its group differ
     (one of each frequent context is to be added)."""
-    out = "row long, place int, key long, whole boolean, shown boolean"
-    schema = pa.schema([("row", pa.int64()), ("place", pa.int32()), ("key", pa.int64()), ("whole", pa.bool_()), ("shown", pa.bool_())])
+    out = "doc_key long, row long, place int, key long, whole boolean, shown boolean"
+    schema = pa.schema([("doc_key", pa.int64()), ("row", pa.int64()), ("place", pa.int32()), ("key", pa.int64()), ("whole", pa.bool_()), ("shown", pa.bool_())])
 
-    def settled(key: np.ndarray, context: np.ndarray, row: np.ndarray, place: np.ndarray, kind: np.ndarray, edge: tuple) -> list:
+    def settled(key: np.ndarray, context: np.ndarray, doc: np.ndarray, row: np.ndarray, place: np.ndarray, kind: np.ndarray, edge: tuple) -> list:
         """Rows of a stretch of sorted anchors; edge: whether key and context go on before and behind it,
         and whether the key's contexts differ from those outside."""
         same_key = np.concatenate(([edge[0]], key[1:] == key[:-1], [edge[1]]))
@@ -324,7 +331,7 @@ def classified(found: DataFrame) -> DataFrame:
         # Frequent grams and contexts repeat in any case; others of theirs are elsewhere.
         again, whole = again | (kind > 0), whole | (kind == 2)
         shown = np.where(kind > 0, first & (kind == 1), shown)
-        return [row[again], place[again], key[again], whole[again], shown[again]]
+        return [doc[again], row[again], place[again], key[again], whole[again], shown[again]]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -332,7 +339,7 @@ def classified(found: DataFrame) -> DataFrame:
         for b in parts:
             if not b.num_rows:
                 continue
-            now = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "context", "row", "place", "kind")]
+            now = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "context", *ROW, "place", "kind")]
             if held is not None:
                 key, context = held[0], held[1]
                 edge = (
@@ -348,80 +355,80 @@ def classified(found: DataFrame) -> DataFrame:
             yield from batches(schema, [settled(*held, edge)])
 
     rows = found.repartition("key", "deal").sortWithinPartitions("key", "context")
-    return rows.select("key", "context", "row", "place", "kind").mapInArrow(run, out)
+    return rows.select("key", "context", *ROW, "place", "kind").mapInArrow(run, out)
 
 
 def contexts(docs: DataFrame, shown: DataFrame) -> DataFrame:
-    """key, row, place, left, right: the bytes beside the grams of anchors."""
-    schema = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("place", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
+    """key, doc_key, row, place, left, right: the bytes beside the grams of anchors."""
+    schema = pa.schema([("key", pa.int64()), ("doc_key", pa.int64()), ("row", pa.int64()), ("place", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
     # A text's own anchors: no more than it has bytes.
-    wanted = shown.groupBy("row").agg(F.collect_set(F.struct("place", "key")).alias("wanted"))
+    wanted = shown.groupBy(*ROW).agg(F.collect_set(F.struct("place", "key")).alias("wanted"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            columns: list[list] = [[], [], [], [], []]
-            for row, text, own in zip(b.column("row").to_pylist(), texts(b), b.column("wanted").to_pylist(), strict=True):
+            columns: list[list] = [[], [], [], [], [], []]
+            for doc, row, text, own in zip(*(b.column(c).to_pylist() for c in ROW), texts(b), b.column("wanted").to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for x in own:
                     p = x["place"]
-                    for c, v in zip(columns, (x["key"], row, p, data[max(0, p - SPAN + 1) : p], data[p + GRAM : p + GRAM + SPAN - 1]), strict=True):
+                    for c, v in zip(columns, (x["key"], doc, row, p, data[max(0, p - SPAN + 1) : p], data[p + GRAM : p + GRAM + SPAN - 1]), strict=True):
                         c.append(v)
             yield from batches(schema, [columns])
 
-    rows = docs.where(F.octet_length("text") >= LENGTH).select(_row_hash(), "text").join(wanted, "row")
-    return rows.mapInArrow(run, "key long, row long, place int, left binary, right binary")
+    rows = docs.where(F.octet_length("text") >= LENGTH).select(*_row_key(), "text").join(wanted, ROW)
+    return rows.mapInArrow(run, "key long, doc_key long, row long, place int, left binary, right binary")
 
 
 def spans_by_suffix_array(found: DataFrame) -> DataFrame:
-    """row, start, end of strings that repeat within groups of contexts."""
-    schema = pa.schema([("row", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+    """doc_key, row, start, end of strings that repeat within groups of contexts."""
+    schema = pa.schema([("doc_key", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
     def solve(pending: list[tuple]) -> list:
-        hits = repeated_in([(k, left, right) for k, _, _, left, right in pending])
-        rows = [(row, place - hi, place - lo + LENGTH) for (_, row, place, _, _), own in zip(pending, hits, strict=True) for lo, hi in own]
-        return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
+        hits = repeated_in([(k, left, right) for k, _, _, _, left, right in pending])
+        rows = [(doc, row, place - hi, place - lo + LENGTH) for (_, doc, row, place, _, _), own in zip(pending, hits, strict=True) for lo, hi in own]
+        return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[tuple] = []
         symbols = 0
         for b in parts:
-            for x in zip(*(b.column(c).to_pylist() for c in ("key", "row", "place", "left", "right")), strict=True):
+            for x in zip(*(b.column(c).to_pylist() for c in ("key", *ROW, "place", "left", "right")), strict=True):
                 if symbols > TOGETHER and pending[-1][0] != x[0]:
                     yield from batches(schema, [solve(pending)])
                     pending, symbols = [], 0
                 pending.append(x)
-                symbols += len(x[3]) + len(x[4]) + 2
+                symbols += len(x[4]) + len(x[5]) + 2
         if pending:
             yield from batches(schema, [solve(pending)])
 
-    return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, "row long, start int, end int")
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_key long, row long, start int, end int")
 
 
 def halves(groups: DataFrame) -> DataFrame:
-    """key, low, high, row, place, left, right: contexts of groups of strings with `low` to `high`
+    """key, low, high, doc_key, row, place, left, right: contexts of groups of strings with `low` to `high`
     bytes before the gram, in two groups each. key: gram, range and the bytes that all share."""
     middle = F.expr("CAST((low + high) div 2 AS int)")
     two = F.array(F.struct(F.col("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high")))
-    each = groups.select("key", "row", "place", "left", "right", F.explode(two).alias("half")).select("key", "row", "place", "left", "right", "half.*")
+    each = groups.select("key", *ROW, "place", "left", "right", F.explode(two).alias("half")).select("key", *ROW, "place", "left", "right", "half.*")
     each = each.where(f"octet_length(left) >= low AND octet_length(right) >= {SPAN - 1} - high")
     key = F.expr(f"xxhash64(key, low, high, substring(left, -low, low), substring(right, 1, {SPAN - 1} - high))")
     left, right = F.expr("substring(left, -high, high)"), F.expr(f"substring(right, 1, {SPAN - 1} - low)")
-    return each.select(key.alias("key"), "low", "high", "row", "place", left.alias("left"), right.alias("right"))
+    return each.select(key.alias("key"), "low", "high", *ROW, "place", left.alias("left"), right.alias("right"))
 
 
 def divided(groups: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
-    """For contexts (key, row, place, left, right) of groups that are too large to sort in one task:
-    contexts of groups of `cap` at most, and row, start, end of what is known to repeat."""
+    """For contexts (key, doc_key, row, place, left, right) of groups that are too large to sort in one task:
+    contexts of groups of `cap` at most, and doc_key, row, start, end of what is known to repeat."""
     equal = ["key", "low", "high", "left", "right"]
     small = groups.where("false")
-    spans = groups.where("false").selectExpr("row", "place AS start", "place AS end")
-    groups = written(groups.selectExpr("key", "0 AS low", f"{SPAN - 1} AS high", "row", "place", "left", "right"), "group")
+    spans = groups.where("false").selectExpr(*ROW, "place AS start", "place AS end")
+    groups = written(groups.selectExpr("key", "0 AS low", f"{SPAN - 1} AS high", *ROW, "place", "left", "right"), "group")
     while not groups.isEmpty():
         each = halves(groups)
-        kinds = written(each.groupBy(equal).agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("first")), "kinds")
+        kinds = written(each.groupBy(equal).agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "place")).alias("first")), "kinds")
         hits = each.join(kinds.where("n > 1").select(equal), equal)
         least, most = f"greatest(low, {SPAN - 1} - octet_length(right))", "least(high, octet_length(left))"
-        spans = spans.unionByName(hits.selectExpr("row", f"place - {most} AS start", f"place - {least} + {LENGTH} AS end"))
+        spans = spans.unionByName(hits.selectExpr(*ROW, f"place - {most} AS start", f"place - {least} + {LENGTH} AS end"))
         sizes = kinds.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
         rest = written(kinds.join(sizes, "key").select("key", "low", "high", "first.*", "left", "right", "size"), "group")
         small = small.unionByName(rest.where(F.col("size") <= cap).select(small.columns))
@@ -430,12 +437,12 @@ def divided(groups: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
 
 
 def repeated_spans(docs: DataFrame, cap: int = CAP, one_in: int = ONE_IN, least: int = LEAST) -> DataFrame:
-    """row (hash of doc_id and text), start, end: spans of bytes, overlapping ones included."""
+    """doc_key, row (doc_id and a hash of it and the text), start, end: spans of bytes, overlapping ones included."""
     small_batches(docs.sparkSession)
     hot = frequent(docs, one_in, least)
     found = written(classified(dealt(all_anchors(docs), hot)), "anchors")
-    whole = found.where("whole").selectExpr("row", f"place - {SPAN - 1} AS start", f"place + {LENGTH} AS end")
-    shown = found.where("shown").select("row", "place", "key").unionByName(hot.where("context IS NOT NULL").select("row", "place", "key"))
+    whole = found.where("whole").selectExpr(*ROW, f"place - {SPAN - 1} AS start", f"place + {LENGTH} AS end")
+    shown = found.where("shown").select(*ROW, "place", "key").unionByName(hot.where("context IS NOT NULL").select(*ROW, "place", "key"))
     bytes_of = written(contexts(docs, shown), "contexts")
     counts = bytes_of.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     large = written(counts.where(F.col("n") > cap).select("key"), "large-groups")
@@ -444,28 +451,31 @@ def repeated_spans(docs: DataFrame, cap: int = CAP, one_in: int = ONE_IN, least:
     return whole.unionByName(spans_by_suffix_array(small.unionByName(parts))).unionByName(equal)
 
 
-def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (what is left, as bytes)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
-    own = spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # within one text
+def removed(docs: DataFrame, spans: DataFrame, with_kept: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (what is left, as bytes)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    schema = schema.append(pa.field("kept", pa.binary())) if with_kept else schema
+    own = spans.groupBy(*ROW).agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # within one text
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             rows = []
             for text, found in zip(texts(b), b.column("spans"), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                pairs = found.as_py() or []
-                starts, ends = merged(np.array([max(0, x["start"]) for x in pairs], np.int64), np.array([min(len(data), x["end"]) for x in pairs], np.int64))
-                cuts = [0, *np.stack([starts, ends], 1).ravel().tolist(), len(data)]
-                kept = b"".join(data[cuts[i] : cuts[i + 1]] for i in range(0, len(cuts), 2))
-                rows.append((len(data), len(data) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept))
+                kept, n = data, 0
+                if found.is_valid:
+                    starts, ends = (found.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
+                    starts, ends = merged(np.maximum(starts, 0), np.minimum(ends, len(data)))
+                    cuts, n = [0, *np.stack([starts, ends], 1).ravel().tolist(), len(data)], len(starts)
+                    kept = b"".join(data[cuts[i] : cuts[i + 1]] for i in range(0, len(cuts), 2))
+                rows.append((len(data), len(data) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept)[: len(schema) - 1])
             yield from batches(schema, [[b.column("doc_id"), *map(list, zip(*rows, strict=True))]] if rows else [])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row_hash()).join(own, "row", "left")
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_row_key()).join(own, ROW, "left")
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
+    return rows.select("doc_id", "text", "spans").mapInArrow(run, out)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    spans = written(repeated_spans(docs), "spans")
-    return removed(docs, spans).drop("kept")
+    return removed(docs, written(repeated_spans(docs), "spans"), with_kept=False)
