@@ -1,7 +1,10 @@
 """Operators against brute force on small tables with nulls, ties, repeated rows and odd texts."""
 
+import base64
 import collections
+import gzip
 import hashlib
+import io
 import random
 
 import numpy as np
@@ -90,15 +93,31 @@ def test_sharding(docs, none):
     assert sharding.shards_of(none).count() == 0
 
 
-def test_warc_round_trip(spark, tmp_path):
-    rows = [(3, "http://a/x y", "<p>é</p>"), (1, "http://b", "<p>é</p>"), (2, None, None), (5, "http://c\r\n", ""), (4, "http://d", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n"), (6, "u", "z" * 300_000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
-    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages, records_per_file=2).collect()}
-    size = lambda i: len((dict((a, c) for a, _, c in rows)[i] or "").encode())
-    assert got == {1: (size(1), "response", None), 2: (0, "response", None), 3: (size(3), "revisit", 1), 4: (size(4), "response", None), 5: (0, "revisit", 2), 6: (300_000, "response", None)}
+def test_warc_round_trip(spark):
+    rows = [
+        (3, "http://a/x y", "<p>é</p>"), (1, "http://b", "<p>é</p>"), (2, None, None), (5, "http://c\r\n", ""), (4, "http://d", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n"),
+        (6, "u", "z" * 300_000), (7, "big", "".join(random.Random(1).choices("abcdefgh", k=3_000_000))),
+    ]
+    pages = spark.createDataFrame([(*x, "extra") for x in rows], "page_id long, url string, html string, first string").repartition(2)
+    got = {r.page_id: r for r in warc.round_trip(pages, records_per_file=2).collect()}
+    html = {i: (h or "").encode() for i, _, h in rows}
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("response", None), 2: ("response", None), 3: ("revisit", 1), 4: ("response", None), 5: ("revisit", 2), 6: ("response", None), 7: ("response", None)}
+    assert all(r.payload_bytes == len(html[i]) and r.payload_digest == base64.b32encode(hashlib.sha1(html[i]).digest()).decode() for i, r in got.items())
+    assert {i: r.url for i, r in got.items()} == {1: "http://b", 2: "about:blank", 3: "http://a/x%20y", 4: "http://d", 5: "http://c%0D%0A".replace("%0D%0A", "%20%20"), 6: "u", 7: "big"}
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_inflating_members_and_cut_streams():
+    data = bytes(range(256)) * 3000
+    whole = gzip.compress(data[:1000]) + gzip.compress(b"") + gzip.compress(data)
+    assert b"".join(warc.inflated(io.BytesIO(whole))) == data[:1000] + data
+    assert list(warc.inflated(io.BytesIO(b""))) == []
+    with pytest.raises(ValueError):
+        list(warc.inflated(io.BytesIO(whole[:-9])))
+    with pytest.raises(ValueError):
+        list(warc.members(io.BytesIO(gzip.compress(b"WARC/1.1\r\ncontent-length: 9\r\n\r\nabc")), io.BytesIO()))
+
+
 def test_pii(docs, none):
     found = {r.doc_id: r.spans for r in pii.report(docs).collect()}
     assert found[21] == "phone:5:22" and found[13] == "" and found[17] == ""
@@ -156,21 +175,73 @@ def test_bpe_matches_the_library(docs):
         want = library.encode(t, add_special_tokens=False).ids
         for piece in (1 << 16, 61):
             assert [i for part in bpe.encoded(t, v, piece) for i in part] == want
+    r, parts = random.Random(4), ["a", "b", " ", "  ", "\n", "'s", "'l", "l", "'re", "é", "😀", "12", "!", "-", "the", "<|endoftext|>", "<|endo", "aaaa", "    "]
+    for _ in range(600):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 50)))
+        want = library.encode(t, add_special_tokens=False).ids
+        assert all([i for part in bpe.encoded(t, v, piece) for i in part] == want for piece in (1, 7, 1 << 16))
     got = {r.doc_id: r for r in bpe.digests(docs).collect()}
     assert got[19].decoded_sha256 == hashlib.sha256(dict(ROWS)[19].encode()).hexdigest() and got[13].n_tokens == 0
     assert by_row(bpe.decode(bpe.encode(docs)), "doc_id", "text") == by_row(docs.na.fill("", ["text"]), "doc_id", "text")
 
 
+def test_bpe_holds_little_of_a_word_of_any_length():
+    v, r = bpe.vocabulary(), random.Random(8)
+    assert v.lookahead < 200
+    for letters, n in (("etaoinshrdlu", 5_000_000), (" ", 1_000_000), ("-=", 300_000), ("é漢", 200_000)):
+        encoder, most, early = bpe.Encoder(v), 0, 0
+        for _ in range(n // 50_000):
+            early += len(encoder.feed("".join(r.choices(letters, k=50_000))))
+            most = max(most, len(encoder.rest) + len(encoder.tail) + len(encoder.run.held))
+        late = len(encoder.finish())
+        assert most < 4096 and late < 1300 and early > 20 * late
+
+
+def test_bpe_lookahead_is_sufficient():
+    v, r = bpe.vocabulary(), random.Random(6)
+    tokens = [b for i, b in v.bytes_of.items() if b.isalpha() and i not in v.special.values()]
+    for _ in range(400):
+        w = b"".join(r.choices(tokens, k=60))
+        short, whole = v.merged(w[: len(w) // 2]), v.merged(w)
+        end, same = 0, 0
+        for a, b in zip(short, whole):
+            if a != b:
+                break
+            end, same = end + v.size_of[a], same + 1
+        assert end >= len(w) // 2 - v.lookahead
+
+
 def test_token_counts_add_up(docs):
     total = {r.doc_id: r["sum(n_tokens)"] for r in token_counts.sections(docs).groupBy("doc_id").sum("n_tokens").collect()}
     tokens = bpe.digests(docs).groupBy("doc_id").sum("n_tokens").collect()
     assert {r.doc_id: r["sum(n_tokens)"] for r in tokens} == total
-    v, sizes = bpe.vocabulary(), np.zeros(60_000, int)
-    for i, b in bpe.vocabulary().bytes_of.items():
-        sizes[i] = len(b)
-    for rule in token_counts.RULES:
-        start, end, n, crossing = token_counts.attributed("é\n\n\n\na b\nc", v, sizes, rule)
-        assert list(start) == [0, 2, 3, 4, 5, 9] and list(end) == [2, 3, 4, 5, 9, 10] and n.sum() == len(v.encode("é\n\n\n\na b\nc")) and crossing.max() > 0
+    assert token_counts.sections(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_attribution_by_brute_force(rule):
+    v, r = bpe.vocabulary(), random.Random(5)
+    sizes = np.zeros(max(v.size_of) + 1, np.int64)
+    sizes[list(v.size_of)] = list(v.size_of.values())
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = ["é\n\n\n\na b\nc", "", "\n", "a\n", "\n\n \n", *("".join(r.choice(["\n", "\n\n", " \n ", "é", "word", " the", "😀", "  "]) for _ in range(30)) for _ in range(60))]
+    for text_ in odd:
+        data, at = text_.encode(), 0
+        bounds = [0, *[i + 1 for i, b in enumerate(data) if b == 10 and i + 1 < len(data)], len(data)]
+        spans = list(zip(bounds, bounds[1:]))
+        want, crossing = [0] * len(spans), [0] * len(spans)
+        for i in library.encode(text_, add_special_tokens=False).ids:
+            begin, end = at, at + len(v.bytes_of[i])
+            shared = [max(0, min(end, z) - max(begin, a)) for a, z in spans]
+            held = [k for k, x in enumerate(shared) if x]
+            want[held[0] if rule == "start" else max(held, key=lambda k: (shared[k], -k))] += 1
+            for k in held:
+                crossing[k] += len(held) > 1
+            at = end
+        for piece in (1 << 16, 5):
+            start, end, n, touched = token_counts.attributed(text_, v, sizes, rule, piece)
+            assert list(n) == want and list(touched) == crossing
+            assert list(start) == [len(data[:a].decode()) for a, _ in spans] and list(end) == [len(data[:z].decode()) for _, z in spans]
 
 
 def test_suffix_array():
@@ -213,11 +284,11 @@ def test_divided_groups_lose_no_string(spark, cap):
     for i in range(60):
         left, right = near(), near()
         cut = r.choice((0, 0, 0, r.randint(0, span)))
-        rows.append((r.randrange(2), i, 500, left[cut:], right if cut else right[: r.choice((span, r.randint(0, span)))]))
-    groups = spark.createDataFrame(rows, "key long, row long, place int, left binary, right binary")
+        rows.append((r.randrange(2), i, i, 500, left[cut:], right if cut else right[: r.choice((span, r.randint(0, span)))]))
+    groups = spark.createDataFrame(rows, "key long, doc_key long, row long, place int, left binary, right binary")
     small, spans = suffix_dedup.divided(groups, cap)
     assert small.groupBy("key").count().where(f"count > {cap}").isEmpty()
-    strings = {i: {(g, b, left[len(left) - b :] + right[: span - b]) for b in range(max(0, span - len(right)), len(left) + 1)} for g, i, _, left, right in rows}
+    strings = {i: {(g, b, left[len(left) - b :] + right[: span - b]) for b in range(max(0, span - len(right)), len(left) + 1)} for g, i, _, _, left, right in rows}
     counts = collections.Counter(x for own in strings.values() for x in own)
     found = suffix_dedup.spans_by_suffix_array(small).unionByName(spans).collect()
     covered = {(x.row, s) for x in found for s in range(x.start, x.end - suffix_dedup.LENGTH + 1)}
