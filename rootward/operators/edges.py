@@ -14,14 +14,22 @@ RELATIONS = {"addr_tx": ("wallet", "sends", "transaction"), "tx_addr": ("transac
 BLOCKED = ("wallet__to__wallet", "address__to__address")
 
 
-def build_edges(tables: dict[str, DataFrame], nodes: DataFrame) -> DataFrame:
-    """src_type, src, rel, dst_type, dst, edge_type; edges with an unknown end go."""
+def timed_edges(tables: dict[str, DataFrame], nodes: DataFrame) -> DataFrame:
+    """src_type, src, rel, dst_type, dst, edge_type, src_time, dst_time; edges with an unknown end go.
+
+    One join per end tells both whether the end is known and its time."""
     parts = []
     for name, (a, rel, b) in RELATIONS.items():
-        ends = lambda t, c: nodes.where(F.col("node_type") == t).select(F.col("id").alias(c))
-        kept = tables[name].join(ends(a, "src"), "src", "left_semi").join(ends(b, "dst"), "dst", "left_semi")
-        parts.append(kept.select(F.lit(a).alias("src_type"), "src", F.lit(rel).alias("rel"), F.lit(b).alias("dst_type"), "dst", F.lit(f"{a}__to__{b}").alias("edge_type")))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(tables[name].select(F.lit(a).alias("src_type"), "src", F.lit(rel).alias("rel"), F.lit(b).alias("dst_type"), "dst", F.lit(f"{a}__to__{b}").alias("edge_type")))
+    every = reduce(DataFrame.unionByName, parts)
+    known = F.when(F.col("time") >= 0, F.col("time"))
+    ends = lambda c: nodes.select(F.col("node_type").alias(f"{c}_type"), F.col("id").alias(c), known.alias(f"{c}_time"))
+    return every.join(ends("src"), ["src_type", "src"]).join(ends("dst"), ["dst_type", "dst"]).select(*every.columns, "src_time", "dst_time")
+
+
+def build_edges(tables: dict[str, DataFrame], nodes: DataFrame) -> DataFrame:
+    """src_type, src, rel, dst_type, dst, edge_type; edges with an unknown end go."""
+    return timed_edges(tables, nodes).drop("src_time", "dst_time")
 
 
 def edge_type_filter(edges: DataFrame, drop: tuple[str, ...] | None = BLOCKED, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -30,13 +38,17 @@ def edge_type_filter(edges: DataFrame, drop: tuple[str, ...] | None = BLOCKED, k
 
 
 def _timed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    if {"src_time", "dst_time"} <= set(edges.columns):
+        return edges
     times = nodes.select("id", F.when(F.col("time") >= 0, F.col("time")).alias("time"))
     found = edges.join(times.select(F.col("id").alias("src"), F.col("time").alias("src_time")), "src")
     return found.join(times.select(F.col("id").alias("dst"), F.col("time").alias("dst_time")), "dst")
 
 
 def causal_edges(edges: DataFrame, nodes: DataFrame, blocked: tuple[str, ...] | None = BLOCKED) -> DataFrame:
-    """One row per (src, dst): both ends known, type not blocked, no cause later than its effect."""
+    """One row per (src, dst): both ends known, type not blocked, no cause later than its effect.
+
+    Edges that carry the times of their ends (`timed_edges`) are not joined to nodes again."""
     late = (F.col("src_time") > F.col("dst_time")) & F.col("src_time").isNotNull() & F.col("dst_time").isNotNull()
     kept = _timed(edge_type_filter(edges, blocked), nodes).where(~F.coalesce(late, F.lit(False)))
     return kept.groupBy("src", "dst").agg(F.min("edge_type").alias("edge_type"))
@@ -62,22 +74,30 @@ def sources(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 1000) -> DataFrame:
-    """id, level: 0 without parents, else one more than the highest parent; null on or behind a cycle."""
-    left = written(nodes.select("id").distinct(), "unlevelled")
-    rest = written(edges.select("src", "dst").where("src <> dst").distinct(), "unlevelled-edges")
-    loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct()
-    done = None
-    for level in range(max_levels):
-        free = left.join(rest.select(F.col("dst").alias("id")), "id", "left_anti").join(loops, "id", "left_anti")
-        free = written(free.withColumn("level", F.lit(level)), "level")
-        if free.isEmpty():
-            break
-        done = free if done is None else done.unionByName(free)
-        left = written(left.join(free, "id", "left_anti"), "unlevelled")
-        rest = written(rest.join(free.select(F.col("id").alias("src")), "src", "left_anti"), "unlevelled-edges")
-    stuck = left.withColumn("level", F.lit(None).cast("int"))
-    return stuck if done is None else done.unionByName(stuck)
+def topological_levels(nodes: DataFrame, edges: DataFrame, every: int = 6) -> DataFrame:
+    """id, level: 0 without parents, else one more than the highest parent; null on or behind a cycle.
+
+    A round meets the edges of the nodes that became free in the last one only. What it takes
+    from in-degrees is added to a list, which is summed up for the nodes that it touches, and
+    as a whole every few rounds. Rounds end when no node becomes free, however many there are."""
+    ids = nodes.select("id").distinct()
+    pairs = written(edges.select("src", "dst").distinct(), "pairs")
+    degrees = ids.join(pairs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    left = degrees = written(degrees, "degrees")
+    free = written(degrees.where("n = 0").select("id", F.lit(0).alias("level")), "level")
+    done, level = free, 0
+    while not free.isEmpty():
+        level += 1
+        taken = pairs.join(free.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg((-F.count("*")).alias("n"))
+        taken = written(taken, "taken")
+        left = left.unionByName(taken)
+        rest = left.join(taken.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("n").alias("n"))
+        free = written(rest.where("n = 0").select("id", F.lit(level).alias("level")), "level")
+        done = done.unionByName(free)
+        if level % every == 0:
+            left = written(left.groupBy("id").agg(F.sum("n").alias("n")).where("n > 0"), "degrees")
+            done = written(done, "levels")
+    return ids.join(done, "id", "left")
 
 
 def edge_direction(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -89,12 +109,15 @@ def edge_direction(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def negative_edges(edges: DataFrame, src_nodes: DataFrame, dst_nodes: DataFrame, seed: int = 42) -> DataFrame:
-    """Edges labelled 1 and as many random pairs of their ends' types labelled 0."""
-    numbered = lambda df, c: global_ids(df.select(F.lit("").alias("node_type"), "id", "num").distinct()).select(F.col("id").alias(c), F.col("global_id").alias("_i"))
-    a, b = numbered(src_nodes, "src"), numbered(dst_nodes, "dst")
-    n_a, n_b = src_nodes.select("id").distinct().count(), dst_nodes.select("id").distinct().count()
-    keyed = edges.select(F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(max(1, n_a))).cast("long").alias("_a"), F.pmod(F.xxhash64("dst", "src", F.lit(seed + 1)), F.lit(max(1, n_b))).cast("long").alias("_b"))
-    wrong = keyed.join(a, F.col("_a") == a._i).drop("_i").join(b, F.col("_b") == b._i).select("src", "dst", F.lit(0).alias("label"))
+    """Edges labelled 1 and as many pairs of their ends' types labelled 0, drawn by an arithmetic key
+    of the edge's own numbers; a drawn pair may be an edge."""
+    numbered = lambda df: global_ids(df.select(F.lit("").alias("node_type"), "id", "num").distinct()).select("id", F.col("global_id").alias("i"))
+    a, b = written(numbered(src_nodes), "src-numbers"), written(numbered(dst_nodes), "dst-numbers")
+    n_a, n_b = a.count(), b.count()
+    own = edges.join(a.toDF("src", "_i"), "src").join(b.toDF("dst", "_j"), "dst")
+    draw = lambda p, q, n: F.pmod(F.col("_i") * F.lit(p).cast("long") + F.col("_j") * F.lit(q).cast("long") + F.lit(seed).cast("long") * 40503, F.lit(max(1, n)).cast("long"))
+    drawn = own.select(draw(7919, 104729, n_a).alias("_a"), draw(15485863, 32452843, n_b).alias("_b"))
+    wrong = drawn.join(a.toDF("src", "_a"), "_a").join(b.toDF("dst", "_b"), "_b").select("src", "dst", F.lit(0).alias("label"))
     return edges.select("src", "dst", F.lit(1).alias("label")).unionByName(wrong)
 
 

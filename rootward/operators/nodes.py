@@ -50,9 +50,12 @@ def split_counts(nodes: DataFrame) -> DataFrame:
 
 
 def latest_snapshot(rows: DataFrame, key: str, time: str | None, position: str) -> DataFrame:
-    """One row per key: the latest time, an unknown time counting as latest, then the later row."""
-    order = ([F.desc_nulls_first(time)] if time else []) + [F.desc(position)]
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rn = 1").drop("_rn")
+    """One row per key: the latest time, an unknown time counting as latest, then the later row.
+
+    An aggregate, which combines before the shuffle, so a key with many rows is no task of its own."""
+    order = ([F.col(time).isNull().alias("unknown"), F.col(time).alias("time")] if time else []) + [F.col(position).alias("position")]
+    best = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("row"))
+    return best.select("row.*")
 
 
 def connected(addr_tx: DataFrame, tx_addr: DataFrame, addr_addr: DataFrame | None = None) -> DataFrame:
@@ -90,6 +93,18 @@ def labelled_neighbourhood(txs: DataFrame, tx_tx: DataFrame) -> DataFrame:
     return own.union(after).union(before).distinct().join(txs.select("id"), "id", "left_semi")
 
 
+#: Which ends of each edge table are transactions.
+TX_ENDS = {"addr_tx": ("dst",), "tx_addr": ("src",), "tx_tx": ("src", "dst"), "addr_addr": ()}
+
+
+def restricted_tables(tables: dict[str, DataFrame], kept: DataFrame) -> dict[str, DataFrame]:
+    """The edge tables without edges of transactions that are not kept."""
+    found = {}
+    for name, ends in TX_ENDS.items():
+        found[name] = reduce(lambda t, end: t.join(kept.select(F.col("id").alias(end)), end, "left_semi"), ends, tables[name]).select("src", "dst")
+    return found
+
+
 def wallet_subgraph(addr_tx: DataFrame, tx_addr: DataFrame, addr_addr: DataFrame, txs: DataFrame, hops: int = 2) -> DataFrame:
     """Wallets of labelled transactions, then up to hops - 1 wallet links further; id, hop."""
     own = txs.where("labelled").select("id")
@@ -102,17 +117,25 @@ def wallet_subgraph(addr_tx: DataFrame, tx_addr: DataFrame, addr_addr: DataFrame
     return frontier_loop(start, step, ["id"], hops - 1).select("id", (F.col("hop") + 1).alias("hop"))
 
 
-def global_ids(nodes: DataFrame, buckets: int = 1024) -> DataFrame:
-    """Dense ids: types by name, within a type by num; no task sees more than a bucket of num."""
-    bucket = F.pmod(F.floor(F.col("num") / 1000), F.lit(2**40)).cast("long")
-    ranged = nodes.select("node_type", "id", "num", bucket.alias("_bucket"))
-    sizes = ranged.groupBy("node_type", "_bucket").agg(F.count("*").alias("_rows"))
-    # One row per type and thousand numbers: the running sum goes over a thousandth of the nodes.
-    before = sizes.select("node_type", "_bucket", (F.sum("_rows").over(Window.orderBy("node_type", "_bucket")) - F.col("_rows")).alias("_before"))
+def global_ids(nodes: DataFrame) -> DataFrame:
+    """Dense ids: types by name, within a type by num. Sizes are added up over ranges of a thousand
+    numbers and over ranges of a thousand such ranges; one task adds up the latter."""
+    bucket = F.floor(F.col("num") / 1000).cast("long")
+    ranged = nodes.select("node_type", "id", "num", bucket.alias("_bucket"), F.floor(bucket / 1000).cast("long").alias("_shelf"))
+    sizes = ranged.groupBy("node_type", "_shelf", "_bucket").agg(F.count("*").alias("_rows"))
+    shelves = sizes.groupBy("node_type", "_shelf").agg(F.sum("_rows").alias("_shelf_rows"))
+    above = shelves.select("node_type", "_shelf", (F.sum("_shelf_rows").over(Window.orderBy("node_type", "_shelf")) - F.col("_shelf_rows")).alias("_above"))
+    on_shelf = F.sum("_rows").over(Window.partitionBy("node_type", "_shelf").orderBy("_bucket")) - F.col("_rows")
+    before = sizes.select("node_type", "_shelf", "_bucket", on_shelf.alias("_on_shelf")).join(above, ["node_type", "_shelf"]).select("node_type", "_bucket", (F.col("_above") + F.col("_on_shelf")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("node_type", "_bucket").orderBy("num", "id")) - 1
     return ranged.withColumn("_in", inside).join(before, ["node_type", "_bucket"]).select("node_type", "id", (F.col("_before") + F.col("_in")).alias("global_id"))
 
 
+def decode_ids(rows: DataFrame, ids: DataFrame, column: str = "global_id") -> DataFrame:
+    """rows with node_type and id of the global id in `column`; unknown ids give null."""
+    return rows.join(ids.select(F.col("global_id").alias(column), "node_type", "id"), column, "left")
+
+
 def node_times(nodes: DataFrame) -> DataFrame:
     return nodes.where("time >= 0").select("node_type", "id", "time")
 

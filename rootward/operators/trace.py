@@ -2,7 +2,8 @@
 
 effects has src (cause), dst (effect) and ce; targets has target. Chains are rows
 (target, chain, depth, root) with chain an array from the target to the root. Ties break
-by score, then by id. Frontiers carry their chains, so no predecessor has to be looked up."""
+by score, then by id. Where a target reaches many nodes, rows hold the node before (`via`)
+and no chain; the chains of the chosen ends are put together once, in the end."""
 
 from __future__ import annotations
 
@@ -69,24 +70,44 @@ def trace_greedy(targets: DataFrame, effects: DataFrame, max_hops: int = MAX_HOP
     return chain_rows(state)
 
 
-def trace_scored(targets: DataFrame, scores: DataFrame, max_hops: int = MAX_HOPS, threshold: float = 0.0) -> DataFrame:
-    """Greedy with a score per (target, child, parent) of the caller's."""
+def trace_scored(
+    targets: DataFrame, scores: DataFrame, max_hops: int = MAX_HOPS, threshold: float = 0.0, preferred: DataFrame | None = None, ahead: DataFrame | None = None
+) -> DataFrame:
+    """Greedy with a score per (target, child, parent) of the caller's, which threshold and tiers
+    (of `preferred` ids, then of ids `ahead`) go by."""
     _checked(max_hops, threshold)
-    best = scores.groupBy("target", F.col("child").alias("at")).agg(F.min_by(F.struct("parent", "score"), F.struct(-F.col("score"), F.col("parent"))).alias("b"))
+    rows = scores.select("target", F.col("child").alias("at"), "parent", "score")
+    tier: Column = F.lit(3)
+    if preferred is not None:
+        strong = F.col("score") >= threshold
+        rows = rows.join(preferred.select(F.col("id").alias("parent")).distinct().withColumn("_own", F.lit(True)), "parent", "left")
+        tier = F.when(strong & F.col("_own").isNotNull(), 1)
+        if ahead is not None:
+            rows = rows.join(ahead.select(F.col("id").alias("parent")).distinct().withColumn("_ahead", F.lit(True)), "parent", "left")
+            tier = tier.when(strong & F.col("_ahead").isNotNull(), 2)
+        tier = tier.otherwise(3)
+    best = rows.groupBy("target", "at").agg(F.min_by(F.struct("parent", "score"), F.struct(tier, -F.col("score"), F.col("parent"))).alias("b"))
     best = written(best.select("target", "at", "b.parent", "b.score").where(F.col("score") >= threshold), "best-scored")
     state = targets.select("target", F.col("target").alias("at"), F.array("target").alias("chain"))
     ended = None
     for _ in range(max_hops):
-        ahead = written(state.join(best, ["target", "at"], "left"), "traces")
+        step = written(state.join(best, ["target", "at"], "left"), "traces")
         ok = F.col("parent").isNotNull() & ~F.array_contains("chain", F.col("parent"))
-        stop = ahead.where(~F.coalesce(ok, F.lit(False))).select("target", "chain")
+        stop = step.where(~F.coalesce(ok, F.lit(False))).select("target", "chain")
         ended = stop if ended is None else ended.unionByName(stop)
-        state = ahead.where(ok).select("target", F.col("parent").alias("at"), F.array_append("chain", F.col("parent")).alias("chain"))
+        state = step.where(ok).select("target", F.col("parent").alias("at"), F.array_append("chain", F.col("parent")).alias("chain"))
         if state.isEmpty():
             return chain_rows(ended)
     return chain_rows(ended.unionByName(state.select("target", "chain")))
 
 
+def trace_by_type(targets: DataFrame, nodes: DataFrame, primary: str, scores: DataFrame, effects: DataFrame, max_hops: int = MAX_HOPS, threshold: float = THRESHOLD, **tiers) -> DataFrame:
+    """trace_scored for targets of the primary type; the caller's scores do not speak of others, which go by |ce|."""
+    own = targets.join(nodes.where(F.col("node_type") == primary).select(F.col("id").alias("target")), "target", "left_semi")
+    other = targets.join(own, "target", "left_anti")
+    return trace_scored(own, scores, max_hops, threshold, **tiers).unionByName(trace_greedy(other, effects, max_hops, threshold, **tiers))
+
+
 def _strong(effects: DataFrame, threshold: float) -> DataFrame:
     return written(effects.where(F.abs("ce") >= threshold).select(F.col("dst").alias("at"), F.col("src").alias("parent"), F.abs("ce").alias("w")), "strong-edges")
 
@@ -118,21 +139,82 @@ def trace_topk(targets: DataFrame, effects: DataFrame, k: int, max_hops: int = M
 def dead_leaves(effects: DataFrame, threshold: float) -> DataFrame:
     """ids of causes that have no parent at the threshold themselves."""
     strong = effects.where(F.abs("ce") >= threshold)
-    return strong.select(F.col("src").alias("id")).distinct().join(strong.select(F.col("dst").alias("id")), "id", "left_anti")
+    return effects.select(F.col("src").alias("id")).distinct().join(strong.select(F.col("dst").alias("id")), "id", "left_anti")
+
+
+def path_to(ends: DataFrame, pointers: DataFrame, every: int = 4) -> DataFrame:
+    """target, chain: from the target to each end (target, at), back along pointers (target, at, via).
+
+    `via` is null at the target itself. A pointer loop, which costs above 0 rule out, would end its chain."""
+    back = pointers.where("via IS NOT NULL").select("target", "at", "via")
+    state = ends.select("target", "at", F.array("at").alias("chain"))
+    hop = 0
+    while True:
+        step = state.join(back, ["target", "at"], "left")
+        ok = F.col("via").isNotNull() & ~F.array_contains("chain", F.col("via"))
+        state = step.select("target", F.when(ok, F.col("via")).alias("at"), F.when(ok, F.array_prepend("chain", F.col("via"))).otherwise(F.col("chain")).alias("chain"))
+        hop += 1
+        if hop % every == 0:
+            state = written(state, "paths")
+            if state.where("at IS NOT NULL").isEmpty():
+                return state.select("target", "chain")
+
+
+def _with_ends(targets: DataFrame, chains: DataFrame) -> DataFrame:
+    """Chain rows of all targets; the target alone where there is no chain."""
+    return chain_rows(targets.select("target").distinct().join(chains, "target", "left").select("target", F.coalesce("chain", F.array("target")).alias("chain")))
+
+
+def _ranked_ends(reached: DataFrame, effects: DataFrame, threshold: float, preferred: DataFrame | None) -> DataFrame:
+    """reached with tier: dead leaves of a preferred type, dead leaves, nodes of a preferred type, all others."""
+    leaves = dead_leaves(effects, threshold).select(F.col("id").alias("at")).withColumn("_leaf", F.lit(0))
+    found = reached.join(leaves, "at", "left")
+    tier = F.coalesce("_leaf", F.lit(2))
+    if preferred is not None:
+        found = found.join(preferred.select(F.col("id").alias("at")).distinct().withColumn("_own", F.lit(0)), "at", "left")
+        tier = tier + F.coalesce("_own", F.lit(1))
+    return found.withColumn("tier", tier)
 
 
 def trace_best_path(targets: DataFrame, effects: DataFrame, max_hops: int = MAX_HOPS, threshold: float = THRESHOLD, objective: str = "product", preferred: DataFrame | None = None) -> DataFrame:
     """The cheapest path of at most max_hops edges to the best end: cost -ln |ce| or -|ce| per
-    edge. Ends: dead leaves of a preferred type, then dead leaves, then any node reached."""
+    edge. Ends: dead leaves of a preferred type, then dead leaves, then any node reached, of a
+    preferred type first. Equal costs: the path over the smaller node, the smaller end."""
     _checked(max_hops, threshold)
+    if objective != "product":
+        return _heaviest_path(targets, effects, max_hops, threshold, preferred)
+    edges = _strong(effects, threshold).withColumn("cost", -F.log(F.greatest("w", F.lit(EPS))))
+    newest = written(targets.select("target", F.col("target").alias("at"), F.lit(None).cast("string").alias("via"), F.lit(0.0).alias("total")).distinct(), "settled")
+    known = newest
+    for hop in range(1, max_hops + 1):
+        step = newest.join(edges, "at").select("target", F.col("parent").alias("at"), F.col("at").alias("via"), F.round(F.col("total") + F.col("cost"), 12).alias("total"))
+        best = step.groupBy("target", "at").agg(F.min(F.struct("total", "via")).alias("b")).select("target", "at", "b.via", "b.total")
+        old = known.groupBy("target", "at").agg(F.min("total").alias("_old"))
+        newest = written(best.join(old, ["target", "at"], "left").where("_old IS NULL OR total < _old - 1e-12").drop("_old"), "improved")
+        if newest.isEmpty():
+            break
+        # Improvements are added; what they replace goes when rows are reduced every few rounds.
+        known = known.unionByName(newest)
+        if hop % 4 == 0:
+            known = written(_cheapest(known), "settled")
+    pointers = written(_cheapest(known), "settled")
+    ends = _ranked_ends(pointers.where("at <> target"), effects, threshold, preferred)
+    chosen = ends.groupBy("target").agg(F.min(F.struct("tier", F.round("total", 9), "at")).alias("b")).select("target", "b.at")
+    return _with_ends(targets, path_to(chosen, pointers))
+
+
+def _cheapest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("target", "at").agg(F.min_by(F.struct("via", "total"), "total").alias("b")).select("target", "at", "b.via", "b.total")
+
+
+def _heaviest_path(targets: DataFrame, effects: DataFrame, max_hops: int, threshold: float, preferred: DataFrame | None) -> DataFrame:
+    """Costs below 0 would go round in circles, so rows carry their chains here, and no node comes twice."""
     edges = _strong(effects, threshold)
-    cost = -F.log(F.greatest("w", F.lit(EPS))) if objective == "product" else -F.col("w")
-    edges = edges.withColumn("cost", cost)
     settled = targets.select("target", F.col("target").alias("at"), F.array("target").alias("chain"), F.lit(0.0).alias("total"))
     newest = settled = written(settled, "settled")
     for _ in range(max_hops):
         ahead = newest.join(edges, "at").where(~F.array_contains("chain", F.col("parent")))
-        ahead = ahead.select("target", F.col("parent").alias("at"), F.array_append("chain", F.col("parent")).alias("chain"), F.round(F.col("total") + F.col("cost"), 12).alias("total"))
+        ahead = ahead.select("target", F.col("parent").alias("at"), F.array_append("chain", F.col("parent")).alias("chain"), F.round(F.col("total") - F.col("w"), 9).alias("total"))
         best = ahead.groupBy("target", "at").agg(F.min(F.struct("total", "chain")).alias("b")).select("target", "at", "b.total", "b.chain")
         old = settled.select("target", "at", F.col("total").alias("_old"))
         better = best.join(old, ["target", "at"], "left").where("_old IS NULL OR total < _old - 1e-12").select("target", "at", "chain", "total")
@@ -140,42 +222,37 @@ def trace_best_path(targets: DataFrame, effects: DataFrame, max_hops: int = MAX_
         if newest.isEmpty():
             break
         settled = written(settled.join(newest, ["target", "at"], "left_anti").unionByName(newest), "settled")
-    leaves = dead_leaves(effects, threshold).select(F.col("id").alias("at")).withColumn("_leaf", F.lit(True))
-    ends = settled.where("at <> target").join(leaves, "at", "left")
-    tier = F.when(F.col("_leaf"), F.lit(2)).otherwise(3)
-    if preferred is not None:
-        ends = ends.join(preferred.select(F.col("id").alias("at")).distinct().withColumn("_own", F.lit(True)), "at", "left")
-        tier = F.when(F.col("_leaf") & F.col("_own"), F.lit(1)).when(F.col("_leaf"), 2).otherwise(3)
-    chosen = ends.groupBy("target").agg(F.min(F.struct(tier.alias("tier"), "total", "at", "chain")).alias("b")).select("target", "b.chain")
-    return chain_rows(targets.select("target").join(chosen, "target", "left").select("target", F.coalesce("chain", F.array("target")).alias("chain")))
+    ends = _ranked_ends(settled.where("at <> target"), effects, threshold, preferred)
+    return _with_ends(targets, ends.groupBy("target").agg(F.min(F.struct("tier", "total", "at", "chain")).alias("b")).select("target", "b.chain"))
 
 
 def trace_bfs(targets: DataFrame, effects: DataFrame, max_hops: int = MAX_HOPS, threshold: float = THRESHOLD, preferred: DataFrame | None = None) -> DataFrame:
-    """Fewest hops to a dead leaf (of a preferred type, if any are given); else the deepest node."""
+    """Fewest hops, over edges of any effect, to a dead leaf (of a preferred type, if any are given);
+    else the deepest node. Equal hops: the smaller id, over the smaller node before it."""
     _checked(max_hops, threshold)
-    edges = _strong(effects, threshold)
+    edges = written(effects.select(F.col("dst").alias("at"), F.col("src").alias("parent")).distinct(), "edges")
     leaves = dead_leaves(effects, threshold)
     if preferred is not None:
         leaves = leaves.join(preferred.select("id").distinct(), "id", "left_semi")
     leaves = written(leaves.select(F.col("id").alias("at")), "ends")
-    seen = newest = written(targets.select("target", F.col("target").alias("at"), F.array("target").alias("chain")), "seen")
-    ended, deepest = None, seen.select("target", "chain")
-    for _ in range(max_hops):
-        ahead = newest.join(edges, "at").select("target", F.col("parent").alias("at"), F.array_append("chain", F.col("parent")).alias("chain"))
-        ahead = ahead.join(seen.select("target", "at"), ["target", "at"], "left_anti")
-        newest = written(ahead.groupBy("target", "at").agg(F.min("chain").alias("chain")), "newest")
+    newest = written(targets.select("target", F.col("target").alias("at"), F.lit(None).cast("string").alias("via"), F.lit(0).alias("hop")).distinct(), "seen")
+    seen, ended = newest, None
+    for hop in range(1, max_hops + 1):
+        step = newest.join(edges, "at").select("target", F.col("parent").alias("at"), F.col("at").alias("via"))
+        first = step.groupBy("target", "at").agg(F.min("via").alias("via"))
+        newest = written(first.join(seen.select("target", "at"), ["target", "at"], "left_anti").withColumn("hop", F.lit(hop)), "newest")
         if newest.isEmpty():
             break
-        hit = newest.join(leaves, "at", "left_semi").groupBy("target").agg(F.min_by("chain", "at").alias("chain"))
+        seen = seen.unionByName(newest)
+        if hop % 4 == 0:
+            seen = written(seen, "seen")
+        hit = newest.join(leaves, "at", "left_semi").groupBy("target").agg(F.min("at").alias("at"))
+        hit = written(hit, "ended")
         ended = hit if ended is None else ended.unionByName(hit)
-        ended = written(ended, "ended")
-        level = newest.groupBy("target").agg(F.min_by("chain", "at").alias("chain"))
-        deepest = written(deepest.join(level, "target", "left_anti").unionByName(level), "deepest")
-        newest = newest.join(ended, "target", "left_anti")
-        seen = written(seen.unionByName(newest), "seen")
-    if ended is None:
-        return chain_rows(deepest)
-    return chain_rows(deepest.join(ended, "target", "left_anti").unionByName(ended))
+        newest = newest.join(hit, "target", "left_anti")
+    deepest = seen.where("hop > 0").groupBy("target").agg(F.min_by("at", F.struct(-F.col("hop"), F.col("at"))).alias("at"))
+    chosen = deepest if ended is None else deepest.join(ended, "target", "left_anti").unionByName(ended)
+    return _with_ends(targets, path_to(chosen, seen))
 
 
 def trace_dfs(targets: DataFrame, effects: DataFrame, max_hops: int = MAX_HOPS, threshold: float = THRESHOLD) -> DataFrame:

@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rootward.functions.tables import written
 from rootward.operators import edges as E
 from rootward.operators import nodes as N
 
@@ -70,15 +71,21 @@ class Graph:
         wallets = self.wallets.join(funded, "id", "left").select(F.lit("wallet").alias("node_type"), "id", "num", "time", "class")
         txs = self.tx.select(F.lit("transaction").alias("node_type"), "id", "num", "time", "class")
         both = txs.unionByName(wallets)
-        return both.select("*", F.when(F.col("class") == 1, 1).otherwise(0).alias("y"), F.col("class").isin(1, 2).alias("labelled"))
+        # Written, as edges meet them at both ends and funding times are an aggregate.
+        return written(both.select("*", F.when(F.col("class") == 1, 1).otherwise(0).alias("y"), F.col("class").isin(1, 2).alias("labelled")), "nodes")
+
+    @cached_property
+    def timed(self) -> DataFrame:
+        return E.timed_edges(self.tables, self.nodes)
 
     @cached_property
     def edges(self) -> DataFrame:
-        return E.build_edges(self.tables, self.nodes)
+        return self.timed.drop("src_time", "dst_time")
 
     @cached_property
     def causal(self) -> DataFrame:
-        return E.causal_edges(self.edges, self.nodes)
+        """Written once per graph: traces, effects and scans all read it."""
+        return written(E.causal_edges(self.timed, self.nodes), "causal")
 
     @cached_property
     def effects(self) -> DataFrame:
@@ -124,3 +131,11 @@ def sql(query: str, **more: str) -> str:
     """query behind the common tables; more adds tables of its own, in order."""
     parts = CTES | more
     return "WITH RECURSIVE " + ",\n".join(f"{k} AS ({v})" for k, v in parts.items()) + "\n" + query
+
+
+def keyed(text: str, **tables: str) -> str:
+    """text with recursive tables that hold one row per key, the latest: name="columns | key columns"."""
+    for name, spec in tables.items():
+        columns, key = spec.split(" | ")
+        text = text.replace(f"\n{name} AS (", f"\n{name}({columns}) USING KEY ({key}) AS (")
+    return text

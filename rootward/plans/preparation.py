@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootward.functions.registry import registry
 from rootward.operators import edges as E
 from rootward.operators import nodes as N
-from rootward.plans.fixture import SCORE, Graph, sql
+from rootward.plans.fixture import SCORE, Graph, keyed, sql
 
 QUERIES, ORACLES, query = registry(Graph)
 
@@ -86,11 +88,27 @@ def _(g: Graph) -> DataFrame:
 _LAB = "SELECT id FROM tx WHERE class IN (1, 2)"
 
 
-@query("b10_labelled_neighbourhood", sql(f"SELECT id FROM lab UNION SELECT dst FROM tx_tx WHERE src IN (SELECT id FROM lab) UNION SELECT src FROM tx_tx WHERE dst IN (SELECT id FROM lab)", lab=_LAB))
+_KEPT = "SELECT id FROM lab UNION SELECT dst FROM tx_tx WHERE src IN (SELECT id FROM lab) UNION SELECT src FROM tx_tx WHERE dst IN (SELECT id FROM lab)"
+
+
+@query("b10_labelled_neighbourhood", sql("SELECT id FROM kept", lab=_LAB, kept=_KEPT))
 def _(g: Graph) -> DataFrame:
     return N.labelled_neighbourhood(g.nodes.where("node_type = 'transaction'"), g.tables["tx_tx"])
 
 
+@query(
+    "b10_restricted_tables",
+    sql(
+        "SELECT 'addr_tx' AS name, src, dst FROM addr_tx WHERE dst IN (SELECT id FROM kept) UNION ALL SELECT 'tx_addr', src, dst FROM tx_addr WHERE src IN (SELECT id FROM kept) UNION ALL SELECT 'tx_tx', src, dst FROM tx_tx WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept) UNION ALL SELECT 'addr_addr', src, dst FROM addr_addr",
+        lab=_LAB, kept=_KEPT,
+    ),
+)
+def _(g: Graph) -> DataFrame:
+    kept = N.labelled_neighbourhood(g.nodes.where("node_type = 'transaction'"), g.tables["tx_tx"])
+    parts = [t.select(F.lit(name).alias("name"), "src", "dst") for name, t in N.restricted_tables(g.tables, kept).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "b11_seed_wallet_subgraph",
     sql(
@@ -112,6 +130,12 @@ def _(g: Graph) -> DataFrame:
     return N.global_ids(g.nodes)
 
 
+@query("b12_decode_ids", sql("SELECT k AS global_id, node_type, id FROM (SELECT row_number() OVER (ORDER BY node_type, num) - 1 AS k, node_type, id FROM nodes)"))
+def _(g: Graph) -> DataFrame:
+    ids = N.global_ids(g.nodes)
+    return N.decode_ids(ids.select("global_id"), ids)
+
+
 @query("b13_node_timestamps", sql("SELECT node_type, id, time FROM nodes WHERE time >= 0"))
 def _(g: Graph) -> DataFrame:
     return N.node_times(g.nodes)
@@ -201,11 +225,14 @@ def _(g: Graph) -> DataFrame:
     return every.select("id", F.coalesce("n_parents", F.lit(0)).alias("n_parents"), F.coalesce("n_children", F.lit(0)).alias("n_children"), F.coalesce("_free", F.lit(False)).alias("is_source"))
 
 
-@query("c5_topological_level")
+#: Levels by taking off nodes without parents: rows of a round are those that it touches, `recurring` holds all.
+LEVELS = """SELECT n.id, coalesce(k, 0) AS rest, CASE WHEN coalesce(k, 0) = 0 THEN 0 END AS level FROM nodes n LEFT JOIN (SELECT dst, count(*) AS k FROM causal GROUP BY dst) d ON d.dst = n.id
+    UNION SELECT r.id, r.rest - t.k, CASE WHEN r.rest = t.k THEN t.level + 1 END FROM (SELECT c.dst, count(*) AS k, max(l.level) AS level FROM levels l JOIN causal c ON c.src = l.id WHERE l.rest = 0 GROUP BY c.dst) t JOIN recurring.levels r ON r.id = t.dst"""
+
+
+@query("c5_topological_level", keyed(sql("SELECT id, CAST(level AS INTEGER) AS level FROM levels", levels=LEVELS), levels="id, rest, level | id"))
 def _(g: Graph) -> DataFrame:
-    strong = g.effects.where("abs(ce) >= 0.8").select("src", "dst")
-    nodes = strong.select(F.col("src").alias("id")).union(strong.select("dst")).distinct()
-    return E.topological_levels(nodes, strong)
+    return E.topological_levels(g.nodes, g.causal)
 
 
 @query(
@@ -223,9 +250,15 @@ def _(g: Graph) -> DataFrame:
     return E.edge_direction(made.union(flows).distinct(), g.edges)
 
 
-@query("c7_negative_edges", sql("SELECT label, count(*) AS n FROM (SELECT 1 AS label FROM tx_addr UNION ALL SELECT 0 FROM tx_addr) GROUP BY label"))
+@query(
+    "c7_negative_edges",
+    sql(
+        "SELECT src, dst, 1 AS label FROM tx_addr UNION ALL SELECT x.id, y.id, 0 FROM (SELECT (a.i * 7919 + b.i * 104729 + 42 * 40503) % (SELECT count(*) FROM a) AS p, (a.i * 15485863 + b.i * 32452843 + 42 * 40503) % (SELECT count(*) FROM b) AS q FROM tx_addr e JOIN a ON a.id = e.src JOIN b ON b.id = e.dst) d JOIN a x ON x.i = d.p JOIN b y ON y.i = d.q",
+        a="SELECT id, row_number() OVER (ORDER BY num) - 1 AS i FROM tx", b="SELECT id, row_number() OVER (ORDER BY num) - 1 AS i FROM wallets",
+    ),
+)
 def _(g: Graph) -> DataFrame:
-    return E.negative_edges(g.tables["tx_addr"], g.tx, g.wallets).groupBy("label").agg(F.count("*").alias("n"))
+    return E.negative_edges(g.tables["tx_addr"], g.tx, g.wallets)
 
 
 INDEGREE = "SELECT n.id, n.node_type, coalesce(k, 0) AS indegree FROM nodes n LEFT JOIN (SELECT dst, count(*) AS k FROM edges WHERE rel IN ('sends', 'pays') GROUP BY dst) d ON d.dst = n.id"

@@ -17,7 +17,7 @@ from rootward.operators import trace as T
 from rootward.plans.analytics import BASE
 from rootward.plans.fixture import NUM, Graph, sql
 from rootward.plans.preparation import split
-from rootward.plans.tracing import _BEAM, LAST, PATH_HOPS, STRONG, WALK, greedy
+from rootward.plans.tracing import _BEAM, HOPS, LAST, PATH_THRESHOLD, WALK, greedy
 
 QUERIES, ORACLES, query = registry(Graph)
 
@@ -335,5 +335,5 @@ def _(g: Graph) -> DataFrame:
 )
 def _(g: Graph) -> DataFrame:
     scored = A.readout(g.targets, g.causal, features(g), OWN, NEAR, BIAS)
-    found = A.explain_targets(g.targets, scored, A.phi_additive(g.causal, g.effects), T.trace_topk(g.targets, g.effects, 3, PATH_HOPS, STRONG))
+    found = A.explain_targets(g.targets, scored, A.phi_additive(g.causal, g.effects), T.trace_topk(g.targets, g.effects, 3, HOPS, PATH_THRESHOLD))
     return found.select("target", "rank", F.concat_ws("|", "chain").alias("chain"), "score", F.round("p", 9).alias("p"), "n", (F.round("phi_sum", 9) + 0.0).alias("phi_sum"))
