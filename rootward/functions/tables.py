@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,22 @@ def frontier_loop(
     return known
 
 
+def running_sums(rows: DataFrame, by: list[str], part: str, order: list, value: str, name: str, also_count: str | None = None) -> DataFrame:
+    """rows with `name`, the sum of `value` up to and with each row within `by`, along `part` and
+    then `order`; also_count names a column for the row's number, from 1.
+
+    Parts are summed up by themselves and the sums of the parts before added, so that a large
+    group of `by` is many tasks. `part` ascends along the order wanted."""
+    one = F.lit(1).cast("long")
+    sizes = rows.groupBy(*by, part).agg(F.sum(value).alias("_sum"), F.sum(one).alias("_rows"))
+    upto = Window.partitionBy(*by).orderBy(part)
+    before = sizes.select(*by, part, (F.sum("_sum").over(upto) - F.col("_sum")).alias("_before"), (F.sum("_rows").over(upto) - F.col("_rows")).alias("_rows_before"))
+    inside = Window.partitionBy(*by, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_in", F.sum(value).over(inside)).withColumn("_at", F.sum(one).over(inside)).join(before, [*by, part])
+    extra = [(F.col("_rows_before") + F.col("_at")).alias(also_count)] if also_count else []
+    return found.select(*rows.columns, (F.col("_before") + F.col("_in")).alias(name), *extra)
+
+
 def seeded_order(number: Column, seed: int) -> Column:
     """A reproducible pseudo-random sort key of a whole number, the same in any SQL engine."""
     return F.pmod(number * F.lit(2654435761).cast("long") + F.lit(seed).cast("long") * 40503, F.lit(2147483648).cast("long"))

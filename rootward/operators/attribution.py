@@ -1,23 +1,31 @@
 """Responsibility of parents and of chain nodes: additive, asymmetric and symmetric shares.
 
-A coalition value is a table: for G2 `marginals` with the value of each prefix of a
-target's parents, for G3 the value of every subset (or of the prefixes of sampled orders). Missing effects count 0."""
+A coalition value is a table: for G2 and for sampled orders of G3 `prefixes` with the value of
+each prefix of a target's parents, for G3 the value of every subset. Missing effects count 0."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rootward.functions.tables import running_sums, written
+
+
+def n_parents(edges: DataFrame) -> DataFrame:
+    """dst, n: counted by an aggregate and joined back, so that a hub's edges need not be one task."""
+    return edges.groupBy("dst").agg(F.count("*").alias("n"))
+
 
 def phi_additive(edges: DataFrame, effects: DataFrame) -> DataFrame:
     """target, parent, phi: ce over the number of parents."""
     known = effects.select("src", "dst", "ce")
     rows = edges.select("src", "dst").distinct().join(known, ["src", "dst"], "left")
-    n = F.count("*").over(Window.partitionBy("dst"))
-    return rows.select(F.col("dst").alias("target"), F.col("src").alias("parent"), (F.coalesce("ce", F.lit(0.0)) / n).alias("phi"))
+    rows = rows.join(n_parents(edges.select("src", "dst").distinct()), "dst")
+    return rows.select(F.col("dst").alias("target"), F.col("src").alias("parent"), (F.coalesce("ce", F.lit(0.0)) / F.col("n")).alias("phi"))
 
 
 def hybrid_effect(effects: DataFrame, phi: DataFrame) -> DataFrame:
@@ -29,26 +37,27 @@ def hybrid_effect(effects: DataFrame, phi: DataFrame) -> DataFrame:
 def phi_asymmetric(prefixes: DataFrame, normalise: bool = True) -> DataFrame:
     """From target, parent, position (1, 2, ... in causal order), v (value of the prefix that ends
     there) and v_empty: the marginal of each parent, over the number of parents if asked."""
-    by = Window.partitionBy("target").orderBy("position")
-    marginal = F.col("v") - F.coalesce(F.lag("v").over(by), F.col("v_empty"))
-    n = F.count("*").over(Window.partitionBy("target")) if normalise else F.lit(1)
-    return prefixes.select("target", "parent", (marginal / n).alias("phi"))
+    before = prefixes.select("target", (F.col("position") + 1).alias("position"), F.col("v").alias("_v"))
+    rows = prefixes.join(before, ["target", "position"], "left").select("target", "parent", (F.col("v") - F.coalesce("_v", F.col("v_empty"))).alias("phi"))
+    if not normalise:
+        return rows
+    n = prefixes.groupBy("target").agg(F.count("*").alias("_n"))
+    return rows.join(n, "target").select("target", "parent", (F.col("phi") / F.col("_n")).alias("phi"))
 
 
 def logistic_prefixes(edges: DataFrame, effects: DataFrame, order: DataFrame) -> DataFrame:
-    """Prefix values under a logistic readout of the sum of effects: one window, no model run per
-    prefix. order: id, level; parents without a level come last, ties by id."""
+    """Prefix values under a logistic readout of the sum of effects: no model run per prefix.
+    order: id, level; parents without a level come last, ties by id. Sums run within a level and
+    the levels' sums are added, so that the parents of a hub are as many tasks as they have levels."""
     rows = edges.select("src", "dst").distinct().join(effects.select("src", "dst", "ce"), ["src", "dst"], "left")
     rows = rows.join(order.select(F.col("id").alias("src"), "level"), "src", "left")
-    by = Window.partitionBy("dst").orderBy(F.asc_nulls_last("level"), "src")
-    total = F.sum(F.coalesce("ce", F.lit(0.0))).over(by)
-    return rows.select(
-        F.col("dst").alias("target"), F.col("src").alias("parent"), F.row_number().over(by).alias("position"),
-        (1 / (1 + F.exp(-total))).alias("v"), F.lit(0.5).alias("v_empty"),
-    )
+    rows = rows.select("src", "dst", F.coalesce("ce", F.lit(0.0)).alias("ce"), F.coalesce("level", F.lit(2**31 - 1)).alias("level"))
+    summed = running_sums(rows, ["dst"], "level", ["src"], "ce", "total", "position")
+    return summed.select(F.col("dst").alias("target"), F.col("src").alias("parent"), "position", (1 / (1 + F.exp(-F.col("total")))).alias("v"), F.lit(0.5).alias("v_empty"))
 
 
 def parent_topk(effects: DataFrame, k: int = 8) -> DataFrame:
+    """The k strongest parents of each node; Spark keeps k of a node in every partition before the shuffle."""
     by = Window.partitionBy("dst").orderBy(F.desc(F.abs("ce")), "src")
     return effects.withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") <= k).drop("_rn")
 
@@ -95,11 +104,36 @@ def _sampled(rows: DataFrame, n_perm: int, seed: int, src: Column, dst: Column)
     factor = F.pmod((F.col("perm") + 1 + F.lit(n_perm * seed).cast("long")) * F.lit(1103515245).cast("long") + 12345, prime)
     rows = rows.withColumn("_h", F.pmod(F.col("_a") * factor + F.col("_b"), prime))
     rows = rows.withColumn("_h", F.pmod(F.pmod(F.col("_h") * F.col("_h"), prime) * 48271 + F.col("_h"), prime))
-    total = F.sum("ce").over(Window.partitionBy("dst", "perm").orderBy("_h", "src").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.select("src", "dst", (1 / (1 + F.exp(-total)) - 1 / (1 + F.exp(-(total - F.col("ce"))))).alias("m"))
+    rows = rows.withColumn("_part", F.floor(F.col("_h") / 2**24).cast("int"))  # 128 parts of an order
+    total = running_sums(rows.select("src", "dst", "ce", "perm", "_h", "_part"), ["dst", "perm"], "_part", ["_h", "src"], "ce", "_total")
+    rows = total.select("src", "dst", (1 / (1 + F.exp(-F.col("_total"))) - 1 / (1 + F.exp(-(F.col("_total") - F.col("ce"))))).alias("m"))
     return rows.groupBy(F.col("dst").alias("target"), F.col("src").alias("parent")).agg(F.avg("m").alias("phi"))
 
 
+def phi_of_coalitions(values: DataFrame) -> DataFrame:
+    """target, parent, phi: Shapley values from a table of coalition values of any origin.
+
+    values: target, members (array of parents, empty for none), v, with all subsets of the
+    parents of a target. Each set meets the set without one of its members by an equi-join."""
+    rows = values.select("target", F.array_sort(F.array_distinct("members")).alias("members"), "v").dropDuplicates(["target", "members"])
+    n = rows.groupBy("target").agg(F.max(F.size("members")).alias("n"))
+    rows = rows.join(n, "target")
+    less = rows.select("target", F.col("members").alias("rest"), F.col("v").alias("v_rest"))
+    wider = rows.where("size(members) > 0").select("target", "members", "v", "n", F.explode("members").alias("parent"))
+    wider = wider.withColumn("rest", F.array_remove("members", F.col("parent")))
+    k = F.size("rest")
+    weight = F.factorial(k) * F.factorial((F.col("n") - k - 1).cast("int")) / F.factorial(F.col("n").cast("int"))
+    return wider.join(less, ["target", "rest"]).groupBy("target", "parent").agg(F.sum(weight * (F.col("v") - F.col("v_rest"))).alias("phi"))
+
+
+def phi_of_orders(prefixes: DataFrame) -> DataFrame:
+    """target, parent, phi: mean marginal over given orders. prefixes: target, perm, parent, position,
+    v (of the prefix that ends there) and v_empty, of whatever origin."""
+    before = prefixes.select("target", "perm", (F.col("position") + 1).alias("position"), F.col("v").alias("_v"))
+    rows = prefixes.join(before, ["target", "perm", "position"], "left")
+    return rows.groupBy("target", "parent").agg(F.avg(F.col("v") - F.coalesce("_v", F.col("v_empty"))).alias("phi"))
+
+
 def edge_scores(effects: DataFrame, phi: DataFrame) -> DataFrame:
     """Per target of phi (target, parent, phi): |phi_src| ce into the target, |phi_src| |phi_dst| ce elsewhere."""
     own = phi.select("target", "parent", "phi")
@@ -135,75 +169,121 @@ def chain_pivot(chain_nodes: DataFrame) -> DataFrame:
     return rows.groupBy("target").agg(best.alias("b")).select("target", F.col("b.id").alias("pivot"), F.col("b.pos").alias("pos"), F.col("b.node_type").alias("node_type"))
 
 
-def phi_drift(edges: DataFrame, plain: DataFrame, noisy: DataFrame) -> DataFrame:
+def phi_drift(edges: DataFrame, plain: DataFrame, noisy: DataFrame, phi: DataFrame | None = None) -> DataFrame:
     """By sigma: mean and spread of |change of phi| over parents and draws. plain: id, p (the model's
-    value of a cause); noisy: id, sigma, draw, p. The baseline cancels out of the change."""
-    n = F.count("*").over(Window.partitionBy("dst"))
-    own = edges.select("src", "dst").distinct().withColumn("n", n)
+    value of a cause); noisy: id, sigma, draw, p. The baseline cancels out of the change.
+
+    With phi (target, parent, phi), also the mean change at the pivot of each target, the parent of
+    the largest |phi|, absolute (`pivot`) and over |phi| (`pivot_relative`)."""
+    pairs = edges.select("src", "dst").distinct()
+    own = pairs.join(n_parents(pairs), "dst")
     change = noisy.join(plain.select("id", F.col("p").alias("_p")), "id").select(F.col("id").alias("src"), "sigma", "draw", (F.col("p") - F.col("_p")).alias("d"))
-    drift = own.join(change, "src").select("sigma", (F.abs("d") / F.col("n")).alias("drift"))
-    return drift.groupBy("sigma").agg(F.avg("drift").alias("mean"), F.stddev_pop("drift").alias("std"), F.count("*").alias("n"))
-
-
-def explained_sets(rankings: dict[str, DataFrame], targets: DataFrame, trace, max_hops: int) -> DataFrame:
-    """mode, target, node: the chain of each target by each ranking (src, dst, ce), as a set; no threshold."""
-    parts = []
-    for mode, ranking in rankings.items():
-        chains = trace(targets, ranking, max_hops, 0.0)
-        parts.append(chains.select(F.lit(mode).alias("mode"), "target", F.explode("chain").alias("node")).distinct())
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
+    drift = own.join(change, "src").select("src", "dst", "sigma", (F.abs("d") / F.col("n")).alias("drift"))
+    means = [F.avg("drift").alias("mean"), F.stddev_pop("drift").alias("std"), F.count("*").alias("n")]
+    if phi is None:
+        return drift.groupBy("sigma").agg(*means)
+    pivot = phi.groupBy(F.col("target").alias("dst")).agg(F.min_by(F.struct("parent", "phi"), F.struct(-F.abs("phi"), F.col("parent"))).alias("b")).select("dst", F.col("b.parent").alias("src"), F.abs("b.phi").alias("_size"))
+    drift = drift.join(pivot, ["dst", "src"], "left")
+    at_pivot = F.when(F.col("_size").isNotNull(), F.col("drift"))
+    return drift.groupBy("sigma").agg(*means, F.avg(at_pivot).alias("pivot"), F.avg(at_pivot / (F.col("_size") + 1e-8)).alias("pivot_relative"))
+
 
+def explained_sets(chains: dict[str, DataFrame]) -> DataFrame:
+    """mode, target, node: the chains of each explainer, as sets."""
+    parts = [found.select(F.lit(mode).alias("mode"), "target", F.explode("chain").alias("node")).distinct() for mode, found in chains.items()]
+    return reduce(DataFrame.unionByName, parts)
 
-def _weighted(weights: dict[str, float], power: int = 1):
-    return sum((F.pow(F.lit(w) * F.col(c), F.lit(power)) if power > 1 else F.lit(w) * F.col(c)) for c, w in weights.items())
+
+def _weighted(weights: dict[str, float]):
+    return sum(F.lit(w) * F.col(c) for c, w in weights.items())
 
 
 def _sigmoid(x):
     return 1 / (1 + F.exp(-x))
 
 
-def coalition_values(coalitions: DataFrame, features: DataFrame, own: dict[str, float], near: dict[str, float], intercept: float) -> DataFrame:
+#: A readout: weights of the features of a node itself, of its parents, of their parents, and so on.
+Layers = list[dict[str, float]]
+
+
+def messages(edges: DataFrame, features: DataFrame, layers: Layers) -> DataFrame:
+    """id, own, m: the weighted features of a node at layer 1 and the mean of what its parents give it.
+
+    The readout is logistic in the target's features and in means over its parents, their parents
+    and so on, so linear inside; a node gives one number however wide what feeds it is, and a round
+    per layer over all edges works out all of them."""
+    pairs = edges.select("src", "dst").where("src <> dst").distinct()
+    given = None
+    for weights in reversed(layers[1:]):
+        own = features.select("id", _weighted(weights).alias("m"))
+        if given is not None:
+            fed = pairs.join(given.toDF("src", "_m"), "src").groupBy(F.col("dst").alias("id")).agg(F.avg("_m").alias("_m"))
+            own = own.join(fed, "id", "left").select("id", (F.col("m") + F.coalesce("_m", F.lit(0.0))).alias("m"))
+        given = written(own, "messages")
+    return given
+
+
+def coalition_values(coalitions: DataFrame, edges: DataFrame, features: DataFrame, layers: Layers, intercept: float) -> DataFrame:
     """target, coalition, p: the readout where only the parents of the coalition feed the target.
 
-    coalitions: target, coalition, parent, one row per kept edge (parent null: the empty set).
-    The readout is logistic in the target's features and the mean of the kept parents'
-    features; it is linear inside, so every parent gives one number. A parent without
-    features is left out, a target without features has no row, repeated rows count once."""
-    gives = features.select(F.col("id").alias("parent"), _weighted(near).alias("_near"))
-    kept = coalitions.select("target", "coalition", "parent").distinct().join(gives, "parent", "left")
+    coalitions: target, coalition, parent, one row per kept edge (parent null: the empty set). A
+    parent without features is left out, a target without features has no row, repeated rows count once."""
+    given = messages(edges, features, layers).toDF("parent", "_near")
+    kept = coalitions.select("target", "coalition", "parent").distinct().join(given, "parent", "left")
     kept = kept.groupBy("target", "coalition").agg(F.coalesce(F.avg("_near"), F.lit(0.0)).alias("_near"))
-    base = features.select(F.col("id").alias("target"), (F.lit(intercept) + _weighted(own)).alias("_own"))
+    base = features.select(F.col("id").alias("target"), (F.lit(intercept) + _weighted(layers[0])).alias("_own"))
     return kept.join(base, "target").select("target", "coalition", _sigmoid(F.col("_own") + F.col("_near")).alias("p"))
 
 
-def readout(targets: DataFrame, edges: DataFrame, features: DataFrame, own: dict[str, float], near: dict[str, float], intercept: float) -> DataFrame:
+def readout(targets: DataFrame, edges: DataFrame, features: DataFrame, layers: Layers, intercept: float) -> DataFrame:
     """target, n (parents with features), p: the readout with all parents."""
-    gives = features.select(F.col("id").alias("src"), _weighted(near).alias("_near"))
-    fed = edges.select("src", F.col("dst").alias("target")).distinct().join(targets.select("target").distinct(), "target", "left_semi").join(gives, "src")
+    given = messages(edges, features, layers).toDF("src", "_near")
+    fed = edges.select("src", F.col("dst").alias("target")).where("src <> target").distinct().join(targets.select("target").distinct(), "target", "left_semi").join(given, "src")
     fed = fed.groupBy("target").agg(F.count("*").alias("n"), F.avg("_near").alias("_near"))
-    base = features.select(F.col("id").alias("target"), (F.lit(intercept) + _weighted(own)).alias("_own"))
+    base = features.select(F.col("id").alias("target"), (F.lit(intercept) + _weighted(layers[0])).alias("_own"))
     rows = targets.select("target").distinct().join(base, "target").join(fed, "target", "left")
     return rows.select("target", F.coalesce("n", F.lit(0)).alias("n"), _sigmoid(F.col("_own") + F.coalesce("_near", F.lit(0.0))).alias("p"))
 
 
+def shares(targets: DataFrame, edges: DataFrame, features: DataFrame, layers: int) -> DataFrame:
+    """target, id, hop, share: what part of the mean of each layer is a node's, over all paths of that length.
+
+    The receptive field of each target: a node within `layers` hops has a row per number of hops."""
+    known = features.select("id")
+    pairs = edges.select("src", "dst").where("src <> dst").distinct().join(known.toDF("src"), "src", "left_semi")
+    pairs = written(pairs.join(n_parents(pairs), "dst"), "weighted-edges")
+    newest = targets.select("target", F.col("target").alias("id"), F.lit(0).alias("hop"), F.lit(1.0).alias("share")).distinct()
+    found = newest
+    for hop in range(1, layers + 1):
+        step = newest.join(pairs, F.col("id") == F.col("dst")).groupBy("target", "src").agg(F.sum(F.col("share") / F.col("n")).alias("share"))
+        newest = written(step.select("target", F.col("src").alias("id"), F.lit(hop).alias("hop"), "share"), "shares")
+        found = found.unionByName(newest)
+    return found
+
+
+def _slopes(field: DataFrame, features: DataFrame, layers: Layers) -> DataFrame:
+    """target, id, feature, part: what a feature of a node adds to the readout's inside, over all layers."""
+    weights = F.array(*[F.array(*[F.lit(layer.get(c, 0.0)) for layer in layers]) for c in layers[0]])
+    each = field.select("target", "id", "hop", "share", F.posexplode(weights).alias("_f", "_w"))
+    each = each.groupBy("target", "id", "_f").agg(F.sum(F.col("share") * F.get("_w", F.col("hop"))).alias("slope"))
+    values = features.select("id", F.posexplode(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c), F.lit(0.0)).alias("x")) for c in layers[0]])).alias("_f", "v"))
+    return each.join(values, ["id", "_f"]).select("target", "id", "v.feature", (F.col("slope") * F.col("v.x")).alias("part"))
+
+
 def feature_effects(
-    pairs: DataFrame, edges: DataFrame, features: DataFrame, own: dict[str, float], near: dict[str, float], intercept: float, shortlist: int = 20, top: int = 12
+    pairs: DataFrame, edges: DataFrame, features: DataFrame, layers: Layers, intercept: float, shortlist: int = 20, top: int = 12
 ) -> DataFrame:
     """target, pivot, feature, value, saliency, method: what setting one feature of the pivot to 0
-    takes from the readout of the target. The `shortlist` features of the largest saliency are
-    tried, the `top` of the largest |value| kept; where every |value| is below 1e-5, saliency
-    is the value (`saliency_fallback`). No rows if the pivot neither is nor feeds the target."""
+    takes from the readout of the target, at any number of hops that the readout has layers for.
+    The `shortlist` features of the largest saliency are tried, the `top` of the largest |value|
+    kept; where every |value| is below 1e-5, saliency is the value (`saliency_fallback`). No rows
+    if the pivot neither is nor feeds the target."""
     pairs = pairs.select("target", "pivot").distinct()
-    scored = readout(pairs, edges, features, own, near, intercept)
-    fed = edges.select(F.col("dst").alias("target"), F.col("src").alias("pivot")).distinct().where("target <> pivot")
-    reached = pairs.where("target = pivot").withColumn("_self", F.lit(True)).unionByName(pairs.join(fed, ["target", "pivot"]).withColumn("_self", F.lit(False)))
-    rows = reached.join(scored, "target").join(features.withColumnRenamed("id", "pivot"), "pivot")
-    parts = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) * F.when(F.col("_self"), own[c]).otherwise(F.lit(near[c]) / F.col("n"))).alias("part")) for c in own])
-    rows = rows.select("target", "pivot", "p", F.explode(parts).alias("f")).select("target", "pivot", "p", "f.*")
-    rows = rows.select("*", (F.col("p") * (1 - F.col("p")) * F.col("part")).alias("saliency"), (F.col("p") - _sigmoid(F.ln(F.col("p") / (1 - F.col("p"))) - F.col("part"))).alias("value"))
+    scored = readout(pairs, edges, features, layers, intercept)
+    field = shares(pairs, edges, features, len(layers) - 1).join(pairs.withColumnRenamed("pivot", "id"), ["target", "id"], "left_semi")
+    rows = _slopes(field, features, layers).join(scored, "target").withColumnRenamed("id", "pivot")
+    rows = rows.select("target", "pivot", "feature", "part", "p", (F.col("p") * (1 - F.col("p")) * F.col("part")).alias("saliency"), (F.col("p") - _sigmoid(F.ln(F.col("p") / (1 - F.col("p"))) - F.col("part"))).alias("value"))
+    # A pair has a row per feature, so its windows are as small as the list of features.
     pair = Window.partitionBy("target", "pivot")
     rows = rows.withColumn("_rn", F.row_number().over(pair.orderBy(F.desc(F.abs("saliency")), "feature"))).where(F.col("_rn") <= shortlist)
     weak = F.max(F.abs("value")).over(pair) < 1e-5
@@ -212,15 +292,13 @@ def feature_effects(
     return rows.select("target", "pivot", "feature", "value", "saliency", "method")
 
 
-def saliency(targets: DataFrame, edges: DataFrame, features: DataFrame, own: dict[str, float], near: dict[str, float], intercept: float) -> DataFrame:
-    """target, id, saliency: length of features times gradient, for the target and its parents; in
-    closed form, as the readout is logistic. Other nodes would have 0 and get no row."""
-    scored = readout(targets, edges, features, own, near, intercept)
-    slope = F.col("p") * (1 - F.col("p"))
-    itself = scored.join(features.withColumnRenamed("id", "target"), "target")
-    itself = itself.select("target", F.col("target").alias("id"), (slope * F.sqrt(_weighted(own, 2))).alias("saliency"))
-    fed = edges.select("src", F.col("dst").alias("target")).distinct().where("src <> target").join(scored, "target").join(features.withColumnRenamed("id", "src"), "src")
-    return itself.unionByName(fed.select("target", F.col("src").alias("id"), (slope * F.sqrt(_weighted(near, 2)) / F.col("n")).alias("saliency")))
+def saliency(targets: DataFrame, edges: DataFrame, features: DataFrame, layers: Layers, intercept: float) -> DataFrame:
+    """target, id, saliency: length of features times gradient over the receptive field, in closed
+    form, as the readout is logistic. Other nodes would have 0 and get no row."""
+    scored = readout(targets, edges, features, layers, intercept)
+    parts = _slopes(shares(targets, edges, features, len(layers) - 1), features, layers)
+    sizes = parts.groupBy("target", "id").agg(F.sqrt(F.sum(F.col("part") * F.col("part"))).alias("size"))
+    return sizes.join(scored, "target").select("target", "id", (F.col("p") * (1 - F.col("p")) * F.col("size")).alias("saliency"))
 
 
 def explain_targets(targets: DataFrame, scored: DataFrame, phi: DataFrame, chains: DataFrame, strongest: int = 1000) -> DataFrame:

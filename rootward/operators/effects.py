@@ -9,14 +9,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def edge_training_rows(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """src, dst, edge_type, y: the label of the source wallet for wallet-to-transaction edges, of the
-    effect for all others; edges without a label go."""
-    lab = nodes.where("labelled").select("id", "y")
-    by_src = F.col("edge_type") == "wallet__to__transaction"
-    keyed = edges.withColumn("id", F.when(by_src, F.col("src")).otherwise(F.col("dst")))
-    return keyed.join(lab, "id").select("src", "dst", "edge_type", "y")
+from rootward.functions.tables import written
+from rootward.operators.metrics import detection_report, predict
+
+
+def edge_training_rows(edges: DataFrame, nodes: DataFrame, mode: str = "wallets", target_type: str = "transaction") -> DataFrame:
+    """src, dst, edge_type, y of the edges that a label supervises.
+
+    mode `types`: the label of the effect, whatever its type, of labelled nodes only. mode
+    `wallets`, in this order: edges from wallets to transactions take the label of the source
+    wallet, other edges into wallets that of the wallet; in both, edges without a label go and
+    do not fall to the next rule. All others take the label of an effect of the target type, for
+    which an unlabelled node counts as 0, and edges into other types go. mode `target`: the last
+    rule for all edges, as where wallets have no labels; edges that touch the wallet rules go."""
+    if mode not in ("types", "wallets", "target"):
+        raise ValueError("the mode is types, wallets or target")
+    ends = nodes.select("id", "node_type", "y", F.coalesce("labelled", F.lit(False)).alias("labelled"))
+    rows = edges.select("src", "dst", "edge_type").join(ends.toDF("src", "_st", "_sy", "_sl"), "src").join(ends.toDF("dst", "_dt", "_dy", "_dl"), "dst")
+    of_effect = F.when(F.col("_dl"), F.col("_dy"))
+    by_wallet = (F.col("_st") == "wallet") & (F.col("_dt") == "transaction")
+    last = F.when(F.col("_dt") == target_type, F.col("_dy"))
+    none = F.lit(None).cast("int")
+    y = {
+        "types": of_effect,
+        "wallets": F.when(by_wallet, F.when(F.col("_sl"), F.col("_sy"))).when(F.col("_dt") == "wallet", of_effect).otherwise(last),
+        "target": F.when(by_wallet | (F.col("_dt") == "wallet"), none).otherwise(last),
+    }[mode]
+    return rows.select("src", "dst", "edge_type", y.alias("y")).where("y IN (0, 1)")
 
 
 def supervision_counts(rows: DataFrame, edge_types: list[str]) -> DataFrame:
@@ -33,17 +52,25 @@ def edge_balance(counts: DataFrame, mode: str = "sqrt") -> DataFrame:
     return raw.select("edge_type", (F.col("_w") / F.avg("_w").over(Window.partitionBy())).alias("weight"))
 
 
-def fit_edge_models(rows: DataFrame, features: list[str], max_iter: int = 30) -> DataFrame:
-    """edge_type, intercept and coefficients: a weighted logistic regression per edge type with both labels."""
+def fit_edge_models(rows: DataFrame, features: list[str], max_iter: int = 30, mode: str = "none") -> DataFrame:
+    """edge_type, intercept and coefficients: a logistic regression per edge type with both labels.
+
+    mode balances edge types as in `edge_balance`. Each type has a model of its own, so a row
+    weighs its type's weight over the type's mean row: the weight moves what regularisation takes."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
+    counts = rows.groupBy("edge_type").agg(F.count("*").alias("n"), F.countDistinct("y").alias("k"))
+    weights = edge_balance(counts.select("edge_type", "n"), mode).select("edge_type", F.col("weight").alias("_w"))
     ready = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows.na.fill(0, features))
-    counts = ready.groupBy("edge_type").agg(F.countDistinct("y").alias("k")).collect()  # a row per edge type
+    ready = ready.join(F.broadcast(weights), "edge_type")  # a row per edge type
     models = []
-    for row in sorted(counts, key=lambda r: r.edge_type):
+    for row in sorted(counts.collect(), key=lambda r: r.edge_type):
         if row.k == 2:
-            m = LogisticRegression(labelCol="y", maxIter=max_iter, regParam=1e-3).fit(ready.where(F.col("edge_type") == row.edge_type))
+            # The weights of a type are alike, which Spark scales away, so the penalty takes their inverse.
+            own = ready.where(F.col("edge_type") == row.edge_type)
+            scale = own.select(F.first("_w")).first()[0]
+            m = LogisticRegression(labelCol="y", weightCol="_w", maxIter=max_iter, regParam=1e-3 / scale).fit(own)
             models.append((row.edge_type, float(m.intercept), *[float(c) for c in m.coefficients]))
     return rows.sparkSession.createDataFrame(models, "edge_type string, intercept double, " + ", ".join(f"b_{f} double" for f in features))
 
@@ -84,15 +111,30 @@ def effect_coverage(edges: DataFrame, nodes: DataFrame, models: DataFrame) -> Da
     return rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("_a").isNull() | F.col("_b").isNull(), 1)).alias("no_features"), F.count(F.when(F.col("_m").isNull(), 1)).alias("no_model"))
 
 
-def neighbour_features(nodes: DataFrame, edges: DataFrame, features: list[str], exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Per node and relation the mean of the features of what leads to it, and its own."""
+def relation_features(nodes: DataFrame, edges: DataFrame, features: list[str], exclude: tuple[str, ...] = (), how: str = "mean") -> DataFrame:
+    """Per node and relation the mean or sum of the features of what leads to it, and its own."""
     usable = nodes.where(~F.col("node_type").isin(*exclude)) if exclude else nodes
     vectors = usable.select(F.col("id").alias("src"), *features)
     into = edges.join(vectors, "src").join(usable.select(F.col("id").alias("dst")), "dst", "left_semi")
-    means = into.groupBy("dst", "edge_type").agg(*[F.avg(f).alias(f"near_{f}") for f in features], F.count("*").alias("n_near"))
+    take = {"mean": F.avg, "sum": F.sum}[how]
+    means = into.groupBy("dst", "edge_type").agg(*[take(f).alias(f"near_{f}") for f in features], F.count("*").alias("n_near"))
     return means.withColumnRenamed("dst", "id").join(nodes.select("id", "node_type", *features), "id")
 
 
+def neighbour_features(nodes: DataFrame, edges: DataFrame, features: list[str], layers: int = 2, how: str = "mean", exclude: tuple[str, ...] = ()) -> DataFrame:
+    """id, node_type and the features after `layers` rounds: in each, a node with incoming neighbours
+    takes half its own vector and half the mean over relations of what each relation brings (the
+    mean or sum of its neighbours); others, and nodes of excluded types, which do not send
+    either, keep theirs. The vectors of a round are written."""
+    now = nodes.select("id", "node_type", *features)
+    for _ in range(layers):
+        brought = relation_features(now, edges, features, exclude, how)
+        mean = brought.groupBy("id").agg(*[F.avg(f"near_{f}").alias(f"_{f}") for f in features])
+        now = now.join(mean, "id", "left").select("id", "node_type", *[F.coalesce((F.col(f) + F.col(f"_{f}")) / 2, F.col(f)).alias(f) for f in features])
+        now = written(now, "vectors")
+    return now
+
+
 def fit_detector(rows: DataFrame, features: list[str], max_iter: int = 20):
     """Weighted logistic detector of y on the train split; positives weigh negatives over positives."""
     from pyspark.ml import Pipeline
@@ -113,3 +155,19 @@ def detect(model, rows: DataFrame, features: list[str]) -> DataFrame:
 
     found = model.transform(rows.na.fill(0, features))
     return found.withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
+
+
+def select_model(rows: DataFrame, features: list[str], grid: list[dict], metric: str = "weighted_f1"):
+    """(model, report): of the fits of `grid` (options of fit_detector) the one that is best on the
+    val split by f1_macro, fraud_f1 or weighted_f1, the first among equals; report has a row per
+    fit with its options, its metrics and `chosen`."""
+    if metric not in ("f1_macro", "fraud_f1", "weighted_f1"):
+        raise ValueError("the metric is f1_macro, fraud_f1 or weighted_f1")
+    held, found = rows.where("split = 'val'"), []
+    for options in grid:
+        model = fit_detector(rows, features, **options)
+        found.append((model, options, detection_report(predict(detect(model, held, features), 0.5)).first().asDict()))
+    best = max(range(len(found)), key=lambda i: (found[i][2][metric], -i))
+    listed = [(i, str(options), *[report[m] for m in ("f1_macro", "fraud_f1", "weighted_f1", "recall", "pred_rate")], report["n"], i == best) for i, (_, options, report) in enumerate(found)]
+    schema = "fit int, options string, f1_macro double, fraud_f1 double, weighted_f1 double, recall double, pred_rate double, n long, chosen boolean"
+    return found[best][0], rows.sparkSession.createDataFrame(listed, schema)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootward.functions.tables import frontier_loop
-from rootward.operators.edges import BLOCKED, causal_edges, edge_type_filter
+from rootward.functions.tables import frontier_loop, written
+from rootward.operators.edges import BLOCKED, causal_audit, causal_edges, edge_type_filter
 from rootward.operators.nodes import proportional_sample
 
 
@@ -41,13 +41,19 @@ def expand_rare(edges: DataFrame, seeds: DataFrame, hops: int, limit: int, rare:
     return main.unionByName(_first(more, room).select("id", (F.col("hop") + hops).alias("hop")))
 
 
-def causal_subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, hops: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes kept (expanded from seeds, or sampled by type without any) and the causal edges among them."""
-    ids = expand(edges, seeds, hops, limit).select("id") if seeds is not None else proportional_sample(nodes, limit).select("id")
+def causal_subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, hops: int, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes kept (expanded from seeds, or sampled by type without any), the causal edges among
+    them, and one row of counts: n_nodes, n_timed, and edges blocked, rejected by time and kept."""
+    ids = written(expand(edges, seeds, hops, limit).select("id") if seeds is not None else proportional_sample(nodes, limit).select("id"), "kept-ids")
     kept = nodes.join(ids, "id", "left_semi")
-    ends = lambda c: kept.select(F.col("id").alias(c))
-    inside = edges.join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi")
-    return kept, causal_edges(inside, kept)
+    inside = induced(edges, ids)
+    counts = kept.agg(F.count("*").alias("n_nodes"), F.count(F.when(F.col("time") >= 0, 1)).alias("n_timed"))
+    return kept, causal_edges(inside, kept), counts.join(causal_audit(inside, kept), F.lit(True))  # one row each
+
+
+def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with both ends among ids."""
+    return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
 def receptive_field(edges: DataFrame, targets: DataFrame, layers: int) -> DataFrame:
@@ -55,3 +61,9 @@ def receptive_field(edges: DataFrame, targets: DataFrame, layers: int) -> DataFr
     back = edges.select("src", "dst").distinct()
     start = targets.select("target", F.col("target").alias("id"))
     return frontier_loop(start, lambda new: new.join(back, new.id == back.dst).select("target", F.col("src").alias("id")), ["target", "id"], layers)
+
+
+def induced_edges(field: DataFrame, edges: DataFrame) -> DataFrame:
+    """target and the edges with both ends in the target's field."""
+    ends = field.select("target", "id")
+    return edges.join(ends.withColumnRenamed("id", "dst"), "dst").join(ends.withColumnRenamed("id", "src"), ["target", "src"], "left_semi")

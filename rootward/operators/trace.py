@@ -101,6 +101,26 @@ def trace_scored(
     return chain_rows(ended.unionByName(state.select("target", "chain")))
 
 
+def trace_by_node_scores(targets: DataFrame, edges: DataFrame, scores: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+    """Greedy with a score per (target, id) of a node seen from the target, 0 for all others and no
+    threshold. Scores meet the frontier only, whatever else lies upstream."""
+    _checked(max_hops, 0.0)
+    pairs = written(edges.select(F.col("dst").alias("at"), F.col("src").alias("parent")).distinct(), "pairs")
+    known = written(scores.select("target", F.col("id").alias("parent"), "score"), "node-scores")
+    state = targets.select("target", F.col("target").alias("at"), F.array("target").alias("chain"))
+    ended = state.limit(0).select("target", "chain")
+    for _ in range(max_hops):
+        state = written(state, "traces")
+        if state.isEmpty():
+            break
+        ahead = state.join(pairs, "at").join(known, ["target", "parent"], "left")
+        best = ahead.groupBy("target").agg(F.min_by(F.struct("parent", "chain"), F.struct(-F.coalesce("score", F.lit(0.0)), F.col("parent"))).alias("b"))
+        best = written(best.where(~F.array_contains("b.chain", F.col("b.parent"))).select("target", F.col("b.parent").alias("at"), F.array_append("b.chain", F.col("b.parent")).alias("chain")), "scored-best")
+        ended = ended.unionByName(state.join(best, "target", "left_anti").select("target", "chain"))
+        state = best
+    return chain_rows(ended.unionByName(state.select("target", "chain")))
+
+
 def trace_by_type(targets: DataFrame, nodes: DataFrame, primary: str, scores: DataFrame, effects: DataFrame, max_hops: int = MAX_HOPS, threshold: float = THRESHOLD, **tiers) -> DataFrame:
     """trace_scored for targets of the primary type; the caller's scores do not speak of others, which go by |ce|."""
     own = targets.join(nodes.where(F.col("node_type") == primary).select(F.col("id").alias("target")), "target", "left_semi")

@@ -13,15 +13,8 @@ from rootward.operators import nodes as N
 from rootward.operators import typology as L
 from rootward.plans.fixture import Graph, sql
 from rootward.plans.preparation import INDEGREE, LATEST, SNAPSHOTS, snapshots
-from rootward.plans.tracing import GREEDY, greedy
-
-CN = {
-    "cn0": "SELECT target, depth, UNNEST(chain) AS id, UNNEST(range(0, len(chain))) AS pos FROM chains",
-    "cn": """SELECT c.target, CAST(c.pos AS INTEGER) AS pos, CAST(c.depth AS INTEGER) AS depth, c.id, n.node_type, n.time, n.class = 1 AS fraud, e.ce
-        FROM (SELECT *, lag(id) OVER (PARTITION BY target ORDER BY pos) AS child FROM cn0) c JOIN nodes n ON n.id = c.id LEFT JOIN effects e ON e.src = c.id AND e.dst = c.child""",
-}
-BASE = GREEDY | CN
-
+from rootward.plans.shares import ATTACHED, BASE, PIVOTS, attached
+from rootward.plans.tracing import greedy
 
 class Traced:
     """The chains of all targets and their exploded form."""

@@ -8,60 +8,96 @@ from pyspark.sql import functions as F
 from rootward.functions.registry import registry
 from rootward.functions.tables import written
 from rootward.operators import attribution as A
-from rootward.operators import chains as K
+from rootward.operators import edges as E
 from rootward.operators import effects as X
 from rootward.operators import expand as D
-from rootward.operators import metrics as M
 from rootward.operators import nodes as N
 from rootward.operators import trace as T
-from rootward.plans.analytics import BASE
-from rootward.plans.fixture import NUM, Graph, sql
-from rootward.plans.preparation import split
+from rootward.plans.fixture import NUM, Graph, keyed, sql
+from rootward.plans.preparation import LEVELS, split
+from rootward.plans.shares import ASYM, ATTACHED, PHI, asymmetric, attached, chain_nodes
 from rootward.plans.tracing import _BEAM, HOPS, LAST, PATH_THRESHOLD, WALK, greedy
 
 QUERIES, ORACLES, query = registry(Graph)
 
-SEEDS = "SELECT 't' || o_orderkey AS id FROM orders WHERE o_orderkey % 997 = 0"
+SEEDS = "SELECT target AS id FROM targets"
 
 
 def seeds(g: Graph) -> DataFrame:
-    return g.tx.where("num % 997 = 0").select("id")
+    """All flagged transactions."""
+    return g.targets.select(F.col("target").alias("id"))
 
 
+#: Hops, and nodes over all as a multiple of the seeds, which binds; places kept for rare edge types, as another.
+REACH, ROOM, RESERVE = 3, 2, 0.25
 _ROUND = {
     "seeds": SEEDS, "und": "SELECT src, dst FROM edges WHERE edge_type <> 'wallet__to__wallet' UNION SELECT dst, src FROM edges WHERE edge_type <> 'wallet__to__wallet'",
-    "bfs": "SELECT id, 0 AS hop FROM seeds UNION SELECT dst, hop + 1 FROM bfs JOIN und ON src = id WHERE hop < 3",
-    "found": "SELECT id, min(hop) AS hop FROM bfs GROUP BY id",
+    "linked": "SELECT src, dst FROM edges WHERE edge_type = 'wallet__to__wallet' UNION SELECT dst, src FROM edges WHERE edge_type = 'wallet__to__wallet'",
+    "bfs": f"SELECT id, 0 AS hop FROM seeds UNION SELECT dst, hop + 1 FROM bfs JOIN und ON src = id WHERE hop < {REACH}",
+    "ns": "SELECT count(*) AS n FROM seeds",
+    "ranked": "SELECT id, hop, row_number() OVER (ORDER BY hop, id) AS rn FROM (SELECT id, min(hop) AS hop FROM bfs GROUP BY id)",
+    "found": f"SELECT id, hop FROM ranked, ns WHERE rn <= {ROOM} * n",
+    "main": f"SELECT id, hop FROM ranked, ns WHERE rn <= {ROOM} * n - floor({RESERVE} * n)",
+    "more": "SELECT dst AS id, min(hop) AS hop, row_number() OVER (ORDER BY min(hop), dst) AS rn FROM (SELECT dst, 1 AS hop FROM linked WHERE src IN (SELECT id FROM main) UNION ALL SELECT dst, 2 FROM linked WHERE src IN (SELECT dst FROM linked WHERE src IN (SELECT id FROM main))) WHERE dst NOT IN (SELECT id FROM main) GROUP BY dst",
 }
 
 
+def limits(g: Graph) -> tuple[int, int]:
+    n = g.targets.count()
+    return ROOM * n, int(RESERVE * n)
+
+
 @query("d1_multi_source_expand", sql("SELECT id, hop FROM found", **_ROUND))
 def _(g: Graph) -> DataFrame:
-    return D.expand(g.edges, seeds(g), 3, 10**9)
+    return D.expand(g.edges, seeds(g), REACH, limits(g)[0])
 
 
-@query("d2_rare_edge_chain", sql("SELECT id FROM found UNION SELECT dst FROM addr_addr WHERE src IN (SELECT id FROM found) UNION SELECT src FROM addr_addr WHERE dst IN (SELECT id FROM found)", **_ROUND))
+@query("d2_rare_edge_chain", sql(f"SELECT id, hop FROM main UNION ALL SELECT id, hop + {REACH} FROM more, ns WHERE rn <= {ROOM} * n - (SELECT count(*) FROM main)", **_ROUND))
 def _(g: Graph) -> DataFrame:
-    return D.expand_rare(g.edges, seeds(g), 3, 10**9, ("wallet__to__wallet",), 0, 1).select("id")
+    limit, reserve = limits(g)
+    return D.expand_rare(g.edges, seeds(g), REACH, limit, ("wallet__to__wallet",), reserve, 2)
 
 
 @query("d3_causal_subgraph", sql("SELECT src, dst FROM causal WHERE src IN (SELECT id FROM found) AND dst IN (SELECT id FROM found)", **_ROUND))
 def _(g: Graph) -> DataFrame:
-    return D.causal_subgraph(g.nodes, g.edges, seeds(g), 3, 10**9)[1].select("src", "dst")
+    return D.causal_subgraph(g.nodes, g.timed, seeds(g), REACH, limits(g)[0])[1].select("src", "dst")
 
 
-@query("d4_receptive_field", sql("SELECT target, id, min(hop) AS hop FROM field GROUP BY target, id", seeds=SEEDS, field="SELECT id AS target, id, 0 AS hop FROM seeds UNION SELECT target, e.src, hop + 1 FROM field JOIN edges e ON e.dst = field.id WHERE hop < 2"))
+@query(
+    "d3_subgraph_counts",
+    sql(
+        "SELECT (SELECT count(*) FROM found) AS n_nodes, (SELECT count(*) FROM nodes WHERE time >= 0 AND id IN (SELECT id FROM found)) AS n_timed, count(*) FILTER (edge_type = 'wallet__to__wallet') AS blocked, count(*) FILTER (edge_type <> 'wallet__to__wallet' AND coalesce(src_time > dst_time, FALSE)) AS rejected, count(*) FILTER (edge_type <> 'wallet__to__wallet' AND NOT coalesce(src_time > dst_time, FALSE)) AS kept FROM timed WHERE src IN (SELECT id FROM found) AND dst IN (SELECT id FROM found)",
+        **_ROUND,
+    ),
+)
 def _(g: Graph) -> DataFrame:
-    return D.receptive_field(g.edges, seeds(g).select(F.col("id").alias("target")), 2)
+    return D.causal_subgraph(g.nodes, g.timed, seeds(g), REACH, limits(g)[0])[2]
+
 
+_FIELD = {"seeds": SEEDS, "field": "SELECT id AS target, id, 0 AS hop FROM seeds UNION SELECT target, e.src, hop + 1 FROM field JOIN edges e ON e.dst = field.id WHERE hop < 2"}
+
+
+@query("d4_receptive_field", sql("SELECT target, id, min(hop) AS hop FROM field GROUP BY target, id", **_FIELD))
+def _(g: Graph) -> DataFrame:
+    return D.receptive_field(g.edges, g.targets, 2)
+
+
+@query("d4_induced_edges", sql("SELECT DISTINCT a.target, e.src, e.dst, e.edge_type FROM field a JOIN edges e ON e.dst = a.id JOIN field b ON b.target = a.target AND b.id = e.src", **_FIELD))
+def _(g: Graph) -> DataFrame:
+    return D.induced_edges(written(D.receptive_field(g.edges, g.targets, 2), "field"), g.edges).select("target", "src", "dst", "edge_type").distinct()
 
-ROWS = "SELECT c.src, c.dst, c.edge_type, n.y FROM causal c JOIN nodes n ON n.id = CASE WHEN c.edge_type = 'wallet__to__transaction' THEN c.src ELSE c.dst END WHERE n.labelled"
+
+ROWS = "SELECT c.src, c.dst, c.edge_type, n.y FROM causal c JOIN nodes n ON n.id = CASE WHEN c.edge_type = 'wallet__to__transaction' THEN c.src ELSE c.dst END WHERE n.labelled OR c.edge_type = 'transaction__to__transaction'"
 TYPES = ["transaction__to__transaction", "transaction__to__wallet", "wallet__to__transaction", "wallet__to__wallet"]
 
 
-@query("e1_edge_training_rows", sql("SELECT * FROM r", r=ROWS))
+@query(
+    "e1_edge_training_rows",
+    sql("SELECT 'wallets' AS mode, * FROM r UNION ALL SELECT 'types', c.src, c.dst, c.edge_type, n.y FROM causal c JOIN nodes n ON n.id = c.dst WHERE n.labelled UNION ALL SELECT 'target', c.src, c.dst, c.edge_type, n.y FROM causal c JOIN nodes n ON n.id = c.dst WHERE c.edge_type = 'transaction__to__transaction'", r=ROWS),
+)
 def _(g: Graph) -> DataFrame:
-    return X.edge_training_rows(g.causal, g.nodes)
+    parts = [X.edge_training_rows(g.causal, g.nodes, mode).select(F.lit(mode).alias("mode"), "*") for mode in ("wallets", "types", "target")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("e2_supervision_audit", sql("SELECT t.edge_type, count(r.y) AS n FROM (SELECT DISTINCT edge_type FROM edges) t LEFT JOIN r ON r.edge_type = t.edge_type GROUP BY t.edge_type", r=ROWS))
@@ -117,7 +153,7 @@ def _(g: Graph) -> DataFrame:
 @query("e4_train_edge_models")
 def _(g: Graph) -> DataFrame:
     rows = X.edge_training_rows(g.causal, g.nodes).join(features(g).select(F.col("id").alias("src"), *FEATURES), "src")
-    return X.fit_edge_models(rows, FEATURES)
+    return X.fit_edge_models(rows, FEATURES, mode="sqrt")
 
 
 @query("e8_effect_coverage", sql("SELECT count(*) AS n, count(*) FILTER (src NOT IN (SELECT id FROM with_time) OR dst NOT IN (SELECT id FROM with_time)) AS no_features, count(*) FILTER (edge_type = 'wallet__to__wallet') AS no_model FROM edges", with_time="SELECT id FROM nodes WHERE time >= 0"))
@@ -125,28 +161,26 @@ def _(g: Graph) -> DataFrame:
     return X.effect_coverage(g.edges, g.nodes.where("time >= 0"), fixed_models(g).where("edge_type <> 'wallet__to__wallet'"))
 
 
-PHI = "SELECT dst AS target, src AS parent, ce / count(*) OVER (PARTITION BY dst) AS phi FROM effects"
-
-
 @query("g1_phi_additive", sql("SELECT target, parent, round(phi, 9) AS phi FROM phi", phi=PHI))
 def _(g: Graph) -> DataFrame:
     return A.phi_additive(g.causal, g.effects).select("target", "parent", F.round("phi", 9).alias("phi"))
 
 
-ASYM = """SELECT target, parent, (v - coalesce(lag(v) OVER (PARTITION BY target ORDER BY position), 0.5)) / count(*) OVER (PARTITION BY target) AS phi FROM (
-    SELECT dst AS target, src AS parent, row_number() OVER w AS position, 1 / (1 + exp(-sum(ce) OVER w)) AS v FROM effects e JOIN nodes n ON n.id = e.src WINDOW w AS (PARTITION BY dst ORDER BY n.time NULLS LAST, src ROWS UNBOUNDED PRECEDING))"""
-
-
-def asymmetric(g: Graph) -> DataFrame:
-    """Known times order causes before effects, so they stand for the level here."""
-    return A.phi_asymmetric(A.logistic_prefixes(g.causal, g.effects, g.nodes.select("id", F.col("time").alias("level"))))
-
-
 @query("g2_phi_asymmetric", sql("SELECT target, parent, round(phi, 9) AS phi FROM asym", asym=ASYM))
 def _(g: Graph) -> DataFrame:
     return asymmetric(g).select("target", "parent", F.round("phi", 9).alias("phi"))
 
 
+@query(
+    "g2_phi_asymmetric_levels",
+    keyed(sql("SELECT target, parent, round(phi, 9) AS phi FROM asym", levels=LEVELS, asym=ASYM.replace("JOIN nodes n ON", "JOIN levels n ON").replace("n.time", "n.level")), levels="id, rest, level | id"),
+)
+def _(g: Graph) -> DataFrame:
+    """Parents in the order of their levels in the causal graph, those on or behind a cycle last."""
+    levels = E.topological_levels(g.nodes, g.causal)
+    return A.phi_asymmetric(A.logistic_prefixes(g.causal, g.effects, levels)).select("target", "parent", F.round("phi", 9).alias("phi"))
+
+
 _TOP = "SELECT src, dst, ce, row_number() OVER (PARTITION BY dst ORDER BY abs(ce) DESC, src) AS place FROM effects"
 _PERMS = {
     "top": f"SELECT * FROM ({_TOP}) WHERE place <= 3", "n": "SELECT dst, count(*) AS n FROM top GROUP BY dst",
@@ -155,7 +189,7 @@ _PERMS = {
 }
 
 
-@query("g3_phi_symmetric", sql("SELECT dst AS target, src AS parent, round(sum(m * w) / sum(w), 9) AS phi FROM weight GROUP BY dst, src", **_PERMS))
+@query("g3_phi_symmetric_topk", sql("SELECT dst AS target, src AS parent, round(sum(m * w) / sum(w), 9) AS phi FROM weight GROUP BY dst, src", **_PERMS))
 def _(g: Graph) -> DataFrame:
     """G4 before G3: the three strongest parents only."""
     return A.phi_symmetric(A.parent_topk(g.effects, 3)).select("target", "parent", F.round("phi", 9).alias("phi"))
@@ -171,49 +205,66 @@ _ALL_PERMS = {
 }
 
 
-@query("g3_phi_symmetric_all", sql("SELECT dst AS target, src AS parent, round(phi, 9) + 0.0 AS phi FROM (SELECT * FROM exact UNION ALL SELECT * FROM sampled)", **_ALL_PERMS))
+@query("g3_phi_symmetric", sql("SELECT dst AS target, src AS parent, round(phi, 9) + 0.0 AS phi FROM (SELECT * FROM exact UNION ALL SELECT * FROM sampled)", **_ALL_PERMS))
 def _(g: Graph) -> DataFrame:
     """All parents: exact up to four of them, else 64 orders."""
     found = A.phi_symmetric(g.effects, numbers=(F.expr(NUM.format("src")), F.expr(NUM.format("dst"))))
     return found.select("target", "parent", (F.round("phi", 9) + 0.0).alias("phi"))
 
 
+@query("g3_phi_of_coalitions", sql("SELECT dst AS target, src AS parent, round(phi, 9) + 0.0 AS phi FROM exact", **_ALL_PERMS))
+def _(g: Graph) -> DataFrame:
+    """A table of the values of all subsets, as a caller gives it, of all nodes with up to four parents."""
+    few = A.n_parents(g.effects).where("n <= 4").select("dst")
+    own = g.effects.join(few, "dst", "left_semi").groupBy(F.col("dst").alias("target")).agg(F.array_sort(F.collect_list(F.struct("src", "ce"))).alias("own"))
+    subsets = F.transform(F.sequence(F.lit(0), (F.pow(F.lit(2.0), F.size("own")) - 1).cast("int")), lambda m: F.filter("own", lambda x, i: (F.pmod(F.floor(m / F.pow(F.lit(2.0), i)), F.lit(2)) == 1)))
+    sets = own.select("target", F.explode(subsets).alias("members"))
+    total = F.aggregate("members", F.lit(0.0), lambda a, x: a + x["ce"])
+    values = sets.select("target", F.transform("members", lambda x: x["src"]).alias("members"), (1 / (1 + F.exp(-total))).alias("v"))
+    return A.phi_of_coalitions(written(values, "coalitions")).select("target", "parent", (F.round("phi", 9) + 0.0).alias("phi"))
+
+
+@query("g3_phi_of_orders", sql("SELECT target, parent, round(phi * n, 9) + 0.0 AS phi FROM asym JOIN (SELECT dst, count(*) AS n FROM effects GROUP BY dst) k ON k.dst = target", asym=ASYM))
+def _(g: Graph) -> DataFrame:
+    """One given order per target: the marginals of G2, not divided by the number of parents."""
+    order = A.logistic_prefixes(g.causal, g.effects, g.nodes.select("id", F.col("time").alias("level"))).withColumn("perm", F.lit(0))
+    return A.phi_of_orders(order).select("target", "parent", (F.round("phi", 9) + 0.0).alias("phi"))
+
+
 @query("g4_parent_topk", sql(f"SELECT src, dst, ce FROM ({_TOP}) WHERE place <= 2"))
 def _(g: Graph) -> DataFrame:
     return A.parent_topk(g.effects, 2).select("src", "dst", "ce")
 
 
-@query("g6_edge_scores", sql("SELECT target, src, dst, round(abs(phi) * ce, 9) + 0.0 AS score FROM phi JOIN effects ON src = parent AND dst = target UNION ALL SELECT a.target, e.src, e.dst, round(abs(a.phi) * abs(b.phi) * e.ce, 9) + 0.0 FROM phi a JOIN effects e ON e.src = a.parent JOIN phi b ON b.target = a.target AND b.parent = e.dst WHERE e.dst <> a.target", phi=PHI))
+@query("g6_edge_scores", sql("SELECT target, src, dst, round(abs(phi) * ce, 12) + 0.0 AS score FROM phi JOIN effects ON src = parent AND dst = target UNION ALL SELECT a.target, e.src, e.dst, round(abs(a.phi) * abs(b.phi) * e.ce, 9) + 0.0 FROM phi a JOIN effects e ON e.src = a.parent JOIN phi b ON b.target = a.target AND b.parent = e.dst WHERE e.dst <> a.target", phi=PHI))
 def _(g: Graph) -> DataFrame:
-    return A.edge_scores(g.effects, A.phi_additive(g.causal, g.effects)).select("target", "src", "dst", (F.round("score", 9) + 0.0).alias("score"))
+    return A.edge_scores(g.effects, A.phi_additive(g.causal, g.effects)).select("target", "src", "dst", (F.round("score", 12) + 0.0).alias("score"))
 
 
-_ATTACHED = BASE | {
-    "phi": PHI, "asym": ASYM,
-    "lagged": "SELECT *, lag(id) OVER w AS c1, lag(node_type) OVER w AS t1, lag(id, 2) OVER w AS c2, lag(node_type, 2) OVER w AS t2 FROM cn WINDOW w AS (PARTITION BY target ORDER BY pos)",
-    "attached": "SELECT l.target, l.pos, l.id, l.node_type, CASE WHEN pos > 0 THEN coalesce(p.phi, 0) END AS phi_add, CASE WHEN pos > 0 AND (t1 = 'transaction' OR t2 = 'transaction') THEN coalesce(a.phi, 0) END AS phi_asym FROM lagged l LEFT JOIN phi p ON p.target = c1 AND p.parent = l.id LEFT JOIN asym a ON a.target = CASE WHEN t1 = 'transaction' THEN c1 WHEN t2 = 'transaction' THEN c2 END AND a.parent = l.id",
-}
+@query("g7_attach_phi", sql("SELECT target, pos, id, round(phi_add, 9) AS phi_add, round(phi_asym, 9) AS phi_asym FROM attached", **ATTACHED))
+def _(g: Graph) -> DataFrame:
+    return attached(chain_nodes(g), g).select("target", "pos", "id", F.round("phi_add", 9).alias("phi_add"), F.round("phi_asym", 9).alias("phi_asym"))
 
 
-def attached(g: Graph) -> DataFrame:
-    cn = written(K.chain_nodes(greedy(g), g.nodes, g.effects), "chain-nodes")
-    return A.attach_phi(cn, A.phi_additive(g.causal, g.effects), asymmetric(g), "transaction")
+@query("g11_pivot", sql("SELECT target, id AS pivot, pos FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(abs(phi_asym), 12) DESC, pos) AS rn FROM attached WHERE abs(phi_asym) > 0) WHERE rn = 1", **ATTACHED))
+def _(g: Graph) -> DataFrame:
+    return A.chain_pivot(attached(chain_nodes(g), g).withColumn("phi_asym", F.round("phi_asym", 12))).select("target", "pivot", "pos")
 
 
-@query("g7_attach_phi", sql("SELECT target, pos, id, round(phi_add, 9) AS phi_add, round(phi_asym, 9) AS phi_asym FROM attached", **_ATTACHED))
+@query("h1_relation_features", sql("SELECT e.dst AS id, e.edge_type, round(avg(f.f_amount), 9) AS near_amount, round(sum(f.f_count), 9) AS sum_count, count(*) AS n_near FROM causal e JOIN feats f ON f.id = e.src GROUP BY e.dst, e.edge_type", feats=FEATS))
 def _(g: Graph) -> DataFrame:
-    return attached(g).select("target", "pos", "id", F.round("phi_add", 9).alias("phi_add"), F.round("phi_asym", 9).alias("phi_asym"))
+    x = written(features(g), "features")
+    mean, total = X.relation_features(x, g.causal, FEATURES), X.relation_features(x, g.causal, FEATURES, how="sum").select("id", "edge_type", F.col("near_f_count").alias("s"))
+    return mean.join(total, ["id", "edge_type"]).select("id", "edge_type", F.round("near_f_amount", 9).alias("near_amount"), F.round("s", 9).alias("sum_count"), "n_near")
 
 
-@query("g11_pivot", sql("SELECT target, id AS pivot, pos FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(abs(phi_asym), 12) DESC, pos) AS rn FROM attached WHERE abs(phi_asym) > 0) WHERE rn = 1", **_ATTACHED))
-def _(g: Graph) -> DataFrame:
-    return A.chain_pivot(attached(g).withColumn("phi_asym", F.round("phi_asym", 12))).select("target", "pivot", "pos")
+_LAYER = "SELECT f.id, f.node_type, coalesce((f.f_amount + m.a) / 2, f.f_amount) AS f_amount, coalesce((f.f_count + m.c) / 2, f.f_count) AS f_count FROM {0} f LEFT JOIN (SELECT dst, avg(a) AS a, avg(c) AS c FROM (SELECT e.dst, e.edge_type, avg(x.f_amount) AS a, avg(x.f_count) AS c FROM causal e JOIN {0} x ON x.id = e.src GROUP BY e.dst, e.edge_type) GROUP BY dst) m ON m.dst = f.id"
 
 
-@query("h1_neighbour_features", sql("SELECT e.dst AS id, e.edge_type, round(avg(f.f_amount), 9) AS near_amount, round(avg(f.f_count), 9) AS near_count, count(*) AS n_near FROM causal e JOIN feats f ON f.id = e.src GROUP BY e.dst, e.edge_type", feats=FEATS))
+@query("h1_neighbour_features", sql("SELECT id, node_type, round(f_amount, 10) AS f_amount, round(f_count, 10) AS f_count FROM two", feats=FEATS, one=_LAYER.format("feats"), two=_LAYER.format("one")))
 def _(g: Graph) -> DataFrame:
-    found = X.neighbour_features(features(g), g.causal, FEATURES)
-    return found.select("id", "edge_type", F.round("near_f_amount", 9).alias("near_amount"), F.round("near_f_count", 9).alias("near_count"), "n_near")
+    found = X.neighbour_features(features(g), g.causal, FEATURES, 2)
+    return found.select("id", "node_type", F.round("f_amount", 10).alias("f_amount"), F.round("f_count", 10).alias("f_count"))
 
 
 @query("h2_node_classifier")
@@ -224,14 +275,9 @@ def _(g: Graph) -> DataFrame:
 
 @query("h4_model_selection")
 def _(g: Graph) -> DataFrame:
-    """Validation report of each number of iterations; the caller keeps the best weighted F1."""
+    """The fit with the best blend of both F1 on the val split, among numbers of iterations."""
     rows = written(split(g).select("id", "y", "split").join(features(g), "id"), "detector-rows")
-    found = None
-    for iterations in (1, 5, 20):
-        scored = X.detect(X.fit_detector(rows, FEATURES, iterations), rows.where("split = 'val'"), FEATURES)
-        report = M.detection_report(M.predict(scored, 0.5)).withColumn("iterations", F.lit(iterations))
-        found = report if found is None else found.unionByName(report)
-    return found
+    return X.select_model(rows, FEATURES, [{"max_iter": n} for n in (1, 5, 20)])[1]
 
 
 _DRAW = "sqrt(-2 * ln((((num * 48271 + draw * 7919 + {k} * 104729) % 9973) + 1) / CAST(9974 AS DOUBLE))) * cos(2 * pi() * (((num * 16807 + draw * 1299709 + {k} * 15485863) % 9967) / CAST(9967 AS DOUBLE)))"
@@ -239,7 +285,9 @@ _NOISY = "1 / (1 + exp(-(-0.3 + 0.8 * (f_amount + sigma * " + _DRAW.format(k=1)
 _DRIFT = {
     "feats": FEATS, "grid": "SELECT sigma, draw FROM (VALUES (0.01), (0.05), (0.1), (0.2), (0.5)) s(sigma), (VALUES (0), (1), (2), (3), (4)) d(draw)",
     "noisy": f"SELECT f.id, CAST(sigma AS DOUBLE) AS sigma, draw, {_P.format('')} AS p, n.num, f_amount, f_count FROM feats f JOIN nodes n ON n.id = f.id, grid",
-    "drift": f"SELECT sigma, abs({_NOISY} - p) / k AS d FROM (SELECT src, count(*) OVER (PARTITION BY dst) AS k FROM causal) c JOIN noisy b ON b.id = c.src",
+    "drift": f"SELECT src, dst, sigma, abs({_NOISY} - p) / k AS d FROM (SELECT src, dst, count(*) OVER (PARTITION BY dst) AS k FROM causal) c JOIN noisy b ON b.id = c.src",
+    "shares": "SELECT src, dst, (1 / (1 + exp(-(-0.3 + 0.8 * f_amount - 0.5 * f_count))) - 1 / (1 + exp(0.3))) / count(*) OVER (PARTITION BY dst) AS phi FROM causal JOIN feats ON id = src",
+    "pivots": "SELECT src, dst, abs(phi) AS size FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY abs(phi) DESC, src) AS rn FROM shares) WHERE rn = 1",
 }
 
 
@@ -248,7 +296,8 @@ def drift(g: Graph, sigmas: tuple[float, ...], draws: int) -> DataFrame:
     plain = features(g).join(g.nodes.select("id", "num"), "id")
     grid = F.explode(F.array(*[F.lit(s) for s in sigmas])).alias("sigma")
     noisy = plain.select("*", grid).select("*", F.explode(F.array(*[F.lit(d) for d in range(draws)])).alias("draw"))
-    return A.phi_drift(g.causal, plain.select("id", F.expr(_P.format("")).alias("p")), noisy.select("id", "sigma", "draw", F.expr(_NOISY).alias("p")))
+    phi = A.phi_additive(g.causal, X.score_edges(g.causal, features(g), fixed_models(g), FEATURES, "zero"))
+    return A.phi_drift(g.causal, plain.select("id", F.expr(_P.format("")).alias("p")), noisy.select("id", "sigma", "draw", F.expr(_NOISY).alias("p")), phi)
 
 
 @query("g12_phi_stability", sql("SELECT round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std FROM drift WHERE sigma = 0.01", **_DRIFT))
@@ -256,26 +305,9 @@ def _(g: Graph) -> DataFrame:
     return drift(g, (0.01,), 5).select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query("g13_stability_sweep", sql("SELECT sigma, round(avg(d), 6) AS mean, count(*) AS n FROM drift GROUP BY sigma", **_DRIFT))
+@query("g13_stability_sweep", sql("SELECT sigma, round(avg(d), 6) AS mean, count(*) AS n, round(avg(CASE WHEN size IS NOT NULL THEN d END), 6) AS pivot, round(avg(d / (size + 1e-8)), 4) AS pivot_relative FROM drift LEFT JOIN pivots USING (src, dst) GROUP BY sigma", **_DRIFT))
 def _(g: Graph) -> DataFrame:
-    return drift(g, (0.01, 0.05, 0.1, 0.2, 0.5), 5).select("sigma", F.round("mean", 6).alias("mean"), "n")
-
-
-_RANKED = "SELECT dst AS node, src AS parent, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY s DESC, src) AS rn FROM (SELECT src, dst, abs(ce) AS s FROM effects)) WHERE rn = 1"
-_BY_PHI = "SELECT node, parent, score FROM (SELECT target AS node, parent, round(abs(phi), 12) AS score, row_number() OVER (PARTITION BY target ORDER BY round(abs(phi), 12) DESC, parent) AS rn FROM asym) WHERE rn = 1"
-_FEW = WALK.replace("<= 20", "<= 6")
-
-
-@query(
-    "g10_explain_sets",
-    sql(
-        "SELECT DISTINCT 'ce_only' AS mode, target, UNNEST(chain) AS node FROM chains UNION ALL SELECT DISTINCT 'phi_asym', target, UNNEST(chain) FROM chains2",
-        best=_RANKED, walk=_FEW, chains=LAST, asym=ASYM, best2=_BY_PHI, walk2=_FEW.replace("walk", "walk2").replace("JOIN best b", "JOIN best2 b"), chains2=LAST.replace("FROM walk", "FROM walk2"),
-    ),
-)
-def _(g: Graph) -> DataFrame:
-    by_phi = asymmetric(g).select(F.col("parent").alias("src"), F.col("target").alias("dst"), F.round("phi", 12).alias("ce"))
-    return A.explained_sets({"ce_only": g.effects, "phi_asym": by_phi}, g.targets, T.trace_greedy, 6)
+    return drift(g, (0.01, 0.05, 0.1, 0.2, 0.5), 5).select("sigma", F.round("mean", 6).alias("mean"), "n", F.round("pivot", 6).alias("pivot"), F.round("pivot_relative", 4).alias("pivot_relative"))
 
 
 @query(
@@ -286,43 +318,78 @@ def _(g: Graph) -> DataFrame:
     return N.labelled_targets(g.nodes, "joint").select("node_type", "id", "y", "split")
 
 
-#: Weights of the readout over a transaction's own features and the mean of its parents'.
-OWN, NEAR, BIAS = {"f_amount": 0.8, "f_count": -0.5}, {"f_amount": 0.6, "f_count": -0.4}, -0.3
+#: Weights of the readout over a transaction's own features, the mean of its parents' and that of their parents'.
+LAYERS, BIAS = [{"f_amount": 0.8, "f_count": -0.5}, {"f_amount": 0.6, "f_count": -0.4}, {"f_amount": 0.3, "f_count": 0.2}], -0.3
 _READ = {
     "feats": FEATS,
-    "fed": "SELECT c.dst AS target, c.src, 0.6 * f_amount - 0.4 * f_count AS near, f_amount, f_count FROM causal c JOIN feats f ON f.id = c.src WHERE c.dst IN (SELECT target FROM targets)",
-    "base": "SELECT target, f_amount, f_count, -0.3 + 0.8 * f_amount - 0.5 * f_count AS own FROM targets JOIN feats ON id = target",
+    "pairs": "SELECT c.src, c.dst, count(*) OVER (PARTITION BY c.dst) AS n FROM causal c JOIN feats f ON f.id = c.src WHERE c.src <> c.dst",
+    "given": "SELECT f.id, 0.6 * f_amount - 0.4 * f_count + coalesce(m.v, 0) AS m FROM feats f LEFT JOIN (SELECT p.dst, avg(0.3 * x.f_amount + 0.2 * x.f_count) AS v FROM pairs p JOIN feats x ON x.id = p.src GROUP BY p.dst) m ON m.dst = f.id",
+    "fed": "SELECT p.dst AS target, p.src, g.m AS near FROM pairs p JOIN given g ON g.id = p.src WHERE p.dst IN (SELECT target FROM targets)",
+    "base": "SELECT target, -0.3 + 0.8 * f_amount - 0.5 * f_count AS own FROM targets JOIN feats ON id = target",
     "scored": "SELECT b.target, coalesce(n, 0) AS n, 1 / (1 + exp(-(own + coalesce(near, 0)))) AS p FROM base b LEFT JOIN (SELECT target, count(*) AS n, avg(near) AS near FROM fed GROUP BY target) m ON m.target = b.target",
+    "field": "SELECT target, target AS id, 0 AS hop, CAST(1 AS DOUBLE) AS share FROM targets UNION ALL SELECT t.target, p.src, 1, 1.0 / p.n FROM targets t JOIN pairs p ON p.dst = t.target UNION ALL SELECT t.target, q.src, 2, 1.0 / p.n / q.n FROM targets t JOIN pairs p ON p.dst = t.target JOIN pairs q ON q.dst = p.src",
+    "slopes": "SELECT target, f.id, sum(share * CASE hop WHEN 0 THEN 0.8 WHEN 1 THEN 0.6 ELSE 0.3 END) * any_value(x.f_amount) AS f_amount, sum(share * CASE hop WHEN 0 THEN -0.5 WHEN 1 THEN -0.4 ELSE 0.2 END) * any_value(x.f_count) AS f_count FROM field f JOIN feats x ON x.id = f.id GROUP BY target, f.id",
+    "salient": "SELECT s.target, s.id, p * (1 - p) * sqrt(f_amount * f_amount + f_count * f_count) AS saliency FROM slopes s JOIN scored c ON c.target = s.target",
 }
 
 
 @query("g5_coalition_values", sql("SELECT b.target, coalition, round(1 / (1 + exp(-(own + near))), 9) AS p FROM base b JOIN (SELECT target, 0.0 AS near, 'none' AS coalition FROM targets UNION ALL SELECT target, near, src FROM fed UNION ALL SELECT target, avg(near), 'all' FROM fed GROUP BY target) k ON k.target = b.target", **_READ))
 def _(g: Graph) -> DataFrame:
     """The empty set, every parent alone and all parents, of each flagged transaction."""
-    fed = g.causal.select(F.col("dst").alias("target"), F.col("src").alias("parent")).join(g.targets, "target", "left_semi")
+    fed = g.causal.where("src <> dst").select(F.col("dst").alias("target"), F.col("src").alias("parent")).join(g.targets, "target", "left_semi")
     none = g.targets.select("target", F.lit("none").alias("coalition"), F.lit(None).cast("string").alias("parent"))
     sets = none.unionByName(fed.select("target", F.explode(F.array("parent", F.lit("all"))).alias("coalition"), "parent"))
-    return A.coalition_values(sets, features(g), OWN, NEAR, BIAS).withColumn("p", F.round("p", 9))
+    return A.coalition_values(sets, g.causal, written(features(g), "features"), LAYERS, BIAS).withColumn("p", F.round("p", 9))
 
 
 @query(
     "g8_feature_effects",
     sql(
         "SELECT target, node AS pivot, feature, round(CASE WHEN weak THEN saliency ELSE value END, 8) + 0.0 AS value, round(saliency, 8) + 0.0 AS saliency, CASE WHEN weak THEN 'saliency_fallback' ELSE 'effect' END AS method FROM (SELECT *, max(abs(value)) OVER (PARTITION BY target, node) < 1e-5 AS weak FROM moved)",
-        **_READ, pivots=f"SELECT dst AS target, src AS node FROM ({_TOP}) WHERE place = 1 AND dst IN (SELECT target FROM targets)",
-        parts="SELECT v.target, v.node, s.p, u.feature, CASE u.feature WHEN 'f_amount' THEN 0.6 * f_amount ELSE -0.4 * f_count END / s.n AS part FROM pivots v JOIN scored s ON s.target = v.target JOIN feats f ON f.id = v.node, (VALUES ('f_amount'), ('f_count')) u(feature)",
+        **_READ, tops=f"SELECT dst AS node, src AS parent FROM ({_TOP}) WHERE place = 1",
+        pivots="SELECT target, a.parent AS node FROM targets JOIN tops a ON a.node = target UNION SELECT target, b.parent FROM targets JOIN tops a ON a.node = target JOIN tops b ON b.node = a.parent",
+        parts="SELECT v.target, v.node, s.p, u.feature, CASE u.feature WHEN 'f_amount' THEN f_amount ELSE f_count END AS part FROM pivots v JOIN scored s ON s.target = v.target JOIN slopes f ON f.target = v.target AND f.id = v.node, (VALUES ('f_amount'), ('f_count')) u(feature)",
         moved="SELECT *, p * (1 - p) * part AS saliency, p - 1 / (1 + exp(-(ln(p / (1 - p)) - part))) AS value FROM parts",
     ),
 )
 def _(g: Graph) -> DataFrame:
-    pairs = A.parent_topk(g.effects, 1).select(F.col("dst").alias("target"), F.col("src").alias("pivot")).join(g.targets, "target", "left_semi")
-    found = A.feature_effects(pairs, g.causal, features(g), OWN, NEAR, BIAS)
+    """Pivots: the strongest parent of each flagged transaction, and that one's strongest parent, two hops away."""
+    top = written(A.parent_topk(g.effects, 1).select(F.col("dst").alias("node"), F.col("src").alias("parent")), "strongest")
+    one = g.targets.join(top, F.col("target") == F.col("node")).select("target", F.col("parent").alias("pivot"))
+    two = one.join(top, F.col("pivot") == F.col("node")).select("target", F.col("parent").alias("pivot"))
+    found = A.feature_effects(one.union(two), g.causal, written(features(g), "features"), LAYERS, BIAS)
     return found.select("target", "pivot", "feature", (F.round("value", 8) + 0.0).alias("value"), (F.round("saliency", 8) + 0.0).alias("saliency"), "method")
 
 
-@query("g9_saliency", sql("SELECT s.target, s.target AS id, round(p * (1 - p) * sqrt(pow(0.8 * f_amount, 2) + pow(0.5 * f_count, 2)), 9) AS saliency FROM scored s JOIN base b ON b.target = s.target UNION ALL SELECT s.target, src, round(p * (1 - p) * sqrt(pow(0.6 * f_amount, 2) + pow(0.4 * f_count, 2)) / n, 9) FROM scored s JOIN fed f ON f.target = s.target", **_READ))
+@query("g9_saliency", sql("SELECT target, id, round(saliency, 9) AS saliency FROM salient", **_READ))
+def _(g: Graph) -> DataFrame:
+    return A.saliency(g.targets, g.causal, written(features(g), "features"), LAYERS, BIAS).withColumn("saliency", F.round("saliency", 9))
+
+
+_MODES = ("ce_only", "phi_asym", "phi_sym", "saliency")
+_BEST_OF = {
+    "ce_only": "SELECT dst AS node, src AS parent FROM (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY abs(ce) DESC, src) AS rn FROM effects) WHERE rn = 1",
+    "phi_asym": "SELECT target AS node, parent FROM (SELECT target, parent, row_number() OVER (PARTITION BY target ORDER BY abs(round(phi, 12)) DESC, parent) AS rn FROM asym) WHERE rn = 1",
+    "phi_sym": "SELECT target AS node, parent FROM (SELECT target, parent, row_number() OVER (PARTITION BY target ORDER BY abs(phi) DESC, parent) AS rn FROM (SELECT dst AS target, src AS parent, round(phi, 9) AS phi FROM exact UNION ALL SELECT dst, src, round(phi, 9) FROM sampled)) WHERE rn = 1",
+}
+_SETS = {f"best_{m}": _BEST_OF[m] for m in _BEST_OF} | {f"walk_{m}": WALK.replace("walk", f"walk_{m}").replace("JOIN best b", f"JOIN best_{m} b") for m in _BEST_OF} | {f"chains_{m}": LAST.replace("FROM walk", f"FROM walk_{m}") for m in _BEST_OF}
+_SETS |= {
+    "walk_saliency": f"""SELECT target, target AS cur, [target] AS chain, CAST(1 AS BIGINT) AS k FROM targets UNION ALL SELECT target, parent, list_append(chain, parent), k FROM (
+        SELECT w.target, c.src AS parent, w.chain, row_number() OVER (PARTITION BY w.target ORDER BY coalesce(round(s.saliency, 9), 0) DESC, c.src) AS k FROM walk_saliency w JOIN causal c ON c.dst = w.cur LEFT JOIN salient s ON s.target = w.target AND s.id = c.src WHERE len(w.chain) <= {HOPS}) WHERE k = 1 AND NOT list_contains(chain, parent)""",
+    "chains_saliency": LAST.replace("FROM walk", "FROM walk_saliency"),
+}
+
+
+@query("g10_explain_sets", sql(" UNION ALL ".join(f"SELECT DISTINCT '{m}' AS mode, target, UNNEST(chain) AS node FROM chains_{m}" for m in _MODES), asym=ASYM, **_ALL_PERMS, **_READ, **_SETS))
 def _(g: Graph) -> DataFrame:
-    return A.saliency(g.targets, g.causal, features(g), OWN, NEAR, BIAS).withColumn("saliency", F.round("saliency", 9))
+    """The chains that the four explainers lead to, without a threshold."""
+    by = lambda phi, digits: phi.select(F.col("parent").alias("src"), F.col("target").alias("dst"), F.round("phi", digits).alias("ce"))
+    sym = A.phi_symmetric(g.effects, numbers=(F.expr(NUM.format("src")), F.expr(NUM.format("dst"))))
+    scores = A.saliency(g.targets, g.causal, written(features(g), "features"), LAYERS, BIAS).withColumn("score", F.round("saliency", 9))
+    return A.explained_sets({
+        "ce_only": T.trace_greedy(g.targets, g.effects, HOPS, 0.0), "phi_asym": T.trace_greedy(g.targets, by(asymmetric(g), 12), HOPS, 0.0),
+        "phi_sym": T.trace_greedy(g.targets, by(sym, 9), HOPS, 0.0), "saliency": T.trace_by_node_scores(g.targets, g.causal, scores, HOPS),
+    })
 
 
 @query(
@@ -334,6 +401,6 @@ def _(g: Graph) -> DataFrame:
     ),
 )
 def _(g: Graph) -> DataFrame:
-    scored = A.readout(g.targets, g.causal, features(g), OWN, NEAR, BIAS)
+    scored = A.readout(g.targets, g.causal, written(features(g), "features"), LAYERS, BIAS)
     found = A.explain_targets(g.targets, scored, A.phi_additive(g.causal, g.effects), T.trace_topk(g.targets, g.effects, 3, HOPS, PATH_THRESHOLD))
     return found.select("target", "rank", F.concat_ws("|", "chain").alias("chain"), "score", F.round("p", 9).alias("p"), "n", (F.round("phi_sum", 9) + 0.0).alias("phi_sum"))

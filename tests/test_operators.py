@@ -108,30 +108,47 @@ def test_missing_column_is_named(spark, tmp_path):
 
 
 def test_interventions(spark):
-    edges = spark.createDataFrame([("w2", "t0"), ("w3", "t0"), ("w3", "t0"), ("w4", "t1")], "src string, dst string")
-    features = spark.createDataFrame([("t0", 1.0), ("t1", 0.0), ("w2", 2.0), ("w3", -1.0), ("w4", 0.0)], "id string, x double")
-    own, near = {"x": 1.0}, {"x": 2.0}
+    """A readout of three layers against a walk through plain dictionaries."""
+    pairs = [("w2", "t0"), ("w3", "t0"), ("w3", "t0"), ("w4", "t1"), ("t5", "w2"), ("t6", "w2"), ("t6", "w3"), ("t7", "t6")]
+    x = {"t0": (1.0, 0.5), "t1": (0.0, 0.0), "w2": (2.0, -1.0), "w3": (-1.0, 0.25), "w4": (0.0, 0.0), "t5": (0.5, 1.0), "t6": (-2.0, 0.75), "t7": (9.0, 9.0)}
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    features = spark.createDataFrame([(i, *v) for i, v in x.items()], "id string, x double, y double")
+    layers, bias = [{"x": 1.0, "y": -0.5}, {"x": 2.0, "y": 0.5}, {"x": -1.0, "y": 0.25}], 0.5
 
-    def p(x):
-        return 1 / (1 + math.exp(-x))
+    def p(z):
+        return 1 / (1 + math.exp(-z))
+
+    def inside(target, changed=x, only=None):
+        def mean(node, layer):
+            own = layers[layer]["x"] * changed[node][0] + layers[layer]["y"] * changed[node][1]
+            fed = sorted({a for a, b in pairs if b == node and (node != target or only is None or a in only)}) if layer + 1 < len(layers) else []
+            return own + (sum(mean(a, layer + 1) for a in fed) / len(fed) if fed else 0)
+
+        return bias + mean(target, 0)
 
     sets = spark.createDataFrame([("t0", "none", None), ("t0", "w2", "w2"), ("t0", "w2", "w2"), ("t0", "all", "w2"), ("t0", "all", "w3")], "target string, coalition string, parent string")
-    got = {r.coalition: r.p for r in A.coalition_values(sets, features, own, near, 0.5).collect()}
-    assert got == pytest.approx({"none": p(1.5), "w2": p(5.5), "all": p(2.5)})
-    pairs = spark.createDataFrame([("t0", "w2"), ("t0", "t0"), ("t0", "w4"), ("t1", "w4"), ("t9", "w4")], "target string, pivot string")
-    got = {(r.target, r.pivot): (r.value, r.method) for r in A.feature_effects(pairs, edges, features, own, near, 0.5).collect()}
-    assert set(got) == {("t0", "w2"), ("t0", "t0"), ("t1", "w4")}  # w4 does not feed t0, t9 is unknown
-    assert got["t0", "w2"][0] == pytest.approx(p(2.5) - p(0.5)) and got["t0", "t0"][0] == pytest.approx(p(2.5) - p(1.5))
-    assert got["t1", "w4"] == (0.0, "saliency_fallback")
+    got = {r.coalition: r.p for r in A.coalition_values(sets, edges, features, layers, bias).collect()}
+    assert got == pytest.approx({"none": p(inside("t0", only=())), "w2": p(inside("t0", only=("w2",))), "all": p(inside("t0"))})
+    asked = spark.createDataFrame([("t0", "w2"), ("t0", "t0"), ("t0", "t6"), ("t0", "t7"), ("t0", "w4"), ("t1", "w4"), ("t9", "w4")], "target string, pivot string")
+    got = {(r.target, r.pivot, r.feature): r for r in A.feature_effects(asked, edges, features, layers, bias).collect()}
+    assert {k[:2] for k in got} == {("t0", "w2"), ("t0", "t0"), ("t0", "t6"), ("t1", "w4")}  # t7 is three hops away, w4 does not feed t0, t9 is unknown
+    for pivot in ("t0", "w2", "t6"):
+        for place, feature in enumerate(("x", "y")):
+            without = x | {pivot: tuple(0.0 if k == place else v for k, v in enumerate(x[pivot]))}
+            assert got["t0", pivot, feature].value == pytest.approx(p(inside("t0")) - p(inside("t0", without)))
+    assert got["t1", "w4", "x"].method == "saliency_fallback"
     targets = spark.createDataFrame([("t0",)], "target string")
-    slope = p(2.5) * (1 - p(2.5))
-    got = {r.id: r.saliency for r in A.saliency(targets, edges, features, own, near, 0.5).collect()}
-    assert got == pytest.approx({"t0": slope, "w2": 2 * slope, "w3": slope})
-    scored = A.readout(targets, edges, features, own, near, 0.5)
+    found = {r.id: r.saliency for r in A.saliency(targets, edges, features, layers, bias).collect()}
+    assert set(found) == {"t0", "w2", "w3", "t5", "t6"}
+    for node, value in found.items():
+        parts = [inside("t0") - inside("t0", x | {node: tuple(0.0 if k == place else v for k, v in enumerate(x[node]))}) for place in (0, 1)]
+        assert value == pytest.approx(p(inside("t0")) * (1 - p(inside("t0"))) * math.hypot(*parts))
+    scored = A.readout(targets, edges, features, layers, bias)
+    assert scored.first().p == pytest.approx(p(inside("t0"))) and scored.first().n == 2
     phi = spark.createDataFrame([("t0", "w2", 0.25), ("t0", "w3", -0.5)], "target string, parent string, phi double")
     chains = spark.createDataFrame([("t0", 1, ["t0", "w3"], 0.5)], "target string, rank int, chain array<string>, score double")
     row = A.explain_targets(targets, scored, phi, chains, 1).first()
     assert row.phi_sum == 0.75 and [x.parent for x in row.parents] == ["w3"] and row.chain == ["t0", "w3"] and row.n == 2
     empty = A.explain_targets(targets, scored, phi.limit(0), chains).first()
     assert empty.phi_sum == 0 and empty.parents == []
-    assert A.feature_effects(pairs.limit(0), edges, features, own, near, 0.5).count() == 0
+    assert A.feature_effects(asked.limit(0), edges, features, layers, bias).count() == 0

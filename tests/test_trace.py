@@ -1,10 +1,102 @@
+"""Traces of small random graphs against plain walks, one target and one edge at a time."""
+
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from rootward.operators import edges as E
 from rootward.operators import trace as T
 
-LINEAR = [("1", "0", 0.9), ("2", "1", 0.8), ("3", "2", 0.7), ("4", "3", 0.6)]
-BRANCH = [("1", "0", 0.6), ("2", "0", 0.5), ("3", "1", 0.7), ("4", "1", 0.4), ("4", "2", 0.9), ("5", "3", 0.8), ("6", "4", 0.95)]
-DEAD_END = [("H", "T", 0.9), ("Bdead", "H", 0.8), ("Blive", "H", 0.7), ("R", "Blive", 0.95)]
+NODES = [f"{kind}{i:02d}" for i in range(9) for kind in ("acc", "pay")]
+
+
+def random_graph(seed, cycles=False):
+    """src, dst, ce with distinct strengths; without cycles causes come before effects in NODES."""
+    r = random.Random(seed)
+    pairs = [(a, b) for i, a in enumerate(NODES) for b in NODES[i + 1 :] if r.random() < 0.16]
+    if cycles:
+        pairs += [(b, a) for a, b in r.sample(pairs, 4)]
+    strengths = r.sample(range(1, 1000), len(pairs))
+    return [(a, b, s / 1000 * r.choice((1, -1))) for (a, b), s in zip(pairs, strengths)]
+
+
+def parents_of(rows):
+    found = {}
+    for a, b, ce in rows:
+        found.setdefault(b, {})[a] = abs(ce)
+    return found
+
+
+def greedy(rows, target, hops, threshold, tier=lambda p, score: 0):
+    up, chain = parents_of(rows), [target]
+    while len(chain) <= hops and up.get(chain[-1]):
+        best = min(up[chain[-1]].items(), key=lambda x: (tier(*x), -x[1], x[0]))
+        if best[1] < threshold or best[0] in chain:
+            break
+        chain.append(best[0])
+    return chain
+
+
+def deepest_first(rows, target, hops, threshold):
+    up, chain = parents_of(rows), [target]
+    while len(chain) <= hops:
+        open_ = [(-w, p) for p, w in up.get(chain[-1], {}).items() if w >= threshold and p not in chain]
+        if not open_:
+            break
+        chain.append(min(open_)[1])
+    return chain
+
+
+def dead(rows, node, threshold):
+    return all(w < threshold for w in parents_of(rows).get(node, {}).values())
+
+
+def simple_paths(rows, target, hops, threshold):
+    up, todo = parents_of(rows), [[target]]
+    while todo:
+        path = todo.pop()
+        yield path
+        if len(path) <= hops:
+            todo += [[*path, p] for p, w in up.get(path[-1], {}).items() if w >= threshold and p not in path]
+
+
+def cheapest(rows, target, hops, threshold, wanted):
+    """The best end, by the least -ln product of any path to it."""
+    up, least = parents_of(rows), {}
+    for path in simple_paths(rows, target, hops, threshold):
+        cost = sum(-math.log(up[b][a]) for b, a in zip(path, path[1:]))
+        if cost < least.get(path[-1], (math.inf,))[0] - 1e-9:
+            least[path[-1]] = (cost, path)
+    ends = [((not dead(rows, n, threshold)) * 2 + (n not in wanted), round(c, 9), n, path) for n, (c, path) in least.items() if n != target]
+    return min(ends)[3] if ends else [target]
+
+
+def fewest_hops(rows, target, hops, threshold):
+    up, level, seen, hop = parents_of(rows), {target}, {target}, 0
+    last = target
+    while level and hop < hops:
+        level, hop = {p for n in level for p in up.get(n, {})} - seen, hop + 1
+        seen |= level
+        ends = [n for n in level if dead(rows, n, threshold)]
+        if ends:
+            return hop, min(ends)
+        if level:
+            last = (hop, min(level))
+    return last if last != target else (0, target)
+
+
+def beams(rows, target, k, hops, threshold):
+    up, now, done = parents_of(rows), [(0.0, [target])], []
+    for _ in range(hops):
+        wider = []
+        for score, chain in now:
+            more = [(round(score + w, 9), [*chain, p]) for p, w in up.get(chain[-1], {}).items() if w >= threshold and p not in chain]
+            wider += more
+            done += [] if more else [(score, chain)]
+        now = sorted(wider, key=lambda x: (-x[0], x[1]))[:k]
+    return sorted(done + now, key=lambda x: (-x[0], x[1]))[:k]
 
 
 def effects(spark, rows):
@@ -15,51 +107,75 @@ def one(spark, ids):
     return spark.createDataFrame([(i,) for i in ids], "id string")
 
 
-def chain(df):
-    return [r.chain for r in df.collect()]
-
-
-def targets(spark, *ids):
+def targets(spark, ids):
     return spark.createDataFrame([(i,) for i in ids], "target string")
 
 
-def test_linear_chain_by_every_algorithm(spark):
-    for algo in ("greedy", "dag_dp", "dijkstra", "bfs", "dfs", "beam"):
-        assert chain(T.trace(targets(spark, "0"), effects(spark, LINEAR), algo)) == [["0", "1", "2", "3", "4"]]
-
-
-def test_cycle_stops_greedy(spark):
-    assert chain(T.trace_greedy(targets(spark, "a"), effects(spark, [("b", "a", 0.9), ("a", "b", 0.9)]))) == [["a", "b"]]
-
-
-def test_best_path_of_the_branch(spark):
-    found = T.trace_best_path(targets(spark, "0"), effects(spark, BRANCH), preferred=one(spark, ["5", "6"]))
-    assert chain(found) == [["0", "2", "4", "6"]]
-
-
-def test_dead_end(spark):
-    e = effects(spark, DEAD_END)
-    assert chain(T.trace_greedy(targets(spark, "T"), e)) == [["T", "H", "Bdead"]]
-    for f in (T.trace_best_path, T.trace_bfs):
-        assert chain(f(targets(spark, "T"), e, preferred=one(spark, ["R"]))) == [["T", "H", "Blive", "R"]]
-
-
-def test_lookahead_on_a_hub(spark):
-    rows = [("1", "0", 0.089), *[(str(i), "1", 0.0006 + i * 1e-6) for i in range(2, 12)], *[(str(i), "1", 0.0004) for i in (12, 13)], ("14", "12", 0.0003), ("15", "13", 0.0003)]
-    e, process = effects(spark, rows), one(spark, ["14", "15"])
-    plain = T.trace_greedy(targets(spark, "0"), e, preferred=process)
-    assert chain(plain) == [["0", "1", "11"]]
-    ahead = T.reachable(e, process, 1)
-    assert chain(T.trace_greedy(targets(spark, "0"), e, preferred=process, ahead=ahead)) == [["0", "1", "12", "14"]]
-
-
-def test_caller_scores_and_threshold(spark):
-    scores = spark.createDataFrame([("0", "0", "1", 0.1), ("0", "0", "2", 0.9)], "target string, child string, parent string, score double")
-    assert chain(T.trace_scored(targets(spark, "0"), scores)) == [["0", "2"]]
-    assert chain(T.trace_scored(targets(spark, "0"), scores.withColumn("score", F.lit(0.01)), threshold=0.5)) == [["0"]]
-
-
-def test_target_without_parents(spark):
-    e = effects(spark, LINEAR)
-    for algo in ("greedy", "dag_dp", "bfs", "dfs", "beam"):
-        assert chain(T.trace(targets(spark, "9"), e, algo)) == [["9"]]
+def chains(df):
+    return {r.target: r.chain for r in df.collect()}
+
+
+ENDS = [*NODES[8:], "unknown"]
+
+
+@pytest.mark.parametrize("seed, cycles, hops, threshold", [(1, False, 20, 0.0001), (2, True, 20, 0.2), (3, False, 3, 0.3)])
+def test_every_algorithm_by_plain_walks(spark, seed, cycles, hops, threshold):
+    rows = random_graph(seed, cycles)
+    e, t = effects(spark, rows), targets(spark, ENDS)
+    assert chains(T.trace_greedy(t, e, hops, threshold)) == {x: greedy(rows, x, hops, threshold) for x in ENDS}
+    assert chains(T.trace_dfs(t, e, hops, threshold)) == {x: deepest_first(rows, x, hops, threshold) for x in ENDS}
+    wanted = {n for n in NODES if n.startswith("acc")}
+    tier = lambda p, score: 0 if score >= threshold and p in wanted else 1
+    assert chains(T.trace_greedy(t, e, hops, threshold, preferred=one(spark, wanted))) == {x: greedy(rows, x, hops, threshold, tier) for x in ENDS}
+    found = chains(T.trace_bfs(t, e, hops, threshold))
+    assert {x: (len(c) - 1, c[-1]) for x, c in found.items()} == {x: fewest_hops(rows, x, hops, threshold) for x in ENDS}
+    assert all(b in parents_of(rows)[a] for c in found.values() for a, b in zip(c, c[1:]))
+    want = {(x, k + 1): (s, c) for x in ENDS for k, (s, c) in enumerate(beams(rows, x, 3, hops, threshold))}
+    got = {(r.target, r["rank"]): (r.score, r.chain) for r in T.trace_topk(t, e, 3, hops, threshold).collect()}
+    assert got == want
+    if hops > 3:  # the cap does not bind, so the relaxation has the cheapest of all paths
+        best = {x: cheapest(rows, x, hops, threshold, wanted) for x in ENDS}
+        assert chains(T.trace_best_path(t, e, hops, threshold, preferred=one(spark, wanted))) == best
+        assert chains(T.trace(t, e, "dijkstra", max_hops=hops, threshold=threshold, preferred=one(spark, wanted))) == best
+
+
+def test_caps_of_best_path_and_sums(spark):
+    rows = [("m", "z", 0.5), ("k", "m", 0.9), ("h", "k", 0.8), ("h", "z", 0.1), ("z", "h", 0.7)]
+    e, t = effects(spark, rows), targets(spark, ["z"])
+    assert chains(T.trace_best_path(t, e, 20, 0.01)) == {"z": ["z", "m"]}  # all on a loop: no dead leaf, the cheapest node
+    assert chains(T.trace_best_path(t, e, 20, 0.01, objective="sum")) == {"z": ["z", "m", "k", "h"]}
+    assert chains(T.trace_best_path(t, e, 2, 0.01, objective="sum")) == {"z": ["z", "m", "k"]}
+    with pytest.raises(ValueError):
+        T.trace_best_path(t, e, 0)
+
+
+def test_lookahead_leaves_a_dead_end(spark):
+    """The strongest parent leads nowhere; a weaker one has the wanted kind two steps up."""
+    rows = [("hub", "loss", 0.3), *[(f"stub{i}", "hub", 0.2 + i / 100) for i in range(5)], ("way", "hub", 0.05), ("relay", "way", 0.04), ("origin", "relay", 0.03)]
+    e, wanted = effects(spark, rows), one(spark, ["origin"])
+    t = targets(spark, ["loss"])
+    by_depth = {0: ["loss", "hub", "stub4"], 1: ["loss", "hub", "stub4"], 2: ["loss", "hub", "way", "relay", "origin"]}
+    for depth, want in by_depth.items():
+        assert chains(T.trace_greedy(t, e, preferred=wanted, ahead=T.reachable(e, wanted, depth))) == {"loss": want}
+
+
+def test_scores_of_the_caller(spark):
+    rows = [("b", "a", 0.9), ("c", "a", 0.2), ("d", "c", 0.5), ("x", "w", 0.4)]
+    e = effects(spark, rows)
+    scores = spark.createDataFrame([("a", "a", "b", 0.1), ("a", "a", "c", 0.7), ("a", "c", "d", 0.05)], "target string, child string, parent string, score double")
+    assert chains(T.trace_scored(targets(spark, ["a"]), scores)) == {"a": ["a", "c", "d"]}
+    assert chains(T.trace_scored(targets(spark, ["a"]), scores, threshold=0.5)) == {"a": ["a", "c"]}
+    assert chains(T.trace_scored(targets(spark, ["a"]), scores.withColumn("score", F.lit(0.01)), threshold=0.5)) == {"a": ["a"]}
+    assert chains(T.trace_scored(targets(spark, ["a"]), scores, preferred=one(spark, ["b"]))) == {"a": ["a", "b"]}
+    nodes = spark.createDataFrame([("a", "pay"), ("w", "acc")], "id string, node_type string")
+    assert chains(T.trace_by_type(targets(spark, ["a", "w"]), nodes, "pay", scores, e)) == {"a": ["a", "c", "d"], "w": ["w", "x"]}
+    seen = spark.createDataFrame([("a", "c", 0.3)], "target string, id string, score double")
+    assert chains(T.trace_by_node_scores(targets(spark, ["a", "z"]), e, seen)) == {"a": ["a", "c", "d"], "z": ["z"]}
+
+
+def test_levels_of_a_deep_path_and_behind_cycles(spark):
+    path = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)] + [("n000", "n030"), ("n005", "n005"), ("x", "y"), ("y", "x"), ("y", "z"), ("n001", "z")]
+    ids = sorted({n for p in path for n in p} | {"alone"})
+    found = {r.id: r.level for r in E.topological_levels(one(spark, ids), spark.createDataFrame(path, "src string, dst string")).collect()}
+    want = {n: None for n in ids} | {f"n{i:03d}": i for i in range(5)} | {"alone": 0}  # n005 is on a loop of its own
+    assert found == want
