@@ -250,7 +250,7 @@ def similar_roots(docs: DataFrame, found: DataFrame, similarity: float = SIMILAR
     # Texts of the same shingles in another order may have other fingerprints.
     same = found.where("size(keys) > 0").select(F.col("keys")[0].alias("text"), F.col("root").alias("b")).distinct()
     joined = same.join(same.groupBy("text").agg(F.min("b").alias("a")), "text").where("a <> b").select("a", "b")
-    pivots = 1
+    pivots, sets = 1, None
     while True:
         # A key matters while texts of several components are under it and some are not compared yet.
         alive = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("open").alias("any")).where("low < high AND any").select("key")
@@ -263,8 +263,13 @@ def similar_roots(docs: DataFrame, found: DataFrame, similarity: float = SIMILAR
         met = held.join(first, "key").select("key", "root", "text", F.explode("pivots").alias("p"))
         met = written(met.select("key", "root", "text", F.col("p.root").alias("pivot_root"), F.col("p.text").alias("pivot")), "met")
         pairs = met.where("root <> pivot_root").select("text", "pivot").distinct()
+        # Sets are worked out once, in the round that first needs them.
         used = pairs.select("text").union(pairs.select("pivot")).distinct()
-        sets = written(_sets(docs, known.join(used, "text").select("text", "version")), "sets")
+        missing = used if sets is None else used.join(sets, "text", "left_anti")
+        missing = written(known.join(missing, "text").select("text", "version"), "missing")
+        if sets is None or not missing.isEmpty():
+            new = written(_sets(docs, missing), "sets")
+            sets = new if sets is None else sets.unionByName(new)
         both = pairs.join(sets, "text").join(sets.toDF("pivot", "of_pivot"), "pivot")
         shared = F.size(F.array_intersect("hashes", "of_pivot"))
         near = both.where(shared >= similarity * (F.size("hashes") + F.size("of_pivot") - shared) - 1e-9).select("text", "pivot")
