@@ -19,8 +19,9 @@ keys made of the smallest seeded hashes of their shingles (`KEYS` keys of `PER_K
 two texts of similarity 0.8 have no key in common with a chance of 7 in 100,000). Under a
 key nobody is compared with all others: texts are compared with a pivot, whoever is not
 similar to it with two further pivots, then with four, until all are linked or were pivots
-(every pivot is compared with all texts of its key). Two texts that each found another pivot
-are not compared under that key; they have 23 more.
+(every pivot is compared with all texts of its key). What is in one component already is not
+compared, and components grow with every round, so a large group of copies is soon one. Two
+texts that each found another pivot are not compared under that key; they have 23 more.
 
 Defined results: a null or empty text, or one of white space only, has the fingerprint
 zero and is linked like any other; repeated rows stay; a null doc_id is kept and never
@@ -241,22 +242,26 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def similar_roots(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): roots of fingerprint components to be joined, since texts of both are similar.
+    """(node, root): roots of fingerprint components that belong together, since texts of both are
+    similar, each with the smallest of its group.
 
-    found: version, root and keys of every row. Texts of one component need no comparison."""
+    found: version, root and keys of every row. Texts of one component need no comparison, and
+    components grow from round to round."""
     known = found.where("size(keys) > 0").groupBy(F.col("keys")[0].alias("text")).agg(F.min(F.struct("version", "root", "keys")).alias("x"))
     known = written(known.select("text", "x.version", "x.root", F.slice("x.keys", 2, KEYS).alias("keys")), "texts")
     held = known.select(F.explode("keys").alias("key"), "root", "text").withColumn("open", F.lit(True))
     # Texts of the same shingles in another order may have other fingerprints.
     same = found.where("size(keys) > 0").select(F.col("keys")[0].alias("text"), F.col("root").alias("b")).distinct()
-    joined = same.join(same.groupBy("text").agg(F.min("b").alias("a")), "text").where("a <> b").select("a", "b")
+    joined = written(same.join(same.groupBy("text").agg(F.min("b").alias("a")), "text").where("a <> b").select("a", "b"), "similar-roots")
+    components = connected_components(joined, "a", "b")
     pivots, sets = 1, None
     while True:
+        held = held.join(components, held.root == components.node, "left").select("key", F.coalesce(components.root, held.root).alias("root"), "text", "open")
         # A key matters while texts of several components are under it and some are not compared yet.
         alive = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("open").alias("any")).where("low < high AND any").select("key")
         held = written(held.join(alive, "key", "left_semi"), "keys")
         if held.isEmpty():
-            return joined
+            return components
         # Pivots by aggregates, which combine before the shuffle: no group is collected or sorted.
         picks = [F.min(F.struct(F.xxhash64("text", F.lit(k)), "root", "text")) for k in range(pivots)]
         first = held.where("open").groupBy("key").agg(F.array_distinct(F.transform(F.array(*picks), lambda x: F.struct(x["root"].alias("root"), x["text"].alias("text")))).alias("pivots"))
@@ -274,8 +279,11 @@ def similar_roots(docs: DataFrame, found: DataFrame, similarity: float = SIMILAR
         shared = F.size(F.array_intersect("hashes", "of_pivot"))
         near = both.where(shared >= similarity * (F.size("hashes") + F.size("of_pivot") - shared) - 1e-9).select("text", "pivot")
         near = written(near, "similar")
-        links_now = met.join(near, ["text", "pivot"], "left_semi").select(F.col("root").alias("a"), F.col("pivot_root").alias("b")).distinct()
-        joined = written(joined.unionByName(links_now), "similar-roots")
+        links_now = written(met.join(near, ["text", "pivot"], "left_semi").select(F.col("root").alias("a"), F.col("pivot_root").alias("b")).distinct(), "similar-roots")
+        if not links_now.isEmpty():
+            # Links of this round stand for those of earlier ones by the components that these made.
+            joined = components.toDF("a", "b").unionByName(links_now)
+            components = connected_components(joined, "a", "b")
         # Whoever was a pivot, or is similar to one, or in its component, has been dealt with under the key.
         done = met.where("root = pivot_root").select("key", "text").union(met.join(near, ["text", "pivot"], "left_semi").select("key", "text")).distinct().withColumn("done", F.lit(True))
         held = held.join(done, ["key", "text"], "left").select("key", "root", "text", (F.col("open") & F.col("done").isNull()).alias("open"))
@@ -292,7 +300,7 @@ def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, similarity: float =
     rows = written(_texts_with_keys(docs), "fingerprints")
     by_print = rows.join(_rooted(rows, threshold).select("fp", "root"), "fp")
     by_print = written(by_print.select("doc_id", "version", "root", "keys"), "groups")
-    joined = connected_components(similar_roots(docs.select("doc_id", "text"), by_print, similarity), "a", "b").toDF("root", "wide")
+    joined = similar_roots(docs.select("doc_id", "text"), by_print, similarity).toDF("root", "wide")
     grouped = by_print.join(joined, "root", "left").select("doc_id", "version", F.coalesce("wide", "root").alias("root"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("x")
     kept = grouped.groupBy("root").agg(best).select(F.col("x.doc_id").alias("kept_id"), F.col("x.version").alias("kept_version")).distinct()
