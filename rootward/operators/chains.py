@@ -1,7 +1,8 @@
 """Chain records and analytics over them.
 
 Chain nodes are the exploded form: target, pos (0 is the target), depth, id, node_type,
-time, fraud, ce (against the node before, null at the target)."""
+time, fraud, ce (against the node before, null at the target) and, where shares were
+attached, phi_add and phi_asym. Chosen chains are a table of their targets."""
 
 from __future__ import annotations
 
@@ -25,7 +26,8 @@ def chain_nodes(chains: DataFrame, nodes: DataFrame, effects: DataFrame) -> Data
 
 def chain_records(cn: DataFrame, illicit: DataFrame) -> DataFrame:
     """One row per chain with its nodes as an array of structs, in order."""
-    node = F.struct("pos", "id", "node_type", "time", "fraud", (F.col("pos") == 0).alias("is_target"), "ce")
+    phi = [F.col(c) if c in cn.columns else F.lit(None).cast("double").alias(c) for c in ("phi_add", "phi_asym")]
+    node = F.struct("pos", "id", "node_type", "time", "fraud", (F.col("pos") == 0).alias("is_target"), "ce", *phi)
     rows = cn.groupBy("target").agg(F.array_sort(F.collect_list(node)).alias("nodes"), F.max("depth").alias("depth"))
     last = F.element_at("nodes", -1)
     rows = rows.join(illicit.select(F.col("id").alias("target")).distinct().withColumn("_t", F.lit(True)), "target", "left")
@@ -44,11 +46,14 @@ def merged_links(cn: DataFrame) -> DataFrame:
 
 
 def merged_nodes(cn: DataFrame) -> DataFrame:
-    """One row per node over all chains: ever a target, ever a root, weighted degree."""
+    """One row per node over all chains: ever a target, ever a root, largest |phi_asym| (0 without
+    any), weighted degree; attributes from its first sight, by target and place."""
     links = merged_links(cn)
     degree = links.select(F.col("parent").alias("id"), "multiplicity").unionAll(links.select(F.col("child").alias("id"), "multiplicity")).groupBy("id").agg(F.sum("multiplicity").alias("degree"))
-    rows = cn.groupBy("id").agg(F.max(F.col("pos") == 0).alias("is_target"), F.max(F.col("pos") == F.col("depth")).alias("is_root"), F.first("node_type").alias("node_type"), F.max("fraud").alias("fraud"))
-    return rows.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    first = F.min_by(F.struct("node_type", "time", "fraud"), F.struct("target", "pos")).alias("first")
+    phi = F.max(F.abs("phi_asym")) if "phi_asym" in cn.columns else F.lit(None).cast("double")
+    rows = cn.groupBy("id").agg(F.max(F.col("pos") == 0).alias("is_target"), F.max(F.col("pos") == F.col("depth")).alias("is_root"), first, F.coalesce(phi, F.lit(0.0)).alias("phi_asym"))
+    return rows.join(degree, "id", "left").select("id", "is_target", "is_root", "first.*", "phi_asym", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
 def time_bounds(cn: DataFrame) -> DataFrame:
@@ -57,12 +62,16 @@ def time_bounds(cn: DataFrame) -> DataFrame:
 
 
 def top_roots(chains: DataFrame, k: int = 15) -> DataFrame:
-    """Roots shared by two chains or more, the most shared first."""
-    counts = chains.groupBy("root").agg(F.count("*").alias("n"), F.min("target").alias("first_target"))
-    return counts.where("n >= 2").orderBy(F.desc("n"), "root").limit(k)
+    """Roots shared by two chains or more, the most shared first, and a row per chain of each:
+    root, n, rank, target. The chains of a root are rows, not a list, since there may be any number."""
+    counts = chains.groupBy("root").agg(F.count("*").alias("n")).where("n >= 2")
+    best = counts.orderBy(F.desc("n"), "root").limit(k)
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "root")))  # k rows
+    return chains.select("root", "target").join(F.broadcast(ranked), "root").select("root", "n", "rank", "target")
 
 
 def chain_stats(chains: DataFrame, nodes: DataFrame, pivots: DataFrame) -> DataFrame:
+    """One row; pivots as of `chain_pivot`, so chains without a share have none."""
     kinds = nodes.select(F.col("id").alias("root"), F.col("node_type").alias("root_type"))
     fan = chains.groupBy("root").agg(F.count("*").alias("n")).agg(F.max("n").alias("max_fan_in"))
     own = chains.join(kinds, "root", "left").join(pivots.select("target", F.col("node_type").alias("pivot_type"), F.col("pos").alias("pivot_pos")), "target", "left")
@@ -75,33 +84,63 @@ def chain_stats(chains: DataFrame, nodes: DataFrame, pivots: DataFrame) -> DataF
     return stats.join(F.broadcast(fan), F.lit(True))  # one row each
 
 
-def search_chains(records: DataFrame, text: str, fraud_only: bool = False) -> DataFrame:
-    """Chains whose target, root or root type holds the text in any case; an empty text matches all."""
-    wanted = text.strip().lower()
-    hit = reduce(Column.__or__, [F.lower(c).contains(wanted) for c in ("target", "root", "root_type")])
-    found = records.where(hit)
-    return found.where("root_is_fraud") if fraud_only else found
-
-
-def chain_sets(cn: DataFrame, targets: list[str]) -> DataFrame:
-    """Distinct node ids of the chosen chains."""
-    return cn.where(F.col("target").isin(*targets)).select("id").distinct()
+def has_phi() -> Column:
+    return F.exists("nodes", lambda n: n["phi_asym"].isNotNull())
 
 
-def visible_nodes(cn: DataFrame, targets: list[str], edges: DataFrame, cap: int = 250) -> DataFrame:
-    """Nodes of the chosen chains and up to cap neighbours of them, by id; truncated tells if more were there."""
-    own = chain_sets(cn, targets)
-    near = edges.join(own.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).union(edges.join(own.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")))
-    around = near.distinct().join(own, "id", "left_anti")
-    more = around.count() > cap
-    both = own.withColumn("boundary", F.lit(False)).unionByName(around.orderBy("id").limit(cap).withColumn("boundary", F.lit(True)))
-    return both.withColumn("truncated", F.lit(more))
+def search_chains(records: DataFrame, text: str, fraud_only: bool = False, only_phi: bool = False) -> DataFrame:
+    """Chains whose target, root or root type holds the text in any case; an empty text matches all."""
+    wanted = text.strip().lower()
+    found = records.where(reduce(Column.__or__, [F.lower(c).contains(wanted) for c in ("target", "root", "root_type")]))
+    found = found.where("root_is_fraud") if fraud_only else found
+    return found.where(has_phi()) if only_phi else found
+
+
+def phi_coverage(records: DataFrame) -> DataFrame:
+    """n, n_phi (chains with a share) and percent, rounded to whole numbers."""
+    rows = records.agg(F.count("*").alias("n"), F.count(F.when(has_phi(), 1)).alias("n_phi"))
+    return rows.select("n", "n_phi", F.when(F.col("n") > 0, F.round(100.0 * F.col("n_phi") / F.col("n"))).otherwise(0.0).cast("int").alias("percent"))
+
+
+def chain_sets(cn: DataFrame, picked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct node ids, and distinct links (parent, child), of the chosen chains."""
+    own = cn.join(picked.select("target").distinct(), "target", "left_semi")
+    return own.select("id").distinct(), merged_links(own).select("parent", "child")
+
+
+def _of_types(nodes: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    return nodes.where(F.col("node_type").isin(*types)) if types else nodes
+
+
+def visible_subgraph(cn: DataFrame, picked: DataFrame, cap: int = 250, types: tuple[str, ...] = (), neighbours: bool = True, everything: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, node_type, boundary, truncated) and links (parent, child, ce) of the graph that all
+    chains make, around the chosen ones: their nodes and, on request, up to cap nodes one link away,
+    by id; or everything. Only nodes of the types given, if any; of links among those kept the
+    chosen chains' own, and with neighbours all that touch a chosen chain."""
+    merged = merged_links(cn)
+    kinds = merged_nodes(cn).select("id", "node_type")
+    ids, own = chain_sets(cn, picked)
+    inside = ids.withColumn("boundary", F.lit(False))
+    truncated = False
+    if everything:
+        inside = kinds.select("id").join(ids.withColumn("_own", F.lit(True)), "id", "left").select("id", F.col("_own").isNull().alias("boundary"))
+    elif neighbours:
+        ends = lambda c: ids.select(F.col("id").alias(c))
+        near = merged.join(ends("parent"), "parent", "left_semi").select(F.col("child").alias("id")).union(merged.join(ends("child"), "child", "left_semi").select(F.col("parent").alias("id")))
+        around = near.distinct().join(ids, "id", "left_anti")
+        truncated = around.count() > cap
+        inside = inside.unionByName(around.orderBy("id").limit(cap).withColumn("boundary", F.lit(True)))
+    nodes = _of_types(inside.join(kinds, "id"), types).select("id", "node_type", "boundary", F.lit(truncated).alias("truncated"))
+    end = lambda c: nodes.select(F.col("id").alias(c), F.col("boundary").alias(f"_{c}"))
+    links = merged.join(end("parent"), "parent").join(end("child"), "child").join(own.withColumn("_own", F.lit(True)), ["parent", "child"], "left")
+    touches = F.col("_own").isNotNull() | F.lit(everything) | (F.lit(neighbours) & ~(F.col("_parent") & F.col("_child")))
+    return nodes, links.where(touches).select("parent", "child", "ce")
 
 
 def responsibility(cn: DataFrame, pivots: DataFrame) -> DataFrame:
-    """From the root to the target, with is_root, is_target and is_pivot."""
+    """From the root to the target, with is_root, is_target, is_pivot, effect and share."""
     rows = cn.join(pivots.select("target", F.col("pivot").alias("id")).withColumn("_p", F.lit(True)), ["target", "id"], "left")
-    return rows.select("target", (F.col("depth") - F.col("pos")).alias("step"), "id", (F.col("pos") == F.col("depth")).alias("is_root"), (F.col("pos") == 0).alias("is_target"), F.coalesce("_p", F.lit(False)).alias("is_pivot"), "ce")
+    return rows.select("target", (F.col("depth") - F.col("pos")).alias("step"), "id", "node_type", "time", "phi_asym", (F.col("pos") == F.col("depth")).alias("is_root"), (F.col("pos") == 0).alias("is_target"), F.coalesce("_p", F.lit(False)).alias("is_pivot"), "ce")
 
 
 def depth_buckets(chains: DataFrame, variant: Column) -> DataFrame:
@@ -110,27 +149,56 @@ def depth_buckets(chains: DataFrame, variant: Column) -> DataFrame:
     return rows.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("variant")), 6))
 
 
+def variant_stats(chains: DataFrame, variant: Column, nodes: DataFrame) -> DataFrame:
+    """Per variant: chains, mean depth, and roots of each type."""
+    kinds = nodes.select(F.col("id").alias("root"), "node_type")
+    rows = chains.join(kinds, "root", "left").groupBy(variant.alias("variant"))
+    count = lambda kind: F.count(F.when(F.col("node_type") == kind, 1)).alias(f"{kind}_roots")
+    return rows.agg(F.count("*").alias("n"), F.round(F.avg("depth"), 6).alias("mean_depth"), count("wallet"), count("transaction"))
+
+
+#: Ends of the edge tables in the order in which their neighbours are listed.
+OVERLAY = (("addr_tx", "wallet", "transaction"), ("tx_addr", "transaction", "wallet"), ("tx_tx", "transaction", "transaction"), ("addr_addr", "wallet", "wallet"))
+
+
 def neighbour_overlay(ids: DataFrame, tables: dict[str, DataFrame], cap: int = 30) -> DataFrame:
-    """id, degree (edges with repeats, self-loops left out) and up to cap distinct neighbours, by relation, then id."""
+    """id, degree (edges with repeats, self-loops left out), n_near (distinct neighbours) and `near`,
+    up to cap of them with their types, by relation, then id. Nodes without any have no row."""
     parts = []
-    for rank, name in enumerate(("addr_tx", "tx_addr", "tx_tx", "addr_addr")):
+    for rank, (name, src_type, dst_type) in enumerate(OVERLAY):
         t = tables[name].where("src <> dst")
-        parts += [t.select(F.col("src").alias("id"), F.col("dst").alias("near"), F.lit(rank).alias("rank")), t.select(F.col("dst").alias("id"), F.col("src").alias("near"), F.lit(rank).alias("rank"))]
+        parts += [t.select(F.col("src").alias("id"), F.col("dst").alias("near"), F.lit(dst_type).alias("type"), F.lit(rank).alias("rank")), t.select(F.col("dst").alias("id"), F.col("src").alias("near"), F.lit(src_type).alias("type"), F.lit(rank).alias("rank"))]
     every = reduce(DataFrame.unionAll, parts).join(ids.select("id").distinct(), "id", "left_semi")
     degree = every.groupBy("id").agg(F.count("*").alias("degree"))
+    distinct = every.groupBy("id", "near", "type").agg(F.min("rank").alias("rank"))
     by = Window.partitionBy("id").orderBy("rank", "near")
-    first = every.groupBy("id", "near").agg(F.min("rank").alias("rank")).withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") <= cap)
-    listed = first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "near"))), lambda x: x["near"]).alias("near"))
-    return degree.join(listed, "id")
+    first = distinct.withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") <= cap)
+    listed = first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "near", "type"))), lambda x: F.struct(x["near"].alias("id"), x["type"].alias("node_type"))).alias("near"))
+    return degree.join(distinct.groupBy("id").agg(F.count("*").alias("n_near")), "id").join(listed, "id")
+
+
+def overlay_meta(ids: DataFrame, overlay: DataFrame, cap: int = 30) -> DataFrame:
+    """n_nodes asked for, n_with_neighbours, n_listed neighbours and n_truncated nodes."""
+    counts = overlay.agg(F.count("*").alias("n_with_neighbours"), F.coalesce(F.sum(F.size("near")), F.lit(0)).alias("n_listed"), F.count(F.when(F.col("n_near") > cap, 1)).alias("n_truncated"))
+    return ids.select("id").distinct().agg(F.count("*").alias("n_nodes")).join(counts, F.lit(True))  # one row each
 
 
 def chains_to_rows(records: DataFrame) -> DataFrame:
-    """The flat form: packed ids, types and effects, six significant digits, the target's cell empty."""
-    cell = lambda n: F.when(n["pos"] == 0, F.lit("")).otherwise(six_digits(n["ce"]))
+    """The flat form: packed ids, types, effects and shares, six significant digits, the target's
+    cell and unknown values empty. Columns of shares are there only if any chain has one."""
+    def packed(key: str) -> Column:
+        cell = lambda n: F.when((n["pos"] == 0) | n[key].isNull(), F.lit("")).otherwise(six_digits(n[key]))
+        return F.concat_ws("|", F.transform("nodes", cell))
+
+    def any_with(key: str) -> Column:
+        return F.max(F.exists("nodes", lambda n: (n["pos"] > 0) & n[key].isNotNull())).alias(key)
+
+    known = records.agg(any_with("phi_add"), any_with("phi_asym")).first()
+    shares = [packed(c).alias(f"chain_{c}") for c in ("phi_add", "phi_asym") if known[c]]
     return records.select(
-        "target", "depth", "root_type", "root", "root_is_fraud", "is_true_positive",
-        F.concat_ws("|", F.transform("nodes", lambda n: n["id"])).alias("node_ids"), F.concat_ws("|", F.transform("nodes", lambda n: n["node_type"])).alias("node_types"),
-        F.concat_ws("|", F.transform("nodes", cell)).alias("ces"),
+        F.col("target").alias("target_txid"), "depth", "root_type", F.col("root").alias("root_real_id"), "root_is_fraud", "is_true_positive", F.size("nodes").alias("n_nodes"),
+        F.concat_ws("|", F.transform("nodes", lambda n: n["id"])).alias("chain_real_ids"), F.concat_ws("|", F.transform("nodes", lambda n: n["node_type"])).alias("chain_types"),
+        packed("ce").alias("chain_ce"), *shares,
     )
 
 
@@ -141,9 +209,16 @@ def six_digits(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
-def neighbour_view(cn: DataFrame, targets: list[str], overlay: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, node_type, in_chain: nodes of the chosen chains and the neighbours that the overlay lists for them."""
-    own = chain_sets(cn, targets)
-    near = overlay.join(own, "id", "left_semi").select(F.explode("near").alias("id")).distinct().join(own, "id", "left_anti")
-    both = own.withColumn("in_chain", F.lit(True)).unionByName(near.withColumn("in_chain", F.lit(False)))
-    return both.join(nodes.select("id", "node_type"), "id", "left").select("id", "node_type", "in_chain")
+def neighbour_view(cn: DataFrame, picked: DataFrame, overlay: DataFrame | None, types: tuple[str, ...] = (), cap: int = 250) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, node_type, in_chain) and links (a, b): the chosen chains and the neighbours that the
+    overlay lists for their nodes, each linked to the node it is listed for; without an overlay
+    what `visible_subgraph` shows around them."""
+    if overlay is None:
+        nodes, links = visible_subgraph(cn, picked, cap, types)
+        return nodes.select("id", "node_type", (~F.col("boundary")).alias("in_chain")), links.select(F.col("parent").alias("a"), F.col("child").alias("b"))
+    nodes, links = visible_subgraph(cn, picked, cap, types, neighbours=False)
+    own = nodes.select("id", "node_type")
+    listed = overlay.join(own.select("id"), "id", "left_semi").select(F.col("id").alias("of"), F.explode("near").alias("x")).select("of", "x.id", "x.node_type")
+    more = _of_types(listed, types).join(own.select("id"), "id", "left_anti")
+    every = own.withColumn("in_chain", F.lit(True)).unionByName(more.select("id", "node_type").distinct().withColumn("in_chain", F.lit(False)))
+    return every, links.select(F.col("parent").alias("a"), F.col("child").alias("b")).unionByName(more.select(F.col("of").alias("a"), F.col("id").alias("b")).distinct())

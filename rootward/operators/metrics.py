@@ -70,6 +70,15 @@ def auc(rows: DataFrame, by: list[str] | None = None, ranges: int = 1000) -> Dat
     return placed.groupBy(*by).agg(wins.alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q")).select(*by, F.round(ratio(F.col("w"), F.col("p") * F.col("q")), 6).alias("auc"))
 
 
+def auc_one_vs_rest(rows: DataFrame, classes: list[int]) -> DataFrame:
+    """Mean area over classes, each against all others; rows: y (a class) and scores (an array, one per
+    class of the list). A class that no row, or every row, has is left out; 0 if none is left."""
+    each = rows.select("y", F.posexplode("scores").alias("at", "score")).withColumn("class", F.get(F.array(*[F.lit(c) for c in classes]), F.col("at")))
+    each = each.select("class", (F.col("y") == F.col("class")).cast("int").alias("y"), "score")
+    usable = each.groupBy("class").agg(F.min("y").alias("low"), F.max("y").alias("high")).where("low < high").select("class")
+    return auc(each, ["class"]).join(usable, "class", "left_semi").agg(F.round(F.coalesce(F.avg("auc"), F.lit(0.0)), 6).alias("auc"), F.count("*").alias("n_classes"))
+
+
 def threshold_sweep(rows: DataFrame, by: list[str] | None = None, grid: tuple[float, ...] = GRID) -> DataFrame:
     """cut, fraud_f1 and f1_macro for each cut of the grid (and 0.5): a row of it per cut, counted at once."""
     cuts = sorted({0.5, *grid})
@@ -127,6 +136,19 @@ def root_precision(chains: DataFrame, fraud: DataFrame, only: DataFrame | None =
     return found.agg(F.round(F.avg(F.coalesce("_f", F.lit(0))), 6).alias("root_precision"), F.count("*").alias("n"))
 
 
+def judged_precision(chains: DataFrame, nodes: DataFrame, fraud: DataFrame) -> DataFrame:
+    """n chains, share with a labelled root (`judged`), root precision of those, and root precision of all
+    chains against all illicit nodes instead of `fraud`."""
+    kinds = nodes.select(F.col("id").alias("root"), F.coalesce("labelled", F.lit(False)).alias("_l"), (F.col("class") == 1).cast("int").alias("_all"))
+    marked = fraud.select(F.col("id").alias("root")).distinct().withColumn("_f", F.lit(1))
+    found = chains.join(kinds, "root", "left").join(marked, "root", "left")
+    known, hit = F.coalesce("_l", F.lit(False)), F.coalesce("_f", F.lit(0))
+    return found.agg(
+        F.count("*").alias("n"), F.round(F.avg(known.cast("int")), 6).alias("judged"), F.round(F.avg(F.when(known, hit)), 6).alias("precision_judged"),
+        F.round(F.avg(F.coalesce("_all", F.lit(0))), 6).alias("precision_all_fraud"),
+    )
+
+
 def ground_truth_strict(addr_tx: DataFrame, illicit: DataFrame, wallets: DataFrame) -> DataFrame:
     """target, node: illicit transactions and their direct input wallets."""
     rows = addr_tx.select(F.col("dst").alias("target"), F.col("src").alias("node"))
@@ -164,16 +186,18 @@ def ground_truth_stats(truth: DataFrame) -> DataFrame:
 
 def explanation_metrics(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """Over targets of both tables (target, node): accuracy |p and g| / |p|, recall |p and g| / |g|,
-    exact and subset match, share of pairs in which a subset match could be."""
+    exact and subset match, share of pairs in which a subset match could be (`subset_feasible`).
+    subset_match_shown is subset_match, null where that share is under one half."""
     p, g = predicted.select("target", "node").distinct().withColumn("_p", F.lit(1)), truth.select("target", "node").distinct().withColumn("_g", F.lit(1))
     every = p.join(g, ["target", "node"], "full").groupBy("target").agg(F.count("_p").alias("p"), F.count("_g").alias("g"), _count(F.col("_p").isNotNull() & F.col("_g").isNotNull()).alias("both"))
     mean = lambda c: F.round(F.avg(c), 6)
-    return every.agg(
+    found = every.agg(
         mean(F.when(F.col("p") > 0, F.col("both") / F.col("p"))).alias("accuracy"), mean(F.when(F.col("g") > 0, F.col("both") / F.col("g"))).alias("recall"),
         mean(((F.col("both") == F.col("p")) & (F.col("both") == F.col("g"))).cast("double")).alias("exact_match"),
         mean(((F.col("g") > 0) & (F.col("both") == F.col("g"))).cast("double")).alias("subset_match"),
         mean(F.when((F.col("g") > 0) & (F.col("p") > 0), (F.col("g") <= F.col("p")).cast("double"))).alias("subset_feasible"),
     )
+    return found.withColumn("subset_match_shown", F.when(F.col("subset_feasible") >= 0.5, F.col("subset_match")))
 
 
 def depth_histogram(chains: DataFrame) -> DataFrame:

@@ -45,6 +45,21 @@ def _(g: Graph) -> DataFrame:
     return M.auc(scored(g), ["node_type"])
 
 
+_ONE = "SELECT c AS class, CASE WHEN class = c THEN 1 ELSE 0 END AS y, ((num * (48271 + c * 1000) + 11) % 1000) / CAST(1000 AS DOUBLE) AS score FROM nodes, (VALUES (1), (2), (3)) k(c)"
+
+
+@query(
+    "i3_auc_one_vs_rest",
+    sql(
+        "SELECT round(avg(auc), 6) AS auc, count(*) AS n_classes FROM (SELECT round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (CAST(count(*) FILTER (y = 1) AS DOUBLE) * count(*) FILTER (y = 0)), 6) AS auc FROM (SELECT *, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score) - 1) / 2.0 AS r FROM one) GROUP BY class HAVING count(*) FILTER (y = 1) > 0 AND count(*) FILTER (y = 0) > 0)",
+        one=_ONE,
+    ),
+)
+def _(g: Graph) -> DataFrame:
+    scores = F.array(*[F.expr(f"((num * {48271 + c * 1000} + 11) % 1000) / CAST(1000 AS DOUBLE)") for c in (1, 2, 3)])
+    return M.auc_one_vs_rest(g.nodes.select(F.col("class").alias("y"), scores.alias("scores")), [1, 2, 3])
+
+
 @query("i4_detection_report", sql(f"SELECT node_type, {_REPORT} FROM c", scored=SCORED, pred=PRED, c=f"SELECT node_type, {_CONF} FROM pred GROUP BY node_type"))
 def _(g: Graph) -> DataFrame:
     return M.detection_report(M.predict(scored(g), 0.5), ["node_type"])
@@ -125,9 +140,15 @@ def _(g: Graph) -> DataFrame:
     return M.root_precision(greedy(g), fraud(g), split(g).where("split = 'test'"))
 
 
-@query("j7_labelled_only_precision", sql("SELECT round(avg(CASE WHEN root IN (SELECT id FROM nodes WHERE class = 1) THEN 1 ELSE 0 END), 6) AS root_precision, count(*) AS n FROM chains WHERE root IN (SELECT id FROM nodes WHERE labelled)", **GREEDY))
+@query(
+    "j7_labelled_only_precision",
+    sql(
+        "SELECT count(*) AS n, round(avg(CASE WHEN l THEN 1.0 ELSE 0.0 END), 6) AS judged, round(avg(CASE WHEN l THEN CASE WHEN f THEN 1.0 ELSE 0.0 END END), 6) AS precision_judged, round(avg(CASE WHEN c THEN 1.0 ELSE 0.0 END), 6) AS precision_all_fraud FROM (SELECT n.labelled AS l, n.class = 1 AS c, root IN (SELECT id FROM fraud) AS f FROM chains JOIN nodes n ON n.id = root)",
+        **_CHAIN,
+    ),
+)
 def _(g: Graph) -> DataFrame:
-    return M.root_precision(greedy(g), g.nodes.where("class = 1"), g.nodes.where("labelled"), "root")
+    return M.judged_precision(greedy(g), g.nodes, fraud(g))
 
 
 STRICT = "SELECT DISTINCT dst AS target, src AS node FROM addr_tx WHERE dst IN (SELECT id FROM tx WHERE class = 1) AND src IN (SELECT id FROM wallets)"
@@ -184,6 +205,11 @@ _explained("j13_gt_match", {"exact_match": "CASE WHEN b = p AND b = g THEN 1.0 E
 _explained("j14_subset_feasible", {"subset_feasible": "CASE WHEN g > 0 AND p > 0 THEN CASE WHEN g <= p THEN 1.0 ELSE 0.0 END END"})
 
 
+@query("j14_shown_match", sql("SELECT CASE WHEN avg(CASE WHEN g > 0 AND p > 0 THEN CASE WHEN g <= p THEN 1.0 ELSE 0.0 END END) >= 0.5 THEN round(avg(CASE WHEN g > 0 AND b = g THEN 1.0 ELSE 0.0 END), 6) END AS subset_match_shown FROM per", **_EXPLAIN))
+def _(g: Graph) -> DataFrame:
+    return M.explanation_metrics(greedy(g).select("target", F.explode("chain").alias("node")), truth(g)).select("subset_match_shown")
+
+
 @query("j15_depth_histogram", sql("SELECT CAST(depth AS INTEGER) AS depth, count(*) AS n FROM chains GROUP BY depth", **GREEDY))
 def _(g: Graph) -> DataFrame:
     return M.depth_histogram(greedy(g))

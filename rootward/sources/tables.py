@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rootward.functions.tables import running_sums, written
+from rootward.operators.nodes import global_ids
+
 #: The tables of a graph directory and the columns that each must have.
 GRAPH_TABLES = {
     "txs_features": ("txId", "Time step"),
@@ -18,9 +21,25 @@ GRAPH_TABLES = {
 }
 #: Prefixes of feature columns that are kept or have no known meaning.
 LOCAL, AGGREGATE = "Local_feature_", "Aggregate_feature_"
-NODE = "struct<pos:int,id:string,node_type:string,time:int,fraud:boolean,is_target:boolean,ce:double>"
-CHAIN = f"target string, depth int, root_type string, root string, root_is_fraud boolean, is_true_positive boolean, nodes array<{NODE}>"
-CSV_COLUMNS = ("target", "depth", "root_type", "root", "root_is_fraud", "is_true_positive", "node_ids", "node_types", "ces")
+#: Names in chain files, in order, and those that packed rows of shares add.
+NODE_FIELDS = {"pos": "int", "type": "string", "real_id": "string", "time": "int", "fraud": "boolean", "is_target": "boolean", "ce": "double", "phi_add": "double", "phi_asym": "double"}
+HEAD_FIELDS = {"target_txid": "string", "depth": "int", "root_type": "string", "root_real_id": "string", "root_is_fraud": "boolean", "is_true_positive": "boolean"}
+CSV_COLUMNS = ("target_txid", "depth", "root_type", "root_real_id", "root_is_fraud", "is_true_positive", "n_nodes", "chain_real_ids", "chain_types", "chain_ce")
+SHARE_COLUMNS = ("chain_phi_add", "chain_phi_asym")
+META_FIELDS = {"dataset": "string", "n_chains": "long", "n_true_positive": "long", "n_fraud_root": "long", "mean_depth": "double"}
+#: What this library calls them.
+OWN_NAMES = {"target_txid": "target", "root_real_id": "root", "type": "node_type", "real_id": "id"}
+_struct = lambda fields: "struct<" + ",".join(f"{k}:{v}" for k, v in fields.items()) + ">"
+CHAIN = _struct(HEAD_FIELDS | {"nodes": f"array<{_struct(NODE_FIELDS)}>"})
+#: Labels of run logs and the short names of their metrics; labels of the blocks per ground truth.
+LOG_LABELS = {
+    "Auc": "AUC", "Root Cause Precision True Pos": "RCP_TP", "Root Cause Precision": "RCP", "Root Cause Hit Rate": "Hit", "Chain Validity": "ChainVal",
+    "Mean Tracing Depth": "MTD", "Num Traced": "nTraced", "Num True Pos Traced": "nTP", "Phi Stability Std": "phiStd",
+}
+BLOCK_LABELS = {"Explanation Accuracy": "EA", "Explanation Recall": "ER", "Gt Match Accuracy": "GT"}
+TYPE_LINE = r"·\s*(\S+)\s+fraud_f1=([-\d.]+)\s+pred_rate=([-\d.]+)\s+thr=([-\d.]+)"
+HEADLINE, SECONDS = r"Headline F1-score \(fraud class\)\s*=\s*([-\d.]+)", r"WALLCLOCK_SECONDS=(\d+)"
+BLOCK_MARK = r"\[Metric C\s*[—-]\s*GT\s*=\s*([^\]]+)\]"
 
 
 def load_graph_tables(spark: SparkSession, path: str, fmt: str = "csv") -> dict[str, DataFrame]:
@@ -48,58 +67,133 @@ def is_anonymous(name: str) -> bool:
     return name.startswith((LOCAL, AGGREGATE))
 
 
-def write_chains_json(records: DataFrame, path: str) -> DataFrame:
+def _as_stored(records: DataFrame) -> DataFrame:
+    """Chain records under the names of chain files."""
+    node = lambda n: F.struct(*[n[OWN_NAMES.get(k, k)].alias(k) for k in NODE_FIELDS])
+    return records.select(*[F.col(OWN_NAMES.get(k, k)).alias(k) for k in HEAD_FIELDS], F.transform("nodes", node).alias("nodes"))
+
+
+def _as_records(rows: DataFrame) -> DataFrame:
+    """Chain files' rows under this library's names; one without its target or its nodes is an error."""
+    ok = F.col("target_txid").isNotNull() & (F.size("nodes") == F.col("depth") + 1)
+    checked = rows.where(F.assert_true(F.coalesce(ok, F.lit(False)), F.lit("a chain record lacks its target or nodes")).isNull())
+    node = lambda n: F.struct(*[n[k].alias(OWN_NAMES.get(k, k)) for k in NODE_FIELDS])
+    return checked.select(*[F.col(k).alias(OWN_NAMES.get(k, k)) for k in HEAD_FIELDS], F.transform("nodes", node).alias("nodes"))
+
+
+def write_chains_json(records: DataFrame, path: str, dataset: str = "graph") -> DataFrame:
     """Chains as JSON lines, and the meta row beside them, which is returned."""
-    records.write.mode("overwrite").json(f"{path}/chains")
-    meta = chain_meta(records)
+    _as_stored(records).write.mode("overwrite").json(f"{path}/chains")
+    meta = chain_meta(records, dataset)
     meta.write.mode("overwrite").json(f"{path}/meta")
     return meta
 
 
-def chain_meta(records: DataFrame) -> DataFrame:
+def chain_meta(records: DataFrame, dataset: str = "graph") -> DataFrame:
     count = lambda c: F.count(F.when(F.col(c), 1))
-    return records.agg(F.count("*").alias("n_chains"), count("is_true_positive").alias("n_true_positive"), count("root_is_fraud").alias("n_fraud_root"), F.round(F.avg("depth"), 2).alias("mean_depth"))
+    return records.agg(F.lit(dataset).alias("dataset"), F.count("*").alias("n_chains"), count("is_true_positive").alias("n_true_positive"), count("root_is_fraud").alias("n_fraud_root"), F.coalesce(F.round(F.avg("depth"), 2), F.lit(0.0)).alias("mean_depth"))
 
 
 def read_chains_json(spark: SparkSession, path: str) -> DataFrame:
-    """Chains with the declared schema; a record without its target or nodes is an error."""
-    rows = spark.read.schema(CHAIN).json(f"{path}/chains")
-    ok = F.col("target").isNotNull() & (F.size("nodes") == F.col("depth") + 1)
-    return rows.where(F.assert_true(ok, F.lit("a chain record lacks its target or nodes")).isNull())
+    """The chains of a folder that `write_chains_json` wrote."""
+    fields = ", ".join(f"{k} {v}" for k, v in HEAD_FIELDS.items())
+    return _as_records(spark.read.schema(f"{fields}, nodes array<{_struct(NODE_FIELDS)}>").json(f"{path}/chains"))
+
+
+def read_chains_document(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The chains of `{meta, chains}` documents: a document per file or, without multi_line, per line.
+    A document without `chains` is an error."""
+    rows = spark.read.schema(f"meta {_struct(META_FIELDS)}, chains array<{CHAIN}>").json(path, multiLine=multi_line)
+    rows = rows.where(F.assert_true(F.col("chains").isNotNull(), F.lit("a chain document has no chains")).isNull())
+    return _as_records(rows.select(F.explode("chains").alias("c")).select("c.*"))
 
 
 def write_chains_csv(rows: DataFrame, path: str) -> None:
-    rows.select(*CSV_COLUMNS).write.mode("overwrite").csv(path, header=True, emptyValue="")
+    """A header even where there are no rows; columns of shares where the rows have them."""
+    columns = [*CSV_COLUMNS, *[c for c in SHARE_COLUMNS if c in rows.columns]]
+    own = rows.select(*columns)
+    (own.coalesce(1) if own.isEmpty() else own).write.mode("overwrite").csv(path, header=True, emptyValue="")
 
 
 def read_chains_csv(spark: SparkSession, path: str) -> DataFrame:
-    """target, pos, id, node_type, fraud, ce of packed rows; rows whose lists differ in length go."""
-    raw = spark.read.csv(path, header=True, schema=", ".join(f"{c} string" for c in CSV_COLUMNS), enforceSchema=False)
-    split = raw.select("target", "root_is_fraud", "is_true_positive", *[F.split(c, r"\|").alias(c) for c in ("node_ids", "node_types")], F.split(F.coalesce("ces", F.lit("")), r"\|").alias("ces"))
-    kept = split.where((F.size("node_ids") == F.size("node_types")) & (F.size("node_ids") == F.size("ces")))
-    cells = kept.select("target", "root_is_fraud", "is_true_positive", F.size("node_ids").alias("n"), F.posexplode(F.arrays_zip("node_ids", "node_types", "ces")).alias("pos", "x"))
-    fraud = F.when(F.col("pos") == 0, F.col("is_true_positive") == "true").when(F.col("pos") == F.col("n") - 1, F.col("root_is_fraud") == "true").otherwise(False)
-    ce = F.when(F.col("x.ces") != "", F.col("x.ces")).try_cast("double")
-    return cells.select("target", "pos", F.col("x.node_ids").alias("id"), F.col("x.node_types").alias("node_type"), fraud.alias("fraud"), ce.alias("ce"))
-
-
-def dag_tables(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(meta, nodes, links) of a causal graph: its nodes by id with type, time, fraud and seed mark."""
+    """target, pos, id, global_id, node_type, fraud, ce of packed rows.
+
+    The header must begin with the ten names in order. Rows with fewer cells go, and so do rows
+    whose ids and types differ in number. A target's mark is is_true_positive, a root's
+    root_is_fraud, all others are unknown and false; effects that are no numbers are null. global_id
+    numbers ids from 0 in the order in which they are first seen. No row left is an error."""
+    header = [c.strip() for c in spark.read.csv(path, header=True).columns]
+    if tuple(header[: len(CSV_COLUMNS)]) != CSV_COLUMNS:
+        raise ValueError(f"{path}: the header is {', '.join(header)}, not {', '.join(CSV_COLUMNS)}")
+    schema = ", ".join(f"`{c}` string" for c in header) + ", _short string"
+    raw = spark.read.csv(path, header=True, schema=schema, enforceSchema=True, columnNameOfCorruptRecord="_short").where("_short IS NULL")
+    split = raw.select("target_txid", "root_is_fraud", "is_true_positive", *[F.split(F.coalesce(c, F.lit("")), r"\|").alias(c) for c in CSV_COLUMNS[7:]], F.monotonically_increasing_id().alias("line"))
+    kept = split.where(F.size("chain_real_ids") == F.size("chain_types"))
+    yes = lambda c: F.lower(F.trim(c)) == "true"
+    cells = kept.select(F.trim("target_txid").alias("target"), yes("root_is_fraud").alias("_r"), yes("is_true_positive").alias("_t"), "line", F.size("chain_real_ids").alias("n"), F.posexplode(F.arrays_zip("chain_real_ids", "chain_types", "chain_ce")).alias("pos", "x")).where(F.col("pos") < F.col("n"))
+    fraud = F.when(F.col("pos") == 0, F.col("_t")).when(F.col("pos") == F.col("n") - 1, F.col("_r")).otherwise(False)
+    cells = written(cells.select("target", "pos", F.trim("x.chain_real_ids").alias("id"), F.trim("x.chain_types").alias("node_type"), fraud.alias("fraud"), F.trim("x.chain_ce").try_cast("double").alias("ce"), "line"), "chain-cells")
+    if cells.isEmpty():
+        raise ValueError(f"{path}: no chain can be read")
+    # Lines are numbered by partition and place, so partitions are the parts of the order.
+    first = cells.groupBy("id").agg(F.min(F.struct("line", "pos")).alias("f")).select("id", "f.line", "f.pos", F.floor(F.col("f.line") / 2**33).alias("part"), F.lit(1).cast("long").alias("one"))
+    numbered = running_sums(first, [], "part", ["line", "pos", "id"], "one", "rank").select("id", (F.col("rank") - 1).alias("global_id"))
+    return cells.drop("line").join(numbered, "id").select("target", "pos", "id", "global_id", "node_type", "fraud", "ce")
+
+
+def dag_tables(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, dataset: str = "graph") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(meta, nodes, links) of a causal graph: its nodes with type, time, label (type and number
+    within the type), fraud and seed mark; one row of counts, with those by type as a map."""
     ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     marks = seeds.select("id").distinct().withColumn("is_seed", F.lit(True))
-    own = nodes.join(ids, "id", "left_semi").join(marks, "id", "left").select("id", "node_type", "time", (F.col("class") == 1).alias("fraud"), F.coalesce("is_seed", F.lit(False)).alias("is_seed"))
-    meta = own.groupBy("node_type").agg(F.count("*").alias("n"), F.count(F.when(F.col("fraud"), 1)).alias("n_fraud"), F.count(F.when(F.col("is_seed"), 1)).alias("n_seeds"), F.min("time").alias("min_time"), F.max("time").alias("max_time"))
-    return meta, own, edges.select("src", "dst", "edge_type")
+    numbers = global_ids(nodes)
+    offsets = numbers.groupBy("node_type").agg(F.min("global_id").alias("_offset"))
+    local = numbers.join(F.broadcast(offsets), "node_type").select("id", F.concat("node_type", F.lit("#"), (F.col("global_id") - F.col("_offset")).cast("string")).alias("label"))  # a row per type
+    own = nodes.join(ids, "id", "left_semi").join(marks, "id", "left").join(local, "id")
+    own = own.select("id", F.col("node_type").alias("type"), "time", "label", (F.col("class") == 1).alias("fraud"), F.coalesce("is_seed", F.lit(False)).alias("is_seed"))
+    links = edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("edge_type").alias("etype"))
+    count = lambda c: F.count(F.when(c, 1))
+    by_type = own.groupBy("type").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("node_types"))  # a row per type
+    meta = own.agg(F.lit(dataset).alias("dataset"), F.count("*").alias("n_nodes"), count(F.col("fraud")).alias("n_fraud"), count(F.col("is_seed")).alias("n_seed"), count(F.col("time") >= 0).alias("n_timed"), F.min("time").alias("time_min"), F.max("time").alias("time_max"))
+    return meta.join(links.agg(F.count("*").alias("n_links")), F.lit(True)).join(by_type, F.lit(True)), own, links  # one row each
 
 
-def read_run_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """file, run, label, value of every `label: number` line of run logs; run is the file's name."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("run"), "value")
-    found = lines.select("file", "run", F.trim(F.regexp_extract("value", r"^\s*([^:]+?)\s*:", 1)).alias("label"), F.regexp_extract("value", r":\s*(-?\d+(?:\.\d+)?)\s*s?\s*$", 1).alias("number"))
-    return found.where("label <> '' AND number <> ''").select("file", "run", "label", F.col("number").cast("double").alias("value"))
+def write_dag_export(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, path: str, dataset: str = "graph") -> None:
+    """meta, nodes and links as JSON lines in folders of these names."""
+    for name, df in zip(("meta", "nodes", "links"), dag_tables(nodes, edges, seeds, dataset), strict=True):
+        df.write.mode("overwrite").json(f"{path}/{name}")
 
 
-def run_summary(metrics: DataFrame, labels: list[str], order_by: str) -> DataFrame:
-    """A row per log file with a column per label, the best of order_by first, runs without it last."""
-    wide = metrics.groupBy("file", "run").pivot("label", labels).agg(F.first("value"))
+def read_run_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """file, run, block, metric, value of run logs, a log per file; run is the file's name without `eval_` and ending.
+
+    Lines `label: number` by known labels, the first of each; a metric per type of the
+    classification lines; the headline; seconds; and, with the block's ground truth as `block`, the
+    explanation metrics between its mark and the next one. Unknown lines give nothing."""
+    run = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    logs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace(run, "^eval_", "").alias("run"), "value")
+
+    def line(text: Column, label: str) -> Column:
+        return F.regexp_extract(text, rf"(?m)^\s*{label}\s*:\s*([-\d.]+)\s*$", 1)
+
+    def listed(pairs: list[tuple[str, Column]]) -> Column:
+        return F.array(*[F.struct(F.lit(name).alias("metric"), value.alias("number")) for name, value in pairs])
+
+    value = F.col("value")
+    scalars = listed([(short, line(value, label)) for label, short in LOG_LABELS.items()] + [("pooled", F.regexp_extract(value, HEADLINE, 1)), ("sec", F.regexp_extract(value, SECONDS, 1))])
+    all_of = lambda group: F.regexp_extract_all(value, F.lit(TYPE_LINE), F.lit(group))
+    types = F.flatten(F.transform(F.arrays_zip(all_of(1).alias("t"), all_of(2).alias("f1"), all_of(3).alias("rate"), all_of(4).alias("thr")), lambda x: F.array(*[F.struct(F.concat(x["t"], F.lit(f"_{name}")).alias("metric"), x[key].alias("number")) for name, key in (("F1", "f1"), ("rate", "rate"), ("thr", "thr"))])))
+    whole = logs.select("file", "run", F.lit(None).cast("string").alias("block"), F.explode(F.concat(scalars, types)).alias("m"))
+    marks = F.regexp_extract_all(value, F.lit(BLOCK_MARK), F.lit(1))
+    parts = logs.select("file", "run", F.posexplode(F.arrays_zip(marks.alias("gt"), F.slice(F.split(value, BLOCK_MARK), 2, 2**30).alias("text"))).alias("at", "b"))
+    blocks = parts.select("file", "run", F.trim("b.gt").alias("block"), F.explode(listed([(short, line(F.col("b.text"), label)) for label, short in BLOCK_LABELS.items()])).alias("m"))
+    return whole.unionByName(blocks).where("m.number <> ''").select("file", "run", "block", F.col("m.metric").alias("metric"), F.col("m.number").cast("double").alias("value"))
+
+
+def run_summary(metrics: DataFrame, names: list[str], modes: list[str], order_by: str = "RCP_TP") -> DataFrame:
+    """A row per log: a column per metric, and per explanation metric and mode (EA_strict, ...); the
+    best of order_by first, runs without it last."""
+    columns = [*names, *[f"{short}_{mode}" for mode in modes for short in BLOCK_LABELS.values()]]
+    key = F.when(F.col("block").isNull(), F.col("metric")).otherwise(F.concat("metric", F.lit("_"), "block"))
+    wide = metrics.withColumn("_key", key).groupBy("file", "run").pivot("_key", columns).agg(F.first("value"))
     return wide.orderBy(F.desc_nulls_last(order_by), "run", "file")
