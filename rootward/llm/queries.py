@@ -57,5 +57,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_warc, op2_pii, op3_sharding, op4_simhash, op5_token_counts, op6_quality_rules, op7_quality_classifier, op8_bpe, op9_suffix_dedup, op10_decontamination)}
 
 
+#: Base32 of the SHA-1, five hex digits being four letters; the smallest page_id of a payload is the response.
+_WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, coalesce(regexp_replace(url, '[\\x00-\\x20\\x7F]', '%20', 'g'), 'about:blank') AS url FROM pages),
+    d AS (SELECT page_id, url, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+    SELECT page_id, url, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS INTEGER) >> (5 * (3 - i % 4))) & 31), 1)), 'string_agg', '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What DuckDB can repeat; the other operators are tested against plain Python."""
+    return {"op1_warc": _WARC}
