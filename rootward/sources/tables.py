@@ -126,7 +126,7 @@ def read_chains_csv(spark: SparkSession, path: str) -> DataFrame:
     if tuple(header[: len(CSV_COLUMNS)]) != CSV_COLUMNS:
         raise ValueError(f"{path}: the header is {', '.join(header)}, not {', '.join(CSV_COLUMNS)}")
     schema = ", ".join(f"`{c}` string" for c in header) + ", _short string"
-    raw = spark.read.csv(path, header=True, schema=schema, enforceSchema=True, columnNameOfCorruptRecord="_short").where("_short IS NULL")
+    raw = spark.read.option("columnPruning", False).csv(path, header=True, schema=schema, enforceSchema=True, columnNameOfCorruptRecord="_short").where("_short IS NULL")
     split = raw.select("target_txid", "root_is_fraud", "is_true_positive", *[F.split(F.coalesce(c, F.lit("")), r"\|").alias(c) for c in CSV_COLUMNS[7:]], F.monotonically_increasing_id().alias("line"))
     kept = split.where(F.size("chain_real_ids") == F.size("chain_types"))
     yes = lambda c: F.lower(F.trim(c)) == "true"

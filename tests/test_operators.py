@@ -1,30 +1,46 @@
 import math
-from itertools import permutations
+import random
+from itertools import combinations, permutations
 
 import pytest
 from pyspark.sql import functions as F
 
 from rootward.operators import attribution as A
+from rootward.operators import chains as C
 from rootward.operators import edges as E
+from rootward.operators import effects as X
 from rootward.operators import metrics as M
 from rootward.operators import nodes as N
 from rootward.sources import tables as S
 
 
 def test_latest_snapshot(spark):
-    rows = [("a", 3, 30, 0), ("a", 1, 10, 1), ("a", 2, 20, 2), ("b", 5, 50, 3), ("c", 7, 70, 4), ("c", 4, 40, 5)]
-    df = spark.createDataFrame(rows, "address string, step int, wf0 int, pos int")
-    assert {r.address: (r.step, r.wf0) for r in N.latest_snapshot(df, "address", "step", "pos").collect()} == {"a": (3, 30), "b": (5, 50), "c": (7, 70)}
+    r = random.Random(1)
+    rows = [(r.choice("pqrs"), r.choice((None, 2, 4, 6, 8)), r.randrange(100), i) for i in range(40)]
+    df = spark.createDataFrame(rows, "address string, step int, value int, place int").repartition(3)
+    want = {}
+    for key, step, value, place in rows:
+        rank = (math.inf if step is None else step, place)
+        if rank >= want.get(key, ((-1, -1),))[0]:
+            want[key] = (rank, (step, value))
+    assert {x.address: (x.step, x.value) for x in N.latest_snapshot(df, "address", "step", "place").collect()} == {k: v[1] for k, v in want.items()}
+    last = {k: v for k, _, v, _ in rows}
+    assert {x.address: x.value for x in N.latest_snapshot(df, "address", None, "place").collect()} == last
 
 
 def test_time_rule(spark):
-    nodes = spark.createDataFrame([("0", 1), ("1", 1), ("2", 3), ("3", 2), ("4", None)], "id string, time int")
-    pairs = [("0", "1"), ("0", "2"), ("2", "0"), ("3", "2"), ("3", "0"), ("4", "0")]
-    edges = spark.createDataFrame([(a, b, "t") for a, b in pairs], "src string, dst string, edge_type string")
-    kept = E.causal_edges(edges, nodes)
-    assert {(r.src, r.dst) for r in kept.collect()} == {("0", "1"), ("0", "2"), ("3", "2"), ("4", "0")}
-    levels = {r.id: r.level for r in E.topological_levels(nodes.select("id"), kept).collect()}
-    assert all(levels[r.src] < levels[r.dst] for r in kept.collect())
+    r = random.Random(2)
+    times = {f"n{i}": r.choice((None, -1, 1, 2, 3)) for i in range(12)}
+    pairs = sorted({(f"n{r.randrange(14)}", f"n{r.randrange(14)}") for _ in range(60)})
+    nodes = spark.createDataFrame([(i, "k", t) for i, t in times.items()], "id string, node_type string, time int")
+    edges = spark.createDataFrame([(a, b, r.choice(("t", "wallet__to__wallet"))) for a, b in pairs], "src string, dst string, edge_type string")
+    known = lambda n: times[n] if times[n] is not None and times[n] >= 0 else None
+    inside = [x for x in edges.collect() if x.src in times and x.dst in times]
+    late = lambda x: None not in (known(x.src), known(x.dst)) and known(x.src) > known(x.dst)
+    free = [x for x in inside if x.edge_type == "t"]
+    assert {(x.src, x.dst) for x in E.causal_edges(edges, nodes).collect()} == {(x.src, x.dst) for x in free if not late(x)}
+    audit = E.causal_audit(edges, nodes).first()
+    assert (audit.blocked, audit.rejected, audit.kept) == (len(inside) - len(free), sum(map(late, free)), len(free) - sum(map(late, free)))
 
 
 def test_levels_behind_a_cycle_are_null(spark):
@@ -44,14 +60,41 @@ def test_split_sizes(spark):
     assert counts == {(s, y): n for s, n in (("train", 14), ("val", 3), ("test", 3)) for y in (0, 1)}
 
 
-def test_shapley_values(spark):
-    effects = spark.createDataFrame([("0", "2", 0.3), ("1", "2", 0.7)], "src string, dst string, ce double")
-    sym = {r.parent: r.phi for r in A.phi_symmetric(effects, 2).collect()}
-    v = lambda x: 1 / (1 + math.exp(-x))
-    assert abs(sum(sym.values()) - (v(1.0) - v(0))) < 1e-12 and sym["1"] > sym["0"]
-    prefixes = spark.createDataFrame([("2", "0", 1, 0.1, 0.0), ("2", "1", 2, 1.0, 0.0)], "target string, parent string, position int, v double, v_empty double")
-    asym = {r.parent: round(r.phi, 9) for r in A.phi_asymmetric(prefixes).collect()}
-    assert asym == {"0": 0.05, "1": 0.45}
+def test_shapley_values_of_given_tables(spark):
+    """Any table of coalition values: the mean marginal over all orders."""
+    r = random.Random(3)
+    players = {"x": ["a", "b", "c"], "y": ["d"], "z": ["a", "e"]}
+    v = {(t, s): r.random() for t, own in players.items() for k in range(len(own) + 1) for s in combinations(own, k)}
+    values = spark.createDataFrame([(t, list(s), x) for (t, s), x in v.items()], "target string, members array<string>, v double")
+    want, orders = {}, []
+    for t, own in players.items():
+        every = list(permutations(own))
+        for k, order in enumerate(every):
+            for i, p in enumerate(order):
+                before, upto = tuple(sorted(order[:i])), tuple(sorted(order[: i + 1]))
+                want[t, p] = want.get((t, p), 0) + (v[t, upto] - v[t, before]) / len(every)
+                orders.append((t, k, p, i + 1, v[t, upto], v[t, ()]))
+    given = lambda df: {(x.target, x.parent): x.phi for x in df.collect()}
+    assert given(A.phi_of_coalitions(values)) == pytest.approx(want)
+    prefixes = spark.createDataFrame(orders, "target string, perm int, parent string, position int, v double, v_empty double")
+    assert given(A.phi_of_orders(prefixes)) == pytest.approx(want)
+    one = prefixes.where("perm = 0").drop("perm")
+    first = {(t, p): x - (0 if i > 1 else e) - (0 if i == 1 else v[t, tuple(sorted(list(permutations(players[t]))[0][: i - 1]))]) for t, k, p, i, x, e in orders if k == 0}
+    assert given(A.phi_asymmetric(one, normalise=False)) == pytest.approx(first)
+    assert given(A.phi_asymmetric(one)) == pytest.approx({(t, p): x / len(players[t]) for (t, p), x in first.items()})
+
+
+def test_prefixes_of_a_hub_in_parts(spark):
+    r = random.Random(5)
+    rows = [(f"p{i:02d}", "hub", r.uniform(-1, 1), r.choice((None, 1, 1, 2, 3))) for i in range(30)]
+    effects = spark.createDataFrame([x[:3] for x in rows], "src string, dst string, ce double")
+    order = spark.createDataFrame([(x[0], x[3]) for x in rows], "id string, level int")
+    got = sorted((x.position, x.parent, round(x.v, 12)) for x in A.logistic_prefixes(effects, effects, order).collect())
+    total, want = 0.0, []
+    for i, x in enumerate(sorted(rows, key=lambda x: (x[3] is None, x[3] or 0, x[0]))):
+        total += x[2]
+        want.append((i + 1, x[0], round(1 / (1 + math.exp(-total)), 12)))
+    assert [w[:2] for w in want] == [g[:2] for g in got] and [w[2] for w in want] == pytest.approx([g[2] for g in got])
 
 
 def test_shapley_values_of_all_parents(spark):
@@ -73,15 +116,82 @@ def test_shapley_values_of_all_parents(spark):
 
 
 def test_metrics(spark):
-    rows = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (0, 1)], "y int, pred int")
-    assert abs(M.detection_report(rows).first().fraud_f1 - 2 / 3) < 1e-6
-    one_class = spark.createDataFrame([(1, 0.4), (1, 0.6)], "y int, score double")
-    assert M.auc(one_class).first().auc == 0.0
-    p = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3"), ("b", "4")], "target string, node string")
-    g = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3"), ("b", "5")], "target string, node string")
-    found = M.explanation_metrics(p, g).first()
-    assert (found.exact_match, found.accuracy, found.recall) == (0.5, 0.75, 0.75)
-    assert M.ground_truth_stats(g).first().median_size == 2
+    r = random.Random(7)
+    pairs = [(r.randrange(2), r.randrange(2)) for _ in range(40)]
+    tp, fp, fn, tn = (pairs.count(x) for x in ((1, 1), (0, 1), (1, 0), (0, 0)))
+    report = M.detection_report(spark.createDataFrame(pairs, "y int, pred int")).first()
+    one, zero = 2 * tp / (2 * tp + fp + fn), 2 * tn / (2 * tn + fp + fn)
+    assert (report.fraud_f1, report.f1_macro, report.recall) == pytest.approx((one, (one + zero) / 2, tp / (tp + fn)), abs=1e-6)
+    assert M.auc(spark.createDataFrame([(1, 0.4), (1, 0.6)], "y int, score double")).first().auc == 0.0
+    scored = [(r.randrange(3), [round(r.random(), 1) for _ in range(4)]) for _ in range(60)]
+    areas = []
+    for c in range(3):  # the fourth class has no row
+        a, b = [s[c] for y, s in scored if y == c], [s[c] for y, s in scored if y != c]
+        areas.append(sum((x > z) + (x == z) / 2 for x in a for z in b) / len(a) / len(b))
+    found = M.auc_one_vs_rest(spark.createDataFrame(scored, "y int, scores array<double>"), [0, 1, 2, 3]).first()
+    assert found.n_classes == 3 and found.auc == pytest.approx(sum(areas) / 3, abs=1e-5)
+    sets = lambda: {t: {r.choice("klmno") for _ in range(r.randint(0, 4))} for t in "uvwxyz"}
+    p, g = sets(), sets()
+    table = lambda of: spark.createDataFrame([(t, n) for t, own in of.items() for n in own], "target string, node string")
+    both = [(p[t], g[t]) for t in p if p[t] or g[t]]
+    mean = lambda xs: sum(xs) / len(xs)
+    got = M.explanation_metrics(table(p), table(g)).first()
+    assert got.accuracy == pytest.approx(mean([len(a & b) / len(a) for a, b in both if a]), abs=1e-6)
+    assert got.recall == pytest.approx(mean([len(a & b) / len(b) for a, b in both if b]), abs=1e-6)
+    assert got.exact_match == pytest.approx(mean([a == b for a, b in both]), abs=1e-6) and got.subset_match == pytest.approx(mean([bool(b) and b <= a for a, b in both]), abs=1e-6)
+    feasible = mean([len(b) <= len(a) for a, b in both if a and b])
+    assert got.subset_feasible == pytest.approx(feasible, abs=1e-6) and got.subset_match_shown == (got.subset_match if feasible >= 0.5 else None)
+    sizes = sorted(len(x) for x in g.values() if x)
+    assert M.ground_truth_stats(table(g)).first().median_size == sizes[len(sizes) // 2]
+
+
+def test_label_rules(spark):
+    nodes = [("w1", "wallet", 1, True), ("w2", "wallet", 0, True), ("w3", "wallet", 0, False), ("t1", "transaction", 1, True), ("t2", "transaction", 0, False), ("h", "host", 1, True)]
+    pairs = [("w1", "t1"), ("w3", "t1"), ("w2", "t2"), ("t1", "w2"), ("t1", "w3"), ("t1", "t2"), ("t2", "t1"), ("t1", "h"), ("h", "w1"), ("t1", "gone")]
+    df = spark.createDataFrame(nodes, "id string, node_type string, y int, labelled boolean")
+    edges = spark.createDataFrame([(a, b, "e") for a, b in pairs], "src string, dst string, edge_type string")
+    found = {mode: {(x.src, x.dst): x.y for x in X.edge_training_rows(edges, df, mode).collect()} for mode in ("wallets", "types", "target")}
+    assert found["wallets"] == {("w1", "t1"): 1, ("w2", "t2"): 0, ("t1", "w2"): 0, ("t1", "t2"): 0, ("t2", "t1"): 1, ("h", "w1"): 1}
+    assert found["types"] == {("w1", "t1"): 1, ("w3", "t1"): 1, ("t1", "w2"): 0, ("t2", "t1"): 1, ("t1", "h"): 1, ("h", "w1"): 1}
+    assert found["target"] == {("t1", "t2"): 0, ("t2", "t1"): 1}
+    with pytest.raises(ValueError):
+        X.edge_training_rows(edges, df, "other")
+
+
+def test_edge_models_and_model_selection(spark):
+    r = random.Random(9)
+    rows = [(f"s{i}", "rare" if i % 10 == 0 else "often", float(x), int(x + r.gauss(0, 0.3) > 0.5)) for i, x in ((i, r.random()) for i in range(600))]
+    df = spark.createDataFrame(rows, "src string, edge_type string, f double, y int")
+    plain, balanced = ({m.edge_type: m for m in X.fit_edge_models(df, ["f"], mode=mode).collect()} for mode in ("none", "inverse"))
+    assert set(plain) == {"rare", "often"} and all(m.b_f > 1 for m in plain.values())
+    assert balanced["rare"].b_f > plain["rare"].b_f and balanced["often"].b_f < plain["often"].b_f  # a heavier type is held back less
+    nodes = spark.createDataFrame([(i, x, y, ("train", "train", "val")[i % 3]) for i, (_, _, x, y) in enumerate(rows)], "id int, f double, y int, split string")
+    model, report = X.select_model(nodes, ["f"], [{"max_iter": 1}, {"max_iter": 30}, {"max_iter": 30}], "f1_macro")
+    listed = {x.fit: x for x in report.collect()}
+    assert [x.fit for x in listed.values() if x.chosen] == [min(listed, key=lambda k: (-listed[k].f1_macro, k))]
+    scored = X.detect(model, nodes, ["f"]).collect()
+    assert sum((x.score > 0.5) == x.y for x in scored) / len(scored) > 0.7  # the noise allows about 0.77
+
+
+def test_layers_of_neighbour_features(spark):
+    nodes = [("a", "k", 1.0), ("b", "k", 3.0), ("c", "k", 5.0), ("d", "left out", 9.0), ("e", "k", 2.0)]
+    pairs = [("a", "b", "x"), ("c", "b", "y"), ("e", "b", "x"), ("b", "c", "x"), ("d", "a", "x"), ("a", "d", "x")]
+    df, edges = spark.createDataFrame(nodes, "id string, node_type string, f double"), spark.createDataFrame(pairs, "src string, dst string, edge_type string")
+    for how in ("mean", "sum"):
+        now = {i: f for i, _, f in nodes}
+        for _ in range(3):
+            new = dict(now)
+            for i, kind, _ in nodes:
+                brought = {}
+                for s, t, rel in pairs:
+                    if t == i and "d" not in (s, t):
+                        brought.setdefault(rel, []).append(now[s])
+                if brought:
+                    per = [sum(v) / (len(v) if how == "mean" else 1) for v in brought.values()]
+                    new[i] = (now[i] + sum(per) / len(per)) / 2
+            now = new
+        got = {x.id: x.f for x in X.neighbour_features(df, edges, ["f"], 3, how, ("left out",)).collect()}
+        assert got == pytest.approx(now)
 
 
 def test_pooled_cuts(spark):
@@ -98,6 +208,77 @@ def test_six_digits(spark):
     assert [r.s for r in df.collect()] == ["0.5", "0.83", "-0.123457", "0", "1", "12"]
 
 
+CHAINS = [
+    ("pay1", 2, "wallet", "acc9", True, True, [("pay1", "transaction", 0.0, None, None), ("acc4", "wallet", 0.25, 0.125, -0.5), ("acc9", "wallet", -0.333333333, 0.0, None)]),
+    ("pay2", 0, "transaction", "pay2", False, False, [("pay2", "transaction", 0.0, None, None)]),
+]
+
+
+def records(spark, chains=CHAINS):
+    rows = [(t, d, k, root, f, tp, [(i, n[0], n[1], 7, False, i == 0, None if i == 0 else n[2], n[3], n[4]) for i, n in enumerate(own)]) for t, d, k, root, f, tp, own in chains]
+    node = "struct<pos:int,id:string,node_type:string,time:int,fraud:boolean,is_target:boolean,ce:double,phi_add:double,phi_asym:double>"
+    return spark.createDataFrame(rows, f"target string, depth int, root_type string, root string, root_is_fraud boolean, is_true_positive boolean, nodes array<{node}>")
+
+
+def test_chain_files_go_round(spark, tmp_path):
+    own = records(spark)
+    S.write_chains_json(own, f"{tmp_path}/json", "mine")
+    plain = lambda df: sorted((x.asDict(recursive=True) for x in df.collect()), key=lambda x: x["target"])
+    assert plain(S.read_chains_json(spark, f"{tmp_path}/json")) == plain(own)
+    meta = spark.read.json(f"{tmp_path}/json/meta").first()
+    assert (meta.dataset, meta.n_chains, meta.n_true_positive, meta.n_fraud_root, meta.mean_depth) == ("mine", 2, 1, 1, 1.0)
+    lines = [x for f in (tmp_path / "json" / "chains").glob("*.json") for x in f.read_text().splitlines()]
+    (tmp_path / "one.json").write_text('{"meta": {"dataset": "x", "n_chains": 2},\n "chains": [' + ",\n".join(lines) + "]}")
+    assert plain(S.read_chains_document(spark, f"{tmp_path}/one.json")) == plain(own)
+    for bad in ('{"meta": {}}', '{"chains": [{"depth": 0, "nodes": []}]}'):
+        (tmp_path / "bad.json").write_text(bad)
+        with pytest.raises(Exception, match="chain"):
+            S.read_chains_document(spark, f"{tmp_path}/bad.json").collect()
+
+
+def test_packed_chain_rows(spark, tmp_path):
+    rows = {x.target_txid: x for x in C.chains_to_rows(records(spark)).collect()}
+    assert rows["pay1"].chain_real_ids == "pay1|acc4|acc9" and rows["pay1"].chain_ce == "|0.25|-0.333333" and rows["pay1"].n_nodes == 3
+    assert rows["pay1"].chain_phi_add == "|0.125|0" and rows["pay1"].chain_phi_asym == "|-0.5|" and rows["pay2"].chain_ce == ""
+    bare = C.chains_to_rows(records(spark, CHAINS[1:]))
+    assert tuple(bare.columns) == S.CSV_COLUMNS
+    S.write_chains_csv(bare.limit(0), f"{tmp_path}/none")
+    assert [x for f in (tmp_path / "none").glob("*.csv") for x in f.read_text().splitlines()] == [",".join(S.CSV_COLUMNS)]
+    with pytest.raises(ValueError, match="no chain"):
+        S.read_chains_csv(spark, f"{tmp_path}/none")
+    head = ",".join(S.CSV_COLUMNS)
+    (tmp_path / "chains.csv").write_text(head + "\npay1,2,wallet,acc9,True,false,3,pay1| acc4 |acc9,transaction|wallet|wallet,|0.5|much\nshort,1\npay3,1,wallet,acc4,true,true,2,pay3|acc4,wallet,|1\npay2,0,transaction,pay2,false,true,1,pay2,transaction,\n")
+    got = sorted((x.target, x.pos, x.id, x.global_id, x.fraud, x.ce) for x in S.read_chains_csv(spark, f"{tmp_path}/chains.csv").collect())
+    assert got == [("pay1", 0, "pay1", 0, False, None), ("pay1", 1, "acc4", 1, False, 0.5), ("pay1", 2, "acc9", 2, True, None), ("pay2", 0, "pay2", 3, True, None)]
+    (tmp_path / "other.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError, match="header"):
+        S.read_chains_csv(spark, f"{tmp_path}/other.csv")
+
+
+def test_run_logs(spark, tmp_path):
+    (tmp_path / "eval_one.log").write_text("""start
+  · wallet      fraud_f1=0.7000  pred_rate=0.0123  thr=0.310
+  Root Cause Precision True Pos            : 0.2500
+  Root Cause Precision                     : 0.5000
+  Root Cause Precision                     : 0.9000
+[Metric C — GT = strict]
+  Explanation Accuracy                     : 0.1000
+[Metric C - GT = wide ]
+  Explanation Accuracy                     : 0.2000
+  Explanation Recall                       : 0.3000
+WALLCLOCK_SECONDS=12
+""")
+    (tmp_path / "two.log").write_text("nothing\nAuc: 0.75\nOdd: 3\n")
+    found = S.read_run_metrics(spark, str(tmp_path))
+    got = {(x.run, x.block, x.metric): x.value for x in found.collect()}
+    assert got == {
+        ("one", None, "wallet_F1"): 0.7, ("one", None, "wallet_rate"): 0.0123, ("one", None, "wallet_thr"): 0.31, ("one", None, "RCP_TP"): 0.25, ("one", None, "RCP"): 0.5,
+        ("one", None, "sec"): 12.0, ("one", "strict", "EA"): 0.1, ("one", "wide", "EA"): 0.2, ("one", "wide", "ER"): 0.3, ("two", None, "AUC"): 0.75,
+    }
+    rows = S.run_summary(found, ["AUC", "RCP_TP"], ["strict", "wide"]).collect()
+    assert [(x.run, x.AUC, x.RCP_TP, x.EA_wide, x.ER_strict) for x in rows] == [("one", None, 0.25, 0.2, None), ("two", 0.75, None, None, None)]
+
+
 def test_missing_column_is_named(spark, tmp_path):
     spark.createDataFrame([(1,)], "txId int").write.csv(f"{tmp_path}/txs_features.csv", header=True)
     try:
