@@ -104,8 +104,9 @@ def read_chains_document(spark: SparkSession, path: str, multi_line: bool = True
     """The chains of `{meta, chains}` documents: a document per file or, without multi_line, per line.
     A document without `chains` is an error."""
     rows = spark.read.schema(f"meta {_struct(META_FIELDS)}, chains array<{CHAIN}>").json(path, multiLine=multi_line)
-    rows = rows.where(F.assert_true(F.col("chains").isNotNull(), F.lit("a chain document has no chains")).isNull())
-    return _as_records(rows.select(F.explode("chains").alias("c")).select("c.*"))
+    # In the list itself, since Spark drops rows without a list before any other test of them.
+    none = F.raise_error(F.lit("a chain document has no chains")).cast(f"array<{CHAIN}>")
+    return _as_records(rows.select(F.explode(F.when(F.col("chains").isNull(), none).otherwise(F.col("chains"))).alias("c")).select("c.*"))
 
 
 def write_chains_csv(rows: DataFrame, path: str) -> None:
