@@ -96,8 +96,9 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     are left out; an empty input gives an empty result."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     edges = written(edges, "links")
-    while not edges.isEmpty():
-        before = edges
+    size = edges.count()
+    while size:
+        before, size_before = edges, size
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -106,7 +107,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(moved.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small-star")
         # Edges are distinct, so equal counts and no new edge mean that none changed.
-        if edges.count() == before.count() and edges.join(before, ["u", "v"], "left_anti").isEmpty():
+        size = edges.count()
+        if size == size_before and edges.join(before, ["u", "v"], "left_anti").isEmpty():
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
