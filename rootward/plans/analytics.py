@@ -427,7 +427,7 @@ def _(t: Traced) -> DataFrame:
 
 @query("l20_phi_summary", sql("SELECT target, round(sum(abs(phi_asym)), 9) AS phi_total, arg_max(id, (round(abs(phi_asym), 12), pos)) AS top_node, round(arg_max(phi_asym, (round(abs(phi_asym), 12), pos)), 9) + 0.0 AS top_phi, round(max(abs(phi_asym)) / coalesce(nullif(sum(abs(phi_asym)), 0), 1), 6) AS top_share FROM attached WHERE phi_asym IS NOT NULL GROUP BY target", **ATTACHED))
 def _(t: Traced) -> DataFrame:
-    found = L.phi_summary(t.phi_cn.withColumn("phi_asym", F.round("phi_asym", 12)))
+    found = L.phi_summary(t.phi_cn)
     return found.select("target", F.round("phi_total", 9).alias("phi_total"), "top_node", (F.round("top_phi", 9) + 0.0).alias("top_phi"), F.round("top_share", 6).alias("top_share"))
 
 
