@@ -16,7 +16,7 @@ from rootward.operators import trace as T
 from rootward.plans.fixture import NUM, Graph, keyed, sql
 from rootward.plans.preparation import LEVELS, split
 from rootward.plans.shares import ASYM, ATTACHED, PHI, asymmetric, attached, chain_nodes
-from rootward.plans.tracing import _BEAM, HOPS, LAST, PATH_THRESHOLD, WALK, greedy
+from rootward.plans.tracing import _BEAM, HOPS, LAST, PATH_THRESHOLD, WALK
 
 QUERIES, ORACLES, query = registry(Graph)
 
