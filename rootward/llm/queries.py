@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootward.llm import bpe, decontamination, pii, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, warc
+from rootward.llm import bpe, decontamination, pii, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, vector_codes, warc
 from rootward.llm.common import table
 
 
@@ -53,8 +53,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_pii, op3_sharding, op4_simhash, op5_token_counts, op6_quality_rules, op7_quality_classifier, op8_bpe, op9_suffix_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_warc, op2_pii, op3_sharding, op4_simhash, op5_token_counts, op6_quality_rules, op7_quality_classifier, op8_bpe, op9_suffix_dedup, op10_decontamination, op12_vector_codes)}
 
 
 #: Base32 of the SHA-1, five hex digits being four letters; the smallest page_id of a payload is the response.
@@ -64,6 +68,32 @@ _WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, coalesce(regex
     CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM d"""
 
 
+def _assigned(books: str) -> str:
+    """r, part, x and the nearest entry of each part with its squared distance."""
+    away = "list_sum(list_transform(list_zip(p.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return f"SELECT p.r, p.part, any_value(p.x) AS x, min({{'d': {away}, 'e': c.entry}}) AS m FROM p JOIN {books} c ON p.part = c.part GROUP BY p.r, p.part"
+
+
+def _renewed(books: str, assigned: str) -> str:
+    """Floors of the means of what is assigned; entries without any stay."""
+    sums = f"SELECT part, m.e AS entry, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM {assigned}, range(1, len(x) + 1) t(i) GROUP BY part, m.e, i"
+    means = f"SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM ({sums}) GROUP BY part, entry"
+    return f"SELECT b.part, b.entry, coalesce(n.c, b.c) AS c FROM {books} b LEFT JOIN ({means}) n ON b.part = n.part AND b.entry = n.entry"
+
+
+_VECTOR_CODES = f"""WITH k AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, v FROM
+    (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+    p AS MATERIALIZED (SELECT r, i AS part, v[i * (len(v) // 16) + 1 : (i + 1) * (len(v) // 16)] AS x FROM k, range(16) t(i)),
+    c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= 64),
+    a0 AS MATERIALIZED ({_assigned("c0")}), c1 AS MATERIALIZED ({_renewed("c0", "a0")}),
+    a1 AS MATERIALIZED ({_assigned("c1")}), c2 AS MATERIALIZED ({_renewed("c1", "a1")}),
+    a2 AS MATERIALIZED ({_assigned("c2")}),
+    f AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a2 GROUP BY r),
+    b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+    SELECT k.vec_id, f.code, f.error, CAST(sum(f.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, b.codebooks_sha256 FROM k JOIN f ON k.r = f.r, b"""
+
+
 def oracle_sql() -> dict[str, str]:
     """What DuckDB can repeat; the other operators are tested against plain Python."""
-    return {"op1_warc": _WARC}
+    return {"op1_warc": _WARC, "op12_vector_codes": _VECTOR_CODES}
