@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootward.llm import bpe, decontamination, pii, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, vector_codes, warc
+from rootward.llm import bpe, decontamination, fill_in_middle, pii, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, vector_codes, warc
 from rootward.llm.common import table
 
 
@@ -57,8 +57,16 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_pii, op3_sharding, op4_simhash, op5_token_counts, op6_quality_rules, op7_quality_classifier, op8_bpe, op9_suffix_dedup, op10_decontamination, op12_vector_codes)}
+    found = (
+        op1_warc, op2_pii, op3_sharding, op4_simhash, op5_token_counts, op6_quality_rules, op7_quality_classifier, op8_bpe, op9_suffix_dedup,
+        op10_decontamination, op12_vector_codes, op13_fill_in_middle,
+    )
+    return {f.__name__: f for f in found}
 
 
 #: Base32 of the SHA-1, five hex digits being four letters; the smallest page_id of a payload is the response.
@@ -93,7 +101,18 @@ _VECTOR_CODES = f"""WITH k AS MATERIALIZED (SELECT vec_id, label, row_number() O
     b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
     SELECT k.vec_id, f.code, f.error, CAST(sum(f.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, b.codebooks_sha256 FROM k JOIN f ON k.r = f.r, b"""
 
+#: The rebuilt text is the text.
+_FILL_IN_MIDDLE = """WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    d AS (SELECT doc_id, text, u, len(u) AS n, list_transform(range(4), lambda k: CAST('0x' || substr(h, 1 + 8 * k, 8) AS BIGINT)) AS h FROM u),
+    c AS (SELECT doc_id, text, u, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS z,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+    p AS (SELECT doc_id, text, n, form, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:z], ''), '') AS m, coalesce(array_to_string(u[z + 1:n], ''), '') AS s FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(text) AS restored_sha256 FROM p"""
+
 
 def oracle_sql() -> dict[str, str]:
     """What DuckDB can repeat; the other operators are tested against plain Python."""
-    return {"op1_warc": _WARC, "op12_vector_codes": _VECTOR_CODES}
+    return {"op1_warc": _WARC, "op12_vector_codes": _VECTOR_CODES, "op13_fill_in_middle": _FILL_IN_MIDDLE}
