@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootward.llm import bpe, decontamination, fill_in_middle, pii, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, vector_codes, warc
+from rootward.llm import bpe, decontamination, fill_in_middle, pii, quality_classifier, quality_rules, secret_scan, sharding, simhash, suffix_dedup, token_counts, vector_codes, warc
 from rootward.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.report(table(spark, sf_dir, "embeddings"))
 
@@ -64,7 +68,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_warc, op2_pii, op3_sharding, op4_simhash, op5_token_counts, op6_quality_rules, op7_quality_classifier, op8_bpe, op9_suffix_dedup,
-        op10_decontamination, op12_vector_codes, op13_fill_in_middle,
+        op10_decontamination, op11_secret_scan, op12_vector_codes, op13_fill_in_middle,
     )
     return {f.__name__: f for f in found}
 
