@@ -43,7 +43,7 @@ KINDS = ("assign", "access", "hex", "format")
 WORDS = "words"
 SAMPLE, LONGEST, FEWEST = 2000, 128, 20
 #: Significance of the merges, the share of unseen values that a threshold may miss, and the least gain over ordinary words.
-ALPHA, QUANTILE, MARGIN = 0.05, 0.05, 5.0
+ALPHA, QUANTILE, MARGIN = 0.05, 0.01, 5.0
 #: Characters that tokens have, the end of a value included.
 SYMBOLS = 69
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
