@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rootward.llm.common import batches, scratch, small_or_shuffled, written
+from rootward.llm.common import batches, qualified, scratch, small_or_shuffled, written
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS_PER_FILE, LEVEL, PIECE, END = 2000, 1, 1 << 18, b"\r\n\r\n"
@@ -237,6 +237,6 @@ def read_records(index: DataFrame, target: str) -> DataFrame:
 def round_trip(pages: DataFrame, least: int = 0, records_per_file: int = RECORDS_PER_FILE) -> DataFrame:
     """Write, normalise and read back; one row per page."""
     spark = pages.sparkSession
-    source, target = (x if "://" in x else f"file://{x}" for x in (scratch(spark, "warc-raw"), scratch(spark, "warc")))
+    source, target = (qualified(spark, scratch(spark, x)) for x in ("warc-raw", "warc"))
     write_archives(pages, source, records_per_file, least)
     return read_records(normalise(source, target, spark), target)
