@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from rootward.functions.tables import running_sums, written
 
 
+#: Whole units of an effect and of a marginal, for sums that do not depend on order: effects of a node
+#: may add up to 2**27, and a marginal is below 1.
+EFFECT_UNITS, SHARE_UNITS = float(2**36), float(2**50)
+
+
 def n_parents(edges: DataFrame) -> DataFrame:
     """dst, n: counted by an aggregate and joined back, so that a hub's edges need not be one task."""
     return edges.groupBy("dst").agg(F.count("*").alias("n"))
@@ -98,16 +103,19 @@ def _exact(rows: DataFrame, most: int) -> DataFrame:
 
 def _sampled(rows: DataFrame, n_perm: int, seed: int, src: Column, dst: Column) -> DataFrame:
     """target, parent, phi: mean marginal over n_perm orders. The multiplier of the key differs by
-    order and the key is squared once, since shifts alone would only rotate one order."""
+    order and the key is squared once, since shifts alone would only rotate one order. Effects and
+    marginals are added as whole numbers, so that the order in which rows arrive changes nothing."""
     prime = F.lit(2147483647).cast("long")
     rows = rows.select("src", "dst", "ce", F.pmod(src, prime).alias("_a"), F.pmod(dst, prime).alias("_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_perm - 1).cast("long"))).alias("perm"))
     factor = F.pmod((F.col("perm") + 1 + F.lit(n_perm * seed).cast("long")) * F.lit(1103515245).cast("long") + 12345, prime)
     rows = rows.withColumn("_h", F.pmod(F.col("_a") * factor + F.col("_b"), prime))
     rows = rows.withColumn("_h", F.pmod(F.pmod(F.col("_h") * F.col("_h"), prime) * 48271 + F.col("_h"), prime))
     rows = rows.withColumn("_part", F.floor(F.col("_h") / 2**24).cast("int"))  # 128 parts of an order
-    total = running_sums(rows.select("src", "dst", "ce", "perm", "_h", "_part"), ["dst", "perm"], "_part", ["_h", "src"], "ce", "_total")
-    rows = total.select("src", "dst", (1 / (1 + F.exp(-F.col("_total"))) - 1 / (1 + F.exp(-(F.col("_total") - F.col("ce"))))).alias("m"))
-    return rows.groupBy(F.col("dst").alias("target"), F.col("src").alias("parent")).agg(F.avg("m").alias("phi"))
+    rows = rows.select("src", "dst", F.round(F.col("ce") * EFFECT_UNITS).cast("long").alias("ce"), "perm", "_h", "_part")
+    total = running_sums(rows, ["dst", "perm"], "_part", ["_h", "src"], "ce", "_total")
+    upto, before = F.col("_total") / EFFECT_UNITS, (F.col("_total") - F.col("ce")) / EFFECT_UNITS
+    rows = total.select("src", "dst", F.round((_sigmoid(upto) - _sigmoid(before)) * SHARE_UNITS).cast("long").alias("m"))
+    return rows.groupBy(F.col("dst").alias("target"), F.col("src").alias("parent")).agg((F.sum("m") / F.lit(SHARE_UNITS * n_perm)).alias("phi"))
 
 
 def phi_of_coalitions(values: DataFrame) -> DataFrame:
