@@ -31,7 +31,6 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -243,18 +242,19 @@ def sampled(found: DataFrame, most: int = SAMPLE) -> DataFrame:
 def languages(found: DataFrame) -> dict[str, Language]:
     """What is learned of each kind, a task for each."""
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        values = group.sort_values("n")["value"].tolist()
-        kind = group["kind"].iloc[0]
-        if len(values) < FEWEST:
-            return pd.DataFrame({"kind": [], "state": [], "symbol": [], "next": [], "p": []})
-        x = learned(kind, values)
-        rows = [(kind, -1, "", 0, x.threshold)]
-        for state, (end, steps, other) in enumerate(zip(x.ends, x.steps, x.otherwise, strict=True)):
-            rows += [(kind, state, "end", 0, end), (kind, state, "else", *other), *((kind, state, c, *s) for c, s in steps.items())]
-        return pd.DataFrame(rows, columns=["kind", "state", "symbol", "next", "p"])
-
-    rows = sampled(found).groupBy("kind").applyInPandas(fit, "kind string, state int, symbol string, next int, p double").collect()
+    schema = pa.schema([("kind", pa.string()), ("state", pa.int32()), ("symbol", pa.string()), ("next", pa.int32()), ("p", pa.float64())])
+
+    def fit(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group.column("n").to_pylist(), group.column("value").to_pylist(), strict=True))
+        kind, found = group.column("kind")[0].as_py(), []
+        if len(rows) >= FEWEST:
+            x = learned(kind, [value for _, value in rows])
+            found.append((kind, -1, "", 0, x.threshold))
+            for state, (end, steps, other) in enumerate(zip(x.ends, x.steps, x.otherwise, strict=True)):
+                found += [(kind, state, "end", 0, end), (kind, state, "else", *other), *((kind, state, c, *s) for c, s in steps.items())]
+        return pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in found], schema)
+
+    rows = sampled(found).groupBy("kind").applyInArrow(fit, "kind string, state int, symbol string, next int, p double").collect()
     known: dict[str, Language] = {}
     for r in sorted(rows, key=lambda r: (r.kind, r.state)):
         x = known.setdefault(r.kind, Language([], [], []))
