@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 PREFIX, SUFFIX, MIDDLE = MARKS = ("<P>", "<S>", "<M>")
 #: Characters of a piece, and of a block of a text that is looked at at once.
 CHUNK, BLOCK = 16_384, 1 << 20
+#: Bytes of text that a partition gets on average.
+PARTITION_BYTES = 64 << 20
 #: Of 100 draws, those below are not plain; of 100 further ones, those below are spm.
 NOT_PLAIN, SPM = 90, 20
 #: The order of sections in the output; 0 prefix, 1 middle, 2 suffix.
@@ -146,10 +148,9 @@ def _keyed(docs: DataFrame) -> RDD:
 
 def assembled(docs: DataFrame) -> RDD:
     """The pieces of all documents, each document in one partition and in the order of its output."""
-    pieces = _keyed(docs)
-    # A partition of the input is bounded by Spark's split size, and the output is as long.
-    n = max(pieces.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return pieces.repartitionAndSortWithinPartitions(n, partition_of)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    n = max(size // PARTITION_BYTES + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return _keyed(docs).repartitionAndSortWithinPartitions(n, partition_of)
 
 
 def documents(pieces: Iterator) -> Iterator[tuple[int, tuple, int, Iterator]]:
