@@ -196,13 +196,59 @@ def _ranked_ends(reached: DataFrame, effects: DataFrame, threshold: float, prefe
     return found.withColumn("tier", tier)
 
 
+#: Costs are whole units, so that sums do not depend on the end they are begun at.
+COST_UNITS = 10**12
+
+
+def nearest_ends(edges: DataFrame, ends: DataFrame, max_hops: int) -> DataFrame:
+    """node, end, path (from the end to the node): the best end that each node comes to within max_hops,
+    by tier, cost (to nine digits), end; then the cheapest path, of fewest hops, the smallest read from the end.
+
+    edges: at, parent, cost (whole units, 0 or more); ends: id, tier. What is best from a node does not
+    depend on who asks, so the rows are the nodes, however many targets there are. A round goes on
+    from the nodes whose end the last one changed, which are those with a path of its number of hops."""
+    key = F.struct("tier", F.floor((F.col("total") + 500) / 1000).alias("near"), "end", "total", F.size("path").alias("n"), "path")
+    found = ends.select(F.col("id").alias("node"), "tier", F.lit(0).cast("long").alias("total"), F.col("id").alias("end"), F.array("id").alias("path"))
+    newest = found = written(found, "nearest-ends")
+    for hop in range(1, max_hops + 1):
+        step = newest.join(edges, newest.node == edges.parent).where(~F.array_contains("path", F.col("at")))
+        step = step.select(F.col("at").alias("node"), "tier", (F.col("total") + F.col("cost")).alias("total"), "end", F.array_append("path", F.col("at")).alias("path"))
+        best = found.unionByName(step).groupBy("node").agg(F.min(key).alias("b"))
+        found = written(best.select("node", "b.tier", "b.total", "b.end", "b.path"), "nearest-ends")
+        newest = found.where(F.size("path") == hop + 1)
+        if newest.isEmpty():
+            break
+    return found.select("node", "end", "path")
+
+
+def _chains_to(targets: DataFrame, found: DataFrame) -> DataFrame:
+    """target, chain of the targets that come to an end other than themselves."""
+    rows = targets.select("target").distinct().join(found.where("size(path) > 1"), F.col("target") == F.col("node"))
+    return rows.select("target", F.reverse("path").alias("chain"))
+
+
 def trace_best_path(targets: DataFrame, effects: DataFrame, max_hops: int = MAX_HOPS, threshold: float = THRESHOLD, objective: str = "product", preferred: DataFrame | None = None) -> DataFrame:
     """The cheapest path of at most max_hops edges to the best end: cost -ln |ce| or -|ce| per
     edge. Ends: dead leaves of a preferred type, then dead leaves, then any node reached, of a
-    preferred type first. Equal costs: the path over the smaller node, the smaller end."""
+    preferred type first. Equal costs: the path over the smaller node, the smaller end.
+
+    Dead leaves are found for all nodes at once (`nearest_ends`); only targets that come to none
+    look at all nodes they reach."""
     _checked(max_hops, threshold)
     if objective != "product":
         return _heaviest_path(targets, effects, max_hops, threshold, preferred)
+    edges = _strong(effects, threshold).where("at <> parent").select("at", "parent", F.round(-F.log(F.greatest("w", F.lit(EPS))) * COST_UNITS).cast("long").alias("cost"))
+    leaves = _ranked_ends(dead_leaves(effects, threshold).select(F.col("id").alias("at")), effects, threshold, preferred)
+    found = _chains_to(targets, nearest_ends(edges, leaves.select(F.col("at").alias("id"), "tier"), max_hops))
+    found = written(found, "to-leaves")
+    rest = written(targets.select("target").distinct().join(found, "target", "left_anti"), "without-leaf")
+    if not rest.isEmpty():
+        found = found.unionByName(_cheapest_reached(rest, effects, max_hops, threshold, preferred))
+    return _with_ends(targets, found)
+
+
+def _cheapest_reached(targets: DataFrame, effects: DataFrame, max_hops: int, threshold: float, preferred: DataFrame | None) -> DataFrame:
+    """target, chain to the best of all nodes that a target reaches, with a row for each of them."""
     edges = _strong(effects, threshold).withColumn("cost", -F.log(F.greatest("w", F.lit(EPS))))
     newest = written(targets.select("target", F.col("target").alias("at"), F.lit(None).cast("string").alias("via"), F.lit(0.0).alias("total")).distinct(), "settled")
     known = newest
@@ -220,7 +266,7 @@ def trace_best_path(targets: DataFrame, effects: DataFrame, max_hops: int = MAX_
     pointers = written(_cheapest(known), "settled")
     ends = _ranked_ends(pointers.where("at <> target"), effects, threshold, preferred)
     chosen = ends.groupBy("target").agg(F.min(F.struct("tier", F.round("total", 9), "at")).alias("b")).select("target", "b.at")
-    return _with_ends(targets, path_to(chosen, pointers))
+    return path_to(chosen, pointers)
 
 
 def _cheapest(rows: DataFrame) -> DataFrame:
@@ -248,13 +294,27 @@ def _heaviest_path(targets: DataFrame, effects: DataFrame, max_hops: int, thresh
 
 def trace_bfs(targets: DataFrame, effects: DataFrame, max_hops: int = MAX_HOPS, threshold: float = THRESHOLD, preferred: DataFrame | None = None) -> DataFrame:
     """Fewest hops, over edges of any effect, to a dead leaf (of a preferred type, if any are given);
-    else the deepest node. Equal hops: the smaller id, over the smaller node before it."""
+    else the deepest node. Equal hops: the smaller id, over the smaller node before it.
+
+    Hops are costs of 1, so leaves are found for all nodes at once. Targets that come to none, or are
+    leaves themselves, look at all nodes they reach."""
     _checked(max_hops, threshold)
     edges = written(effects.select(F.col("dst").alias("at"), F.col("src").alias("parent")).distinct(), "edges")
     leaves = dead_leaves(effects, threshold)
     if preferred is not None:
         leaves = leaves.join(preferred.select("id").distinct(), "id", "left_semi")
-    leaves = written(leaves.select(F.col("id").alias("at")), "ends")
+    leaves = written(leaves, "ends")
+    hops = edges.where("at <> parent").withColumn("cost", F.lit(COST_UNITS).cast("long"))
+    found = _chains_to(targets, nearest_ends(hops, leaves.withColumn("tier", F.lit(0)), max_hops))
+    found = written(found, "to-leaves")
+    rest = written(targets.select("target").distinct().join(found, "target", "left_anti"), "without-leaf")
+    if not rest.isEmpty():
+        found = found.unionByName(_deepest_reached(rest, edges, leaves.select(F.col("id").alias("at")), max_hops))
+    return _with_ends(targets, found)
+
+
+def _deepest_reached(targets: DataFrame, edges: DataFrame, leaves: DataFrame, max_hops: int) -> DataFrame:
+    """target, chain to the first leaf or the deepest of all nodes that a target reaches, with a row for each of them."""
     newest = written(targets.select("target", F.col("target").alias("at"), F.lit(None).cast("string").alias("via"), F.lit(0).alias("hop")).distinct(), "seen")
     seen, ended = newest, None
     for hop in range(1, max_hops + 1):
@@ -272,7 +332,7 @@ def trace_bfs(targets: DataFrame, effects: DataFrame, max_hops: int = MAX_HOPS,
         newest = newest.join(hit, "target", "left_anti")
     deepest = seen.where("hop > 0").groupBy("target").agg(F.min_by("at", F.struct(-F.col("hop"), F.col("at"))).alias("at"))
     chosen = deepest if ended is None else deepest.join(ended, "target", "left_anti").unionByName(ended)
-    return _with_ends(targets, path_to(chosen, seen))
+    return path_to(chosen, seen)
 
 
 def trace_dfs(targets: DataFrame, effects: DataFrame, max_hops: int = MAX_HOPS, threshold: float = THRESHOLD) -> DataFrame:
