@@ -2,15 +2,16 @@
 
 The effect of u on v is p(u) - p0, with p a model of the edge type on u's features and p0
 its value at a baseline: the zero vector, the mean of u's type, or the mean prediction over
-u's type. Models are logistic: coefficients (edge_type, intercept, one per feature)."""
+u's type. Models are logistic: tables with a row per edge type or variant (`logistic`)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootward.functions.tables import written
-from rootward.operators.metrics import detection_report, predict
+from rootward.operators import logistic
+from rootward.operators.metrics import best_threshold, detection_report
 
 
 def edge_training_rows(edges: DataFrame, nodes: DataFrame, mode: str = "wallets", target_type: str = "transaction") -> DataFrame:
@@ -52,34 +53,15 @@ def edge_balance(counts: DataFrame, mode: str = "sqrt") -> DataFrame:
     return raw.select("edge_type", (F.col("_w") / F.avg("_w").over(Window.partitionBy())).alias("weight"))
 
 
-def fit_edge_models(rows: DataFrame, features: list[str], max_iter: int = 30, mode: str = "none") -> DataFrame:
-    """edge_type, intercept and coefficients: a logistic regression per edge type with both labels.
+def fit_edge_models(rows: DataFrame, features: list[str], steps: int = logistic.STEPS, mode: str = "none") -> DataFrame:
+    """edge_type, n, intercept and coefficients: a logistic regression per edge type with both labels,
+    all of them fitted at once.
 
-    mode balances edge types as in `edge_balance`. Each type has a model of its own, so a row
-    weighs its type's weight over the type's mean row: the weight moves what regularisation takes."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    counts = rows.groupBy("edge_type").agg(F.count("*").alias("n"), F.countDistinct("y").alias("k"))
-    weights = edge_balance(counts.select("edge_type", "n"), mode).select("edge_type", F.col("weight").alias("_w"))
-    ready = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows.na.fill(0, features))
-    ready = ready.join(F.broadcast(weights), "edge_type")  # a row per edge type
-    models = []
-    for row in sorted(counts.collect(), key=lambda r: r.edge_type):
-        if row.k == 2:
-            # The weights of a type are alike, which Spark scales away, so the penalty takes their inverse.
-            own = ready.where(F.col("edge_type") == row.edge_type)
-            scale = own.select(F.first("_w")).first()[0]
-            m = LogisticRegression(labelCol="y", weightCol="_w", maxIter=max_iter, regParam=1e-3 / scale).fit(own)
-            models.append((row.edge_type, float(m.intercept), *[float(c) for c in m.coefficients]))
-    return rows.sparkSession.createDataFrame(models, "edge_type string, intercept double, " + ", ".join(f"b_{f} double" for f in features))
-
-
-def probability(features: list[str], prefix: str = "") -> Column:
-    z = F.col("intercept")
-    for f in features:
-        z = z + F.col(f"b_{f}") * F.coalesce(F.col(f"{prefix}{f}"), F.lit(0.0))
-    return 1 / (1 + F.exp(-z))
+    mode balances edge types as in `edge_balance`. Types share no coefficients, so what a type's
+    weight moves is how much regularisation takes from it: the ridge is divided by the weight."""
+    counts = rows.groupBy("edge_type").agg(F.count("*").alias("n"))
+    hold = {r.edge_type: 1 / r.weight for r in edge_balance(counts, mode).collect()}
+    return logistic.fit(rows, "edge_type", features, steps, hold=hold)
 
 
 def score_edges(edges: DataFrame, nodes: DataFrame, models: DataFrame, features: list[str], baseline: str = "zero") -> DataFrame:
@@ -92,11 +74,11 @@ def score_edges(edges: DataFrame, nodes: DataFrame, models: DataFrame, features:
         null = own.select("edge_type", "src_type", (1 / (1 + F.exp(-F.col("intercept")))).alias("p0"))
     elif baseline == "type_mean":
         means = known.groupBy("src_type").agg(*[F.avg(f).alias(f) for f in features])
-        null = own.join(means, "src_type").select("edge_type", "src_type", probability(features).alias("p0"))
+        null = own.join(means, "src_type").select("edge_type", "src_type", logistic.probability(features).alias("p0"))
     else:
-        null = known.join(own, "src_type").select("edge_type", "src_type", probability(features).alias("p")).groupBy("edge_type", "src_type").agg(F.avg("p").alias("p0"))
+        null = known.join(own, "src_type").select("edge_type", "src_type", logistic.probability(features).alias("p")).groupBy("edge_type", "src_type").agg(F.avg("p").alias("p0"))
     used = edges.select("src", "edge_type").distinct()
-    predicted = used.join(known, "src").join(own, ["edge_type", "src_type"]).select("src", "edge_type", "src_type", probability(features).alias("p"))
+    predicted = used.join(known, "src").join(own, ["edge_type", "src_type"]).select("src", "edge_type", "src_type", logistic.probability(features).alias("p"))
     effect = predicted.join(F.broadcast(null), ["edge_type", "src_type"]).select("src", "edge_type", (F.col("p") - F.col("p0")).alias("ce"))
     ends = edges.select("src", "dst", "edge_type").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
     return ends.join(effect, ["src", "edge_type"]).select("src", "dst", "edge_type", "ce")
@@ -135,39 +117,37 @@ def neighbour_features(nodes: DataFrame, edges: DataFrame, features: list[str],
     return now
 
 
-def fit_detector(rows: DataFrame, features: list[str], max_iter: int = 20):
-    """Weighted logistic detector of y on the train split; positives weigh negatives over positives."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    train = rows.where("split = 'train'").na.fill(0, features)
-    counts = train.agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p"), F.count("*").alias("n")).first()
-    ratio = (counts.n - counts.p) / counts.p if counts.p else 1.0
-    weighted = train.withColumn("_w", F.when(F.col("y") == 1, ratio).otherwise(1.0))
-    steps = [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), LogisticRegression(featuresCol="scaled", labelCol="y", weightCol="_w", maxIter=max_iter)]
-    return Pipeline(stages=steps).fit(weighted)
+def fit_detectors(rows: DataFrame, features: list[str], by: str = "variant", steps: int = logistic.STEPS) -> DataFrame:
+    """The model table of weighted logistic detectors of y, one per variant, all fitted at once.
 
+    rows: by, y, split (train, val, others) and features. Features are scaled by what the training
+    rows say, positives weigh negatives over positives, and `cut` is the one of best macro F1 on the val
+    rows (0.5 without any). A variant without both labels among its training rows has no model."""
+    train = F.col("split") == "train"
+    moved, stats = logistic.scaled(rows, by, features, train)
+    moved = moved.where(train)
+    counts = moved.groupBy(by).agg(F.sum(F.when(F.col("y") == 1, 1.0).otherwise(0.0)).alias("_p"), F.sum(F.when(F.col("y") == 0, 1.0).otherwise(0.0)).alias("_q"))
+    moved = moved.join(F.broadcast(written(counts, "label-counts")), by)  # a row per variant
+    models = logistic.fit(moved, by, features, steps, weight=F.when(F.col("y") == 1, F.col("_q") / F.col("_p")).otherwise(1.0))
+    models = models.join(F.broadcast(stats), by).withColumn("cut", F.lit(0.5))
+    cuts = best_threshold(detect(models, rows.where("split = 'val'"), features, by), "f1_macro", [by]).select(by, F.col("cut").alias("_cut"))
+    return written(models.join(cuts, by, "left").withColumn("cut", F.coalesce("_cut", "cut")).drop("_cut"), "detectors")
 
-def detect(model, rows: DataFrame, features: list[str]) -> DataFrame:
-    """rows with score, the probability of class 1."""
-    from pyspark.ml.functions import vector_to_array
 
-    found = model.transform(rows.na.fill(0, features))
-    return found.withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
+def detect(models: DataFrame, rows: DataFrame, features: list[str], by: str = "variant") -> DataFrame:
+    """rows with score, the probability of class 1, and pred, whether it is above the cut of the variant."""
+    own = F.broadcast(models.drop("n"))  # a row per variant
+    found = rows.join(own, by).withColumn("score", F.round(logistic.probability(features, scales=True), 9))
+    return found.select(*rows.columns, "score", (F.col("score") > F.col("cut")).cast("int").alias("pred"))
 
 
-def select_model(rows: DataFrame, features: list[str], grid: list[dict], metric: str = "weighted_f1"):
-    """(model, report): of the fits of `grid` (options of fit_detector) the one that is best on the
-    val split by f1_macro, fraud_f1 or weighted_f1, the first among equals; report has a row per
-    fit with its options, its metrics and `chosen`."""
+def select_model(rows: DataFrame, features: list[str], metric: str = "weighted_f1", by: str = "variant", models: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(model, report): of the models (fitted here if none are given) the model of the variant that is best on the val split by f1_macro, fraud_f1 or
+    weighted_f1, the first by name among equals; report has a row per variant with its metrics and `chosen`."""
     if metric not in ("f1_macro", "fraud_f1", "weighted_f1"):
         raise ValueError("the metric is f1_macro, fraud_f1 or weighted_f1")
-    held, found = rows.where("split = 'val'"), []
-    for options in grid:
-        model = fit_detector(rows, features, **options)
-        found.append((model, options, detection_report(predict(detect(model, held, features), 0.5)).first().asDict()))
-    best = max(range(len(found)), key=lambda i: (found[i][2][metric], -i))
-    listed = [(i, str(options), *[report[m] for m in ("f1_macro", "fraud_f1", "weighted_f1", "recall", "pred_rate")], report["n"], i == best) for i, (_, options, report) in enumerate(found)]
-    schema = "fit int, options string, f1_macro double, fraud_f1 double, weighted_f1 double, recall double, pred_rate double, n long, chosen boolean"
-    return found[best][0], rows.sparkSession.createDataFrame(listed, schema)
+    models = fit_detectors(rows, features, by) if models is None else models
+    found = written(detection_report(detect(models, rows.where("split = 'val'"), features, by), [by]), "model-reports")
+    best = F.broadcast(found.agg(F.min(F.struct((-F.col(metric)).alias("m"), F.col(by))).alias("b")).select(F.col(f"b.{by}").alias("_best")))
+    report = found.join(best).withColumn("chosen", F.col(by) == F.col("_best")).drop("_best")
+    return models.join(best, F.col(by) == F.col("_best")).drop("_best"), report

@@ -7,9 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rootward.plans import analytics, evaluation, preparation, scoring, storage, tracing
+from rootward.plans import analytics, evaluation, models, preparation, scoring, storage, tracing
 
-AREAS = (preparation, tracing, evaluation, analytics, scoring, storage)
+AREAS = (preparation, tracing, evaluation, analytics, scoring, models, storage)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

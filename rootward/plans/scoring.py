@@ -14,7 +14,7 @@ from rootward.operators import expand as D
 from rootward.operators import nodes as N
 from rootward.operators import trace as T
 from rootward.plans.fixture import NUM, Graph, keyed, sql
-from rootward.plans.preparation import LEVELS, split
+from rootward.plans.preparation import LEVELS
 from rootward.plans.shares import ASYM, ATTACHED, PHI, asymmetric, attached, chain_nodes
 from rootward.plans.tracing import _BEAM, HOPS, LAST, PATH_THRESHOLD, WALK
 
@@ -150,12 +150,6 @@ def _(g: Graph) -> DataFrame:
     return X.score_edges(g.causal, features(g), fixed_models(g), FEATURES, "marginal").withColumn("ce", F.round("ce", 9))
 
 
-@query("e4_train_edge_models")
-def _(g: Graph) -> DataFrame:
-    rows = X.edge_training_rows(g.causal, g.nodes).join(features(g).select(F.col("id").alias("src"), *FEATURES), "src")
-    return X.fit_edge_models(rows, FEATURES, mode="sqrt")
-
-
 @query("e8_effect_coverage", sql("SELECT count(*) AS n, count(*) FILTER (src NOT IN (SELECT id FROM with_time) OR dst NOT IN (SELECT id FROM with_time)) AS no_features, count(*) FILTER (edge_type = 'wallet__to__wallet') AS no_model FROM edges", with_time="SELECT id FROM nodes WHERE time >= 0"))
 def _(g: Graph) -> DataFrame:
     return X.effect_coverage(g.edges, g.nodes.where("time >= 0"), fixed_models(g).where("edge_type <> 'wallet__to__wallet'"))
@@ -268,19 +262,6 @@ def _(g: Graph) -> DataFrame:
     return found.select("id", "node_type", F.round("f_amount", 10).alias("f_amount"), F.round("f_count", 10).alias("f_count"))
 
 
-@query("h2_node_classifier")
-def _(g: Graph) -> DataFrame:
-    rows = split(g).select("id", "y", "split").join(features(g), "id")
-    return X.detect(X.fit_detector(rows, FEATURES), rows, FEATURES).select("id", "y", "split", "score")
-
-
-@query("h4_model_selection")
-def _(g: Graph) -> DataFrame:
-    """The fit with the best blend of both F1 on the val split, among numbers of iterations."""
-    rows = written(split(g).select("id", "y", "split").join(features(g), "id"), "detector-rows")
-    return X.select_model(rows, FEATURES, [{"max_iter": n} for n in (1, 5, 20)])[1]
-
-
 _DRAW = "sqrt(-2 * ln((((num * 48271 + draw * 7919 + {k} * 104729) % 9973) + 1) / CAST(9974 AS DOUBLE))) * cos(2 * pi() * (((num * 16807 + draw * 1299709 + {k} * 15485863) % 9967) / CAST(9967 AS DOUBLE)))"
 _NOISY = "1 / (1 + exp(-(-0.3 + 0.8 * (f_amount + sigma * " + _DRAW.format(k=1) + ") - 0.5 * (f_count + sigma * " + _DRAW.format(k=2) + "))))"
 _DRIFT = {

@@ -9,6 +9,7 @@ from rootward.operators import attribution as A
 from rootward.operators import chains as C
 from rootward.operators import edges as E
 from rootward.operators import effects as X
+from rootward.operators import logistic
 from rootward.operators import metrics as M
 from rootward.operators import nodes as N
 from rootward.sources import tables as S
@@ -165,12 +166,40 @@ def test_edge_models_and_model_selection(spark):
     plain, balanced = ({m.edge_type: m for m in X.fit_edge_models(df, ["f"], mode=mode).collect()} for mode in ("none", "inverse"))
     assert set(plain) == {"rare", "often"} and all(m.b_f > 1 for m in plain.values())
     assert balanced["rare"].b_f > plain["rare"].b_f and balanced["often"].b_f < plain["often"].b_f  # a heavier type is held back less
-    nodes = spark.createDataFrame([(i, x, y, ("train", "train", "val")[i % 3]) for i, (_, _, x, y) in enumerate(rows)], "id int, f double, y int, split string")
-    model, report = X.select_model(nodes, ["f"], [{"max_iter": 1}, {"max_iter": 30}, {"max_iter": 30}], "f1_macro")
-    listed = {x.fit: x for x in report.collect()}
-    assert [x.fit for x in listed.values() if x.chosen] == [min(listed, key=lambda k: (-listed[k].f1_macro, k))]
+    noise = [(i, v, x if v == "told" else r.random(), y, ("train", "train", "val")[i % 3]) for i, (_, _, x, y) in enumerate(rows) for v in ("told", "blind")]
+    nodes = spark.createDataFrame(noise, "id int, variant string, f double, y int, split string")
+    models = X.fit_detectors(nodes, ["f"])
+    model, report = X.select_model(nodes, ["f"], "f1_macro", models=models)
+    assert {x.variant: x.chosen for x in report.collect()} == {"told": True, "blind": False} and [m.variant for m in model.collect()] == ["told"]
     scored = X.detect(model, nodes, ["f"]).collect()
-    assert sum((x.score > 0.5) == x.y for x in scored) / len(scored) > 0.7  # the noise allows about 0.77
+    assert {x.variant for x in scored} == {"told"} and sum(x.pred == x.y for x in scored) / len(scored) > 0.7  # the noise allows about 0.77
+    one = models.where("variant = 'told'").first()
+    for x in scored:
+        assert abs(x.score - 1 / (1 + math.exp(-(one.intercept + one.b_f * (x.f - one.mean_f) / one.std_f)))) < 1e-8 and x.pred == int(x.score > one.cut)
+
+
+def test_newton_steps_reach_the_optimum_of_every_group(spark):
+    """Coefficients against a plain search; a group of one label has no model, nulls count 0."""
+    r = random.Random(10)
+    rows = [(g, r.gauss(0, 1), r.choice([None, 0.5, 2.0]), r.randint(1, 3)) for g in "ab" for _ in range(200)]
+    rows = [(g, int(x * (1 if g == "a" else -2) + (z or 0) + r.gauss(0, 1) > 0), x, z, float(w)) for g, x, z, w in rows]
+    rows += [("c", 1, 0.3, 0.1, 1.0), ("c", 1, 0.4, 0.1, 1.0), ("a", None, 9.0, 9.0, 1.0), (None, 1, 9.0, 9.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, y int, `x` double, z double, w double").repartition(3)
+    found = {m.g: m for m in logistic.fit(df, "g", ["x", "z"], hold={"b": 10.0}, weight=F.col("w")).collect()}
+    assert set(found) == {"a", "b"} and found["a"].n == 200
+
+    def loss(g, b0, b1, b2):
+        own = [x for x in rows if x[0] == g and x[1] is not None]
+        total = sum(w * math.log1p(math.exp(-(2 * y - 1) * (b0 + b1 * x + b2 * (z or 0)))) for _, y, x, z, w in own) / sum(x[4] for x in own)
+        return total + logistic.RIDGE * (10 if g == "b" else 1) / 2 * (b1 * b1 + b2 * b2)
+
+    for g, m in found.items():
+        best = (m.intercept, m.b_x, m.b_z)
+        for k in range(3):
+            for d in (-1e-3, 1e-3):
+                moved = [b + d * (i == k) for i, b in enumerate(best)]
+                assert loss(g, *moved) > loss(g, *best)
+    assert logistic.fit(df.where("g = 'c'"), "g", ["x", "z"]).count() == 0
 
 
 def test_layers_of_neighbour_features(spark):
