@@ -308,6 +308,25 @@ WALLCLOCK_SECONDS=12
     assert [(x.run, x.AUC, x.RCP_TP, x.EA_wide, x.ER_strict) for x in rows] == [("one", None, 0.25, 0.2, None), ("two", 0.75, None, None, None)]
 
 
+def test_a_long_log_is_read_in_ranges(spark, tmp_path):
+    """Marks hold for the lines of later ranges; a label counts where it comes first in the file."""
+    lines, want = ["Auc: 0.5"], {(None, "AUC"): [0.5]}
+    for k in range(6):
+        lines += [f"[Metric C - GT = mode{k}]", *("nothing to say here" for _ in range(200)), f"  Explanation Accuracy : 0.{k}", "  Explanation Accuracy : 0.99", f"Auc: 0.{k}", f"· kind{k} fraud_f1=0.{k} pred_rate=x thr=-1"]
+        want |= {(f"mode{k}", "EA"): [k / 10], (None, f"kind{k}_F1"): [k / 10], (None, f"kind{k}_thr"): [-1.0]}
+    (tmp_path / "eval_long.v2.log").write_text("\n".join(lines))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2000")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        found = S.read_run_metrics(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {x.run for x in found} == {"long.v2"} and len(found) == len(want)
+    assert {(x.block, x.metric): [x.value] for x in found} == want
+
+
 def test_missing_column_is_named(spark, tmp_path):
     spark.createDataFrame([(1,)], "txId int").write.csv(f"{tmp_path}/txs_features.csv", header=True)
     try:
