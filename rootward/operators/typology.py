@@ -153,6 +153,28 @@ def wallet_profile(addresses: DataFrame, tables: dict[str, DataFrame]) -> DataFr
     return reduce(DataFrame.unionByName, parts)
 
 
+def meeting_pairs(cn: DataFrame) -> DataFrame:
+    """a, b: of every node on several chains its first chain (by target) beside each of the others.
+
+    The first one stands for the node, so chains that meet are linked by way of it, and a node
+    that many chains pass gives as many pairs, not their square."""
+    own = cn.select("id", "target").distinct()
+    first = own.groupBy("id").agg(F.min("target").alias("a"))
+    return own.join(first, "id").where("a <> target").select("a", F.col("target").alias("b")).distinct()
+
+
+def near_pairs(rows: DataFrame, number: Column, window: int) -> DataFrame:
+    """a, b: all pairs of targets whose whole numbers differ by 1 to `window`, the smaller number first.
+
+    Pairs meet in buckets as wide as the window, of its number and the one before. Where numbers
+    are unique, a target has `window` partners on either side at most."""
+    numbered = rows.select("target", number.cast("long").alias("k")).distinct()
+    bucket = F.floor(F.col("k") / window)
+    one = numbered.select(F.col("target").alias("a"), F.col("k").alias("ka"), bucket.alias("bucket"))
+    two = numbered.select(F.col("target").alias("b"), F.col("k").alias("kb"), F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
+    return one.join(two, "bucket").where((F.col("kb") > F.col("ka")) & (F.col("kb") <= F.col("ka") + window)).select("a", "b")
+
+
 def pair_links(pairs: DataFrame, cn: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """For pairs (a, b) of chains, how many: direct edges between their roots; wallets linked to both
     roots; transactions that both roots sent to, or were paid by; input wallets of transactions of
@@ -227,18 +249,18 @@ def cosine_baseline(pairs: DataFrame, rows: DataFrame, columns: list[str], n: in
     """For pairs (a, b) of ids: cosine of their feature rows, the percentage of the baseline below it,
     `differing` (columns whose values differ), and of the baseline median and p95.
 
-    Baseline: n pairs of rows by an arithmetic key of their dense numbers, pairs of one row and
+    Cosines have nine digits, so that equal ones count as equal. Baseline: n pairs of rows by an arithmetic key of their dense numbers, pairs of one row and
     those without a cosine left out."""
     vectors = rows.select("id", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("v"))
     numbered = written(global_ids(rows.select(F.lit("").alias("node_type"), "id", "num")).select("id", F.col("global_id").alias("i")).join(vectors, "id"), "vectors")
     total = numbered.count()
     pick = lambda p, q: F.pmod(F.col("id") * F.lit(p).cast("long") + F.lit(seed * q).cast("long"), F.lit(max(1, total)).cast("long"))
     drawn = rows.sparkSession.range(n).select(pick(7919, 13).alias("i"), pick(104729, 7).alias("j")).where("i <> j")
-    base = drawn.join(numbered.select("i", F.col("v").alias("x")), "i").join(numbered.select(F.col("i").alias("j"), F.col("v").alias("y")), "j").select(cosine("x", "y").alias("c")).where("c IS NOT NULL")
+    base = drawn.join(numbered.select("i", F.col("v").alias("x")), "i").join(numbered.select(F.col("i").alias("j"), F.col("v").alias("y")), "j").select(F.round(cosine("x", "y"), 9).alias("c")).where("c IS NOT NULL")
     base = base.agg(F.array_sort(F.collect_list("c")).alias("sorted"), F.percentile("c", F.lit(0.5)).alias("median"), F.percentile("c", F.lit(0.95)).alias("p95"))  # n numbers
     both = pairs.join(vectors.toDF("a", "x"), "a").join(vectors.toDF("b", "y"), "b")
     names = F.array(*[F.lit(c) for c in columns])
-    both = both.select("a", "b", cosine("x", "y").alias("cosine"), F.filter(names, lambda c, i: F.get("x", i) != F.get("y", i)).alias("differing"))
+    both = both.select("a", "b", F.round(cosine("x", "y"), 9).alias("cosine"), F.filter(names, lambda c, i: F.get("x", i) != F.get("y", i)).alias("differing"))
     found = both.join(F.broadcast(base), F.lit(True))  # one row
     below = F.size(F.filter("sorted", lambda c: c < F.col("cosine")))
     return found.select("a", "b", "cosine", F.when(F.col("cosine").isNotNull(), 100.0 * below / F.size("sorted")).alias("percentile"), "differing", "median", "p95")

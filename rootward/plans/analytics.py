@@ -361,13 +361,19 @@ def _(t: Traced) -> DataFrame:
     return L.wallet_profile(t.cn.where("node_type = 'wallet'").select("id"), t.g.tables)
 
 
-#: Chains that meet at a node and have wallets as roots: the first and the last of each node.
-_PAIRS = "SELECT DISTINCT min(target) AS a, max(target) AS b FROM cn WHERE target IN (SELECT target FROM chains WHERE root LIKE 'w%') GROUP BY id HAVING count(DISTINCT target) >= 2"
+#: Pairs of chains with wallets as roots: the first chain of each node beside all others there, and
+#: chains whose targets' numbers are near each other.
+WINDOW = 50
+_NUMBER = "CAST(substr({0}, 2) AS BIGINT)"
+_PAIRS = f"""SELECT DISTINCT f.a, c.target AS b FROM cn c JOIN (SELECT id, min(target) AS a FROM cn WHERE target IN (SELECT target FROM chains WHERE root LIKE 'w%') GROUP BY id) f ON f.id = c.id
+    WHERE c.target <> f.a AND c.target IN (SELECT target FROM chains WHERE root LIKE 'w%')
+    UNION SELECT x.target, y.target FROM chains x JOIN chains y ON {_NUMBER.format('y.target')} > {_NUMBER.format('x.target')} AND {_NUMBER.format('y.target')} <= {_NUMBER.format('x.target')} + {WINDOW} WHERE x.root LIKE 'w%' AND y.root LIKE 'w%'"""
 
 
 def pairs(t: Traced) -> DataFrame:
-    own = t.cn.join(t.chains.where("root LIKE 'w%'").select("target"), "target", "left_semi")
-    return own.groupBy("id").agg(F.min("target").alias("a"), F.max("target").alias("b")).where("a <> b").select("a", "b").distinct()
+    rooted = t.chains.where("root LIKE 'w%'").select("target")
+    meeting = L.meeting_pairs(t.cn.join(rooted, "target", "left_semi"))
+    return written(meeting.union(L.near_pairs(rooted, F.expr(_NUMBER.format("target")), WINDOW)).distinct(), "chain-pairs")
 
 
 _LINKED = BASE | {
@@ -416,7 +422,7 @@ _ROOT_ROWS = {
 
 @query("l19_root_cosine", sql("SELECT a, b, round(cosine, 5) AS cosine, round(100.0 * (SELECT count(*) FROM base WHERE round(c, 9) < round(o.cosine, 9)) / n, 1) AS percentile, differing, round(median, 5) AS median, round(p95, 5) AS p95 FROM observed o, known", **BASE, pr=_PAIRS, **_ROOT_ROWS))
 def _(t: Traced) -> DataFrame:
-    """Roots of chains that meet, by the features of their latest snapshots."""
+    """Different roots of pairs of chains, by the features of their latest snapshots."""
     roots = pairs(t).join(t.chains.select(F.col("target").alias("a"), F.col("root").alias("ra")), "a").join(t.chains.select(F.col("target").alias("b"), F.col("root").alias("rb")), "b")
     roots = roots.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
     rows = t.g.wallets.join(latest(t).select("id", *_FEATURES[1:]), "id", "left").select("id", "num", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in _FEATURES])

@@ -12,6 +12,7 @@ from rootward.operators import effects as X
 from rootward.operators import logistic
 from rootward.operators import metrics as M
 from rootward.operators import nodes as N
+from rootward.operators import typology as L
 from rootward.sources import tables as S
 
 
@@ -327,6 +328,21 @@ def test_a_long_log_is_read_in_ranges(spark, tmp_path):
     assert {(x.block, x.metric): [x.value] for x in found} == want
 
 
+def test_pairs_of_chains(spark):
+    r = random.Random(15)
+    rows = sorted({(f"t{r.randrange(60)}", r.choice("pqrs")) for _ in range(60)})
+    cn = spark.createDataFrame([*rows, rows[0]], "target string, id string")
+    want = set()
+    for node in "pqrs":
+        own = sorted(t for t, i in rows if i == node)
+        want |= {(own[0], t) for t in own[1:]}
+    assert sorted((x.a, x.b) for x in L.meeting_pairs(cn).collect()) == sorted(want)
+    numbers = sorted({int(t[1:]) for t, _ in rows})
+    for window in (1, 4, 100):
+        found = L.near_pairs(cn, F.expr("substr(target, 2)"), window).collect()
+        assert sorted((x.a, x.b) for x in found) == sorted((f"t{i}", f"t{j}") for i in numbers for j in numbers if 0 < j - i <= window)
+
+
 def test_missing_column_is_named(spark, tmp_path):
     spark.createDataFrame([(1,)], "txId int").write.csv(f"{tmp_path}/txs_features.csv", header=True)
     try:
