@@ -309,17 +309,16 @@ def saliency(targets: DataFrame, edges: DataFrame, features: DataFrame, layers:
     return sizes.join(scored, "target").select("target", "id", (F.col("p") * (1 - F.col("p")) * F.col("size")).alias("saliency"))
 
 
-def explain_targets(targets: DataFrame, scored: DataFrame, phi: DataFrame, chains: DataFrame, strongest: int = 1000) -> DataFrame:
-    """For each target and ranked chain: p and n of the readout, `phi_sum` (of |phi| over all
-    parents), `parents` (parent, phi: the `strongest` by |phi|), and the chain. A target
-    without parents has the sum 0 and an empty list."""
-    own = phi.join(targets.select("target").distinct(), "target", "left_semi")
-    total = own.groupBy("target").agg(F.sum(F.abs("phi")).alias("phi_sum"))
-    by = Window.partitionBy("target").orderBy(F.desc(F.abs("phi")), "parent")
-    own = own.withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") <= strongest)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("_rn", "parent", "phi"))), lambda x: F.struct(x["parent"].alias("parent"), x["phi"].alias("phi")))
-    own = own.groupBy("target").agg(listed.alias("parents"))
-    none = F.array().cast("array<struct<parent:string,phi:double>>")
-    told = scored.join(total, "target", "left").join(own, "target", "left")
-    told = told.withColumn("parents", F.coalesce("parents", none)).withColumn("phi_sum", F.coalesce("phi_sum", F.lit(0.0)))
-    return told.join(chains.select("target", "rank", "chain", "score"), "target")
+def explain_targets(targets: DataFrame, scored: DataFrame, phis: dict[str, DataFrame], chains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(summary, parents) of a set of nodes.
+
+    parents: target, explainer, parent, phi, a row for every parent of a target and each explainer of
+    `phis` (target, parent, phi). summary: for each target and ranked chain p and n of the readout,
+    the chain with its score, and by explainer the sum of |phi| over all parents (`sum_<explainer>`,
+    0 without parents)."""
+    wanted = targets.select("target").distinct()
+    parts = [phi.join(wanted, "target", "left_semi").select("target", F.lit(name).alias("explainer"), "parent", "phi") for name, phi in phis.items()]
+    parents = written(reduce(DataFrame.unionByName, parts), "explained-parents")
+    sums = parents.groupBy("target").agg(*[F.sum(F.when(F.col("explainer") == name, F.abs("phi"))).alias(f"sum_{name}") for name in phis])
+    told = scored.join(wanted, "target", "left_semi").join(sums, "target", "left").na.fill(0.0, [f"sum_{name}" for name in phis])
+    return told.join(chains.select("target", "rank", "chain", "score"), "target"), parents

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootward.functions.tables import frontier_loop, written
+from rootward.functions.tables import first_rows, frontier_loop, written
 from rootward.operators.edges import BLOCKED, causal_audit, causal_edges, edge_type_filter
 from rootward.operators.nodes import proportional_sample
 
@@ -14,31 +14,29 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
 
 
-def _expanded(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+def _expanded(edges: DataFrame, seeds: DataFrame, hops: int, room: int) -> DataFrame:
+    """id, hop: the seeds and the first `room` others by hop, then id. No hop is made after that which fills the room."""
     pairs = both_ways(edges)
-    return frontier_loop(seeds.select("id"), lambda new: new.join(pairs, new.id == pairs.src).select(F.col("dst").alias("id")), ["id"], hops)
-
-
-def _first(found: DataFrame, room: int) -> DataFrame:
-    """The first `room` rows by hop, then id; a cap that does not bind costs no sort."""
-    return found if found.count() <= room else found.orderBy("hop", "id").limit(room)
+    if not room:
+        hops = 0
+    found = frontier_loop(seeds.select("id"), lambda new: new.join(pairs, new.id == pairs.src).select(F.col("dst").alias("id")), ["id"], hops, enough=room)
+    return found.where("hop = 0").unionByName(first_rows(found.where("hop > 0"), ["hop", "id"], room))
 
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int, limit: int, blocked: tuple[str, ...] | None = BLOCKED) -> DataFrame:
     """id, hop within `hops` of the seeds over unblocked edges, either way. All seeds stay; the
     others fill up to `limit` by hop, then id."""
-    found = _expanded(edge_type_filter(edges, blocked), seeds, hops)
-    room = max(0, limit - found.where("hop = 0").count())
-    return found.where("hop = 0").unionByName(_first(found.where("hop > 0"), room))
+    room = max(0, limit - seeds.select("id").distinct().count())
+    return _expanded(edge_type_filter(edges, blocked), seeds, hops, room)
 
 
 def expand_rare(edges: DataFrame, seeds: DataFrame, hops: int, limit: int, rare: tuple[str, ...], reserve: int, rare_hops: int, blocked: tuple[str, ...] | None = BLOCKED) -> DataFrame:
     """A first expansion that leaves `reserve` places, then from all it found along rare edge types only."""
     n_seeds = seeds.select("id").distinct().count()
     main = expand(edges, seeds, hops, max(n_seeds, limit - reserve), blocked)
-    more = _expanded(edges.where(F.col("edge_type").isin(*rare)), main, rare_hops).where("hop > 0")
-    room = max(0, limit - main.count())
-    return main.unionByName(_first(more, room).select("id", (F.col("hop") + hops).alias("hop")))
+    main = written(main, "main-expansion")
+    more = _expanded(edges.where(F.col("edge_type").isin(*rare)), main, rare_hops, max(0, limit - main.count())).where("hop > 0")
+    return main.unionByName(more.select("id", (F.col("hop") + hops).alias("hop")))
 
 
 def causal_subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, hops: int, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:

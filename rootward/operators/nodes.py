@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootward.functions.tables import frontier_loop, seeded_order
+from rootward.functions.tables import first_rows, frontier_loop, seeded_order
 
 
 def clean_labels(nodes: DataFrame, classes: DataFrame, key: str = "id") -> DataFrame:
@@ -160,7 +160,7 @@ def subsample_graph(nodes: DataFrame, edges: DataFrame, target_type: str, max_ta
     own = nodes.where(F.col("node_type") == target_type)
     positive = own.where("y = 1")
     room = max(0, max_target - positive.count())
-    negative = own.where("y = 0").orderBy(seeded_order(F.col("num"), seed), "id").limit(room)
+    negative = first_rows(own.where("y = 0"), [seeded_order(F.col("num"), seed), "id"], room)
     kept = positive.select("id").union(negative.select("id"))
     near = (
         edges.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
@@ -182,7 +182,7 @@ def proportional_sample(nodes: DataFrame, limit: int) -> DataFrame:
     for t in sorted(counts, key=lambda t: (-counts[t], t)):
         more = min(left, counts[t] - take[t])
         take[t], left = take[t] + more, left - more
-    parts = [nodes.where(F.col("node_type") == t).orderBy("num", "id").limit(k) for t, k in sorted(take.items())]
+    parts = [first_rows(nodes.where(F.col("node_type") == t), ["num", "id"], k) for t, k in sorted(take.items())]
     return reduce(DataFrame.unionByName, parts) if parts else nodes.limit(0)
 
 

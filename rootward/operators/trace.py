@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootward.functions.tables import written
+from rootward.functions.tables import first_rows, written
 
 MAX_HOPS, THRESHOLD, EPS = 20, 0.0001, 1e-12
 
@@ -384,4 +384,4 @@ def select_targets(scored: DataFrame, graph: DataFrame, primary: str, cuts: dict
             cut = F.when(F.col("node_type") == kind, value).otherwise(cut)
     wanted = scored.where(F.col("node_type").isin(primary, *cuts)).where(F.col("score") > cut).join(graph.select("id"), "id", "left_semi")
     order = [F.when(F.col("node_type") == primary, 0).otherwise(1), F.col("node_type"), F.col("num")]
-    return wanted.dropDuplicates(["id"]).orderBy(*order).limit(limit).select(F.col("id").alias("target"), "node_type", "score")
+    return first_rows(wanted.dropDuplicates(["id"]), [*order, F.col("id")], limit).select(F.col("id").alias("target"), "node_type", "score")

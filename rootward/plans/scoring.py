@@ -383,6 +383,24 @@ def _(g: Graph) -> DataFrame:
     ),
 )
 def _(g: Graph) -> DataFrame:
+    found = explained(g, {"add": A.phi_additive(g.causal, g.effects)})[0]
+    return found.select("target", "rank", F.concat_ws("|", "chain").alias("chain"), "score", F.round("p", 9).alias("p"), "n", (F.round("sum_add", 9) + 0.0).alias("phi_sum"))
+
+
+def explained(g: Graph, phis: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     scored = A.readout(g.targets, g.causal, written(features(g), "features"), LAYERS, BIAS)
-    found = A.explain_targets(g.targets, scored, A.phi_additive(g.causal, g.effects), T.trace_topk(g.targets, g.effects, 3, HOPS, PATH_THRESHOLD))
-    return found.select("target", "rank", F.concat_ws("|", "chain").alias("chain"), "score", F.round("p", 9).alias("p"), "n", (F.round("phi_sum", 9) + 0.0).alias("phi_sum"))
+    return A.explain_targets(g.targets, scored, phis, T.trace_topk(g.targets, g.effects, 3, HOPS, PATH_THRESHOLD))
+
+
+@query(
+    "f16_explained_parents",
+    sql(
+        "SELECT target, explainer, parent, round(phi, 9) + 0.0 AS phi FROM (SELECT target, 'add' AS explainer, parent, phi FROM phi UNION ALL SELECT target, 'asym', parent, phi FROM asym UNION ALL SELECT dst, 'sym', src, phi FROM exact UNION ALL SELECT dst, 'sym', src, phi FROM sampled) WHERE target IN (SELECT target FROM targets)",
+        phi=PHI, asym=ASYM, **_ALL_PERMS,
+    ),
+)
+def _(g: Graph) -> DataFrame:
+    """All parents of each flagged transaction, by three explainers."""
+    sym = A.phi_symmetric(g.effects.join(g.targets.withColumnRenamed("target", "dst"), "dst", "left_semi"), numbers=(F.expr(NUM.format("src")), F.expr(NUM.format("dst"))))
+    phis = {"add": A.phi_additive(g.causal, g.effects), "asym": asymmetric(g), "sym": sym}
+    return explained(g, phis)[1].select("target", "explainer", "parent", (F.round("phi", 9) + 0.0).alias("phi"))

@@ -392,8 +392,10 @@ def test_interventions(spark):
     assert scored.first().p == pytest.approx(p(inside("t0"))) and scored.first().n == 2
     phi = spark.createDataFrame([("t0", "w2", 0.25), ("t0", "w3", -0.5)], "target string, parent string, phi double")
     chains = spark.createDataFrame([("t0", 1, ["t0", "w3"], 0.5)], "target string, rank int, chain array<string>, score double")
-    row = A.explain_targets(targets, scored, phi, chains, 1).first()
-    assert row.phi_sum == 0.75 and [x.parent for x in row.parents] == ["w3"] and row.chain == ["t0", "w3"] and row.n == 2
-    empty = A.explain_targets(targets, scored, phi.limit(0), chains).first()
-    assert empty.phi_sum == 0 and empty.parents == []
+    summary, parents = A.explain_targets(targets, scored, {"one": phi, "two": phi.where("phi > 0")}, chains)
+    row = summary.first()
+    assert row.sum_one == 0.75 and row.sum_two == 0.25 and row.chain == ["t0", "w3"] and row.n == 2
+    assert {(x.explainer, x.parent, x.phi) for x in parents.collect()} == {("one", "w2", 0.25), ("one", "w3", -0.5), ("two", "w2", 0.25)}
+    summary, parents = A.explain_targets(targets, scored, {"one": phi.limit(0)}, chains)
+    assert summary.first().sum_one == 0 and parents.count() == 0
     assert A.feature_effects(asked.limit(0), edges, features, layers, bias).count() == 0

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rootward.functions.tables import first_rows
 from rootward.operators import edges as E
 from rootward.operators import trace as T
 
@@ -179,3 +180,14 @@ def test_levels_of_a_deep_path_and_behind_cycles(spark):
     found = {r.id: r.level for r in E.topological_levels(one(spark, ids), spark.createDataFrame(path, "src string, dst string")).collect()}
     want = {n: None for n in ids} | {f"n{i:03d}": i for i in range(5)} | {"alone": 0}  # n005 is on a loop of its own
     assert found == want
+
+
+def test_first_rows_of_any_order(spark):
+    r = random.Random(22)
+    rows = [(r.choice([None, 1, 2, 3]), f"{r.randrange(1000):03}{k}", k) for k in range(400)]
+    df = spark.createDataFrame(rows, "hop int, id string, place int").repartition(5)
+    ordered = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    for n in (0, 1, 57, 399, 400, 900):
+        found = first_rows(df, ["hop", F.col("id")], n, 50)
+        assert found.columns == df.columns and {x.place for x in found.collect()} == {k for *_, k in ordered[:n]}
+    assert first_rows(df.limit(0), ["id"], 3).count() == 0
