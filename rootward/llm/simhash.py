@@ -12,16 +12,20 @@ the 64 bits takes no part in the choice of anchors, only in the comparison.
 A bucket holds distinct fingerprints within distance 2 of its anchor, at most
 2 * (1 + 63 + 63 * 31) = 4034, however many documents there are.
 
-`one_of_each` puts an exact second pass behind the links: texts whose sets of five-word
-shingles have a similarity (shared over all shingles) of 0.8 or more belong together as
-well, however far apart their fingerprints are. Texts that may be so similar meet under
-keys made of the smallest seeded hashes of their shingles (`KEYS` keys of `PER_KEY` hashes;
-two texts of similarity 0.8 have no key in common with a chance of 7 in 100,000). Under a
-key nobody is compared with all others, but with a pivot, another one in every round, unless both
-are in one component already. Rounds end with one that finds links for a thousandth of the texts
-at most. So a link is missed only where its texts never had each other as pivot and are not
-joined by way of others, or share one key alone; on sf0.01 the
-stage keeps the same 922 of 1000 documents as comparing all pairs does.
+`one_of_each` puts a second pass behind the links: texts whose sets of five-word shingles have a
+similarity (shared over all shingles) of 0.8 or more belong together as well, however far apart
+their fingerprints are. It has three steps.
+
+1. Texts that share a key with one of another component are live. Keys are made of the smallest
+   seeded hashes of their shingles (`KEYS` keys of `PER_KEY` hashes); two texts of similarity 0.8
+   have none in common with a chance of 7 in 100,000, and only then can a link be missed.
+2. Live texts are compared with the most central texts of their keys, those that share most keys with
+   others. That joins most of a group of copies by a comparison each. It only saves work: what is
+   not joined here is left to the next step.
+3. All pairs of live texts in different components, by prefixes: with the shingles of every text in
+   one order, frequent ones last, two similar texts share one among the first ninth of the smaller
+   and the first fifth of the larger text, and no more than what follows it can be shared beyond. Pairs
+   that meet so are few, and each is compared. No pair is left out.
 
 Defined results: a null or empty text, or one of white space only, has the fingerprint
 zero and is linked like any other; repeated rows stay; a null doc_id is kept and never
@@ -32,21 +36,26 @@ a component id unless nothing else is reachable (then null); other columns are i
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootward.llm.common import batches, connected_components, named, small_batches, texts, unused, written
+from rootward.llm.common import batches, connected_components, named, small_batches, small_or_shuffled, texts, unused, written
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
 #: The second pass: words of a shingle, the least similarity, keys of a text and hashes of a key.
 WIDE_SHINGLE, SIMILARITY, KEYS, PER_KEY = 5, 0.8, 24, 5
-#: Rounds end with the one that finds so few links for each text.
-LEAST_SHARE = 0.001
+#: Central texts of a key that its texts are compared with, one after the other.
+PIVOTS = 3
+#: Shingles are counted in so many classes, to put frequent ones last.
+CLASSES = 1 << 18
+#: Up to so many rows of keys or texts are told to all tasks.
+FEW = 1_000_000
 #: The bits of each byte value, most significant first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 ONE = np.uint64(1)
@@ -237,55 +246,103 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield from batches(schema, [[b.column("text"), found]])
 
     bodies = docs.select(_version().alias("version"), F.col("text").alias("body"))
-    rows = bodies.join(wanted, "version").select("text", "body")
+    rows = bodies.join(small_or_shuffled(wanted, FEW), "version").select("text", "body")
     return rows.mapInArrow(run, "text long, hashes array<long>").dropDuplicates(["text"])
 
 
+def _live_keys(known: DataFrame) -> DataFrame:
+    """key, text, central: keys that texts of two components have, with the number of texts that a text
+    meets under all of its keys."""
+    held = known.select(F.explode("keys").alias("key"), "text", "root")
+    counts = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    counts = written(counts.where("low < high").select("key", "n"), "live-keys")
+    held = written(held.join(small_or_shuffled(counts, FEW), "key").select("key", "text", "n"), "held")
+    central = held.groupBy("text").agg(F.sum("n").alias("central"))
+    return written(held.select("key", "text").join(central, "text"), "live")
+
+
+def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (text, other, a, b) that are similar, as links (a, b) between their components."""
+    both = pairs.join(sets.toDF("other", "of_other"), "other").join(sets, "text")
+    shared = F.size(F.array_intersect("hashes", "of_other"))
+    near = both.where(shared >= similarity * (F.size("hashes") + F.size("of_other") - shared) - 1e-9)
+    return written(near.select("a", "b").distinct(), "similar-roots")
+
+
+def prefix_lengths(n: int, similarity: float) -> tuple[int, int]:
+    """How many of n shingles, in a common order, hold one that is shared with a similar text of at
+    least n shingles, and with any similar text."""
+    least = 2 * similarity / (1 + similarity)
+    return n - math.ceil(least * n - 1e-9) + 1, n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """shingle, text, n, place, small: the first shingles of every set, small where they count for the smaller text."""
+    counted = sets.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(CLASSES - 1).alias("class")).count().toArrow()
+    frequent = np.zeros(CLASSES, np.int64)
+    frequent[counted.column("class").to_numpy()] = counted.column("count").to_numpy()
+    longs, i = pa.int64(), pa.int32()
+    schema = pa.schema([("shingle", longs), ("text", longs), ("n", i), ("place", i), ("small", pa.bool_())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            found = [[] for _ in schema]
+            for text, hashes in zip(b.column("text").to_pylist(), b.column("hashes"), strict=True):
+                h = hashes.values.to_numpy(zero_copy_only=False)
+                own, any_size = prefix_lengths(len(h), similarity)
+                first = h[np.lexsort((h, frequent[h & (CLASSES - 1)]))[:any_size]]
+                place = np.arange(len(first), dtype=np.int32)
+                for c, x in zip(found, (first, np.full_like(first, text), np.full_like(place, len(h)), place, place < own), strict=True):
+                    c.append(x)
+            yield from batches(schema, [[np.concatenate(c) for c in found]] if found[0] else [])
+
+    return sets.mapInArrow(run, "shingle long, text long, n int, place int, small boolean")
+
+
+def _prefix_pairs(prefixes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """text, other, a, b: pairs of texts in different components (a, b) that may be similar."""
+    rows = written(prefixes.join(small_or_shuffled(roots, FEW), "text"), "prefixes")
+    one = rows.where("small").select("shingle", *[F.col(c).alias(f"{c}_1") for c in ("text", "root", "n", "place")])
+    two = rows.select("shingle", *[F.col(c).alias(f"{c}_2") for c in ("text", "root", "n", "place")])
+    ordered = (F.col("n_1") < F.col("n_2")) | (F.col("n_1") == F.col("n_2")) & (F.col("text_1") < F.col("text_2"))
+    rest = F.least(F.col("n_1") - F.col("place_1"), F.col("n_2") - F.col("place_2"))
+    enough = rest >= F.lit(similarity / (1 + similarity)) * (F.col("n_1") + F.col("n_2")) - 1e-9
+    pairs = one.join(two, (one.shingle == two.shingle) & (F.col("root_1") != F.col("root_2")) & ordered & enough)
+    return pairs.select(F.col("text_1").alias("text"), F.col("text_2").alias("other"), F.col("root_1").alias("a"), F.col("root_2").alias("b")).distinct()
+
+
 def similar_roots(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root): roots of fingerprint components that belong together, since texts of both are
     similar, each with the smallest of its group.
 
     found: version, root and keys of every row. Texts of one component need no comparison, and
-    components grow from round to round. In the first round a text meets the first of its keys'
-    pivots only, which joins most of a group of copies; in the others all pivots of its keys that
-    are in other components. Every round draws other pivots; the last one finds links for one text in
-    a thousand at most."""
+    components grow from step to step."""
     known = found.where("size(keys) > 0").groupBy(F.col("keys")[0].alias("text")).agg(F.min(F.struct("version", "root", "keys")).alias("x"))
     known = written(known.select("text", "x.version", "x.root", F.slice("x.keys", 2, KEYS).alias("keys")), "texts")
     # Texts of the same shingles in another order may have other fingerprints.
     same = found.where("size(keys) > 0").select(F.col("keys")[0].alias("text"), F.col("root").alias("b")).distinct()
     joined = written(same.join(same.groupBy("text").agg(F.min("b").alias("a")), "text").where("a <> b").select("a", "b"), "similar-roots")
     components = connected_components(joined, "a", "b")
-    turn, n_texts = 0, known.count()
-    while True:
-        now = known.join(components, known.root == components.node, "left").select("text", F.coalesce(components.root, known.root).alias("root"), "keys")
-        held = now.select(F.explode("keys").alias("key"), "root", "text")
-        # Pivots by aggregates, which combine before the shuffle: no group is collected or sorted.
-        first = F.min(F.struct(F.xxhash64("text", F.lit(turn)).alias("place"), "root", "text")).alias("p")
-        keys = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), first).where("low < high")
-        keys = keys.select("key", "p.place", F.col("p.root").alias("pivot_root"), F.col("p.text").alias("pivot"))
-        pairs = held.join(keys, "key").where("root <> pivot_root")
-        if turn == 0:
-            best = F.min(F.struct("place", "root", "pivot_root", "pivot")).alias("x")
-            pairs = pairs.groupBy("text").agg(best).select("text", "x.root", "x.pivot_root", "x.pivot")
-        pairs = pairs.select("text", "pivot", "root", "pivot_root").distinct()
-        # What shares one key of 24 only is dropped before sets are fetched: at a similarity of 0.8 that is 1 pair in 1000.
-        own = known.select("text", "keys")
-        pairs = pairs.join(own, "text").join(own.toDF("pivot", "of_pivot"), "pivot").where(F.size(F.array_intersect("keys", "of_pivot")) > 1)
-        pairs = written(pairs.select("text", "pivot", "root", "pivot_root"), "pairs")
-        used = pairs.select("text").union(pairs.select("pivot")).distinct()
-        sets = written(_sets(docs, known.join(used, "text", "left_semi").select("text", "version")), "sets")
-        both = pairs.join(sets, "text").join(sets.toDF("pivot", "of_pivot"), "pivot")
-        shared = F.size(F.array_intersect("hashes", "of_pivot"))
-        near = both.where(shared >= similarity * (F.size("hashes") + F.size("of_pivot") - shared) - 1e-9)
-        near = written(near.select(F.col("root").alias("a"), F.col("pivot_root").alias("b")).distinct(), "similar-roots")
-        found_now = near.count()
-        # Links of this round stand for those of earlier ones by the components that these made.
-        if found_now:
-            components = connected_components(components.toDF("a", "b").unionByName(near), "a", "b")
-        turn += 1
-        if turn > 1 and found_now <= LEAST_SHARE * n_texts:
-            return components
+    live = _live_keys(known)
+    texts_of = written(known.join(live.select("text").distinct(), "text", "left_semi").select("text", "version", "root"), "live-texts")
+    sets = written(_sets(docs, texts_of.select("text", "version")), "sets")
+
+    def roots() -> DataFrame:
+        return texts_of.join(components, texts_of.root == components.node, "left").select("text", F.coalesce(components.root, texts_of.root).alias("root"))
+
+    def joined_with(links: DataFrame) -> DataFrame:
+        return connected_components(components.toDF("a", "b").unionByName(links), "a", "b")
+
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("central"), "text"))
+    pivots = written(live.withColumn("turn", first).where(F.col("turn") <= PIVOTS).select("key", "turn", F.col("text").alias("other"), "central"), "pivots")
+    for turn in range(1, PIVOTS + 1):
+        now = written(roots(), "roots")
+        central = pivots.where(F.col("turn") == turn).join(now.toDF("other", "b"), "other").select("key", "central", "other", "b")
+        met = live.select("key", "text").join(central, "key").join(now.withColumnRenamed("root", "a"), "text").where("a <> b")
+        pairs = met.groupBy("text").agg(F.max(F.struct("central", "other", "a", "b")).alias("x")).select("text", "x.other", "x.a", "x.b")
+        components = joined_with(_near(pairs, sets, similarity))
+    pairs = written(_prefix_pairs(_prefixes(sets, similarity), written(roots(), "roots"), similarity), "pairs")
+    return joined_with(_near(pairs, sets, similarity))
 
 
 def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, similarity: float = SIMILARITY) -> DataFrame:
