@@ -214,43 +214,103 @@ def _sigmoid(x):
 Layers = list[dict[str, float]]
 
 
-def messages(edges: DataFrame, features: DataFrame, layers: Layers) -> DataFrame:
-    """id, own, m: the weighted features of a node at layer 1 and the mean of what its parents give it.
+def _fed_by(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").where("src <> dst").distinct()
+
+
+def all_messages(edges: DataFrame, features: DataFrame, layers: Layers) -> list[DataFrame]:
+    """id, m for the layers 1, 2, ...: the weighted features of a node at that layer and the mean of
+    what its parents give it from the next one.
 
     The readout is logistic in the target's features and in means over its parents, their parents
     and so on, so linear inside; a node gives one number however wide what feeds it is, and a round
     per layer over all edges works out all of them."""
-    pairs = edges.select("src", "dst").where("src <> dst").distinct()
-    given = None
+    pairs, found = _fed_by(edges), []
     for weights in reversed(layers[1:]):
         own = features.select("id", _weighted(weights).alias("m"))
-        if given is not None:
-            fed = pairs.join(given.toDF("src", "_m"), "src").groupBy(F.col("dst").alias("id")).agg(F.avg("_m").alias("_m"))
+        if found:
+            fed = pairs.join(found[0].toDF("src", "_m"), "src").groupBy(F.col("dst").alias("id")).agg(F.avg("_m").alias("_m"))
             own = own.join(fed, "id", "left").select("id", (F.col("m") + F.coalesce("_m", F.lit(0.0))).alias("m"))
-        given = written(own, "messages")
-    return given
+        found.insert(0, written(own, "messages"))
+    return found
 
 
-def coalition_values(coalitions: DataFrame, edges: DataFrame, features: DataFrame, layers: Layers, intercept: float) -> DataFrame:
-    """target, coalition, p: the readout where only the parents of the coalition feed the target.
+def messages(edges: DataFrame, features: DataFrame, layers: Layers) -> DataFrame:
+    """id, m of layer 1: what a node gives those it feeds."""
+    return all_messages(edges, features, layers)[0]
 
-    coalitions: target, coalition, parent, one row per kept edge (parent null: the empty set). A
-    parent without features is left out, a target without features has no row, repeated rows count once."""
-    given = messages(edges, features, layers).toDF("parent", "_near")
-    kept = coalitions.select("target", "coalition", "parent").distinct().join(given, "parent", "left")
-    kept = kept.groupBy("target", "coalition").agg(F.coalesce(F.avg("_near"), F.lit(0.0)).alias("_near"))
-    base = features.select(F.col("id").alias("target"), (F.lit(intercept) + _weighted(layers[0])).alias("_own"))
-    return kept.join(base, "target").select("target", "coalition", _sigmoid(F.col("_own") + F.col("_near")).alias("p"))
 
+def first_hits(starts: DataFrame, edges: DataFrame, features: DataFrame, hops: int) -> DataFrame:
+    """start, id, hop, share: what part of the mean that a node takes over paths of `hop` edges comes from the
+    start, paths that meet it before left out; the start itself at hop 0."""
+    pairs = _fed_by(edges).join(features.select(F.col("id").alias("src")), "src", "left_semi")
+    pairs = written(pairs.join(n_parents(pairs), "dst"), "weighted-edges")
+    newest = starts.select("start", F.col("start").alias("id"), F.lit(0).alias("hop"), F.lit(1.0).alias("share")).distinct()
+    found = newest
+    for hop in range(1, hops + 1):
+        step = newest.join(pairs, F.col("id") == F.col("src")).where("dst <> start").groupBy("start", "dst").agg(F.sum(F.col("share") / F.col("n")).alias("share"))
+        newest = written(step.select("start", F.col("dst").alias("id"), F.lit(hop).alias("hop"), "share"), "first-hits")
+        found = found.unionByName(newest)
+    return found
 
-def readout(targets: DataFrame, edges: DataFrame, features: DataFrame, layers: Layers, intercept: float) -> DataFrame:
-    """target, n (parents with features), p: the readout with all parents."""
+
+def coalition_values(coalitions: DataFrame, edges: DataFrame, features: DataFrame, layers: Layers, intercept: float, readouts: DataFrame | None = None) -> DataFrame:
+    """target, coalition, p: the readout where only the parents of the coalition feed the target; with
+    readouts (target, readout), target, readout, coalition, p: read at another node.
+
+    coalitions: target, coalition, parent, one row per kept edge (parent null: the empty set). A parent
+    without features is left out, a readout without features has no row, repeated rows count once.
+
+    The edges that are cut are cut wherever the target is met. What a coalition changes in what the
+    target takes at a layer is worked out from the last layer to the first; it reaches a readout, and
+    by way of a cycle the target's own parents, by the share of the paths between. A readout further
+    off than the layers go, or off all paths, keeps its value for any coalition."""
+    depth = len(layers)
+    given = reduce(lambda a, b: a.join(b, "id"), [m.toDF("id", f"m{k}") for k, m in enumerate(all_messages(edges, features, layers), 1)])
+    given = written(given, "layer-messages")
+    sets = coalitions.select("target", "coalition", "parent").distinct()
+    asked = sets.select("target").distinct()
+    others = readouts.select("target", "readout").distinct() if readouts is not None else asked.select("target", F.col("target").alias("readout"))
+    hits = first_hits(asked.withColumnRenamed("target", "start"), edges, features, max(0, depth - (2 if readouts is not None else 3)))
+    taken = [F.coalesce(F.avg(f"m{k}"), F.lit(0.0)).alias(f"m{k}") for k in range(1, depth)]
+    back = range(1, max(1, depth - 2))
+    near = hits.where((F.col("hop") > 0) & (F.col("hop") < depth - 2)).groupBy(F.col("start").alias("target"), F.col("id").alias("parent")).agg(F.max("hop").alias("_any"), *[F.sum(F.when(F.col("hop") == k, F.col("share"))).alias(f"_c{k}") for k in back])
+    kept = sets.join(given.withColumnRenamed("id", "parent"), "parent", "left").join(near, ["target", "parent"], "left")
+    # A parent without features is no part of the means.
+    part = [F.coalesce(F.avg(F.when(F.col("m1").isNotNull(), F.coalesce(f"_c{k}", F.lit(0.0)))), F.lit(0.0)).alias(f"c{k}") for k in back]
+    kept = kept.groupBy("target", "coalition").agg(*taken, *part)
+    whole = _fed_by(edges).join(asked.withColumnRenamed("target", "dst"), "dst", "left_semi").join(given.withColumnRenamed("id", "src"), "src")
+    whole = whole.groupBy(F.col("dst").alias("target")).agg(*[F.avg(f"m{k}").alias(f"all{k}") for k in range(1, depth)])
+    rows = kept.join(whole, "target", "left")
+    for layer in range(depth - 2, -1, -1):
+        change = F.col(f"m{layer + 1}") - F.coalesce(f"all{layer + 1}", F.lit(0.0))
+        for k in range(1, depth - 2 - layer):
+            change = change + F.col(f"c{k}") * F.col(f"d{layer + 1 + k}")
+        rows = rows.withColumn(f"d{layer}", change)
+    changes = F.array(*[F.col(f"d{k}") for k in range(depth - 1)])
+    inside = _inside(others.select(F.col("readout").alias("target")).distinct(), edges, features, layers, intercept).select(F.col("target").alias("readout"), "z")
+    # The share of a target without features is none, as it feeds nobody.
+    reach = hits.where((F.col("hop") == 0) | (F.col("hop") < depth - 1)).select(F.col("start").alias("target"), F.col("id").alias("readout"), "hop", "share")
+    moved = others.join(reach, ["target", "readout"]).join(rows.select("target", "coalition", changes.alias("_d")), "target")
+    moved = moved.groupBy("target", "readout", "coalition").agg(F.sum(F.col("share") * F.get("_d", F.col("hop"))).alias("_moved"))
+    found = others.join(rows.select("target", "coalition"), "target").join(inside, "readout").join(moved, ["target", "readout", "coalition"], "left")
+    found = found.select("target", "readout", "coalition", _sigmoid(F.col("z") + F.coalesce("_moved", F.lit(0.0))).alias("p"))
+    return found if readouts is not None else found.drop("readout")
+
+
+def _inside(targets: DataFrame, edges: DataFrame, features: DataFrame, layers: Layers, intercept: float) -> DataFrame:
+    """target, n (parents with features), z: the inside of the readout with all parents."""
     given = messages(edges, features, layers).toDF("src", "_near")
     fed = edges.select("src", F.col("dst").alias("target")).where("src <> target").distinct().join(targets.select("target").distinct(), "target", "left_semi").join(given, "src")
     fed = fed.groupBy("target").agg(F.count("*").alias("n"), F.avg("_near").alias("_near"))
     base = features.select(F.col("id").alias("target"), (F.lit(intercept) + _weighted(layers[0])).alias("_own"))
     rows = targets.select("target").distinct().join(base, "target").join(fed, "target", "left")
-    return rows.select("target", F.coalesce("n", F.lit(0)).alias("n"), _sigmoid(F.col("_own") + F.coalesce("_near", F.lit(0.0))).alias("p"))
+    return rows.select("target", F.coalesce("n", F.lit(0)).alias("n"), (F.col("_own") + F.coalesce("_near", F.lit(0.0))).alias("z"))
+
+
+def readout(targets: DataFrame, edges: DataFrame, features: DataFrame, layers: Layers, intercept: float) -> DataFrame:
+    """target, n (parents with features), p: the readout with all parents."""
+    return _inside(targets, edges, features, layers, intercept).select("target", "n", _sigmoid(F.col("z")).alias("p"))
 
 
 def shares(targets: DataFrame, edges: DataFrame, features: DataFrame, layers: int) -> DataFrame:

@@ -352,6 +352,39 @@ def test_missing_column_is_named(spark, tmp_path):
         assert "Time step" in str(e)
 
 
+@pytest.mark.parametrize("depth", [2, 3, 5])
+def test_readouts_away_from_the_intervention(spark, depth):
+    """Cut edges of a node, read at others and through cycles, against a walk with the edges gone."""
+    r = random.Random(depth)
+    ids = [f"n{i}" for i in range(9)]
+    pairs = sorted({(r.choice(ids), r.choice(ids)) for _ in range(26)} | {("gone", "n1"), ("n1", "n2"), ("n2", "n1"), ("n3", "n1")})
+    x = {i: (r.uniform(-1, 1), r.uniform(-1, 1)) for i in ids}
+    layers = [{"x": r.uniform(-1, 1), "y": r.uniform(-1, 1)} for _ in range(depth)]
+
+    def p(node, cut, kept):
+        def mean(v, layer):
+            own = layers[layer]["x"] * x[v][0] + layers[layer]["y"] * x[v][1]
+            fed = [a for a, b in pairs if b == v and a != v and a in x and (v != cut or a in kept)] if layer + 1 < depth else []
+            return own + (sum(mean(a, layer + 1) for a in fed) / len(fed) if fed else 0)
+
+        return 1 / (1 + math.exp(-(0.25 + mean(node, 0))))
+
+    cuts = ["n1", "n2", "n5"]
+    parents = {c: [a for a, b in pairs if b == c and a != c] for c in cuts}
+    rows = [(c, "none", None) for c in cuts] + [(c, a, a) for c in cuts for a in parents[c]] + [(c, "all", a) for c in cuts for a in parents[c]]
+    sets = spark.createDataFrame(rows, "target string, coalition string, parent string")
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    features = spark.createDataFrame([(i, *v) for i, v in x.items()], "id string, x double, y double")
+    readouts = spark.createDataFrame([(c, i) for c in cuts for i in [*ids, "unknown"]], "target string, readout string")
+    found = A.coalition_values(sets, edges, features, layers, 0.25, readouts).collect()
+    members = {(c, k): {a for t, n, a in rows if t == c and n == k} for c, k, _ in rows}
+    assert len(found) == len(members) * len(ids)
+    for v in found:
+        assert v.p == pytest.approx(p(v.readout, v.target, members[v.target, v.coalition]))
+    own = {(v.target, v.coalition): v.p for v in A.coalition_values(sets, edges, features, layers, 0.25).collect()}
+    assert own == pytest.approx({(v.target, v.coalition): v.p for v in found if v.readout == v.target})
+
+
 def test_interventions(spark):
     """A readout of three layers against a walk through plain dictionaries."""
     pairs = [("w2", "t0"), ("w3", "t0"), ("w3", "t0"), ("w4", "t1"), ("t5", "w2"), ("t6", "w2"), ("t6", "w3"), ("t7", "t6")]
