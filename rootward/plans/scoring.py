@@ -343,6 +343,42 @@ def _(g: Graph) -> DataFrame:
     return found.select("target", "pivot", "feature", (F.round("value", 8) + 0.0).alias("value"), (F.round("saliency", 8) + 0.0).alias("saliency"), "method")
 
 
+#: A further layer, so that a cut two hops above the readout is felt.
+DEEP = [*LAYERS, {"f_amount": 0.2, "f_count": -0.1}]
+_AWAY = {
+    **{k: _READ[k] for k in ("feats", "pairs")}, "tops": f"SELECT dst AS node, src AS parent FROM ({_TOP}) WHERE place = 1",
+    "asked": "SELECT a.parent AS target, t.target AS readout FROM targets t JOIN tops a ON a.node = t.target UNION SELECT b.parent, t.target FROM targets t JOIN tops a ON a.node = t.target JOIN tops b ON b.node = a.parent",
+    "three": "SELECT id, 0.2 * f_amount - 0.1 * f_count AS m FROM feats",
+    "two": "SELECT f.id, 0.3 * f_amount + 0.2 * f_count + coalesce(v, 0) AS m FROM feats f LEFT JOIN (SELECT dst, avg(m) AS v FROM pairs JOIN three ON id = src GROUP BY dst) k ON k.dst = f.id",
+    "one": "SELECT f.id, 0.6 * f_amount - 0.4 * f_count + coalesce(v, 0) AS m FROM feats f LEFT JOIN (SELECT dst, avg(m) AS v FROM pairs JOIN two ON id = src GROUP BY dst) k ON k.dst = f.id",
+    "cut": "SELECT DISTINCT target FROM asked", "hit1": "SELECT target, dst AS id, 1.0 / n AS share FROM cut JOIN pairs ON src = target",
+    "hit2": "SELECT h.target, p.dst AS id, sum(h.share / p.n) AS share FROM hit1 h JOIN pairs p ON p.src = h.id WHERE p.dst <> h.target GROUP BY h.target, p.dst",
+    "fed": "SELECT c.target, p.src AS parent, x.m AS m1, y.m AS m2, z.m AS m3, coalesce(h.share, 0) AS c1 FROM cut c JOIN pairs p ON p.dst = c.target JOIN one x ON x.id = p.src JOIN two y ON y.id = p.src JOIN three z ON z.id = p.src LEFT JOIN hit1 h ON h.target = c.target AND h.id = p.src",
+    "whole": "SELECT target, avg(m1) AS m1, avg(m2) AS m2, avg(m3) AS m3, avg(c1) AS c1 FROM fed GROUP BY target",
+    "sets": "SELECT target, 'none' AS coalition, 0 AS m1, 0 AS m2, 0 AS m3, 0 AS c1 FROM cut UNION ALL SELECT target, parent, m1, m2, m3, c1 FROM fed UNION ALL SELECT target, 'all', m1, m2, m3, c1 FROM whole",
+    "changes": "SELECT s.target, coalition, s.m2 - coalesce(w.m2, 0) AS d1, s.m3 - coalesce(w.m3, 0) AS d2 FROM sets s LEFT JOIN whole w ON w.target = s.target",
+    "base": "SELECT id AS readout, -0.3 + 0.8 * f_amount - 0.5 * f_count + coalesce(v, 0) AS z FROM feats LEFT JOIN (SELECT dst, avg(m) AS v FROM pairs JOIN one ON id = src GROUP BY dst) k ON k.dst = id",
+}
+
+
+@query(
+    "g5_readout_elsewhere",
+    sql("SELECT a.target, a.readout, coalition, round(1 / (1 + exp(-(z + coalesce(h.share * d1, 0) + coalesce(k.share * d2, 0)))), 9) AS p FROM asked a JOIN changes c ON c.target = a.target JOIN base b ON b.readout = a.readout LEFT JOIN hit1 h ON h.target = a.target AND h.id = a.readout LEFT JOIN hit2 k ON k.target = a.target AND k.id = a.readout", **_AWAY),
+)
+def _(g: Graph) -> DataFrame:
+    """Parents cut one and two hops above each flagged transaction, which is the readout: none, one alone and all of them left."""
+    top = written(A.parent_topk(g.effects, 1).select(F.col("dst").alias("node"), F.col("src").alias("parent")), "strongest")
+    one = g.targets.join(top, F.col("target") == F.col("node")).select(F.col("parent").alias("target"), F.col("target").alias("readout"))
+    two = one.join(top, F.col("target") == F.col("node")).select(F.col("parent").alias("target"), "readout")
+    asked = written(one.union(two).distinct(), "readouts")
+    cut = asked.select("target").distinct()
+    fed = g.causal.where("src <> dst").select(F.col("dst").alias("target"), F.col("src").alias("parent")).join(cut, "target", "left_semi")
+    sets = cut.select("target", F.lit("none").alias("coalition"), F.lit(None).cast("string").alias("parent"))
+    sets = sets.unionByName(fed.select("target", F.explode(F.array("parent", F.lit("all"))).alias("coalition"), "parent"))
+    found = A.coalition_values(sets, g.causal, written(features(g), "features"), DEEP, BIAS, asked)
+    return found.withColumn("p", F.round("p", 9))
+
+
 @query("g9_saliency", sql("SELECT target, id, round(saliency, 9) AS saliency FROM salient", **_READ))
 def _(g: Graph) -> DataFrame:
     return A.saliency(g.targets, g.causal, written(features(g), "features"), LAYERS, BIAS).withColumn("saliency", F.round("saliency", 9))
