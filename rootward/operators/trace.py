@@ -132,24 +132,39 @@ def _strong(effects: DataFrame, threshold: float) -> DataFrame:
     return written(effects.where(F.abs("ce") >= threshold).select(F.col("dst").alias("at"), F.col("src").alias("parent"), F.abs("ce").alias("w")), "strong-edges")
 
 
+def _strongest(edges: DataFrame, weight: Column, n: int) -> DataFrame:
+    """at, parents: of each node its n parents of the largest weight, then the smallest ids, as
+    (weight, parent) in that order. Spark keeps n of a node in every partition before the shuffle."""
+    by = Window.partitionBy("at").orderBy(F.desc("weight"), "parent")
+    kept = edges.select("at", "parent", weight.alias("weight")).withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") <= n)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_rn", "parent", "weight"))), lambda x: F.struct(x["parent"].alias("parent"), x["weight"].alias("weight")))
+    return written(kept.groupBy("at").agg(listed.alias("parents")), "strongest-parents")
+
+
 def trace_topk(targets: DataFrame, effects: DataFrame, k: int, max_hops: int = MAX_HOPS, threshold: float = THRESHOLD) -> DataFrame:
     """Beam search: target, rank, chain, score (sum of |ce|). Beams without a further parent are
-    complete, and so are those that last max_hops."""
+    complete, and so are those that last max_hops.
+
+    Scores have nine digits, so those of a beam's continuations are ordered as the nine digits of |ce|
+    are, and only the first k that the beam has not visited can be among the best k. It has visited
+    max_hops nodes at most when it goes on; so k + max_hops parents of each node are enough, however
+    many there are, and one is left wherever there is one at all."""
     _checked(max_hops, threshold)
-    edges = _strong(effects, threshold)
+    edges = _strongest(_strong(effects, threshold), F.round("w", 9), k + max_hops)
     beams = targets.select("target", F.col("target").alias("at"), F.array("target").alias("chain"), F.lit(0.0).alias("score"))
     complete = None
-    by = Window.partitionBy("target").orderBy(F.desc("score"), "chain")
+    by = Window.partitionBy("target").orderBy(F.desc("score"), "chain")  # k beams, k continuations each
     for _ in range(max_hops):
         beams = written(beams, "beams")
         if beams.isEmpty():
             break
-        wider = beams.join(edges, "at").where(~F.array_contains("chain", F.col("parent")))
-        wider = wider.select("target", F.col("parent").alias("at"), F.array_append("chain", F.col("parent")).alias("chain"), F.round(F.col("score") + F.col("w"), 9).alias("score"), F.col("chain").alias("_of"))
-        wider = written(wider, "wider")
-        ended = beams.join(wider.select("target", F.col("_of").alias("chain")), ["target", "chain"], "left_anti").select("target", "chain", "score")
+        free = F.filter("parents", lambda x: ~F.array_contains("chain", x["parent"]))
+        ahead = written(beams.join(edges, "at", "left").withColumn("free", F.slice(F.coalesce(free, F.array().cast("array<struct<parent:string,weight:double>>")), 1, k)), "ahead")
+        ended = ahead.where("size(free) = 0").select("target", "chain", "score")
         complete = ended if complete is None else complete.unionByName(ended)
-        beams = wider.drop("_of").withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") <= k).drop("_rn")
+        wider = ahead.select("target", "chain", "score", F.explode("free").alias("x"))
+        wider = wider.select("target", F.col("x.parent").alias("at"), F.array_append("chain", F.col("x.parent")).alias("chain"), F.round(F.col("score") + F.col("x.weight"), 9).alias("score"))
+        beams = wider.withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") <= k).drop("_rn")
     last = beams.select("target", "chain", "score")
     complete = last if complete is None else complete.unionByName(last)
     ranked = complete.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
@@ -336,20 +351,20 @@ def _deepest_reached(targets: DataFrame, edges: DataFrame, leaves: DataFrame, ma
 
 
 def trace_dfs(targets: DataFrame, effects: DataFrame, max_hops: int = MAX_HOPS, threshold: float = THRESHOLD) -> DataFrame:
-    """Always on to the strongest parent not visited yet, without turning back."""
+    """Always on to the strongest parent not visited yet, without turning back. A walk has visited
+    max_hops nodes at most when it goes on, so one parent more than that of each node is enough."""
     _checked(max_hops, threshold)
-    edges = _strong(effects, threshold)
+    edges = _strongest(_strong(effects, threshold), F.col("w"), 1 + max_hops)
     state = targets.select("target", F.col("target").alias("at"), F.array("target").alias("chain"))
     ended = state.limit(0).select("target", "chain")
     for _ in range(max_hops):
         state = written(state, "dfs")
         if state.isEmpty():
             break
-        ahead = state.join(edges, "at").where(~F.array_contains("chain", F.col("parent")))
-        best = ahead.groupBy("target").agg(F.min_by(F.struct("parent", "chain"), F.struct(-F.col("w"), F.col("parent"))).alias("b"))
-        best = written(best.select("target", F.col("b.parent").alias("at"), F.array_append("b.chain", F.col("b.parent")).alias("chain")), "dfs-best")
-        ended = ended.unionByName(state.join(best, "target", "left_anti").select("target", "chain"))
-        state = best
+        free = F.filter("parents", lambda x: ~F.array_contains("chain", x["parent"]))
+        ahead = written(state.join(edges, "at", "left").select("target", "chain", F.get(free, F.lit(0))["parent"].alias("parent")), "dfs-best")
+        ended = ended.unionByName(ahead.where("parent IS NULL").select("target", "chain"))
+        state = ahead.where("parent IS NOT NULL").select("target", F.col("parent").alias("at"), F.array_append("chain", F.col("parent")).alias("chain"))
     return chain_rows(ended.unionByName(state.select("target", "chain")))
 
 
