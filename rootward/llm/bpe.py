@@ -92,13 +92,17 @@ def lookahead_of(merges: list[tuple[int, int]], made: list[int], size_of: dict[i
 
 
 class Remembered(dict):
-    """Ids of words, worked out when asked for the first time; forgotten all at once when there are too many."""
+    """Ids of words, worked out when asked for the first time. When there are too many, they become the
+    older ones, of which only those asked for again are kept."""
 
     def __init__(self, v: Vocabulary):
         super().__init__()
-        self.v = v
+        self.v, self.older = v, {}
 
     def __missing__(self, word: str) -> list[int]:
+        if found := self.older.get(word):
+            self[word] = found
+            return found
         data = word.encode("utf-8", "surrogatepass")
         if len(word) > RUN:
             run = LongWord(self.v)
@@ -106,6 +110,7 @@ class Remembered(dict):
         ids = self.v.merged(data)
         if len(word) <= SHORT:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -139,14 +144,17 @@ class Vocabulary:
         ids = list(map(self.of_byte.__getitem__, data))
         if len(ids) > 48:
             return self._merged_by_heap(ids)
-        merge_of, none = self.merge_of.get, repeat(NO_MERGE)
-        while len(ids) > 1:
-            found = list(map(merge_of, pairwise(ids), none))
-            best = min(found)
-            if best == NO_MERGE:
-                break
+        merge_of = self.merge_of.get
+        found = list(map(merge_of, pairwise(ids), repeat(NO_MERGE)))
+        while found and (best := min(found)) != NO_MERGE:
             at = found.index(best)
-            ids[at : at + 2] = [best & ID]
+            t = ids[at] = best & ID
+            del ids[at + 1], found[at]
+            # Only the pairs on both sides of the new token are others.
+            if at:
+                found[at - 1] = merge_of((ids[at - 1], t), NO_MERGE)
+            if at < len(found):
+                found[at] = merge_of((t, ids[at + 1]), NO_MERGE)
         return ids
 
     def _merged_by_heap(self, ids: list[int]) -> list[int]:
