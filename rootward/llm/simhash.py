@@ -335,11 +335,12 @@ def similar_roots(docs: DataFrame, found: DataFrame, similarity: float = SIMILAR
 
     first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("central"), "text"))
     pivots = written(live.withColumn("turn", first).where(F.col("turn") <= PIVOTS).select("key", "turn", F.col("text").alias("other"), "central"), "pivots")
-    for turn in range(1, PIVOTS + 1):
+    # The most central text of a key joins most of its group, the next ones what that one left.
+    for turns in ((1,), tuple(range(2, PIVOTS + 1))):
         now = written(roots(), "roots")
-        central = pivots.where(F.col("turn") == turn).join(now.toDF("other", "b"), "other").select("key", "central", "other", "b")
+        central = pivots.where(F.col("turn").isin(*turns)).join(now.toDF("other", "b"), "other").select("key", "turn", "central", "other", "b")
         met = live.select("key", "text").join(central, "key").join(now.withColumnRenamed("root", "a"), "text").where("a <> b")
-        pairs = met.groupBy("text").agg(F.max(F.struct("central", "other", "a", "b")).alias("x")).select("text", "x.other", "x.a", "x.b")
+        pairs = met.groupBy("text", "turn").agg(F.max(F.struct("central", "other", "a", "b")).alias("x")).select("text", "x.other", "x.a", "x.b").distinct()
         components = joined_with(_near(pairs, sets, similarity))
     pairs = written(_prefix_pairs(_prefixes(sets, similarity), written(roots(), "roots"), similarity), "pairs")
     return joined_with(_near(pairs, sets, similarity))
