@@ -74,30 +74,73 @@ def sources(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
 
 
+def _without_shortcuts(pairs: DataFrame, few: int = 8) -> DataFrame:
+    """pairs without those that a path of two edges stands beside, the middle one having `few` parents at most.
+
+    Levels stay, and what has one parent besides an ancestor of it has that parent only. The bound
+    keeps the paths of two edges to `few` times the edges; pairs that it leaves in are only more work."""
+    middle = pairs.groupBy("dst").agg(F.count("*").alias("n")).where(F.col("n") <= few).select(F.col("dst").alias("b"))
+    into = pairs.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).join(middle, "b", "left_semi")
+    two = into.join(pairs.select(F.col("src").alias("b"), F.col("dst").alias("c")).where("b <> c"), "b").where("a <> c").select(F.col("a").alias("src"), F.col("c").alias("dst")).distinct()
+    return pairs.join(two, ["src", "dst"], "left_anti")
+
+
+def _heads(single: DataFrame, n: int) -> DataFrame:
+    """id, head, up: how many single parents above each node the first node is that has none or several;
+    nodes without such a head, which are on or behind a cycle of single parents, have no row.
+
+    single: id, parent. Pointers double, so a run of length L takes log2(L) rounds."""
+    ways = written(single.select("id", F.col("parent").alias("at"), F.lit(1).alias("up")), "single-parents")
+    ended = ways.limit(0)
+    going = ways
+    for _ in range(n.bit_length() + 1):
+        beyond = ways.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("up").alias("_up"))
+        step = written(going.join(beyond, "at", "left"), "doubled")
+        stopped = step.where("_at IS NULL").select("id", "at", "up")
+        ended = ended.unionByName(stopped)
+        going = step.where("_at IS NOT NULL").select("id", F.col("_at").alias("at"), (F.col("up") + F.col("_up")).alias("up"))
+        if going.isEmpty():
+            break
+        ways = going.unionByName(ended)
+    return ended.select("id", F.col("at").alias("head"), "up")
+
+
 def topological_levels(nodes: DataFrame, edges: DataFrame, every: int = 6) -> DataFrame:
     """id, level: 0 without parents, else one more than the highest parent; null on or behind a cycle.
 
-    A round meets the edges of the nodes that became free in the last one only. What it takes
-    from in-degrees is added to a list, which is summed up for the nodes that it touches, and
-    as a whole every few rounds. Rounds end when no node becomes free, however many there are."""
+    Edges beside a path of two go, runs of nodes with one parent are contracted to offsets from
+    their heads by pointer doubling, and rounds are made between the heads. A round meets the edges of
+    the heads that became free in the last one only. What it takes from in-degrees is added to a list,
+    which is summed up for the nodes that it touches, and as a whole every few rounds. Rounds end
+    when no head becomes free, however many there are."""
     ids = nodes.select("id").distinct()
-    pairs = written(edges.select("src", "dst").distinct(), "pairs")
-    degrees = ids.join(pairs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
-    left = degrees = written(degrees, "degrees")
-    free = written(degrees.where("n = 0").select("id", F.lit(0).alias("level")), "level")
-    done, level = free, 0
+    pairs = written(_without_shortcuts(written(edges.select("src", "dst").distinct(), "pairs")), "pairs")
+    degrees = written(pairs.groupBy("dst").agg(F.count("*").alias("n")), "degrees")
+    single = pairs.join(degrees.where("n = 1").select("dst"), "dst", "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("parent"))
+    runs = written(_heads(single, degrees.count()), "runs")
+    # A parent within a run stands for its head; one without a head is kept, and never free.
+    far = runs.select(F.col("id").alias("src"), "head", "up")
+    bound = pairs.join(degrees.where("n > 1").select("dst"), "dst", "left_semi").join(far, "src", "left")
+    bound = bound.select(F.coalesce("head", "src").alias("src"), "dst", (F.coalesce("up", F.lit(0)) + 1).alias("rise"))
+    bound = written(bound.groupBy("src", "dst").agg(F.max("rise").alias("rise")), "contracted")
+    left = written(bound.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")).withColumn("level", F.lit(0)), "degrees")
+    # Ends of edges that are no nodes can hold levels up or down as well.
+    every_id = written(ids.union(pairs.select("src")).union(pairs.select("dst")).distinct(), "ids")
+    free = written(every_id.join(degrees.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("level")), "level")
+    done, turn = free, 0
     while not free.isEmpty():
-        level += 1
-        taken = pairs.join(free.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg((-F.count("*")).alias("n"))
+        turn += 1
+        taken = bound.join(free.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg((-F.count("*")).alias("n"), F.max(F.col("level") + F.col("rise")).alias("level"))
         taken = written(taken, "taken")
         left = left.unionByName(taken)
-        rest = left.join(taken.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("n").alias("n"))
-        free = written(rest.where("n = 0").select("id", F.lit(level).alias("level")), "level")
+        rest = left.join(taken.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("n").alias("n"), F.max("level").alias("level"))
+        free = written(rest.where("n = 0").select("id", "level"), "level")
         done = done.unionByName(free)
-        if level % every == 0:
-            left = written(left.groupBy("id").agg(F.sum("n").alias("n")).where("n > 0"), "degrees")
+        if turn % every == 0:
+            left = written(left.groupBy("id").agg(F.sum("n").alias("n"), F.max("level").alias("level")).where("n > 0"), "degrees")
             done = written(done, "levels")
-    return ids.join(done, "id", "left")
+    inner = runs.join(done.withColumnRenamed("id", "head"), "head").select("id", (F.col("level") + F.col("up")).alias("level"))
+    return ids.join(done.unionByName(inner), "id", "left")
 
 
 def edge_direction(pairs: DataFrame, edges: DataFrame) -> DataFrame:

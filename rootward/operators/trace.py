@@ -51,23 +51,37 @@ def best_parents(effects: DataFrame, threshold: float, signed: bool = False, pre
     return rows.groupBy("node").agg(best.alias("best")).select("node", "best.parent", "best.score").where(F.col("score") >= threshold)
 
 
-def trace_greedy(targets: DataFrame, effects: DataFrame, max_hops: int = MAX_HOPS, threshold: float = THRESHOLD, every: int = 4, **ranking) -> DataFrame:
+def _further(rows: DataFrame, begin: str, made: int, jumps: DataFrame) -> DataFrame:
+    """rows whose chain (after the node `begin`, `made` hops long unless it has ended) goes on by jumps (node, path).
+
+    There is one way on from each node, so a node that comes again brings only what came after it
+    before: what is left without repeats is the chain up to the first visited node."""
+    going = rows.where(F.size("path") == made)
+    ends = F.coalesce(F.get("path", F.size("path") - 1), F.col(begin))
+    whole = F.array_distinct(F.concat(F.array(begin), F.col("path"), F.coalesce("_on", F.array().cast("array<string>"))))
+    step = going.withColumn("_end", ends).join(jumps.toDF("_end", "_on"), "_end", "left").select(begin, F.slice(whole, 2, 2**30).alias("path"))
+    return rows.where(F.size("path") < made).unionByName(step) if made else step
+
+
+def trace_greedy(targets: DataFrame, effects: DataFrame, max_hops: int = MAX_HOPS, threshold: float = THRESHOLD, **ranking) -> DataFrame:
     """Follow the best parent until there is none, its score is under the threshold or it was
-    visited. ranking: signed, preferred, ahead, as in best_parents."""
+    visited. ranking: signed, preferred, ahead, as in best_parents.
+
+    The way from each node for 1, 2, 4, ... hops is put together from two of half the length, and
+    that of a target from those that add up to max_hops: 20 hops are six joins."""
     _checked(max_hops, threshold)
-    best = written(best_parents(effects, threshold, **ranking), "best-parents")
-    state = targets.select("target", F.col("target").alias("at"), F.array("target").alias("chain"))
-    for hop in range(1, max_hops + 1):
-        # Ended chains get keys of their own, so they do not meet in one partition.
-        key = F.coalesce("at", F.concat(F.lit("~"), "target"))
-        ahead = state.withColumn("node", key).join(best.select("node", "parent"), "node", "left")
-        ok = F.col("at").isNotNull() & F.col("parent").isNotNull() & ~F.array_contains("chain", F.col("parent"))
-        state = ahead.select("target", F.when(ok, F.col("parent")).alias("at"), F.when(ok, F.array_append("chain", F.col("parent"))).otherwise(F.col("chain")).alias("chain"))
-        if hop % every == 0 and hop < max_hops:
-            state = written(state, "traces")
-            if state.where("at IS NOT NULL").isEmpty():
-                break
-    return chain_rows(state)
+    jumps = written(best_parents(effects, threshold, **ranking).select("node", F.array("parent").alias("path")).where("path[0] <> node"), "jumps")
+    state = targets.select("target", F.array().cast("array<string>").alias("path"))
+    length, made = 1, 0
+    while True:
+        if max_hops & length:
+            state = _further(state, "target", made, jumps)
+            made += length
+        if made == max_hops:
+            break
+        jumps = written(_further(jumps, "node", length, jumps), "jumps")
+        length *= 2
+    return chain_rows(state.select("target", F.concat(F.array("target"), "path").alias("chain")))
 
 
 def trace_scored(
@@ -103,21 +117,37 @@ def trace_scored(
 
 def trace_by_node_scores(targets: DataFrame, edges: DataFrame, scores: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """Greedy with a score per (target, id) of a node seen from the target, 0 for all others and no
-    threshold. Scores meet the frontier only, whatever else lies upstream."""
+    threshold. Scores meet the frontier only, whatever else lies upstream.
+
+    A parent scored above 0 goes before all others, and what a target scores above 0 is what its own rows
+    say; where no parent is, all are equal and the smallest goes first. So a node with many parents is
+    asked for those that its target scores and for the smallest. Only scores below 0 take all parents."""
     _checked(max_hops, 0.0)
     pairs = written(edges.select(F.col("dst").alias("at"), F.col("src").alias("parent")).distinct(), "pairs")
     known = written(scores.select("target", F.col("id").alias("parent"), "score"), "node-scores")
-    state = targets.select("target", F.col("target").alias("at"), F.array("target").alias("chain"))
+    smallest = written(pairs.groupBy("at").agg(F.min("parent").alias("_first")), "smallest-parents")
+    all_parents = not known.where("score < 0").isEmpty()
+
+    def ahead(state: DataFrame) -> DataFrame:
+        """target, chain, parent: where each trace goes next, null where nowhere."""
+        if all_parents:
+            rows = state.join(pairs, "at", "left").join(known, ["target", "parent"], "left")
+            order = F.struct(-F.coalesce("score", F.lit(0.0)), F.col("parent"))
+        else:
+            rows = state.join(known.where("score > 0"), "target").join(pairs, ["at", "parent"], "left_semi")
+            order = F.struct(-F.col("score"), F.col("parent"))
+        best = rows.groupBy("target").agg(F.min_by("parent", order).alias("_best"))
+        return state.join(best, "target", "left").join(smallest, "at", "left").select("target", "chain", F.coalesce("_best", "_first").alias("parent"))
+
+    state = targets.select("target").distinct().select("target", F.col("target").alias("at"), F.array("target").alias("chain"))
     ended = state.limit(0).select("target", "chain")
     for _ in range(max_hops):
-        state = written(state, "traces")
+        step = written(ahead(state), "scored-best")
+        ok = F.col("parent").isNotNull() & ~F.array_contains("chain", F.col("parent"))
+        ended = ended.unionByName(step.where(~F.coalesce(ok, F.lit(False))).select("target", "chain"))
+        state = step.where(ok).select("target", F.col("parent").alias("at"), F.array_append("chain", F.col("parent")).alias("chain"))
         if state.isEmpty():
             break
-        ahead = state.join(pairs, "at").join(known, ["target", "parent"], "left")
-        best = ahead.groupBy("target").agg(F.min_by(F.struct("parent", "chain"), F.struct(-F.coalesce("score", F.lit(0.0)), F.col("parent"))).alias("b"))
-        best = written(best.where(~F.array_contains("b.chain", F.col("b.parent"))).select("target", F.col("b.parent").alias("at"), F.array_append("b.chain", F.col("b.parent")).alias("chain")), "scored-best")
-        ended = ended.unionByName(state.join(best, "target", "left_anti").select("target", "chain"))
-        state = best
     return chain_rows(ended.unionByName(state.select("target", "chain")))
 
 

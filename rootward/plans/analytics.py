@@ -286,7 +286,7 @@ FANNED = {"indeg": INDEGREE, "up": UP.format(_FEEDS), "fanin": FANIN}
 
 
 def fanin(t: Traced) -> DataFrame:
-    degrees = E.indegree(t.g.nodes, t.g.tables)
+    degrees = written(E.indegree(t.g.nodes, t.g.tables), "indegrees")  # for the thresholds and for the chains
     return L.scan_fanin(t.cn, degrees, E.indegree_thresholds(degrees), upstream(t))
 
 
@@ -314,7 +314,7 @@ PASS = GAPS | {
 
 
 def passing(t: Traced) -> DataFrame:
-    gaps = L.lifespan_gap(latest(t))
+    gaps = written(L.lifespan_gap(latest(t)), "gaps")  # for the cut and for the chains
     cut = gaps.join(t.g.wallets.where("class = 1").select("id"), "id", "left_semi").agg(F.percentile("gap", F.lit(0.25))).first()[0]
     return L.scan_passthrough(t.cn, gaps, cut)
 

@@ -174,6 +174,26 @@ def test_scores_of_the_caller(spark):
     assert chains(T.trace_by_node_scores(targets(spark, ["a", "z"]), e, seen)) == {"a": ["a", "c", "d"], "z": ["z"]}
 
 
+@pytest.mark.parametrize("least", [0, -2])
+def test_node_scores_by_plain_walks(spark, least):
+    """Scores of some nodes for some targets, with and without scores below 0, which put a parent behind unscored ones."""
+    r = random.Random(30 + least)
+    rows = random_graph(31, True)
+    scored = {(t, n): r.randint(least, 3) / 2 for t in NODES for n in NODES if r.random() < 0.4}
+    up = {b: sorted({a for a, c, _ in rows if c == b}) for _, b, _ in rows}
+    want = {}
+    for t in NODES:
+        chain = [t]
+        for _ in range(6):
+            best = min(up.get(chain[-1], []), key=lambda p: (-scored.get((t, p), 0), p), default=None)
+            if best is None or best in chain:
+                break
+            chain.append(best)
+        want[t] = chain
+    scores = spark.createDataFrame([(t, n, s) for (t, n), s in scored.items()], "target string, id string, score double")
+    assert chains(T.trace_by_node_scores(targets(spark, NODES), effects(spark, rows), scores, 6)) == want
+
+
 def test_levels_of_a_deep_path_and_behind_cycles(spark):
     path = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)] + [("n000", "n030"), ("n005", "n005"), ("x", "y"), ("y", "x"), ("y", "z"), ("n001", "z")]
     ids = sorted({n for p in path for n in p} | {"alone"})
@@ -182,6 +202,46 @@ def test_levels_of_a_deep_path_and_behind_cycles(spark):
     assert found == want
 
 
+def levels_by_walk(ids, pairs):
+    """Levels by removing nodes one at a time; null for what never gets free."""
+    ends = {x for p in pairs for x in p} | set(ids)
+    left = {i: {a for a, b in pairs if b == i} for i in ends}
+    found, free = {}, [i for i in ends if not left[i]]
+    for i in free:
+        found[i] = 0
+    while free:
+        i = free.pop()
+        for b in {b for a, b in pairs if a == i}:
+            left[b].discard(i)
+            if not left[b]:
+                found[b] = 1 + max(found[a] for a, c in pairs if c == b)
+                free.append(b)
+    return {i: found.get(i) for i in ids}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_levels_by_contraction(spark, seed):
+    """Runs, shortcuts beside them, loops of one and of several nodes, and what lies behind."""
+    r = random.Random(seed)
+    ids = [f"n{i:02d}" for i in range(60)]
+    pairs = [(ids[i - 1], ids[i]) for i in range(1, 40)] + [(ids[0], ids[i]) for i in range(2, 30)]
+    pairs += [(r.choice(ids[:40]), r.choice(ids[40:])) for _ in range(25)] + [(a, b) for a, b in ((r.choice(ids), r.choice(ids)) for _ in range(10)) if a < b or seed > 1]
+    pairs += [("n58", "n59"), ("n59", "n58"), ("gone", "n41")][: seed + 1]
+    edges = spark.createDataFrame([*pairs, pairs[0]], "src string, dst string").repartition(3)
+    found = {x.id: x.level for x in E.topological_levels(one(spark, ids), edges).collect()}
+    assert found == levels_by_walk(ids, pairs)
+
+
+def test_levels_of_a_very_long_path(spark):
+    """A customer with many orders in a row, each sent by the customer: a few rounds."""
+    n = 3000
+    path = spark.range(1, n).select(F.concat(F.lit("t"), (F.col("id") - 1)).alias("src"), F.concat(F.lit("t"), "id").alias("dst"))
+    sent = spark.range(n).select(F.lit("w").alias("src"), F.concat(F.lit("t"), "id").alias("dst"))
+    nodes = spark.range(n).select(F.concat(F.lit("t"), "id").alias("id"))
+    found = E.topological_levels(nodes, path.union(sent)).agg(F.min(F.col("level") - F.substring("id", 2, 9).cast("int")), F.max(F.col("level") - F.substring("id", 2, 9).cast("int")), F.count("*")).first()
+    assert tuple(found) == (1, 1, n)
+
+
 def test_first_rows_of_any_order(spark):
     r = random.Random(22)
     rows = [(r.choice([None, 1, 2, 3]), f"{r.randrange(1000):03}{k}", k) for k in range(400)]
