@@ -251,19 +251,30 @@ def nearest_ends(edges: DataFrame, ends: DataFrame, max_hops: int) -> DataFrame:
 
     edges: at, parent, cost (whole units, 0 or more); ends: id, tier. What is best from a node does not
     depend on who asks, so the rows are the nodes, however many targets there are. A round goes on
-    from the nodes whose end the last one changed, which are those with a path of its number of hops."""
-    key = F.struct("tier", F.floor((F.col("total") + 500) / 1000).alias("near"), "end", "total", F.size("path").alias("n"), "path")
+    from the nodes whose end the last one changed, and adds what it improves; replaced rows go every few rounds."""
+    near = F.floor((F.col("total") + 500) / 1000)
+    key, rest = F.struct("tier", near.alias("near"), "end", "total"), F.struct("tier", near.alias("near"), "end", "total", "path")
     found = ends.select(F.col("id").alias("node"), "tier", F.lit(0).cast("long").alias("total"), F.col("id").alias("end"), F.array("id").alias("path"))
     newest = found = written(found, "nearest-ends")
     for hop in range(1, max_hops + 1):
         step = newest.join(edges, newest.node == edges.parent).where(~F.array_contains("path", F.col("at")))
         step = step.select(F.col("at").alias("node"), "tier", (F.col("total") + F.col("cost")).alias("total"), "end", F.array_append("path", F.col("at")).alias("path"))
-        best = found.unionByName(step).groupBy("node").agg(F.min(key).alias("b"))
-        found = written(best.select("node", "b.tier", "b.total", "b.end", "b.path"), "nearest-ends")
-        newest = found.where(F.size("path") == hop + 1)
+        best = step.groupBy("node").agg(F.min(rest).alias("b")).select("node", "b.tier", "b.total", "b.end", "b.path")
+        # Of equal ends that of the earlier round stays, which has fewer hops.
+        old = found.groupBy("node").agg(F.min(key).alias("_old"))
+        newest = written(best.join(old, "node", "left").where(F.col("_old").isNull() | (key < F.col("_old"))).drop("_old"), "nearer-ends")
         if newest.isEmpty():
             break
-    return found.select("node", "end", "path")
+        found = found.unionByName(newest)
+        if hop % 4 == 0 and hop < max_hops:
+            found = written(_nearest(found, key), "nearest-ends")
+    return written(_nearest(found, key).select("node", "end", "path"), "nearest-ends")
+
+
+def _nearest(found: DataFrame, key: Column) -> DataFrame:
+    """One row per node: the best key, and of rows with the same one that with the fewest hops."""
+    best = F.min(F.struct(key.alias("key"), F.size("path").alias("n"), F.col("path")))
+    return found.groupBy("node").agg(best.alias("b")).select("node", "b.key.tier", "b.key.total", "b.key.end", "b.path")
 
 
 def _chains_to(targets: DataFrame, found: DataFrame) -> DataFrame:
