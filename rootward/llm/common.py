@@ -96,26 +96,30 @@ def utf8_size(text: Column) -> Column:
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node with a link; root is the smallest node reachable.
 
-    Alternating large-star and small-star rounds. Every round writes its edges to
+    Alternating large-star and small-star rounds, until the edges are stars: no node has nodes on
+    both sides or two below it, which a large-star sees on its way and marks. So no round is made,
+    and nothing is joined, only to see that nothing changes. Every round writes its edges to
     the shared folder. A hub only ever meets its own minimum (aggregated before the
     shuffle) in an equi-join that adaptive execution may split. Nulls and self-links
     are left out; an empty input gives an empty result."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     edges = written(edges, "links")
-    size = edges.count()
-    while size:
-        before, size_before = edges, size
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        edges = written(edges, "large-star")
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(moved.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small-star")
-        # Edges are distinct, so equal counts and no new edge mean that none changed.
-        size = edges.count()
-        if size == size_before and edges.join(before, ["u", "v"], "left_anti").isEmpty():
+        # m: the smallest of a node and its neighbours; several: it has two different ones below it, told by one row.
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.max(F.when(F.col("v") < F.col("u"), F.col("v"))).alias("below"))
+        least = least.select("u", F.least("u", "m").alias("m"), F.coalesce(F.col("below") > F.col("m"), F.lit(False)).alias("several"))
+        above = F.col("v") > F.col("u")
+        large = both.join(least, "u").where(above | F.col("several") & (F.col("v") == F.col("m")))
+        large = large.select(F.when(above, F.col("v")).alias("u"), F.when(above, F.col("m")).alias("v"), (~above | (F.col("m") < F.col("u"))).alias("changed"))
+        # Rows may repeat here: there are no more than edges, and the small-star drops repeats.
+        large = written(large, "large-star")
+        if large.where("changed").isEmpty():
             break
+        moving = large.where("u IS NOT NULL").select("u", "v")
+        least = moving.groupBy("u").agg(F.min("v").alias("m"))
+        moved = moving.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(moved.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small-star")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -262,11 +262,11 @@ def _live_keys(known: DataFrame) -> DataFrame:
 
 
 def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (text, other, a, b) that are similar, as links (a, b) between their components."""
+    """The pairs (text, other, a, b) that are similar, as links (a, b) between their components; links may repeat."""
     both = pairs.join(sets.toDF("other", "of_other"), "other").join(sets, "text")
     shared = F.size(F.array_intersect("hashes", "of_other"))
     near = both.where(shared >= similarity * (F.size("hashes") + F.size("of_other") - shared) - 1e-9)
-    return written(near.select("a", "b").distinct(), "similar-roots")
+    return written(near.select("a", "b"), "similar-roots")
 
 
 def prefix_lengths(n: int, similarity: float) -> tuple[int, int]:

@@ -9,8 +9,8 @@ import re
 import pytest
 
 import corpus_pipeline
-from rootward.llm import bpe, decontamination, pii, quality_classifier, quality_rules, simhash, suffix_dedup
-from rootward.llm.common import connected_components
+from rootward.llm import bpe, common, decontamination, pii, quality_classifier, quality_rules, simhash, suffix_dedup
+from rootward.llm.common import connected_components, written
 
 WORDS = [a + b for a in "ba co di fu ge hi jo ka lu me no pi".split() for b in "ran sel tor vik wem xan zol".split()]
 #: Names that the operators use themselves, as columns of the user's.
@@ -309,3 +309,34 @@ def test_components_of_a_long_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1001 + i) for i in range(50)] + [(5, 5)]
     found = {x.node: x.root for x in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert found == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(51)}}
+
+
+def test_components_make_no_round_to_see_that_nothing_changes(spark, monkeypatch):
+    made = []
+
+    def counted(df, name):
+        made.append(name)
+        return written(df, name)
+
+    monkeypatch.setattr(common, "written", counted)
+
+    def roots(edges):
+        made.clear()
+        rows = connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+        assert len(rows) == len({x.node for x in rows})
+        return {x.node: x.root for x in rows}
+
+    # Stars, told twice and either way round, are seen to be stars before any small-star.
+    assert roots([(1, 5), (5, 1), (1, 6), (1, 6), (2, 2), (3, None), (-4, 7)]) == {1: 1, 5: 1, 6: 1, -4: -4, 7: -4}
+    assert made == ["links", "large-star"]
+    # A node with two below it, neither of which has one below, is no star.
+    assert roots([(1, 9), (2, 9), (2, 8)]) == {1: 1, 2: 1, 8: 1, 9: 1}
+    assert made[-1] == "large-star" and made.count("small-star") == made.count("large-star") - 1
+    r = random.Random(6)
+    for n, m in ((40, 25), (60, 60)):
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
+        root = list(range(n))
+        for _ in range(n):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        assert roots(edges) == {x: root[x] for a, b in edges if a != b for x in (a, b)}
