@@ -129,6 +129,15 @@ def _stated(docs: DataFrame) -> Column:
     return (F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")).alias("n_chars")
 
 
+def _views(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as views of its own memory, so that the driver holds them once."""
+    found = []
+    for c in lists.chunks:
+        flat, at = c.values.to_numpy(), c.offsets.to_numpy()
+        found += [flat[a:z] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return found
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fit on at most max_rows documents with a label that are not held out."""
     small_batches(docs.sparkSession)
@@ -145,9 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
 
     got = rows.select("doc_id", "text", "n_chars", "label").mapInArrow(run, "doc_id long, label int, places array<int>, weights array<float>").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    places, weights = got.column("places").combine_chunks(), got.column("weights").combine_chunks()
-    pairs = [(places[int(i)].values.to_numpy().astype(np.int64), weights[int(i)].values.to_numpy()) for i in order]
-    return fit(pairs, got.column("label").to_numpy()[order].astype(np.float64))
+    marks = got.column("label").to_numpy()[order].astype(np.float64)
+    places, weights = _views(got.column("places")), _views(got.column("weights"))
+    return fit([(places[i], weights[i]) for i in order.tolist()], marks)
 
 
 def scored(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import pytest
 
@@ -340,3 +341,18 @@ def test_components_make_no_round_to_see_that_nothing_changes(spark, monkeypatch
             for a, b in edges:
                 root[a] = root[b] = min(root[a], root[b])
         assert roots(edges) == {x: root[x] for a, b in edges if a != b for x in (a, b)}
+
+
+def test_classifier_holds_its_features_once(spark, monkeypatch):
+    docs = with_clashes(spark, [(i, f"word{i} and more words{i % 7}") for i in range(1, 60)] + [(60, None)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 61)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda rows, marks: seen.append((rows, marks)))
+    quality_classifier.train(docs, labels)
+    ids = [i for i in range(1, 61) if zlib.crc32(str(i).encode()) % 3 != 1]
+    (rows, marks), texts = seen[0], {r.doc_id: (r.text or "", r.n_chars) for r in docs.collect()}
+    assert marks.tolist() == [i % 2 for i in ids]
+    for i, (places, weights) in zip(ids, rows, strict=True):
+        want = quality_classifier.features(*texts[i])
+        assert places.tolist() == want[0].tolist() and weights.tolist() == want[1].tolist()
+        assert not places.flags.owndata and not weights.flags.owndata and places.dtype.itemsize == 4
