@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
+#: Rows of a file, of tables that `sized` deals out.
+FILE_ROWS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about `rows` short rows, to be written in files of FILE_ROWS rows, however many partitions
+    the session shuffles into.
+
+    On a local file system a file makes its executor start two processes (chmod of the file and of
+    its checksum), and each counts as a second executor of the same size until it runs chmod."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Keep Arrow batches of long texts small enough for an executor."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -93,17 +104,19 @@ def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(links: DataFrame, a: str, b: str, rows: int | None = None) -> DataFrame:
     """(node, root) for every node with a link; root is the smallest node reachable.
 
     Alternating large-star and small-star rounds, until the edges are stars: no node has nodes on
     both sides or two below it, which a large-star sees on its way and marks. So no round is made,
     and nothing is joined, only to see that nothing changes. Every round writes its edges to
-    the shared folder. A hub only ever meets its own minimum (aggregated before the
+    the shared folder, in files by their number (rows: about how many links there are, where
+    that is known). A hub only ever meets its own minimum (aggregated before the
     shuffle) in an equi-join that adaptive execution may split. Nulls and self-links
     are left out; an empty input gives an empty result."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    edges = written(edges, "links")
+    edges = written(edges if rows is None else sized(edges, rows), "links")
+    rows = edges.count()  # rounds do not add any
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # m: the smallest of a node and its neighbours; several: it has two different ones below it, told by one row.
@@ -113,13 +126,13 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         large = both.join(least, "u").where(above | F.col("several") & (F.col("v") == F.col("m")))
         large = large.select(F.when(above, F.col("v")).alias("u"), F.when(above, F.col("m")).alias("v"), (~above | (F.col("m") < F.col("u"))).alias("changed"))
         # Rows may repeat here: there are no more than edges, and the small-star drops repeats.
-        large = written(large, "large-star")
+        large = written(sized(large, rows), "large-star")
         if large.where("changed").isEmpty():
             break
         moving = large.where("u IS NOT NULL").select("u", "v")
         least = moving.groupBy("u").agg(F.min("v").alias("m"))
         moved = moving.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(moved.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small-star")
+        edges = written(sized(moved.unionByName(least.withColumnRenamed("m", "v")).distinct(), rows), "small-star")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

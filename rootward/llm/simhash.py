@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootward.llm.common import batches, connected_components, named, small_batches, small_or_shuffled, texts, unused, written
+from rootward.llm.common import batches, connected_components, named, sized, small_batches, small_or_shuffled, texts, unused, written
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
 #: The second pass: words of a shingle, the least similarity, keys of a text and hashes of a key.
@@ -119,16 +119,17 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(real)[0], to[real]
 
 
-def _tree(members: np.ndarray, threshold: int) -> Iterator[tuple[int, int]]:
-    """Links that connect what direct links within one anchor connect: at most one less than members."""
-    rest = members
+def _stars(members: np.ndarray, threshold: int) -> Iterator[tuple[int, int]]:
+    """Links that connect what direct links within one anchor connect: at most one less than members, each
+    to the smallest (as a signed long) of those connected, so that anchors tell the same links and few rounds follow."""
+    rest = np.sort(members.view(np.int64)).view(np.uint64)
     while len(rest):
-        stack, rest = [rest[0]], rest[1:]
+        first, stack, rest = rest[0], [rest[0]], rest[1:]
         while stack and len(rest):
             x = stack.pop()
             near = np.bitwise_count(rest ^ x) <= threshold
             for y in rest[near]:
-                yield int(x), int(y)
+                yield int(first), int(y)
             stack.extend(rest[near])
             rest = rest[~near]
 
@@ -139,7 +140,7 @@ def links_of_sorted(anchor: np.ndarray, fp: np.ndarray, threshold: int) -> tuple
     size = np.diff(edge)
     two = edge[:-1][size == 2]
     close = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= threshold]
-    found = [(int(x), int(y)) for a, n in zip(edge[:-1][size > 2], size[size > 2], strict=True) for x, y in _tree(fp[a : a + n], threshold)]
+    found = [(int(x), int(y)) for a, n in zip(edge[:-1][size > 2], size[size > 2], strict=True) for x, y in _stars(fp[a : a + n], threshold)]
     more = np.array(found, np.uint64).reshape(-1, 2)
     return np.concatenate((fp[close], more[:, 0])), np.concatenate((fp[close + 1], more[:, 1]))
 
@@ -177,18 +178,20 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def _rooted(prints: DataFrame, threshold: int) -> DataFrame:
     """fp, first (smallest doc_id with it), root (a fingerprint that stands for its component) of all distinct fingerprints."""
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    found = connected_components(links(distinct, threshold), "a", "b")
-    return written(distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    distinct = written(sized(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), prints.count()), "distinct-fingerprints")
+    rows = distinct.count()
+    found = connected_components(links(distinct, threshold), "a", "b", rows)
+    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return written(sized(rooted, rows), "rooted")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links of at most threshold bits reach."""
     prints = written(fingerprints(docs), "fingerprints")
-    rooted = _rooted(prints, threshold)
+    rows, rooted = prints.count(), _rooted(prints, threshold)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = written(rooted.join(smallest, "root").select("fp", "component_id"), "components")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = written(sized(rooted.join(smallest, "root").select("fp", "component_id"), rows), "components")
+    return sized(prints.join(by_print, "fp").select("doc_id", "fp", "component_id"), rows)
 
 
 @functools.cache

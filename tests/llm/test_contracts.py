@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -356,3 +357,43 @@ def test_classifier_holds_its_features_once(spark, monkeypatch):
         want = quality_classifier.features(*texts[i])
         assert places.tolist() == want[0].tolist() and weights.tolist() == want[1].tolist()
         assert not places.flags.owndata and not weights.flags.owndata and places.dtype.itemsize == 4
+
+
+def test_links_of_an_anchor_go_to_the_smallest_of_their_component():
+    # Two chains of steps of two bits under one anchor; the last of the first is the smallest as a signed long.
+    one, two = [0b1, 0b111, 0b11111, 1 << 63 | 0b111111], [0xFF << 40, 0x3FF << 40, 0xFFF << 40]
+    members = np.array([one[1], two[2], one[0], one[3], two[0], one[2], two[1]], np.uint64)
+    a, b = simhash.links_of_sorted(np.zeros(len(members), np.int64), members, 2)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted([(one[3], x) for x in one[:3]] + [(two[0], x) for x in two[1:]])
+
+
+def test_near_duplicates_write_files_by_rows(spark, monkeypatch):
+    r = random.Random(11)
+    texts = [edited(r, x, k) for x in (prose(r, 300) for _ in range(12)) for k in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, parts = sorted(simhash.near_duplicates(docs).collect()), {}
+
+    def counted(df, name):
+        parts.setdefault(name, []).append(df.rdd.getNumPartitions())
+        return written(df, name)
+
+    monkeypatch.setattr(common, "written", counted)
+    monkeypatch.setattr(simhash, "written", counted)
+    held = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = simhash.near_duplicates(docs)
+        parts["result"] = [found.rdd.getNumPartitions()]
+        assert sorted(found.collect()) == want
+        parts.pop("fingerprints")
+        assert {*parts} >= {"distinct-fingerprints", "links", "large-star", "rooted", "components", "result"}
+        assert all(n == 1 for v in parts.values() for n in v), parts
+        # More files for more rows.
+        monkeypatch.setattr(common, "FILE_ROWS", 20)
+        found = simhash.near_duplicates(docs)
+        assert found.rdd.getNumPartitions() == 3 and sorted(found.collect()) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
