@@ -5,6 +5,7 @@ label columns. Ties break by id."""
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,9 +39,11 @@ def _numbered(rows: DataFrame, by: list[str], order: list[Column], buckets: int
 
 
 def stratified_split(nodes: DataFrame, seed: int = 42, train: float = 0.7, val: float = 0.15) -> DataFrame:
-    """split of labelled nodes per class: int(n * train), int(n * val), the rest is test."""
+    """split of labelled nodes per class: int(n * train), int(n * val), the rest is test.
+
+    Shares are taken as decimals: 0.7 of 90 is 63, which floats bring below 63."""
     ordered = _numbered(nodes.where("labelled"), ["y"], [seeded_order(F.col("num"), seed), F.col("id")])
-    first, second = F.floor(F.col("n") * train), F.floor(F.col("n") * val)
+    first, second = (F.floor(F.col("n") * F.lit(Decimal(str(share)))) for share in (train, val))
     split = F.when(F.col("rn") <= first, "train").when(F.col("rn") <= first + second, "val").otherwise("test")
     return ordered.select(*nodes.columns, split.alias("split"))
 

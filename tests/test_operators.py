@@ -62,6 +62,12 @@ def test_split_sizes(spark):
     assert counts == {(s, y): n for s, n in (("train", 14), ("val", 3), ("test", 3)) for y in (0, 1)}
 
 
+def test_split_sizes_by_decimal_shares(spark):
+    nodes = spark.range(90 + 170).selectExpr("concat('n', id) AS id", "id AS num", "CAST(id < 90 AS INT) AS y", "true AS labelled")
+    counts = {(r.split, r.y): r.n for r in N.split_counts(N.stratified_split(nodes)).collect()}
+    assert counts == {("train", 1): 63, ("val", 1): 13, ("test", 1): 14, ("train", 0): 119, ("val", 0): 25, ("test", 0): 26}
+
+
 def test_shapley_values_of_given_tables(spark):
     """Any table of coalition values: the mean marginal over all orders."""
     r = random.Random(3)
