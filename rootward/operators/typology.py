@@ -267,11 +267,12 @@ def cosine_baseline(pairs: DataFrame, rows: DataFrame, columns: list[str], n: in
 
 
 def phi_summary(cn: DataFrame) -> DataFrame:
-    """target, phi_total (of |phi_asym|), top_node, top_phi and top_share of each chain with shares, the first among equals in flow order."""
-    rows = cn.where("phi_asym IS NOT NULL")
-    top = F.max_by(F.struct("id", "phi_asym"), F.struct(F.abs("phi_asym"), F.col("pos"))).alias("b")
-    found = rows.groupBy("target").agg(F.sum(F.abs("phi_asym")).alias("phi_total"), top)
-    share = F.when(F.col("phi_total") > 0, F.abs("b.phi_asym") / F.col("phi_total")).otherwise(F.abs("b.phi_asym"))
+    """target, phi_total (of |phi_asym|), top_node, top_phi and top_share of each chain with shares, the first among equals
+    (to twelve digits, as shares are differences of floats) in flow order."""
+    rows = cn.where("phi_asym IS NOT NULL").withColumn("_size", F.abs("phi_asym"))
+    top = F.max_by(F.struct("id", "phi_asym"), F.struct(F.round("_size", 12), F.col("pos"))).alias("b")
+    found = rows.groupBy("target").agg(F.sum("_size").alias("phi_total"), F.max("_size").alias("_most"), top)
+    share = F.when(F.col("phi_total") > 0, F.col("_most") / F.col("phi_total")).otherwise(F.col("_most"))
     return found.select("target", "phi_total", F.col("b.id").alias("top_node"), F.col("b.phi_asym").alias("top_phi"), share.alias("top_share"))
 
 

@@ -349,6 +349,13 @@ def test_pairs_of_chains(spark):
         assert sorted((x.a, x.b) for x in found) == sorted((f"t{i}", f"t{j}") for i in numbers for j in numbers if 0 < j - i <= window)
 
 
+def test_shares_that_floats_tell_apart_are_equal(spark):
+    rows = [("t", "a", 0, None), ("t", "b", 1, 0.3), ("t", "c", 2, -(0.1 + 0.2)), ("t", "d", 3, 0.3), ("t", "e", 4, 0.1)]
+    cn = spark.createDataFrame(rows, "target string, id string, pos int, phi_asym double")
+    found = L.phi_summary(cn).first()
+    assert (found.top_node, found.top_phi, round(found.phi_total, 9), round(found.top_share, 6)) == ("d", 0.3, 1.0, 0.3)
+
+
 def test_missing_column_is_named(spark, tmp_path):
     spark.createDataFrame([(1,)], "txId int").write.csv(f"{tmp_path}/txs_features.csv", header=True)
     try:
