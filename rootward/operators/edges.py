@@ -75,12 +75,15 @@ def sources(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _without_shortcuts(pairs: DataFrame, few: int = 8) -> DataFrame:
-    """pairs without those that a path of two edges stands beside, the middle one having `few` parents at most.
+    """pairs without those that a path of two edges stands beside, the middle one having `few` parents at most
+    and the smaller id of the two parents.
 
-    Levels stay, and what has one parent besides an ancestor of it has that parent only. The bound
-    keeps the paths of two edges to `few` times the edges; pairs that it leaves in are only more work."""
+    Levels stay, and what has one parent besides an ancestor of it has that parent only. Of parents on
+    a cycle each has a path over another; as a parent goes only for one with a smaller id, one of them is
+    left, so that nodes behind a cycle stay there. The bound keeps the paths of two edges to `few` times the
+    edges; pairs that bound and order leave in are only more work."""
     middle = pairs.groupBy("dst").agg(F.count("*").alias("n")).where(F.col("n") <= few).select(F.col("dst").alias("b"))
-    into = pairs.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).join(middle, "b", "left_semi")
+    into = pairs.where("src > dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).join(middle, "b", "left_semi")
     two = into.join(pairs.select(F.col("src").alias("b"), F.col("dst").alias("c")).where("b <> c"), "b").where("a <> c").select(F.col("a").alias("src"), F.col("c").alias("dst")).distinct()
     return pairs.join(two, ["src", "dst"], "left_anti")
 

@@ -51,6 +51,13 @@ def test_levels_behind_a_cycle_are_null(spark):
     assert {r.id: r.level for r in E.topological_levels(nodes, edges).collect()} == {"a": None, "b": None, "c": None, "d": 0, "e": 1}
 
 
+def test_levels_behind_a_cycle_of_parents_are_null(spark):
+    """Each parent of c has a path to it over the other one."""
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("b", "c"), ("c", "e"), ("d", "f"), ("f", "g"), ("d", "g")], "src string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in "abcdefg"], "id string")
+    assert {r.id: r.level for r in E.topological_levels(nodes, edges).collect()} == {"a": None, "b": None, "c": None, "d": 0, "e": None, "f": 1, "g": 2}
+
+
 def test_global_ids_follow_type_and_number(spark):
     nodes = spark.createDataFrame([("transaction", f"t{i}", i) for i in range(3)] + [("actor", f"a{i}", i) for i in range(2)], "node_type string, id string, num long")
     assert {r.id: r.global_id for r in N.global_ids(nodes).collect()} == {"a0": 0, "a1": 1, "t0": 2, "t1": 3, "t2": 4}
