@@ -150,6 +150,12 @@ def test_caps_of_best_path_and_sums(spark):
         T.trace_best_path(t, e, 0)
 
 
+def test_equal_products_of_a_best_path(spark):
+    """0.02 * 0.65 is 0.013: of equal costs the fewer hops are kept, though rounded logarithms add up to a unit less."""
+    rows = [("e", "t", 0.013), ("a", "t", 0.02), ("e", "a", 0.65), ("t", "s", 0.5), ("f", "s", 0.001)]
+    assert chains(T.trace_best_path(targets(spark, ["t", "s", "a"]), effects(spark, rows), 20, 0.0001)) == {"t": ["t", "e"], "s": ["s", "t", "e"], "a": ["a", "e"]}
+
+
 def test_lookahead_leaves_a_dead_end(spark):
     """The strongest parent leads nowhere; a weaker one has the wanted kind two steps up."""
     rows = [("hub", "loss", 0.3), *[(f"stub{i}", "hub", 0.2 + i / 100) for i in range(5)], ("way", "hub", 0.05), ("relay", "way", 0.04), ("origin", "relay", 0.03)]
