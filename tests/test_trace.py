@@ -180,6 +180,15 @@ def test_scores_of_the_caller(spark):
     assert chains(T.trace_by_node_scores(targets(spark, ["a", "z"]), e, seen)) == {"a": ["a", "c", "d"], "z": ["z"]}
 
 
+def test_scores_that_hold_for_all_targets(spark):
+    rows = [("b", "a", 0.9), ("c", "a", 0.2), ("c", "b", 0.3), ("d", "c", 0.5), ("a", "d", 0.4)]
+    scores = spark.createDataFrame([(child, parent, score) for parent, child, score in rows], "child string, parent string, score double")
+    each = scores.crossJoin(targets(spark, ["a", "c", "x"]))
+    for more in ({}, {"threshold": 0.45}, {"preferred": one(spark, ["c"])}, {"preferred": one(spark, ["d"]), "ahead": one(spark, ["c", "d"])}):
+        want = chains(T.trace_scored(targets(spark, ["a", "c", "x"]), each, **more))
+        assert chains(T.trace_scored(targets(spark, ["a", "c", "x"]), scores, **more)) == want and len(want) == 3
+
+
 @pytest.mark.parametrize("least", [0, -2])
 def test_node_scores_by_plain_walks(spark, least):
     """Scores of some nodes for some targets, with and without scores below 0, which put a parent behind unscored ones."""
