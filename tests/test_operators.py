@@ -12,7 +12,9 @@ from rootward.operators import effects as X
 from rootward.operators import logistic
 from rootward.operators import metrics as M
 from rootward.operators import nodes as N
+from rootward.operators import trace as T
 from rootward.operators import typology as L
+from rootward.plans import scoring
 from rootward.sources import tables as S
 
 
@@ -452,3 +454,10 @@ def test_interventions(spark):
     summary, parents = A.explain_targets(targets, scored, {"one": phi.limit(0)}, chains)
     assert summary.first().sum_one == 0 and parents.count() == 0
     assert A.feature_effects(asked.limit(0), edges, features, layers, bias).count() == 0
+
+
+def test_parents_of_targets_are_explained_without_traces(spark, monkeypatch):
+    """Nothing but the edges into targets tells the shares, so no chain is looked for."""
+    monkeypatch.setattr(T, "trace_topk", None)
+    found = scoring.QUERIES["f16_explained_parents"](spark, "/root/testdata/sf0.001")
+    assert {r.explainer for r in found.select("explainer").distinct().collect()} == {"add", "asym", "sym"}
