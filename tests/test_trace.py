@@ -150,6 +150,23 @@ def test_caps_of_best_path_and_sums(spark):
         T.trace_best_path(t, e, 0)
 
 
+def test_best_sums_by_nodes(spark, monkeypatch):
+    """As by a row for each node that a target reaches, equal sums included; and without such rows."""
+    r = random.Random(5)
+    rows = [(a, b, r.choice((0.1, 0.2, -0.3))) for a, b, _ in random_graph(4)]
+    e, t, wanted = effects(spark, rows), targets(spark, ENDS), one(spark, NODES[::3])
+    for more in (None, wanted):
+        reached = T._with_ends(t, T._heaviest_reached(t, T._strong(e, 0.0001), e, 20, 0.0001, more))
+        assert chains(T.trace_best_path(t, e, 20, 0.0001, objective="sum", preferred=more)) == chains(reached)
+    assert chains(T.trace_best_path(t, e, 2, 0.15, objective="sum")) == chains(T._with_ends(t, T._heaviest_reached(t, T._strong(e, 0.15), e, 2, 0.15, None)))
+    n, plain = [], T.written
+    monkeypatch.setattr(T, "written", lambda df, name: n.append((found := plain(df, name)).count()) or found)
+    line = effects(spark, [(f"n{i}", f"n{i + 1}", 0.5) for i in range(20)])
+    found = chains(T.trace_best_path(targets(spark, [f"n{i}" for i in range(21)]), line, 20, 0.0001, objective="sum"))
+    assert found == {f"n{i}": [f"n{k}" for k in range(i, -1, -1)] for i in range(21)}
+    assert sum(n) < 700
+
+
 def test_equal_products_of_a_best_path(spark):
     """0.02 * 0.65 is 0.013: of equal costs the fewer hops are kept, though rounded logarithms add up to a unit less."""
     rows = [("e", "t", 0.013), ("a", "t", 0.02), ("e", "a", 0.65), ("t", "s", 0.5), ("f", "s", 0.001)]
