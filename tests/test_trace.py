@@ -226,6 +226,16 @@ def test_node_scores_by_plain_walks(spark, least):
     assert chains(T.trace_by_node_scores(targets(spark, NODES), effects(spark, rows), scores, 6)) == want
 
 
+def test_scores_of_ended_traces_are_left_behind(spark, monkeypatch):
+    n, plain = [], T.written
+    monkeypatch.setattr(T, "written", lambda df, name: n.append((name, (found := plain(df, name)).count())) or found)
+    edges = spark.createDataFrame([*[(f"n{i}", f"n{i + 1}") for i in range(8)], ("o", "n8"), ("n5", "n8"), ("a", "b")], "src string, dst string")
+    scores = spark.createDataFrame([("n8", "o", 0.1), ("n8", "n5", 0.4), ("n8", "n8", 0.9), *[("b", f"x{i}", 1.0) for i in range(9)]], "target string, id string, score double")
+    found = chains(T.trace_by_node_scores(targets(spark, ["n8", "b"]), edges, scores, 20))
+    assert found == {"n8": ["n8", "n5", "n4", "n3", "n2", "n1", "n0"], "b": ["b", "a"]}
+    assert [k for name, k in n if name == "node-scores"] == [12, 3, 3]
+
+
 def test_levels_of_a_deep_path_and_behind_cycles(spark):
     path = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)] + [("n000", "n030"), ("n005", "n005"), ("x", "y"), ("y", "x"), ("y", "z"), ("n001", "z")]
     ids = sorted({n for p in path for n in p} | {"alone"})
